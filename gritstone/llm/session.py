@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch handed to Python. Documents may be long, so batches are kept well under Spark's default.
-ARROW_ROWS = 2000
+ARROW_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:

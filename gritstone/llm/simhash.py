@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import prepare, staged
-from .vecwords import SPACE, Runs, U, scramble, words
+from .vecwords import SPACE, Runs, U, scramble, small, words
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
@@ -126,7 +126,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     prepare(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints, least = _wide(batch.column(1), width, bands, sketch)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(prints), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["id", "same", "prints", "least"])
 

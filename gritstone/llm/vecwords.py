@@ -71,6 +71,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def small(batches, column: int = 1, limit: int = 2 << 20):
+    """The batches cut so that each holds some `limit` bytes of text, one row at least."""
+    for batch in batches:
+        _, at = flat(batch.column(column))
+        a = 0
+        while a < len(at) - 1:
+            b = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 @dataclass
 class Words:
     data: np.ndarray  # the bytes that were hashed
