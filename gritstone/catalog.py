@@ -1,11 +1,15 @@
-"""Registry of the engine's queries: name to (Spark function, oracle SQL)."""
+"""Registry of the engine's queries: name to Spark function, and the oracle SQL of most."""
 
 from __future__ import annotations
 
+from .plans import common, processing, reports, scans, scores
+
+MODULES = (scans, reports, scores, processing)
+
 
 def queries() -> dict:
-    return {}
+    return dict(common.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(common.SQL)
