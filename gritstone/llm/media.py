@@ -126,8 +126,13 @@ class Reader:
         return f.read_at(length, offset)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write every row's payload to shards: (id_col, n_bytes, digest, shard, offset, length).
+#: Media that one task reads, about.
+TASK_MEDIA = 5000
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Write every row's payload to shards: the rows (id_col, n_bytes, digest), and the index (digest, shard, offset,
+    length) with one place for each digest.
 
     Null texts are empty and stored as one row of blanks. Equal texts are led to one place. Null and repeated ids are
     kept. Extra columns are ignored. An empty table makes no shards.
@@ -165,12 +170,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard_byt
                 shard.close()
 
     placed = staged(docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(rows, f"id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
-    index = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return placed.select("id", "n_bytes", "digest").join(index, "digest").select(F.col("id").alias(id_col), "n_bytes", "digest", "at.*")
+    index = staged(placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "media-places")
+    # narrow rows stand for large media, so they are dealt by number
+    return placed.select(F.col("id").alias(id_col), "n_bytes", "digest"), index.repartition(max(8, index.count() // TASK_MEDIA))
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:
-    """`rows` of store() with width, height and depth, from the first bytes of each medium only."""
+    """The index of store() with width, height and depth, from the first bytes of each medium only."""
 
     @F.pandas_udf("width long, height long, depth long")
     def look(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -185,22 +191,18 @@ READ_BACK = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_b
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """`rows` of store() with READ_BACK: each stored medium is read by its range, decoded and measured. Equal media in
-    one task are read once."""
+    """The index of store() with READ_BACK: each stored medium is read by its range, decoded and measured."""
 
     @F.pandas_udf(READ_BACK)
     def look(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        reader, last, found = Reader(), None, None
+        reader = Reader()
         for shards, offsets, lengths in parts:
             out = []
             for at in zip(shards, offsets, lengths):
-                if at != last:
-                    media = reader.read(at[0], int(at[1]), int(at[2]))
-                    samples = decode(media)
-                    payload = samples.tobytes()
-                    found = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
-                    last = at
-                out.append(found)
+                media = reader.read(at[0], int(at[1]), int(at[2]))
+                samples = decode(media)
+                payload = samples.tobytes()
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in READ_BACK.split(", ")])
 
     near = rows.sortWithinPartitions("shard", "offset")

@@ -60,8 +60,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.read_back(media.with_metadata(media.store(_table(spark, sf_dir, "documents"))))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
+    rows, index = media.store(_table(spark, sf_dir, "documents"))
+    return rows.join(media.read_back(media.with_metadata(index)), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
 
 
 def queries() -> dict:
