@@ -56,7 +56,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.
     weights = [cycle[i % len(cycle)] for i in range(len(order))]
     budget = int(sum(r.n for r in order) * share)
     target = shares([(r.src, r.n) for r in order], weights, budget, most)
-    table = spark.createDataFrame([(r.src, r.n, target[r.src], max(1, r.rows // BUCKET_ROWS)) for r in order], "s0 string, source_size long, target double, buckets int")
+    table = spark.createDataFrame([(r.src, r.n, float(target[r.src]), max(1, r.rows // BUCKET_ROWS)) for r in order], "s0 string, source_size long, target double, buckets int")
     bound = 64 << 20
     small = F.broadcast(table) if sum(len(r.src or "") + 60 for r in order) < bound else table
     rows = rows.join(small, F.col("src").eqNullSafe(F.col("s0"))).drop("s0")
