@@ -74,8 +74,10 @@ def evaluate(rules: DataFrame, tech: DataFrame, files: DataFrame | None = None)
         first = Window.partitionBy("glob").orderBy("path")
         found = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
         contents = sorted({p for r in rules.select("sentinel_contains").collect() for p in r[0]})
-        java = F.create_map(*[F.lit(x) for p in contents for x in (p, to_java(p))]) if contents else F.create_map().cast("map<string,string>")
-        ok = (F.size("sentinel_contains") == 0) | F.exists("sentinel_contains", lambda p: F.regexp_like(F.col("content"), F.element_at(java, p)))
+        held = [F.when(F.col("content").rlike(to_java(p)), F.lit(p)) for p in contents]
+        none = F.array().cast("array<string>")
+        found = found.select("glob", F.filter(F.array(*held), lambda x: x.isNotNull()).alias("held") if held else none.alias("held"))
+        ok = (F.size("sentinel_contains") == 0) | F.arrays_overlap("sentinel_contains", "held")
         hits = wanted.join(found, "glob").where(ok).select("slug").distinct().withColumn("__hit", F.lit(True))
     if hits is None:
         return rules.withColumn("active", active)
