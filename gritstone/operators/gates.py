@@ -67,3 +67,12 @@ def recall_gate(before: DataFrame, after: DataFrame, slugs: list[str], new_slug:
 def split_held_out(tasks: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(train, held out) by task_id."""
     return tasks.join(held, "task_id", "left_anti"), tasks.join(held, "task_id", "left_semi")
+
+
+def patch_in_scope(before: DataFrame, after: DataFrame, slug: str, allowed: list[str]) -> DataFrame:
+    """(slug, field) of every change of the rule table (of rules.load.frame) outside the allowed fields of one rule."""
+    fields = [c for c in before.columns if c not in ("slug", "ord")]
+    side = lambda d: d.select("slug", F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.to_json(F.struct(F.col(c).alias("v")))) for c in fields]))).alias("field", "value"))
+    b, a = side(before), side(after).withColumnRenamed("value", "new")
+    changed = b.join(a, ["slug", "field"], "full_outer").where(~F.col("value").eqNullSafe(F.col("new")))
+    return changed.where((F.col("slug") != slug) | ~F.col("field").isin(*allowed)).select("slug", "field")

@@ -130,3 +130,61 @@ def regression_check(cases: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.when(F.col("expectation") == "must_fire", F.col("hits") > 0).otherwise(F.col("hits") == 0))
 
 
+
+
+def processor_scorecard(findings: DataFrame, matched: DataFrame, answers: DataFrame, candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row a task: precision, recall, recall among answers that a candidate backs, accuracy of severities and the
+    share of refusals among batches.
+
+    findings (task_id, finding_id, severity), matched (task_id, finding_id, answer_id), answers (task_id, answer_id,
+    file, severity, slugs, low, high), candidates (task_id, file, slug, line), outcomes (task_id, refusals, batches).
+    """
+    hit = matched.where("answer_id is not null").select("task_id", "finding_id", "answer_id")
+    sev = hit.join(findings.select("task_id", "finding_id", F.col("severity").alias("got")), ["task_id", "finding_id"]).join(answers.select("task_id", "answer_id", "severity"), ["task_id", "answer_id"])
+    a = answers.select("task_id", "answer_id", "file", "low", "high", F.explode("slugs").alias("slug"))
+    backed = a.join(candidates, ["task_id", "file", "slug"]).where(F.col("line").between(F.col("low"), F.col("high"))).select("task_id", "answer_id").distinct()
+    counts = [
+        findings.groupBy("task_id").agg(F.count("*").alias("produced")), answers.groupBy("task_id").agg(F.count("*").alias("expected")), sev.groupBy("task_id").agg(F.count("*").alias("matches"), F.count_if(F.col("got") == F.col("severity")).alias("same_severity")),
+        backed.groupBy("task_id").agg(F.count("*").alias("backed")), backed.join(hit.select("task_id", "answer_id"), ["task_id", "answer_id"], "left_semi").groupBy("task_id").agg(F.count("*").alias("backed_matches")), outcomes.select("task_id", "refusals", "batches"),
+    ]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c, "task_id", "full_outer")
+    out = out.na.fill(0)
+    r = {"precision": ("matches", "produced"), "recall": ("matches", "expected"), "recall_given_candidate": ("backed_matches", "backed"), "severity_accuracy": ("same_severity", "matches"), "refusal_rate": ("refusals", "batches")}
+    return out.withColumns({k: rate(F.col(x), F.col(y)) for k, (x, y) in r.items()})
+
+
+def micro(per_task: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Ratios of sums over all tasks."""
+    sums = per_task.agg(*[F.sum(c).alias(c) for c in sorted({x for p in pairs.values() for x in p})])
+    return sums.select(*[rate(F.col(a), F.col(b)).alias(k) for k, (a, b) in pairs.items()])
+
+
+def guards(scored: DataFrame, expected: DataFrame) -> DataFrame:
+    """(task_id, problem): tasks with more refusals than expected, or fewer findings than the least."""
+    rows = scored.join(expected, "task_id")
+    tests = F.array(F.when(F.col("refusals") > F.col("expected_refusals"), F.lit("more refusals than expected")), F.when(F.col("produced") < F.col("least_findings"), F.lit("fewer findings than expected")))
+    return rows.select("task_id", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("problem"))
+
+
+def regression_cases(before_fp: DataFrame, after_fp: DataFrame, before_fn: DataFrame, after_fn: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys` with expectation: false alarms that went must not fire again, misses that were found must fire."""
+    gone = set_delta(before_fp, after_fp, keys).where("change = 'resolved'").withColumn("expectation", F.lit("must_not_fire"))
+    won = set_delta(before_fn, after_fn, keys).where("change = 'resolved'").withColumn("expectation", F.lit("must_fire"))
+    return gone.unionByName(won).drop("change")
+
+
+def class_counts(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+    """(class, theirs, ours) over the classes of either side."""
+    a = theirs.groupBy("class").agg(F.count("*").alias("theirs"))
+    return a.join(ours.groupBy("class").agg(F.count("*").alias("ours")), "class", "full_outer").na.fill(0)
+
+
+def inventory(history: DataFrame, column: str) -> DataFrame:
+    """One row: the distinct values that are not blank, sorted."""
+    return history.where(F.trim(F.coalesce(column, F.lit(""))) != "").agg(F.sort_array(F.collect_set(column)).alias(column))
+
+
+def improved(before: Column, after: Column, lower_is_better: Column) -> Column:
+    return F.when(lower_is_better, after < before).otherwise(after > before)

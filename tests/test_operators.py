@@ -229,3 +229,51 @@ def test_prompt(spark):
     c = spark.createDataFrame([("a", 2, "s", "l")], "path string, line int, slug string, label string")
     r = investigate.prompt(fs, c, ["go"], {"go": "mind the gap"}, {"s": "note", "z": "other"}).first()
     assert r.system == "- mind the gap\n- s: note" and r.user == "## a\n- line 2: s (l)\n\n    1 x\n    2 token = [REDACTED]\n"
+
+
+def test_answer_keys(spark, tmp_path):
+    from gritstone.sources import answers
+
+    d = tmp_path / "t1"
+    d.mkdir()
+    (d / "answer.yaml").write_text("issues:\n- {id: a, file: x/y.py, severity: HIGH, vulnSlugs: [s], location: {startLine: 2, endLine: 3}, scanner: {mustEmitCandidate: false}}\ndecoys:\n- {id: d, file: x.py, line: 4, forbiddenSlugs: [s]}\n")
+    (d / "task.toml").write_text('change_rule = "none"\n[provenance]\nreview_due = 2026-01-02\n')
+    issues, decoys = answers.read_keys(spark, str(tmp_path))
+    assert [(r.task_id, r.issue_id, r.start_line, r.must_emit) for r in issues.collect()] == [("t1", "a", 2, False)] and decoys.first().line == 4
+    assert str(answers.read_tasks(spark, str(tmp_path)).first().review_due) == "2026-01-02"
+    good = {"id": "a", "file": "x", "severity": "LOW", "vulnSlugs": ["s"], "location": {"startLine": 1}}
+    for bad in ({"file": "../x"}, {"severity": "?"}, {"vulnSlugs": []}, {"location": {"startLine": 3, "endLine": 2}}, {"id": ""}):
+        with pytest.raises(ValueError):
+            answers.issues_of("t", {"issues": [good | bad]})
+    with pytest.raises(ValueError):
+        answers.issues_of("t", {"issues": [good, good]})
+    p = tmp_path / "p.toml"
+    p.write_text('[[provider]]\nname = "x"\n[[provider.model]]\nname = "m"\ninput = 1\noutput = 2\n')
+    usage = spark.createDataFrame([("m", 1_000_000, 500_000, None, 0), ("n", 5, 5, 5, 5)], "model string, input long, output long, cache_read long, cache_write long")
+    assert {r.model: r.cost for r in report.cost_model(usage, answers.read_prices(spark, str(p))).collect()} == {"m": 2.0, "n": 0.0}
+
+
+def test_processor_scorecard(spark):
+    f = spark.createDataFrame([("t", "f1", "HIGH"), ("t", "f2", "LOW"), ("t", "f3", "LOW")], "task_id string, finding_id string, severity string")
+    m = spark.createDataFrame([("t", "f1", "a1"), ("t", "f2", "a2"), ("t", "f3", None)], "task_id string, finding_id string, answer_id string")
+    a = spark.createDataFrame([("t", f"a{i}", "f", "HIGH", ["s"], 1, 3) for i in range(1, 5)], "task_id string, answer_id string, file string, severity string, slugs array<string>, low int, high int")
+    c = spark.createDataFrame([("t", "f", "s", 2)], "task_id string, file string, slug string, line int")
+    o = spark.createDataFrame([("t", 1, 4)], "task_id string, refusals long, batches long")
+    s = score.processor_scorecard(f, m, a, c, o)
+    r = s.first()
+    assert [round(r[k], 4) for k in ("precision", "recall", "recall_given_candidate", "severity_accuracy", "refusal_rate")] == [0.6667, 0.5, 0.5, 0.5, 0.25]
+    assert score.micro(s, {"p": ("matches", "produced")}).first().p == pytest.approx(2 / 3)
+    g = score.guards(s, spark.createDataFrame([("t", 0, 4)], "task_id string, expected_refusals int, least_findings int"))
+    assert sorted(x.problem for x in g.collect()) == ["fewer findings than expected", "more refusals than expected"]
+
+
+def test_patch_scope_and_cases(spark):
+    a, b = Rule("a", patterns=["x"]), Rule("b", patterns=["y"])
+    now = frame(spark, [Rule("a", patterns=["x"], suppress_patterns=["q"], snippet_after=9), b])
+    got = gates.patch_in_scope(frame(spark, [a, b]), now, "a", ["suppress_patterns"])
+    assert [(r.slug, r.field) for r in got.collect()] == [("a", "snippet_after")]
+    one_, two = spark.createDataFrame([("f", 1), ("f", 2)], "file string, line int"), spark.createDataFrame([("f", 2)], "file string, line int")
+    cases = score.regression_cases(one_, two, one_, one_, ["file", "line"])
+    assert [(r.line, r.expectation) for r in cases.collect()] == [(1, "must_not_fire")]
+    checked = score.regression_check(spark.createDataFrame([("p", "s", "must_fire"), ("q", "s", "must_not_fire")], "path string, slug string, expectation string"), spark.createDataFrame([("p", "s")], "path string, slug string"))
+    assert all(r.ok for r in checked.collect())
