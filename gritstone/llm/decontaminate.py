@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare
-from .vecwords import NOT_ALNUM, P_WORDS, U, Words, scramble, words
+from .vecwords import NOT_ALNUM, P_WORDS, U, Words, in_pieces, scramble, words
 
 #: Test words in one broadcast. Larger benchmarks are searched in several passes over the documents.
 BLOCK_WORDS = 200_000
@@ -119,22 +119,24 @@ def _blocks(benchmark: DataFrame, id_col: str, text: str, block_words: int) -> I
 def _looker(shared):
     """A pandas UDF that searches texts for the items of one block."""
 
+    def search(column: pa.Array) -> pd.DataFrame:
+        searches, names = shared.value
+        w = words(column, NOT_ALNUM, lower=True)
+        spans: dict[int, set] = defaultdict(set)
+        items: dict[int, set] = defaultdict(set)
+        for s in searches:
+            at, p = s.find(w)
+            row = w.doc[at]
+            for r, a, q in zip(row.tolist(), (at - w.first[row]).tolist(), p.tolist()):
+                spans[r].add((a << 32) | (a + s.m))
+                items[r].update(s.items[q].tolist())
+        rows = range(len(column))
+        return pd.DataFrame({"n_words": np.diff(w.first), "items": [sorted({names[i] for i in items[r]}) if r in items else [] for r in rows], "hits": [sorted(spans[r]) if r in spans else [] for r in rows]})
+
     @F.pandas_udf("n_words long, items array<string>, hits array<long>")
     def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        searches, names = shared.value
         for t in parts:
-            w = words(pa.array(t, pa.binary()), NOT_ALNUM, lower=True)
-            spans: dict[int, set] = defaultdict(set)
-            items: dict[int, set] = defaultdict(set)
-            for s in searches:
-                at, p = s.find(w)
-                row = w.doc[at]
-                for r, a, q in zip(row.tolist(), (at - w.first[row]).tolist(), p.tolist()):
-                    spans[r].add((a << 32) | (a + s.m))
-                    items[r].update(s.items[q].tolist())
-            n = np.diff(w.first)
-            rows = range(len(t))
-            yield pd.DataFrame({"n_words": n, "items": [sorted({names[i] for i in items[r]}) if r in items else [] for r in rows], "hits": [sorted(spans[r]) if r in spans else [] for r in rows]})
+            yield pd.concat([*in_pieces(t, search)], ignore_index=True) if len(t) else search(pa.array([], pa.binary()))
 
     return look
 

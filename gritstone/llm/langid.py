@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare, staged
-from .vecwords import LOWER, flat
+from .vecwords import LOWER, flat, in_pieces, small
 
 BINS = 1 << 14
 #: Trigrams overlap, so their evidence counts this much less.
@@ -57,7 +57,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             bins, row = trigrams(batch.column(1))
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for name in set(langs.tolist()):
@@ -89,7 +89,7 @@ def identify(pages: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("array<double>")
     def likelihood(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in parts:
-            yield pd.Series(list(shared.value.likelihood(pa.array(t, pa.binary()))))
+            yield pd.Series([row for part in in_pieces(t, shared.value.likelihood) for row in part])
 
     markup = F.lower(F.substring("markup", 1, 2))
     host = F.coalesce("host", F.lit(""))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare, staged
-from .vecwords import SPACE, bounds, flat
+from .vecwords import SPACE, bounds, flat, in_pieces
 
 FEATURES = ("log_words", "word_len", "upper", "digit", "mark", "odd_mark", "bar", "comma", "stop_end", "non_ascii", "distinct", "line_len", "repeat_byte", "symbol_word", "upper_word", "lines")
 #: Labelled rows of the sample that the model is fitted on, at most. They are those of least hash.
@@ -204,7 +204,7 @@ def featurise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     @F.pandas_udf("array<double>")
     def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in parts:
-            yield pd.Series(list(features(pa.array(t, pa.binary()))))
+            yield pd.Series([row for part in in_pieces(t, features) for row in part])
 
     return docs.select(*keep, make(F.col(text).cast("binary")).alias("x"))
 

@@ -71,15 +71,32 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def small(batches, column: int = 1, limit: int = 2 << 20):
-    """The batches cut so that each holds some `limit` bytes of text, one row at least."""
+#: Bytes of text that are worked on at once; the arrays take some fifty times as much.
+PIECE = 2 << 20
+
+
+def pieces(column: pa.Array, limit: int = PIECE):
+    """Ranges (a, b) of rows that hold `limit` bytes of text at most, or one row."""
+    _, at = flat(column)
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def small(batches, column: int = 1, limit: int = PIECE):
+    """The batches cut by pieces()."""
     for batch in batches:
-        _, at = flat(batch.column(column))
-        a = 0
-        while a < len(at) - 1:
-            b = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
+        for a, b in pieces(batch.column(column), limit):
             yield batch.slice(a, b - a)
-            a = b
+
+
+def in_pieces(texts, work, limit: int = PIECE):
+    """work(array) for the pieces of a pandas Series of binary texts, in order."""
+    whole = pa.array(texts, pa.binary())
+    for a, b in pieces(whole, limit):
+        yield work(whole.slice(a, b - a))
 
 
 @dataclass
