@@ -45,25 +45,46 @@ def chunks(files: DataFrame, most: int, path: str = "path") -> DataFrame:
     return files.withColumn("dir", paths.directory(F.col(path))).withColumn("chunk", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
 
 
-def batches(files: DataFrame, most: int, path: str = "path") -> DataFrame:
-    """`files` with batch_id: chunks of directories in order, small neighbours packed together.
-
-    A chunk that does not fit into the open batch closes it and is a batch of its own. The fold runs over chunk sizes
-    only, an array of one number for each chunk; the files stay where they are.
-    """
-    rows = chunks(files, max(1, most), path)
-    sizes = rows.groupBy("dir", "chunk").agg(F.count("*").cast("int").alias("n"))
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct("dir", "chunk", "n"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("id"), F.lit(0).alias("held"), F.array().cast("array<struct<dir:string,chunk:int,batch_id:bigint>>").alias("out"))
+def _fold(start: Column, items: Column, most: int, keep: bool) -> Column:
+    """Pack chunk sizes into batches from a state (id, held): the state at the end, and with `keep` each chunk's batch."""
+    out = F.array().cast("array<struct<dir:string,chunk:int,batch_id:bigint>>")
 
     def step(acc: Column, c: Column) -> Column:
         fits = acc["held"] + c["n"] <= most
         mine = F.when(fits | (acc["held"] == 0), acc["id"]).otherwise(acc["id"] + 1)
         held = F.when(fits, acc["held"] + c["n"]).otherwise(F.lit(0))
         following = F.when(fits, acc["id"]).otherwise(mine + 1)
-        return F.struct(following.alias("id"), held.alias("held"), F.array_append(acc["out"], F.struct(c["dir"].alias("dir"), c["chunk"].alias("chunk"), mine.alias("batch_id"))).alias("out"))
+        put = F.array_append(acc["out"], F.struct(c["dir"].alias("dir"), c["chunk"].alias("chunk"), mine.alias("batch_id"))) if keep else acc["out"]
+        return F.struct(following.alias("id"), held.alias("held"), put.alias("out"))
+
+    return F.aggregate(items, F.struct(start["id"].alias("id"), start["held"].alias("held"), out.alias("out")), step)
 
-    ids = ordered.select(F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x")).select("x.*")
+
+def batches(files: DataFrame, most: int, path: str = "path") -> DataFrame:
+    """`files` with batch_id: chunks of directories in order, small neighbours packed together.
+
+    A chunk that does not fit into the open batch closes it and is a batch of its own. What a batch is depends on all
+    before it, but only through the number of files that it holds, and that is at most `most`. So the sorted chunks are
+    cut into ranges; each range is folded for every such number at once, the ranges' tables are chained on the driver
+    (a few numbers for each range), and each range is then folded from its true start. Files stay where they are.
+    """
+    most = max(1, most)
+    spark = files.sparkSession
+    rows = chunks(files, most, path)
+    sizes = rows.groupBy("dir", "chunk").agg(F.count("*").cast("int").alias("n"))
+    ranged = sizes.repartitionByRange("dir", "chunk").withColumn("part", F.spark_partition_id())
+    # the ranges must be the same both times
+    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
+    packed = ranged.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("dir", "chunk", "n"))).alias("all"))
+    zero = F.lit(0).cast("long")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda h: _fold(F.struct(zero.alias("id"), h.alias("held")), F.col("all"), most, False))
+    table = packed.select("part", F.transform(ends, lambda e: F.struct(e["id"].alias("id"), e["held"].alias("held"))).alias("ends")).orderBy("part").collect()
+    starts, at, held = [], 0, 0
+    for r in table:
+        starts.append((r.part, at, held))
+        at, held = at + r.ends[held].id, r.ends[held].held
+    begun = packed.join(F.broadcast(spark.createDataFrame(starts, "part int, id long, held int")), "part")
+    ids = begun.select(F.explode(_fold(F.struct("id", "held"), F.col("all"), most, True)["out"]).alias("x")).select("x.*")
     return rows.join(ids, ["dir", "chunk"])
 
 

@@ -122,8 +122,8 @@ def test_op5(spark, sf, docs):
     assert some
 
 
-def test_op6(spark, sf, docs):
-    got = rows(spark, sf, "op6_decontaminate")
+def benchmark_hits(spark, sf, texts):
+    """For each id: its number of words, the words hit and the items."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall((t or "").translate(LOW))
     pats = defaultdict(set)
@@ -133,15 +133,21 @@ def test_op6(spark, sf, docs):
         for j in range(len(w) - m + 1) if m else ():
             pats[tuple(w[j : j + m])].add(r.item_id)
     sizes = {len(p) for p in pats}
-    some = 0
-    for i, d in docs.items():
-        w = split(d.text)
+    for i, t in texts.items():
+        w = split(t)
         hit, items = set(), set()
         for m in sizes:
             for j in range(len(w) - m + 1):
                 if (x := tuple(w[j : j + m])) in pats:
                     hit |= set(range(j, j + m))
                     items |= pats[x]
+        yield i, w, hit, items
+
+
+def test_op6(spark, sf, docs):
+    got = rows(spark, sf, "op6_decontaminate")
+    some = 0
+    for i, w, hit, items in benchmark_hits(spark, sf, {i: d.text for i, d in docs.items()}):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(items), bool(hit))
         assert r.items_sha256 == sha(",".join(sorted(map(str, items))))
@@ -256,6 +262,24 @@ def test_pipeline_stages(spark, sf, docs):
     print("near pairs", len(near), "found", found)
     assert found >= 0.97 * len(near)
     gone = set(text) - set(stay)
-    for i in gone:  # each has a neighbour at 0.8, allowing for the sketch's error
-        assert any(j >= 0.72 and i in p for p, j in link.items()), i
+    for i in gone:
+        assert any(j >= 0.8 and i in p for p, j in link.items()), i
     assert set(stay) == {i for i in text if root[i] == i}
+    clean = {i for i, _, hit, _ in benchmark_hits(spark, sf, {i: r.text for i, r in stay.items()}) if not hit}
+    assert clean == set(seen["decontamination"]) and len(clean) < len(stay)
+    mixed = seen["mixing"]
+    size = {i: len(WORD.findall(r.text)) for i, r in seen["decontamination"].items()}
+    taken, target = Counter(), {}
+    for i, r in mixed.items():
+        assert r["size"] == size[i] > 0 and 0 < r.taken <= 3 * r["size"] and r.text == seen["decontamination"][i].text
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[x] - target[x]) <= max(size.values()) for x in target) and sum(taken.values()) <= sum(size.values())
+
+
+def test_pipeline_runs(spark, sf):
+    import corpus_pipeline as P
+
+    got = P.run(spark, sf)
+    assert got.columns[:5] == list(P.COLUMNS) and 0 < got.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "mixing"] and P.ORACLE_SQL is None

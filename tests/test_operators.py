@@ -277,3 +277,29 @@ def test_patch_scope_and_cases(spark):
     assert [(r.line, r.expectation) for r in cases.collect()] == [(1, "must_not_fire")]
     checked = score.regression_check(spark.createDataFrame([("p", "s", "must_fire"), ("q", "s", "must_not_fire")], "path string, slug string, expectation string"), spark.createDataFrame([("p", "s")], "path string, slug string"))
     assert all(r.ok for r in checked.collect())
+
+
+def test_batches_over_many_ranges(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"d{d:04d}/{i}",) for d in range(400) for i in range(rnd.choice([1, 1, 2, 3, 7, 12]))]
+    most = 5
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.path: r.batch_id for r in investigate.batches(spark.createDataFrame(rows, "path string"), most).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    by_dir, want, k, held = {}, {}, 0, 0
+    for (p,) in rows:
+        by_dir.setdefault(p.split("/")[0], []).append(p)
+    for d in sorted(by_dir):
+        names = sorted(by_dir[d])
+        for i in range(0, len(names), most):
+            c = names[i : i + most]
+            if held + len(c) <= most:
+                held += len(c)
+            else:
+                k, held = k + (held > 0), 0
+            want |= dict.fromkeys(c, k)
+            k += held == 0
+    assert got == want
