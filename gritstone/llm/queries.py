@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, lm, media, mixing, quality, secrets, simhash, substring_dedup
+from . import decontaminate, langid, line_dedup, lm, media, mixing, oracles, quality, secrets, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,21 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
-
-
-LINE_DEDUP_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, source, p, line, trim(line, ' ') AS k
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
-        FROM documents WHERE text IS NOT NULL)),
-of AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-bad AS (
-  SELECT l.source, l.k FROM lines l JOIN of ON l.source IS NOT DISTINCT FROM of.source WHERE l.k <> ''
-  GROUP BY l.source, l.k, of.n
-  HAVING count(DISTINCT l.doc_id) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT l.doc_id) > {line_dedup.RATIO} * of.n),
-marked AS (SELECT l.*, b.k IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k)
-SELECT doc_id, source, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id, source
-"""
+    return {"op3_line_dedup": oracles.LINE_DEDUP, "op6_decontaminate": oracles.decontaminate(), "op8_substring_dedup": oracles.SUBSTRING_DEDUP}

@@ -216,7 +216,8 @@ def test_op2(spark, sf, docs):
 
 def test_oracles(spark, sf):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for name, sql in Q.oracle_sql().items():
         want = con.execute(sql).df()
         have = Q.queries()[name](spark, sf).toPandas()
