@@ -93,7 +93,7 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     pick = unseen.select(F.xxhash64("one", "blob").alias("rid"), F.col("blob").alias("want")).hint("shuffle_hash")
     texts = docs.select(body.cast("binary").alias("body"), blob.alias("blob"), F.xxhash64(F.col(id_col), blob).alias("rid"))
     chosen = texts.join(pick, "rid").where(F.col("blob") == F.col("want"))
-    new = staged(chosen.select("blob", F.pandas_udf(_scan, FINDINGS)("body").alias("x")).select("blob", F.lit(rules).alias("rules"), "x.*"), "ledger").dropDuplicates(["blob"])
+    new = staged(chosen.select("blob", F.pandas_udf(_scan, FINDINGS)("body").alias("x")).select("blob", F.lit(rules).alias("rules"), "x.*").dropDuplicates(["blob"]), "ledger")
     after = new if ledger is None else ledger.select(*new.columns).unionByName(new)
     findings = paths.join(after.where(F.col("rules") == rules).drop("rules"), "blob").drop("blob")
     return findings, after
