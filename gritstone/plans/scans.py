@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gate, investigate, scan
-from ..rules.load import Gate, Rule, frame
+from ..operators import audit, gate, investigate, scan
+from ..rules.load import Gate, Rule, TreePattern, frame
 from ..rules.regex import glob_to_java
+from ..sources import tables
 from .common import FILES, candidates_sql, corpus_rules, files, hits_sql, query, redact_sql, table
 
 CANDS = candidates_sql(corpus_rules())
@@ -208,3 +209,55 @@ def max_turn_cap(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
 def role_turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"))
+
+
+CODE = [Rule("made-eval", file_patterns=["**/*.py"], tree_patterns=[TreePattern("python", '(Call func: (Name id: _ @f)) @call (#match? @f "^(?:eval|exec)$")', label="eval", primary_capture="call", prefilter_patterns=["eval|exec"])])]
+
+
+@query("SELECT 'd' || doc_id % 10 || '/f' || doc_id || '.py' AS path, 'made-eval' AS slug, 2 + (doc_id % 4)::INT AS line FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0")
+def tree_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files made from document numbers: calls, the same names as plain words, and files that cannot be parsed."""
+    d = F.col("doc_id")
+    n = (d % 4).cast("int")
+    call = F.when(d % 3 == 0, "y = eval(x)\n").otherwise("y = 'eval(x)'  # exec(x)\n")
+    content = F.concat(F.lit("x = 1\n"), F.repeat(F.lit("z = x\n"), n), call, F.when(d % 5 == 0, "def broken(:\n").otherwise(""))
+    made = table(spark, sf, "documents").select(F.concat(F.lit("d"), (d % 10).cast("string"), F.lit("/f"), d.cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
+    return audit.tree_candidates(made, CODE).select("path", "slug", "line")
+
+
+@query("SELECT 'f' || doc_id || '.rs' AS path, (1 + doc_id % 3)::INT AS line FROM documents WHERE doc_id % 4 IN (0, 3)")
+def route_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes made from document numbers: an open handler, one that takes an identity, one that checks, one elsewhere."""
+    d = F.col("doc_id")
+    handler = F.when(d % 4 == 0, 'async fn h(x: T) { let s = "}"; save(x); }').when(d % 4 == 1, "pub async fn h(me: CurrentUser) { save(me); }").when(d % 4 == 2, 'async fn h(x: T) -> R { let s = "{"; require_admin(x); }').otherwise("async fn other(me: Session) { }")
+    content = F.concat(F.repeat(F.lit("\n"), (d % 3).cast("int")), F.lit('.route("/x", post(h))\n.route("/y", get(h))\n'), handler)
+    made = table(spark, sf, "documents").select(F.concat(F.lit("f"), d.cast("string"), F.lit(".rs")).alias("path"), content.alias("content"))
+    return audit.route_audit(made).select("path", "line")
+
+
+MANIFESTS = [("package.json", '{"dependencies": {"react": "1", "@nestjs/core": "2"}}'), ("go.mod", "require labstack/echo v4"), ("a/b/Chart.yaml", ""), ("a/Gemfile", "gem 'rails'"), ("web/x.svelte", "<p>"), ("requirements.txt", "Flask==1\n"), (".github/workflows/ci.yml", "on: push"), ("pom.xml", "<project/>"), ("a/b/c/d/e/f/g/package.json", "{}")]
+
+
+@query("SELECT unnest(['echo', 'flask', 'github-actions', 'go', 'helm', 'jvm', 'nestjs', 'node', 'python', 'react', 'svelte', 'typescript']) AS tag")
+def tech_detect(spark: SparkSession, sf: str) -> DataFrame:
+    tech = gate.detect(spark.createDataFrame(MANIFESTS, "path string, content string"))
+    return tech.select(F.explode("tags").alias("tag"))
+
+
+IGNORED = ["*.html", "/en/", "!keep.html", "shop/*", "# note", "de/**/x*"]
+
+
+@query(
+    """WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS p FROM pages) SELECT page_id, CASE WHEN regexp_matches(p, '(?s)^de/(?:[^/]+/)*x[^/]*(?:/.*)?$') THEN true WHEN regexp_matches(p, '(?s)^shop/[^/]*(?:/.*)?$') THEN true
+WHEN regexp_matches(p, '(?s)^(?:[^/]+/)*keep\\.html(?:/.*)?$') THEN false WHEN regexp_matches(p, '(?s)^en/.+$') THEN true WHEN regexp_matches(p, '(?s)^(?:[^/]+/)*[^/]*\\.html(?:/.*)?$') THEN true ELSE false END AS ignored FROM u"""
+)
+def ignore_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("p"))
+    return rows.select("page_id", tables.ignored(F.col("p"), tables.gitignore(IGNORED)).alias("ignored"))
+
+
+@query("SELECT doc_id, 'src/' || source || '.py,docs/' || lang || '.md' AS files FROM documents")
+def diff_files(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda p: F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n@@ -1 +1 @@\n-a\n+b\n"))
+    diff = F.concat(one(F.concat(F.lit("src/"), "source", F.lit(".py"))), one(F.concat(F.lit("docs/"), "lang", F.lit(".md"))), F.lit("+++ b/../escape\n"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.diff_files(diff), ",").alias("files"))
