@@ -82,86 +82,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(ball_links(nodes.select("fp")))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written before the join, so that a very large component can be split there
+    smallest = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     classes = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-#: Marks of the wide variant for edited copies: so many independent 32-bit fingerprints over pairs of words.
+#: For edited copies: so many independent 32-bit fingerprints over pairs of words.
 BANDS = 8
-SKETCH = 192
 
 
-def _wide(column: pa.Array, width: int, bands: int, sketch: int):
-    """For each row: `bands` 32-bit fingerprints of its pairs of words, and the least hashes of its `width`-word shingles."""
+def pair_prints(column: pa.Array, bands: int = BANDS) -> np.ndarray:
+    """For each row `bands` SimHashes of 32 bits over its pairs of neighbouring words; zeros for blank rows."""
     w = words(column, SPACE, lower=True)
     runs, size = Runs(w.hash), np.diff(w.first)
     prints = np.zeros((len(size), bands), np.int64)
-    least = []
     for r, n in enumerate(size.tolist()):
-        if not n:
-            least.append([])
-            continue
-        a = np.arange(w.first[r], w.first[r] + max(1, n - 1))
-        h = runs.of(a, np.minimum(a + 2, w.first[r] + n))
-        cols = [scramble(h + U(k)) for k in range(bands // 2)]
-        bits = np.unpackbits(np.stack(cols, 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        prints[r] = np.packbits(2 * bits > len(h), bitorder="little").view(np.uint32)
-        a = np.arange(w.first[r], w.first[r] + max(1, n - width + 1))
-        s = np.unique(runs.of(a, np.minimum(a + width, w.first[r] + n)))
-        least.append(s[:sketch].view(np.int64))
-    return prints, least
-
-
-def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS, sketch: int = SKETCH) -> DataFrame:
+        if n:
+            a = np.arange(w.first[r], w.first[r] + max(1, n - 1))
+            h = runs.of(a, np.minimum(a + 2, w.first[r] + n))
+            cols = [scramble(h + U(k)) for k in range(bands // 2)]
+            bits = np.unpackbits(np.stack(cols, 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            prints[r] = np.packbits(2 * bits > n - (n > 1), bitorder="little").view(np.uint32)
+    return prints
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """For each row the distinct 64-bit hashes of its `width`-word shingles, sorted; of all words where there are fewer."""
+    w = words(column, SPACE, lower=True)
+    runs, size = Runs(w.hash), np.diff(w.first)
+    out = []
+    for r, n in enumerate(size.tolist()):
+        a = np.arange(w.first[r], w.first[r] + max(1, n - width + 1)) if n else np.zeros(0, np.int64)
+        out.append(np.unique(runs.of(a, np.minimum(a + width, w.first[r] + n))).view(np.int64))
+    return out
+
+
+def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
     """(id_col, component_id): near duplicates whose sets of `width`-word shingles have a Jaccard similarity of
     `similarity` or more.
 
     Candidates come from ball hashing in `bands` independent 32-bit fingerprints of word pairs: at similarity 0.8 and
     edits spread over the text a fingerprint differs in about 3 of 32 bits, so one of 8 bands links the two with
-    probability 0.98. Under each variant documents are linked to the least one and to their predecessor. Each such pair
-    is verified by the least 192 shingle hashes of both, exact for texts of so many shingles and with a standard error
-    of 0.03 beyond. Texts with the same words are folded first; blank texts are one class.
+    probability 0.98. Under each variant documents are linked to the least one and to their predecessor, never all to
+    all. The similarity of each pair is then taken exactly from the whole texts; only texts that stand in a pair become
+    shingles. Equal texts are folded first; blank texts are one class. Repeated rows and null ids keep their rows.
     """
     prepare(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            prints, least = _wide(batch.column(1), width, bands, sketch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(prints), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["id", "same", "prints", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(pair_prints(batch.column(1), bands)), pa.list_(pa.int64()))], ["id", "same", "prints"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), width), pa.list_(pa.int64()))], ["same", "s"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    # equal texts share a class before anything else
     same = F.xxhash64(F.col(text), F.length(text))
-    one = staged(docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t"), same.alias("same")).mapInArrow(make, f"id {id_type}, same long, prints array<long>, least array<long>"), "sketches")
-    texts = one.groupBy("same").agg(F.min("id").alias("id"))
-    reps = one.join(texts, ["same", "id"], "left_semi").dropDuplicates(["same"])
+    body = F.col(text).cast("binary")
+    one = staged(docs.select(F.col(id_col).alias("id"), body.alias("t"), same.alias("same")).mapInArrow(make, f"id {id_type}, same long, prints array<long>"), "pair-prints")
+    texts = one.groupBy("same").agg(F.min("id").alias("id"), F.first("prints").alias("prints"))
+    reps = staged(texts.select("same", "id", "prints"), "distinct-texts")
     balls = reps.select("same", F.posexplode("prints").alias("band", "fp"))
     masks = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(32)])
     balls = balls.select("same", F.explode(masks).alias("m"), "band", "fp").select("same", F.expr("shiftleft(cast(band as long), 32)").bitwiseOR(F.col("fp").bitwiseXOR(F.col("m"))).alias("variant"))
     w = Window.partitionBy("variant").orderBy("same")
     met = balls.select("same", F.first("same").over(w).alias("head"), F.lag("same").over(w).alias("prev"))
-    pairs = staged(met.select("same", F.explode(F.array_distinct(F.array("head", "prev"))).alias("other")).where("other is not null and other <> same").distinct(), "colliding")
-    near = reps.select("same", "least")
-    both = pairs.join(near, "same").join(near.select(F.col("same").alias("other"), F.col("least").alias("least2")), "other")
-
+    link = F.array(F.struct(F.col("head").alias("other"), F.lit(True).alias("first")), F.struct(F.col("prev").alias("other"), F.lit(False).alias("first")))
+    pairs = met.select("same", F.explode(link).alias("x")).select("same", "x.*").where("other is not null and other <> same")
+    pairs = staged(pairs.groupBy("same", "other").agg(F.max("first").alias("first")), "colliding")
+    # one row of each text that is needed; its copies are left where they are
+    need = pairs.select("same").unionByName(pairs.select(F.col("other").alias("same"))).distinct().join(reps.select("same", "id"), "same")
+    need = need.select(F.xxhash64("id", "same").alias("rid")).hint("shuffle_hash")
+    chosen = docs.select(same.alias("same"), body.alias("t"), F.xxhash64(F.col(id_col), same).alias("rid")).join(need, "rid").select("same", "t")
+    sets = staged(chosen.mapInArrow(spread, "same long, s array<long>"), "shingles").dropDuplicates(["same"])
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.asarray(x).view(U), np.asarray(y).view(U)
-            if not len(x) or not len(y):
-                out.append(float(len(x) == len(y)))
-                continue
-            merged = np.union1d(x, y)
-            if max(len(x), len(y)) >= sketch:
-                merged = merged[:sketch]
-            out.append(float(np.isin(merged, np.intersect1d(x, y)).mean()))
-        return pd.Series(out, dtype="float64")
-
-    edges = both.select(F.col("same").alias("a"), F.col("other").alias("b"), alike("least", "least2").alias("j")).where(F.col("j") >= similarity)
-    roots = components(edges.select("a", "b"))
-    named = texts.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "id", F.coalesce("root", "same").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+        def jaccard(x, y) -> float:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets, "same").join(sets.select(F.col("same").alias("other"), F.col("s").alias("s2")), "other")
+        return both.select(F.col("same").alias("a"), F.col("other").alias("b"), alike("s", "s2").alias("j")).where(F.col("j") >= similarity).select("a", "b")
+
+    # links to the least of each group come first; of the others only those that would join two classes are looked at
+    roots = components(verified(pairs.where("first")))
+    mine, theirs = roots.select("node", "root"), roots.select(F.col("node").alias("node2"), F.col("root").alias("root2"))
+    open_ = pairs.where("not first").join(mine, F.col("same") == F.col("node"), "left").join(theirs, F.col("other") == F.col("node2"), "left")
+    open_ = open_.where(F.coalesce("root", "same") != F.coalesce("root2", "other")).select("same", "other")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(open_)))
+    named = reps.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "id", F.coalesce("root", "same").alias("root"))
+    smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id")), "components")
     classes = named.join(smallest, "root").select("same", "component_id")
     return one.select(F.col("id").alias(id_col), "same").join(classes, "same").select(id_col, "component_id")
