@@ -230,14 +230,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     and blank texts have features of zero and are scored like others. Repeated rows are scored each. Only features of
     the text enter a score.
     """
-    cols = tuple(keep or (id_col,))
-    rows = staged(featurise(docs, text, tuple(dict.fromkeys((*cols, id_col)))), "features")
+    rows = staged(featurise(docs, text, (id_col,)), "features")
     model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, id_col, label, folds))
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.value.score(np.stack(x.to_list())) if len(x) else [], dtype="float64")
 
+    @F.pandas_udf("double")
+    def score_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in parts:
+            yield pd.Series([z for part in in_pieces(t, lambda c: model.value.score(features(c))) for z in part], dtype="float64")
+
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    scored = rows.select(*cols, held.alias("held_out"), score("x").alias("score"))
+    if keep:
+        # wider rows are read again rather than written: features are cheaper than a copy of the texts
+        scored = docs.select(*keep, held.alias("held_out"), score_text(F.col(text).cast("binary")).alias("score"))
+    else:
+        scored = rows.select(id_col, held.alias("held_out"), score("x").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
