@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # fixed values: languages of the statistics by extension
 LANGUAGES = {
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py", "go": "go", "rust": "rs", "ruby": "rb erb", "java": "java", "kotlin": "kt kts", "php": "php",
-    "csharp": "cs", "c": "c h", "cpp": "cc cpp cxx hpp hh", "swift": "swift", "svelte": "svelte", "vue": "vue", "shell": "sh bash", "sql": "sql", "yaml": "yaml yml", "json": "json", "html": "html htm",
+    "svelte": "svelte", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py", "ruby": "rb", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt kts", "csharp": "cs",
+    "php": "php", "swift": "swift", "elixir": "ex exs", "erlang": "erl", "clojure": "clj cljs", "crystal": "cr", "scala": "scala", "c": "c h", "cpp": "cpp cc hpp", "dart": "dart",
 }
 # fixed values: languages whose sources of input are known, by extension
 TAINT_LANGUAGES = {"go": "go", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py", "ruby": "rb", "java": "java", "kotlin": "kt kts", "rust": "rs", "php": "php", "swift": "swift", "csharp": "cs"}

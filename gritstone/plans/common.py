@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import REDACTIONS
-from ..rules.load import Rule, read_packs, PACKS
+from ..rules.load import PACKS, Rule, read_packs
+from ..sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ def corpus_rules() -> list[Rule]:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: source/doc_id.ext, the extension by the language."""
     ext = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in EXTENSIONS.items()], F.lit("txt"))
-    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("text").alias("content"))
 
 
 FILES = (

@@ -64,7 +64,7 @@ def taint_proximity(spark: SparkSession, sf: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
     pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("t"))
-    return docs.unionByName(pages).select("id", F.md5(text.redact(F.col("t"))).alias("md5"))
+    return tables.spread(docs.unionByName(pages)).select("id", F.md5(text.redact(F.col("t"))).alias("md5"))
 
 
 @query(

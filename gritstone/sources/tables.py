@@ -14,11 +14,18 @@ from ..functions import paths, text
 from ..rules.regex import glob_to_java
 
 # fixed values: folders and extensions that a walk leaves out
-SKIP_DIRS = ".git .hg .svn node_modules vendor dist build out target coverage .next .nuxt .turbo .cache .venv venv __pycache__ .tox .mypy_cache .pytest_cache .gradle .idea .vscode bower_components .terraform".split()
-SKIP_EXTENSIONS = "png jpg jpeg gif webp ico svg pdf zip gz tar woff woff2 ttf eot mp3 mp4 mov wasm so dylib exe lock map".split()
+SKIP_DIRS = "node_modules .git .hg .svn dist build out .next .nuxt .turbo .cache coverage __pycache__ .pytest_cache .mypy_cache target vendor .terraform .venv venv .tox deps Pods .idea .vscode".split()
+SKIP_EXTENSIONS = "md lock log map ico png jpg jpeg gif webp svg pdf zip tar gz exe dll so dylib woff woff2 ttf".split()
 MOST_BYTES = 1 << 20
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a table out over the cores where its files give fewer splits than there are cores; larger tables, which
+    have more splits than that, are left as they are and not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def gitignore(lines: list[str]) -> list[tuple[str, bool]]:
     """(pattern, ignored) of a .gitignore's lines, in order; the last that matches decides."""
     out = []

@@ -71,12 +71,12 @@ def test_gates_and_detection(spark):
 
 
 def test_walk_and_gitignore(spark, tmp_path):
-    for name, body in {"src/a.py": "x\r\ny", "node_modules/b.js": "x", "img.png": "x", "lib.min.js": "x", "logs/x.log": "x", "logs/keep.log": "x", "big.txt": "x" * (1 << 20) + "x"}.items():
+    for name, body in {"src/a.py": "x\r\ny", "node_modules/b.js": "x", "img.png": "x", "lib.min.js": "x", "logs/x.txt": "x", "logs/keep.txt": "x", "notes.md": "x", "big.c": "x" * (1 << 20) + "x"}.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(body.encode())
-    got = {r.path: r.content for r in tables.walk(spark, str(tmp_path), ["*.log", "!keep.log"]).collect()}
-    assert got == {"src/a.py": "x\ny", "logs/keep.log": "x"}
+    got = {r.path: r.content for r in tables.walk(spark, str(tmp_path), ["*.txt", "!keep.txt"]).collect()}
+    assert got == {"src/a.py": "x\ny", "logs/keep.txt": "x"}
     names = tables.explicit(spark, [" b\\c.py", "a.py", "a.py ", ""])
     assert [r.path for r in names.collect()] == ["a.py", "b/c.py"]
 
