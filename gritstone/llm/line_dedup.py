@@ -17,9 +17,10 @@ RATIO = 0.1
 LEAST_PAGES = 5
 
 
-def boilerplate(pages: DataFrame, host: str, key: str, lines: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line, pages, of): the lines of each host that more than `ratio` of its `of` pages hold. `lines`: an array column."""
-    each = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line"))
+def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, line, pages, of): the lines of each host that more than `ratio` of its `of` pages hold. `lines` is an array
+    column of texts or hashes; null lines do not count."""
+    each = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line")).where("line is not null")
     counts = each.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     total = pages.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("of"))
     return counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > ratio * F.col("of")).select("host", "line", "pages", "of")
@@ -36,11 +37,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "sourc
     clean = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
     hashed = F.transform(clean, lambda x: F.when(x == "", None).otherwise(F.xxhash64(x)))
     rid = F.xxhash64(F.col(id_col), F.col(text), F.col(host))
-    narrow = docs.where(F.col(text).isNotNull()).select(rid.alias("rid"), F.col(host).alias("host"), hashed.alias("lines"))
-    total = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("of"))
-    each = narrow.select("host", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    bad = counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > ratio * F.col("of")).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
+    narrow = docs.select(rid.alias("rid"), F.col(host).alias("host"), hashed.alias("lines"))
+    bad = boilerplate(narrow, "host", "lines", ratio, least_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
     bad = staged(bad, "boilerplate")
     hits = narrow.select("rid", "host", F.posexplode("lines").alias("p", "line")).where("line is not null")
     hits = hits.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")), "left_semi")

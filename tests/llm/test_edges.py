@@ -77,7 +77,7 @@ def test_line_dedup(spark, docs, none):
     rows = [(i, f"menu \nbody {i}\n\nmenu" if i < 6 else f"only {i}", "h" if i < 8 else None) for i in range(10)] + [(10, None, "h")]
     got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.5).collect()}
     assert got[0] == "body 0\n" and got[7] == "only 7" and got[10] is None
-    assert {r.line for r in line_dedup.boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("l", F.split(F.coalesce("text", F.lit("")), "\n")), "source", "doc_id", "l", ratio=0.5).collect()} == {"menu ", "menu", ""}
+    assert {r.line for r in line_dedup.boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("l", F.split(F.coalesce("text", F.lit("")), "\n")), "source", "l", ratio=0.5).collect()} == {"menu ", "menu", ""}
 
 
 def test_simhash(docs, none):
