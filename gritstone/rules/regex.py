@@ -37,12 +37,61 @@ def _check(pattern: str) -> None:
         raise UnsupportedPattern("backreferences are not in RE2")
 
 
+def _letter(c: str, folded: bool) -> bool:
+    """A literal that can only match an ASCII word character; k and s also match two others where case is folded."""
+    return c.isascii() and (c.isalnum() or c == "_") and not (folded and c in "kKsS")
+
+
+def _ends(pattern: str, i: int) -> list[int]:
+    """Where the alternatives of the group at `i` ("(?:") begin, and behind its end; nothing if it does not end."""
+    starts, depth, in_class = [i + 3], 0, False
+    k = i + 3
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            if not depth:
+                return [*starts, k + 1]
+            depth -= 1
+        elif c == "|" and not depth:
+            starts.append(k + 1)
+        k += 1
+    return []
+
+
+def _word_follows(pattern: str, i: int, folded: bool) -> bool:
+    """Whether what follows at `i` surely begins with an ASCII word character."""
+    optional = lambda k: pattern[k : k + 1] in ("?", "*", "{")
+    if pattern[i : i + 2] in ("\\w", "\\d"):
+        return not (folded or optional(i + 2))
+    if pattern[i : i + 3] == "(?:":
+        at = _ends(pattern, i)
+        return bool(at) and not optional(at[-1]) and all(_letter(pattern[k], folded) and not optional(k + 1) for k in at[:-1])
+    return i < len(pattern) and _letter(pattern[i], folded) and not optional(i + 1)
+
+
+def _word_precedes(pattern: str, i: int, folded: bool) -> bool:
+    """Whether what ends before `i` surely ends with a literal ASCII word character."""
+    k = i
+    while k and (pattern[k - 1].isalnum() or pattern[k - 1] == "_"):
+        k -= 1
+    return k < i and not (k and pattern[k - 1] == "\\") and _letter(pattern[i - 1], folded)
+
+
 def to_java(pattern: str) -> str:
     """The Java pattern that matches what RE2 matches with `pattern`."""
     _check(pattern)
     out, i, n = ["(?d)"], 0, len(pattern)
     multiline, depth = False, []
     in_class = False
+    folded = re.search(r"\(\?[a-zA-Z]*i", pattern) is not None
     while i < n:
         c = pattern[i]
         if c == "\\":
@@ -59,7 +108,8 @@ def to_java(pattern: str) -> str:
             elif e == "S":
                 out.append(f"[^{SPACE}]" if not in_class else f"&&[^{SPACE}]")
             elif e == "b" and not in_class:
-                out.append(WORD_EDGE)
+                # one look is enough where a side is known
+                out.append("(?<![0-9A-Za-z_])" if _word_follows(pattern, i, folded) else "(?![0-9A-Za-z_])" if _word_precedes(pattern, i - 2, folded) else WORD_EDGE)
             elif e == "B" and not in_class:
                 out.append(NOT_WORD_EDGE)
             elif e == "z":
