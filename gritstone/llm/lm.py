@@ -1,23 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Word counts are exact: the most frequent words, at most HEAD of them because each has at least N / HEAD of the N tokens,
-are broadcast; tokens of rarer words meet their counts in a join. Pairs of words are counted over the whole corpus, but
-the filter holds those whose count is at least FLOOR = N / PAIRS, so it has PAIRS pairs at most at any size of the
-corpus. A pair's count is quantised to FLOOR * 2**j, and the pair is entered once for each level up to j; a count is
-read back by probing level after level until one is missing. A pair's probability is its quantised count over the
-context's count, plus what the context leaves over, spread by the words' own probabilities; contexts without pairs
-leave all.
+are broadcast; tokens of rarer words meet their counts in a join. Every pair of words that occurs LEAST times is kept,
+so the model grows with the corpus. The broadcast filter holds the frequent pairs only, those whose count is at least
+FLOOR = N / PAIRS; a frequent pair's count is quantised to FLOOR * 2**j, and the pair is entered once for each level up
+to j; a count is read back by probing level after level until one is missing. All other pairs stand in a table, with
+counts quantised to 2**j, that the pairs of the texts meet in a join; none of them is frequent, so no key is large. A
+pair's probability is its quantised count over the context's count, plus what the context leaves over, spread by the
+words' own probabilities; contexts without pairs leave all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import prepare, staged
@@ -25,6 +27,8 @@ from .vecwords import P_WORDS2, SPACE, U, in_pieces, scramble, small, words
 
 HEAD = 1 << 20
 PAIRS = 1 << 18
+#: A pair that occurs less often is taken as unseen.
+LEAST = 2
 BITS_A_ENTRY, PROBES = 14, 7
 END = np.array([0xE0D0F7E87], U)
 CHUNK = 2_000_000
@@ -77,8 +81,15 @@ class Filter:
         return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=U)) & U(size - 1)).astype(np.int64)
 
     def has(self, pair: np.ndarray, level: int) -> np.ndarray:
-        at = self.places(pair, level, self.size)
-        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+        x = scramble(pair + np.full(1, level, U) * U(P_WORDS2))
+        a, b = x & U(0xFFFFFFFF), (x >> U(32)) | U(1)
+        out = np.zeros(len(pair), bool)
+        left = np.arange(len(pair))
+        for k in range(PROBES):
+            at = ((a[left] + b[left] * U(k)) & U(self.size - 1)).astype(np.int64)
+            left = left[((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
+        out[left] = True
+        return out
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """For each pair the number of levels that it is found in: 0 where the filter lacks it."""
@@ -100,21 +111,113 @@ class Model:
     count: np.ndarray
     rest: np.ndarray  # what each context leaves to the words' own probabilities
     floor: int
-    filter: Filter
-    often: np.ndarray  # words as frequent as the floor, sorted
-    mask: int
+    filter: Filter | None  # None while the pairs are counted
+    pairs: DataFrame | None = None  # (h, b, c): the pairs that the filter lacks; not broadcast
+
+    @property
+    def total(self) -> float:
+        return self.n + 0.1 * (self.v + 1)
+
+    @property
+    def shift(self) -> int:
+        """Bits of a place in the head: a pair of its words is both places in one number."""
+        return max(1, len(self.word).bit_length())
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        return np.searchsorted(self.word, np.arange(1 << (self.shift + 1), dtype=U) << U(63 - self.shift))
 
     def place(self, h: np.ndarray) -> np.ndarray:
-        p = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        if not len(self.word):
+            return np.full(len(h), -1)
+        last = len(self.word) - 1
+        p = np.minimum(self.start[(h >> U(63 - self.shift)).astype(np.int64)], last)
+        below = np.flatnonzero(self.word[p] < h)
+        while len(below):
+            p[below] += 1
+            below = below[p[below] <= last]
+            below = below[self.word[p[below]] < h[below]]
+        p = np.minimum(p, last)
         return np.where(self.word[p] == h, p, -1)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return scramble(scramble(a) * U(P_WORDS2) + b)
+@dataclass
+class Look:
+    """The tokens of some texts, where the head has them and their contexts, and their pairs' levels in the filter."""
+
+    h: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+    place: np.ndarray
+    context: np.ndarray
+    level: np.ndarray
+
+    @staticmethod
+    def at(m: Model, column: pa.Array) -> Look:
+        h, row, first = tokens(column)
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[first[:-1]] = END[0]
+        place = m.place(h)
+        context = np.empty_like(place)
+        context[1:] = place[:-1]
+        context[first[:-1]] = m.place(END)[0]
+        level = np.zeros(len(h), np.int64)
+        if m.filter is not None:
+            ask = np.flatnonzero((place >= 0) & (context >= 0))
+            ask = ask[(m.count[place[ask]] >= m.floor) & (m.count[context[ask]] >= m.floor)]
+            level[ask] = m.filter.levels((context[ask].astype(U) << U(m.shift)) | place[ask].astype(U))
+        return Look(h, row, first, before, place, context, level)
+
+    def others(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose pair the filter lacks, and the pair as (h, b): of words of the head both places and 0; else the
+        hashes of both words."""
+        i = np.flatnonzero(self.level == 0)
+        place, context = self.place[i], self.context[i]
+        both = (place >= 0) & (context >= 0)
+        joint = (np.maximum(context, 0) << m.shift) | np.maximum(place, 0)
+        return i, np.where(both, joint, self.before[i].view(np.int64)), np.where(both, 0, self.h[i].view(np.int64))
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
+    """(h, b, n): distinct pairs with their counts, in chunks."""
+    held, size = [], 0
+
+    def flush():
+        h, b = (np.concatenate(x) for x in zip(*held))
+        joint = b == 0
+        k, n = np.unique(h[joint], return_counts=True)
+        h, b = h[~joint], b[~joint]
+        _, i, more = np.unique(scramble(h.view(U) + b.view(U) * U(P_WORDS2)), return_index=True, return_counts=True)
+        cols = np.concatenate((k, h[i])), np.concatenate((np.zeros_like(k), b[i])), np.concatenate((n, more))
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["h", "b", "n"])
+
+    for batch in small(batches, 0):
+        i, h, b = Look.at(m, batch.column(0)).others(m)
+        held.append((h, b))
+        size += len(i)
+        if size >= CHUNK // 2:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def quantised(floor: int) -> Column:
+    """A pair's count c as the model takes it."""
+    unit = F.when(frequent(floor), F.lit(floor)).otherwise(F.lit(1))
+    return unit * F.pow(F.lit(2.0), F.floor(F.log2(F.col("c") / unit) + F.lit(1e-9)))
+
+
+def frequent(floor: int) -> Column:
+    """Pairs that the filter has."""
+    return (F.col("b") == 0) & (F.col("c") >= floor)
 
 
 def train(docs: DataFrame, text: str = "text", head: int = HEAD, pairs: int = PAIRS) -> tuple[Model, DataFrame]:
-    """The model of all rows of `docs`, and the exact counts of all words (h, c). An empty table knows nothing."""
+    """The model of all rows of `docs`, and of all words the exact counts and what they leave as contexts (h, c, rest).
+    An empty table knows nothing."""
     prepare(docs.sparkSession)
     body = docs.select(F.col(text).cast("binary").alias("t"))
     counts = staged(body.mapInArrow(lambda b: _counted(b, lambda c: tokens(c)[0]), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
@@ -125,69 +228,81 @@ def train(docs: DataFrame, text: str = "text", head: int = HEAD, pairs: int = PA
     order = np.argsort(word)
     word, count = word[order], count[order]
     floor = max(2, -(-n // pairs))
-    often = word[count >= floor]  # both words of such a pair are as frequent as the pair
-    known = docs.sparkSession.sparkContext.broadcast(often)
-
-    def make(column):
-        h, row, first = tokens(column)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[first[:-1]] = END[0]
-        w = known.value
-        if not len(w):
-            return h[:0]
-        ok = w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h
-        ok &= w[np.minimum(np.searchsorted(w, before), len(w) - 1)] == before
-        # the context travels in the pair's lower half, so that its mass can be summed
-        place = np.searchsorted(w, before[ok]).astype(U)
-        return (pair_hash(before[ok], h[ok]) & ~U(mask)) | place
-
-    mask = (1 << max(1, int(len(often)).bit_length())) - 1
-    kept = body.mapInArrow(lambda b: _counted(b, make), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where(F.col("c") >= floor).toArrow()
+    model = Model(n, v, word, count, np.ones(len(word)), floor, None)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = body.mapInArrow(lambda b: _all_pairs(b, shared.value), "h long, b long, n long").groupBy("h", "b").agg(F.sum("n").alias("c"))
+    found = staged(found.where(F.col("c") >= LEAST), "pairs")
+    # at most `pairs` of them can have n / pairs of the n tokens
+    kept = found.where(frequent(floor)).select("h", "c").toArrow()
     pair, c = kept.column(0).to_numpy().view(U), kept.column(1).to_numpy()
-    level = np.floor(np.log2(np.maximum(c, floor) / floor) + 1e-12).astype(np.int64)
+    level = np.floor(np.log2(np.maximum(c, floor) / floor) + 1e-9).astype(np.int64)
     size = 1 << max(10, int(BITS_A_ENTRY * (level + 1).sum()).bit_length())
     flat = np.zeros(size, bool)
     for j in range(int(level.max()) + 1 if len(level) else 0):
         flat[Filter.places(pair[level >= j], j, size).ravel()] = True
-    mass = np.bincount((pair & U(mask)).astype(np.int64), (floor * 2.0**level), len(often)) if len(often) else np.zeros(0)
-    rest = np.ones(len(word))
-    at = np.searchsorted(word, often)
-    rest[at] = np.maximum(1 - mass / np.maximum(count[at], 1), 1e-6)
-    return Model(n, v, word, count, rest, floor, Filter(np.packbits(flat, bitorder="little"), size), often, mask), counts
+    # what the pairs use of their contexts: of words of the head by place, of others by hash
+    used = np.zeros(len(word))
+    by_place = found.where("b = 0").groupBy(F.shiftright("h", model.shift).alias("p")).agg(F.sum(quantised(floor)).alias("m")).toArrow()
+    used[by_place.column(0).to_numpy()] += by_place.column(1).to_numpy()
+    by_word = staged(found.where("b <> 0").groupBy("h").agg(F.sum(quantised(floor)).alias("m")).join(counts, "h"), "masses")
+    of_head = by_word.where(F.col("c") >= -(-n // head)).select("h", "m").toArrow()
+    used[model.place(of_head.column(0).to_numpy().view(U))] += of_head.column(1).to_numpy()
+    rest = np.maximum(1 - used / np.maximum(count, 1), 1e-6)
+    left = counts.join(by_word.select("h", "m"), "h", "left").select("h", "c", F.greatest(1 - F.coalesce("m", F.lit(0.0)) / F.col("c"), F.lit(1e-6)).alias("rest"))
+    model = Model(n, v, word, count, rest, floor, Filter(np.packbits(flat, bitorder="little"), size), found.where(~frequent(floor)))
+    return model, staged(left, "words-left")
+
+
+def _gains(model: Model, counts: DataFrame, shared) -> DataFrame:
+    """(h, b, gain): what each pair outside the filter adds to the logarithm of its word's probability without it."""
+
+    @F.pandas_udf("double")
+    def of_head(h: pd.Series, c: pd.Series) -> pd.Series:
+        m, h = shared.value, h.to_numpy()
+        a, b = h >> m.shift, h & ((1 << m.shift) - 1)
+        own = m.rest[a] * (m.count[b] + 0.1) / m.total
+        p = np.minimum(1.0, 2.0 ** np.floor(np.log2(c.to_numpy()) + 1e-9) / m.count[a] + own)
+        return pd.Series(np.log10(p) - np.log10(own), dtype="float64")
+
+    @F.pandas_udf("ca long, rest double, cb long")
+    def known(h: pd.Series, b: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        a, b_ = m.place(h.to_numpy().view(U)), m.place(b.to_numpy().view(U))
+        if not len(m.word):
+            return pd.DataFrame({"ca": a * 0, "rest": a * 1.0, "cb": b_ * 0})
+        return pd.DataFrame({"ca": np.where(a >= 0, m.count[a], 0), "rest": np.where(a >= 0, m.rest[a], 1.0), "cb": np.where(b_ >= 0, m.count[b_], 0)})
+
+    cols = ["h", "b", "c", "ca", "rest", "cb"]
+    rows = model.pairs.where("b <> 0").withColumn("x", known("h", "b")).select("h", "b", "c", "x.*")
+    # rare words only are joined, so no key is large
+    rare = rows.where("ca = 0").drop("ca", "rest").join(counts.select("h", F.col("c").alias("ca"), "rest"), "h").select(*cols)
+    rows = rows.where("ca > 0").select(*cols).unionByName(rare)
+    rare = rows.where("cb = 0").drop("cb").join(counts.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b").select(*cols)
+    rows = staged(rows.where("cb > 0").unionByName(rare), "rare-pairs")
+    own = F.col("rest") * (F.col("cb") + 0.1) / F.lit(model.total)
+    p = F.least(F.lit(1.0), quantised(model.floor) / F.col("ca") + own)
+    return model.pairs.where("b = 0").select("h", "b", of_head("h", "c").alias("gain")).unionByName(rows.select("h", "b", (F.log10(p) - F.log10(own)).alias("gain")))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_tokens, n_known, base_score and score (log10 probabilities of the whole text). Null texts are empty."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-    total = model.n + 0.1 * (model.v + 1)
+    shared = spark.sparkContext.broadcast(replace(model, pairs=None))
+    total = model.total
 
     def measure(column: pa.Array) -> pd.DataFrame:
         m = shared.value
-        h, row, first = tokens(column)
+        look = Look.at(m, column)
+        h, row, first, place, context = look.h, look.row, look.first, look.place, look.context
         rows = len(column)
-        place = m.place(h) if len(m.word) else np.full(len(h), -1)
         got = place >= 0
         own = np.zeros(len(h))
         own[got] = (m.count[place[got]] + 0.1) / total
-        context = np.empty_like(place)
-        context[1:] = place[:-1]
-        context[first[:-1]] = m.place(END)[0] if len(m.word) else -1
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[first[:-1]] = END[0]
         left = np.where(context >= 0, m.rest[context], 1.0) if len(m.rest) else np.ones(len(h))
         p = left * own
-        if len(m.often):
-            ask = np.flatnonzero(got & (context >= 0))
-            ask = ask[(m.count[place[ask]] >= m.floor) & (m.count[context[ask]] >= m.floor)]
-            key = (pair_hash(before[ask], h[ask]) & ~U(m.mask)) | np.searchsorted(m.often, before[ask]).astype(U)
-            level = m.filter.levels(key)
-            hit = level > 0
-            i = ask[hit]
-            p[i] += m.floor * 2.0 ** (level[hit] - 1) / m.count[context[i]]
+        i = np.flatnonzero(look.level)
+        p[i] += m.floor * 2.0 ** (look.level[i] - 1) / m.count[context[i]]
         base = np.bincount(row, np.log10(own, where=got, out=np.zeros(len(h))), rows)
         # a rare word's own probability is added after the join; here it leaves its context's share
         mine = np.bincount(row, np.where(got, np.log10(np.where(got, np.minimum(p, 1.0), 1.0)), np.log10(left)), rows)
@@ -195,6 +310,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         cut = np.concatenate(([0], np.cumsum(np.bincount(row[~got], minlength=rows))))
         return pd.DataFrame({"n_tokens": np.diff(first), "n_known": np.bincount(row[got], minlength=rows), "base": base, "model": mine, "rare": [rare[cut[i] : cut[i + 1]] for i in range(rows)]})
 
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in small(batches):
+            look = Look.at(m, batch.column(1))
+            i, h, b = look.others(m)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(look.row[i])), pa.array(h), pa.array(b)], ["rid", "h", "b"])
+
     @F.pandas_udf("n_tokens long, n_known long, base double, model double, rare array<long>")
     def head(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in parts:
@@ -204,15 +326,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     cols = [c for c in docs.columns if c not in new and c != text]
     first = staged(docs.select(*cols, F.col(text).cast("binary").alias("__t")).withColumn("__x", head("__t")).withColumn("__rid", F.xxhash64(*cols, "__t")).select(*cols, "__rid", "__x.*"), "head-scores")
     rare = first.where(F.size("rare") > 0).select("__rid", F.explode("rare").alias("h")).groupBy("__rid", "h").agg(F.count("*").alias("k"))
-    seen = rare.join(counts, "h", "left").select("__rid", "k", F.coalesce("c", F.lit(0)).alias("c"))
+    # each word is the context of one token, so what a rare word leaves is added where its own probability is
+    seen = rare.join(counts, "h", "left").select("__rid", "k", F.coalesce("c", F.lit(0)).alias("c"), F.log10(F.coalesce("rest", F.lit(1.0))).alias("left"))
     logp = F.log10((F.col("c") + 0.1) / F.lit(total))
-    sums = seen.groupBy("__rid").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * logp).alias("more"))
-    out = first.drop("rare").join(sums, "__rid", "left")
+    sums = seen.groupBy("__rid").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * logp).alias("more"), F.sum(F.col("k") * F.col("left")).alias("left"))
+    met = docs.select(F.xxhash64(*cols, F.col(text).cast("binary")).alias("rid"), F.col(text).cast("binary").alias("t")).mapInArrow(others, "rid long, h long, b long")
+    met = met.join(_gains(model, counts, shared).hint("shuffle_hash"), ["h", "b"]).groupBy("rid").agg(F.sum("gain").alias("gain"))
+    copies = first.groupBy(F.col("__rid").alias("rid")).agg(F.count("*").alias("copies"))
+    gains = met.join(copies, "rid").select(F.col("rid").alias("__rid"), (F.col("gain") / F.col("copies")).alias("gain"))
+    out = first.drop("rare").join(sums, "__rid", "left").join(gains, "__rid", "left")
     # repeated rows share an id, so their rare words were counted together
     share = F.when(F.col("k").isNull(), F.lit(0.0)).otherwise(F.col("more") / F.col("k") * F.col("n_rare"))
     out = out.withColumn("n_rare", F.col("n_tokens") - F.col("n_known"))
+    pairs = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("k").isNull(), F.lit(0.0)).otherwise(F.col("left") / F.col("k") * F.col("n_rare"))
     known = F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.round(F.col("known") / F.col("k") * F.col("n_rare"))).cast("long")
-    return out.select(*cols, "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + share).alias("base_score"), (F.col("model") + share).alias("score"))
+    return out.select(*cols, "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + share).alias("base_score"), (F.col("model") + share + pairs).alias("score"))
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:

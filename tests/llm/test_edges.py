@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and columns with clashing names, for each operator."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,6 +202,39 @@ def test_lm_prefers_seen_pairs(spark):
     assert got[1][0] == pytest.approx(got[2][0]) and got[1][1] > got[1][0] and got[1][1] > got[2][1] + 2
 
 
+@pytest.mark.parametrize("head", [1 << 20, 1 << 6])
+def test_lm_knows_every_repeated_pair(spark, head):
+    # the filter's floor is far above most pairs' counts; words are in the head or not
+    rnd = random.Random(4)
+    vocab = [f"v{i}" for i in range(300)]
+    texts = [" ".join(vocab[min(int(rnd.expovariate(0.02)), 299)] for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    texts.append(texts[0])
+    rows = spark.createDataFrame([(i % 200, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = lm.train(rows, head=head, pairs=1 << 7)
+    c, pair = Counter(), Counter()
+    for t in texts:
+        w = [None, *t.split(), None]
+        c.update(w[1:])
+        pair.update(zip(w, w[1:]))
+    n, total = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    floor = max(2, -(-n // (1 << 7)))
+    q = {x: (floor if k >= floor else 1) * 2 ** int(math.log2(k / (floor if k >= floor else 1))) for x, k in pair.items() if k >= 2}
+    assert sum(k < floor for k in q.values()) > 100
+    used = Counter()
+    for (a, _), k in q.items():
+        used[a] += k
+    new = [(-1, "v1 v2 never v3"), (-2, None)]
+    got = lm.score(rows.unionByName(spark.createDataFrame(new, "doc_id long, text string")), model, counts).collect()
+    want = dict(new) | dict(enumerate(texts[:200]))
+    assert len(got) == 203
+    off = 0
+    for r in got:
+        w = [None, *(want[r.doc_id] or "").split(), None]
+        s = sum(math.log10(min(1, q.get((a, b), 0) / max(c[a], 1) + (max(1 - used[a] / c[a], 1e-6) if c[a] else 1) * (c[b] + 0.1) / total)) for a, b in zip(w, w[1:]))
+        off += abs(r.score - s) > 1e-6
+    assert off <= 4  # a filter of 14 bits an entry may take a pair for another
+
+
 def test_media(docs, none):
     rows, index = media.store(docs, shard_bytes=4096)
     got = by(rows.join(media.read_back(media.with_metadata(index)), "digest").collect())
