@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .session import staged
 
-#: High enough that a page copied within its site, which the near-duplicate stage reduces to one, does not lose its lines.
-RATIO = 0.1
+#: Low, as navigation need not stand on every page; copied pages are protected by `once`, not by the ratio.
+RATIO = 0.02
 #: A line must stand on so many pages of a host at least; small hosts have no meaningful ratios.
 LEAST_PAGES = 5
 

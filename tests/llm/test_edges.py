@@ -174,6 +174,13 @@ def test_substrings(spark, docs, none):
     assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect()} == {0: (90, 90), 1: (40, 40), 2: (34, 0)}
 
 
+def test_line_dedup_takes_lines_on_few_pages(spark):
+    # one of twenty pages has the slogan
+    rows = [(i, f"own {i}\n" + ("slogan" if i % 20 == 0 else f"other {i}"), "s") for i in range(400)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: f"own {i}" if i % 20 == 0 else t for i, t, _ in rows}
+
+
 def test_lm(docs, none):
     got = by(lm.score_corpus(docs).collect())
     assert sum(map(len, got.values())) == len(ROWS) and got[1][0].n_tokens == 1 and got[1][0].base_score == got[2][0].base_score
