@@ -26,19 +26,22 @@ def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, l
     return counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > ratio * F.col("of")).select("host", "line", "pages", "of")
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, mark: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, mark: bool = False, once: bool = False) -> DataFrame:
     """`docs` with boilerplate lines removed from the text, and with `mark` also n_lines and n_dropped.
 
     Lines end at "\\n"; they are compared without blanks at their ends, and blank lines are never boilerplate. A page
     counts once for a line that it repeats; all copies of the line go. Pages with a null host form one host; a null
-    text has no lines and stays null. Repeated rows count as pages of their own. An empty table gives an empty one.
+    text has no lines and stays null. Repeated rows and copies count as pages of their own; with
+    `once` pages of a host that have the same lines count as one, in the lines' pages and in the host's, so that copies
+    cannot turn their own lines into boilerplate. An empty table gives an empty one.
     Only hashes of lines are shuffled for the counts, and texts move once, to meet the places of their dropped lines.
     """
     clean = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
     hashed = F.transform(clean, lambda x: F.when(x == "", None).otherwise(F.xxhash64(x)))
     rid = F.xxhash64(F.col(id_col), F.col(text), F.col(host))
     narrow = docs.select(rid.alias("rid"), F.col(host).alias("host"), hashed.alias("lines"))
-    bad = boilerplate(narrow, "host", "lines", ratio, least_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
+    counted = narrow.select("host", "lines").distinct() if once else narrow
+    bad = boilerplate(counted, "host", "lines", ratio, least_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
     bad = staged(bad, "boilerplate")
     hits = narrow.select("rid", "host", F.posexplode("lines").alias("p", "line")).where("line is not null")
     hits = hits.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")), "left_semi")

@@ -181,6 +181,16 @@ def test_line_dedup_takes_lines_on_few_pages(spark):
     assert got == {i: f"own {i}" if i % 20 == 0 else t for i, t, _ in rows}
 
 
+def test_copied_pages_keep_their_lines(spark):
+    import corpus_pipeline as P
+
+    copy = "a line of its own\nand one more"
+    rows = [(i, copy if i % 3 == 0 else f"own {i}\nmenu", "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.text for r in P.line_stage(spark, docs, "").collect()}
+    assert got == {i: copy if i % 3 == 0 else f"own {i}" for i in range(300)}
+
+
 def test_lm(docs, none):
     got = by(lm.score_corpus(docs).collect())
     assert sum(map(len, got.values())) == len(ROWS) and got[1][0].n_tokens == 1 and got[1][0].base_score == got[2][0].base_score
