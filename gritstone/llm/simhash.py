@@ -118,8 +118,17 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
-    """(id_col, component_id): near duplicates whose sets of `width`-word shingles have a Jaccard similarity of
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text), F.length(text))
+
+
+def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
+    """A key of a row that is never null; rows with the same id and text share it."""
+    return F.xxhash64(F.col(id_col), text_key(text))
+
+
+def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS, choose: bool = False) -> DataFrame:
+    """(id_col, component_id), and with `choose` (rid, stays): near duplicates whose sets of `width`-word shingles have a Jaccard similarity of
     `similarity` or more.
 
     Candidates come from ball hashing in `bands` independent 32-bit fingerprints of word pairs: at similarity 0.8 and
@@ -127,6 +136,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     probability 0.98. Under each variant documents are linked to the least one and to their predecessor, never all to
     all. The similarity of each pair is then taken exactly from the whole texts; only texts that stand in a pair become
     shingles. Equal texts are folded first; blank texts are one class. Repeated rows and null ids keep their rows.
+    `rid` is row_key() of the row; rows of one key only stay in each class, those of its least id, null being the last.
     """
     prepare(docs.sparkSession)
 
@@ -139,7 +149,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), width), pa.list_(pa.int64()))], ["same", "s"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    same = F.xxhash64(F.col(text), F.length(text))
+    same = text_key(text)
     body = F.col(text).cast("binary")
     one = staged(docs.select(F.col(id_col).alias("id"), body.alias("t"), same.alias("same")).mapInArrow(make, f"id {id_type}, same long, prints array<long>"), "pair-prints")
     texts = one.groupBy("same").agg(F.min("id").alias("id"), F.first("prints").alias("prints"))
@@ -155,7 +165,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     # one row of each text that is needed; its copies are left where they are
     need = pairs.select("same").unionByName(pairs.select(F.col("other").alias("same"))).distinct().join(reps.select("same", "id"), "same")
     need = need.select(F.xxhash64("id", "same").alias("rid")).hint("shuffle_hash")
-    chosen = docs.select(same.alias("same"), body.alias("t"), F.xxhash64(F.col(id_col), same).alias("rid")).join(need, "rid").select("same", "t")
+    chosen = docs.select(same.alias("same"), body.alias("t"), row_key(id_col, text).alias("rid")).join(need, "rid").select("same", "t")
     sets = staged(chosen.mapInArrow(spread, "same long, s array<long>"), "shingles").dropDuplicates(["same"])
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -176,6 +186,10 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     open_ = open_.where(F.coalesce("root", "same") != F.coalesce("root2", "other")).select("same", "other")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(open_)))
     named = reps.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "id", F.coalesce("root", "same").alias("root"))
-    smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id")), "components")
-    classes = named.join(smallest, "root").select("same", "component_id")
-    return one.select(F.col("id").alias(id_col), "same").join(classes, "same").select(id_col, "component_id")
+    smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "same")).alias("least")), "components")
+    classes = named.join(smallest, "root").select("same", "component_id", (F.col("same") == F.col("least.same")).alias("first"))
+    rows = one.select("id", "same").join(classes, "same")
+    if not choose:
+        return rows.select(F.col("id").alias(id_col), "component_id")
+    stays = F.col("first") & F.col("id").eqNullSafe(F.col("component_id"))
+    return rows.select(F.col("id").alias(id_col), "component_id", F.xxhash64("id", "same").alias("rid"), stays.alias("stays"))

@@ -191,6 +191,23 @@ def test_copied_pages_keep_their_lines(spark):
     assert got == {i: copy if i % 3 == 0 else f"own {i}" for i in range(300)}
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(5)]
+    # null ids only; a null id and others; repeated rows; one id with two texts
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (3, texts[1]), (2, texts[1]), (4, texts[2]), (4, texts[2]), (5, texts[3]), (5, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    want = Counter([(None, texts[0]), (2, texts[1]), (4, texts[2]), (5, texts[3]), (5, texts[4])])
+    got = P.near_duplicate_stage(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    mixed = P.mixing_stage(spark, got, "").collect()
+    assert Counter((r.doc_id, r.text) for r in mixed) == want and all(r.taken == 30 for r in mixed)
+    # repeats are taken once each
+    mixed = P.mixing_stage(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in mixed) == Counter(rows) and sum(r.taken for r in mixed) == 30 * len(rows)
+
+
 def test_lm(docs, none):
     got = by(lm.score_corpus(docs).collect())
     assert sum(map(len, got.values())) == len(ROWS) and got[1][0].n_tokens == 1 and got[1][0].base_score == got[2][0].base_score
