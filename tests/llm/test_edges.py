@@ -281,6 +281,23 @@ def test_media(docs, none):
         assert media.decode(media.encode(media.pad(body))).tobytes() == media.pad(body)
 
 
+def test_language_query_trains_on_all_documents(spark, sf, monkeypatch):
+    from gritstone.llm import queries
+
+    seen, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda docs: seen.append(docs.count()) or train(docs))
+    queries.op2_language_id(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert seen == [docs.count()]
+    # the held-out fold is the test's own
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    none = F.lit(None).cast("string")
+    pages = docs.where(held).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host"), none.alias("markup"), none.alias("suffix"))
+    found = langid.identify(pages, train(docs.where(~held))).select(F.col("id").alias("doc_id"), F.col("lang").alias("found"))
+    right = found.join(docs.where(F.size(F.split("text", " ")) > 5), "doc_id").agg(F.avg((F.col("found") == F.col("lang")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
 def test_language(spark, docs, none):
     train = spark.createDataFrame([("en", "the house and the garden of the king"), ("fr", "la maison et le jardin du roi dans la ville")] * 20, "lang string, text string")
     model = langid.train(train)
