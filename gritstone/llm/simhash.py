@@ -9,7 +9,8 @@ same components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -24,26 +25,45 @@ from .session import prepare, staged
 from .vecwords import SPACE, Runs, U, scramble, small, words
 
 
-def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of `width` words, lower-cased in ASCII and joined by spaces; of all words where there are fewer."""
-    ws = text.lower().split() if text else []
-    if not ws:
-        return np.zeros(0, U)
-    line = b" ".join(ws)
-    if len(ws) <= width:
-        return np.array([xxhash.xxh64_intdigest(line, seed)], U)
-    end = [e + i for i, e in enumerate(accumulate(map(len, ws)))]
-    start = [0, *(e + 1 for e in end)]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a:b], seed) for a, b in zip(start, end[width - 1 :])], U)
+_GAP = re.compile(rb"[\x09-\x0D\x20]")
 
 
-def majority(h: np.ndarray) -> np.uint64:
+def _stretches(text: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased in ASCII, in stretches of about `limit` bytes."""
+    a = 0
+    while a < len(text):
+        found = _GAP.search(text, a + limit)
+        b = found.start() if found else len(text)
+        yield text[a:b].lower().split()
+        a = b
+
+
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42, limit: int = 1 << 20) -> Iterator[np.ndarray]:
+    """XXH64 of each run of `width` words, lower-cased in ASCII and joined by spaces; of all words where there are fewer.
+    A long text gives several arrays."""
+    held: list[bytes] = []
+    digest, short = xxhash.xxh64_intdigest, True
+    for more in _stretches(text or b"", limit):
+        ws = held + more
+        if len(ws) >= width:
+            line = b" ".join(ws)
+            end = [e + i for i, e in enumerate(accumulate(map(len, ws)))]
+            start = [0, *(e + 1 for e in end)]
+            yield np.array([digest(line[a:b], seed) for a, b in zip(start, end[width - 1 :])], U)
+            short = False
+        held = ws[max(0, len(ws) - width + 1) :] if not short else ws
+    if short and held:
+        yield np.array([digest(b" ".join(held), seed)], U)
+
+
+def majority(parts: Iterable[np.ndarray], block: int = 1 << 16) -> np.uint64:
     """Bit i is set where more than half of the hashes have it set; zero where there are none."""
-    if not len(h):
-        return U(0)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * bits > len(h), bitorder="little").view(U)[0]
+    bits, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        n += len(h)
+        for a in range(0, len(h), block):
+            bits += np.unpackbits(h[a : a + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * bits > n, bitorder="little").view(U)[0]
 
 
 def fingerprint(width: int = 3, seed: int = 42):
@@ -88,23 +108,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-#: For edited copies: so many independent 32-bit fingerprints over pairs of words.
-BANDS = 8
-
-
-def pair_prints(column: pa.Array, bands: int = BANDS) -> np.ndarray:
-    """For each row `bands` SimHashes of 32 bits over its pairs of neighbouring words; zeros for blank rows."""
-    w = words(column, SPACE, lower=True)
-    runs, size = Runs(w.hash), np.diff(w.first)
-    prints = np.zeros((len(size), bands), np.int64)
-    for r, n in enumerate(size.tolist()):
-        if n:
-            a = np.arange(w.first[r], w.first[r] + max(1, n - 1))
-            h = runs.of(a, np.minimum(a + 2, w.first[r] + n))
-            cols = [scramble(h + U(k)) for k in range(bands // 2)]
-            bits = np.unpackbits(np.stack(cols, 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            prints[r] = np.packbits(2 * bits > n - (n > 1), bitorder="little").view(np.uint32)
-    return prints
+#: For edited copies: so many independent fingerprints, each of BITS bits under a key.
+BANDS, BITS = 12, 16
+_ODD = [(x * 0x9E3779B97F4A7C15) % (1 << 64) | 1 for x in range(1, 4 * BANDS)]
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -114,59 +120,104 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     out = []
     for r, n in enumerate(size.tolist()):
         a = np.arange(w.first[r], w.first[r] + max(1, n - width + 1)) if n else np.zeros(0, np.int64)
-        out.append(np.unique(runs.of(a, np.minimum(a + width, w.first[r] + n))).view(np.int64))
+        out.append(np.unique(runs.of(a, np.minimum(a + width, w.first[r] + n))))
     return out
 
 
+def keyed_prints(sets: list[np.ndarray], bands: int = BANDS, block: int = 1 << 18) -> np.ndarray:
+    """For each set of shingles `bands` numbers: 48 bits of a key, the least of the shingles in an order of the band, and
+    a SimHash of 16 bits. Empty sets have the same numbers."""
+    n = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(n)
+    key, prints = np.zeros((len(sets), bands), U), np.zeros((len(sets), bands), np.uint16)
+    if len(full):
+        h = np.concatenate([sets[r] for r in full])
+        at = np.concatenate(([0], np.cumsum(n[full])))
+        for k in range(bands):
+            key[full, k] = np.minimum.reduceat(h * U(_ODD[k]), at[:-1])
+        per = 64 // BITS
+        for g in range(0, bands, per):
+            bits = np.zeros((len(full), 64), np.int64)
+            for a in range(0, len(h), block):
+                x = scramble(h[a : a + block] + U(_ODD[bands + g // per]))
+                first, last = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, a + len(x), side="left")
+                cut = np.maximum(at[first:last] - a, 0)
+                bits[first:last] += np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), cut, axis=0, dtype=np.int64)
+            set_ = np.packbits(2 * bits > n[full][:, None], axis=1, bitorder="little").view(np.uint16)
+            prints[full, g : g + per] = set_[:, : bands - g]
+    key = scramble(key + np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return ((key & ~U(0xFFFF)) | prints.astype(U)).view(np.int64)
+
+
+def bitmap(shingles: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """Which values the shingles' lowest bits have. A shingle whose bit another text lacks isn't in that text."""
+    has = np.zeros(bits, bool)
+    has[(shingles & U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(has, bitorder="little").view(np.int64)
+
+
 def text_key(text: str = "text") -> Column:
-    return F.xxhash64(F.col(text), F.length(text))
+    """SHA-256 of a text; empty for null."""
+    return F.coalesce(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), F.lit(b""))
 
 
-def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
-    """A key of a row that is never null; rows with the same id and text share it."""
-    return F.xxhash64(F.col(id_col), text_key(text))
+def row_key(id_col: Column, sha: Column) -> Column:
+    """A key of a row that is never null; rows with the same id and text share it, others don't."""
+    named = F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(named, F.lit(":"), F.hex(sha)).cast("binary"), 256))
 
 
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS, choose: bool = False) -> DataFrame:
-    """(id_col, component_id), and with `choose` (rid, stays): near duplicates whose sets of `width`-word shingles have a Jaccard similarity of
-    `similarity` or more.
-
-    Candidates come from ball hashing in `bands` independent 32-bit fingerprints of word pairs: at similarity 0.8 and
-    edits spread over the text a fingerprint differs in about 3 of 32 bits, so one of 8 bands links the two with
-    probability 0.98. Under each variant documents are linked to the least one and to their predecessor, never all to
-    all. The similarity of each pair is then taken exactly from the whole texts; only texts that stand in a pair become
-    shingles. Equal texts are folded first; blank texts are one class. Repeated rows and null ids keep their rows.
-    `rid` is row_key() of the row; rows of one key only stay in each class, those of its least id, null being the last.
+    """(id_col, component_id), and with `choose` (rid, stays): near duplicates whose sets of `width`-word shingles have a
+    Jaccard similarity of `similarity` or more.
+
+    Candidates: texts whose keyed fingerprints are at most 2 bits apart in one of `bands` bands, found by ball hashing.
+    At similarity 0.8 a pair has one key with probability 0.8 and 16 bits at most 2 apart with 0.55, so one of 12 bands
+    holds it with 0.999, whatever the edits' places; unrelated texts have no common key, however many there are.
+
+    Verification in two rounds, each over pairs of distinct texts that collide. First each text is compared with one
+    other, that of its groups which has the smallest part of shingles that no other text has: the original of a set of
+    edited copies stands there. Then all colliding pairs of texts which are not of one class yet are compared, but for
+    pairs that cannot be similar by the numbers of their shared shingles and by a bitmap of each text. So every colliding pair is decided, and the
+    copies of one original cost one comparison each.
+
+    Equal texts (by SHA-256) are folded first; blank and null texts are one class. Long texts are read whole, in
+    stretches. Repeated rows and null ids keep their rows, an empty table gives an empty one; other columns are not
+    looked at. `rid` is row_key() of the row; rows of one key only stay in each class, those of its least id, null
+    being the last, ties by the text's hash.
     """
     prepare(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(pair_prints(batch.column(1), bands)), pa.list_(pa.int64()))], ["id", "same", "prints"])
+            prints = keyed_prints(shingle_sets(batch.column(1), width), bands)
+            at = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, pa.array(prints.ravel()))], ["id", "sha", "prints"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), width), pa.list_(pa.int64()))], ["same", "s"])
+            sets = shingle_sets(batch.column(1), width)
+            cols = [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["node", "s", "bits"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    same = text_key(text)
-    body = F.col(text).cast("binary")
-    one = staged(docs.select(F.col(id_col).alias("id"), body.alias("t"), same.alias("same")).mapInArrow(make, f"id {id_type}, same long, prints array<long>"), "pair-prints")
-    texts = one.groupBy("same").agg(F.min("id").alias("id"), F.first("prints").alias("prints"))
-    reps = staged(texts.select("same", "id", "prints"), "distinct-texts")
-    balls = reps.select("same", F.posexplode("prints").alias("band", "fp"))
-    masks = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(32)])
-    balls = balls.select("same", F.explode(masks).alias("m"), "band", "fp").select("same", F.expr("shiftleft(cast(band as long), 32)").bitwiseOR(F.col("fp").bitwiseXOR(F.col("m"))).alias("variant"))
-    w = Window.partitionBy("variant").orderBy("same")
-    met = balls.select("same", F.first("same").over(w).alias("head"), F.lag("same").over(w).alias("prev"))
-    link = F.array(F.struct(F.col("head").alias("other"), F.lit(True).alias("first")), F.struct(F.col("prev").alias("other"), F.lit(False).alias("first")))
-    pairs = met.select("same", F.explode(link).alias("x")).select("same", "x.*").where("other is not null and other <> same")
-    pairs = staged(pairs.groupBy("same", "other").agg(F.max("first").alias("first")), "colliding")
-    # one row of each text that is needed; its copies are left where they are
-    need = pairs.select("same").unionByName(pairs.select(F.col("other").alias("same"))).distinct().join(reps.select("same", "id"), "same")
-    need = need.select(F.xxhash64("id", "same").alias("rid")).hint("shuffle_hash")
-    chosen = docs.select(same.alias("same"), body.alias("t"), row_key(id_col, text).alias("rid")).join(need, "rid").select("same", "t")
-    sets = staged(chosen.mapInArrow(spread, "same long, s array<long>"), "shingles").dropDuplicates(["same"])
+    body, sha = F.col(text).cast("binary").alias("t"), text_key(text).alias("sha")
+    one = staged(docs.select(F.col(id_col).alias("id"), body, sha).mapInArrow(make, f"id {id_type}, sha binary, prints array<long>"), "prints")
+    reps = one.groupBy("sha").agg(F.min("id").alias("id"), F.first("prints").alias("prints"))
+    reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    masks = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(BITS)])
+    balls = reps.select("node", F.explode("prints").alias("p")).select("node", "p", F.explode(masks).alias("m")).select("node", F.col("p").bitwiseXOR(F.col("m")).alias("variant"))
+    groups = staged(balls.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", "node"), "groups")
+    # one row of each text that collides with another
+    need = groups.select("node").distinct().join(reps, "node").select("node", row_key(F.col("id"), F.col("sha")).alias("rid"))
+    chosen = docs.select(body, row_key(F.col(id_col), sha).alias("rid")).join(need, "rid").dropDuplicates(["rid"])
+    sets = staged(chosen.select("node", "t").mapInArrow(spread, "node long, s array<long>, bits array<long>"), "shingles")
+    alone = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("u"))
+    stats = sets.select("node", F.size("s").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("shared"))
+    # a text of which too little stands anywhere else has no partner
+    able = staged(stats.where(F.col("shared") + 1e-6 >= similarity * F.col("size")).withColumn("own", 1 - F.col("shared") / F.greatest("size", F.lit(1))), "able")
+    members = groups.join(able, "node")
+
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         def jaccard(x, y) -> float:
@@ -175,21 +226,49 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
         return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets, "same").join(sets.select(F.col("same").alias("other"), F.col("s").alias("s2")), "other")
-        return both.select(F.col("same").alias("a"), F.col("other").alias("b"), alike("s", "s2").alias("j")).where(F.col("j") >= similarity).select("a", "b")
-
-    # links to the least of each group come first; of the others only those that would join two classes are looked at
-    roots = components(verified(pairs.where("first")))
-    mine, theirs = roots.select("node", "root"), roots.select(F.col("node").alias("node2"), F.col("root").alias("root2"))
-    open_ = pairs.where("not first").join(mine, F.col("same") == F.col("node"), "left").join(theirs, F.col("other") == F.col("node2"), "left")
-    open_ = open_.where(F.coalesce("root", "same") != F.coalesce("root2", "other")).select("same", "other")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(open_)))
-    named = reps.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "id", F.coalesce("root", "same").alias("root"))
-    smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "same")).alias("least")), "components")
-    classes = named.join(smallest, "root").select("same", "component_id", (F.col("same") == F.col("least.same")).alias("first"))
-    rows = one.select("id", "same").join(classes, "same")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
+        return both.select("a", "b", alike("s", "s2").alias("j")).where(F.col("j") >= similarity).select("a", "b")
+
+    def possible(m, n) -> Column:
+        """What two texts can share at most suffices."""
+        return (1 + similarity) * F.least(m["shared"], n["shared"]) + 1e-6 >= similarity * (m["size"] + n["size"])
+
+    best = F.first(F.struct("own", "node", "shared", "size")).over(Window.partitionBy("variant").orderBy("own", "node"))
+    heads = members.withColumn("head", best).groupBy("node", "shared", "size").agg(F.min("head").alias("head"))
+    heads = heads.where((F.col("head.node") != F.col("node")) & possible({"shared": F.col("shared"), "size": F.col("size")}, F.col("head")))
+    roots = components(verified(staged(heads.select(F.col("node").alias("a"), F.col("head.node").alias("b")), "heads")))
+    # groups of several classes: each colliding pair once, under its first band and least variant
+    each = Window.partitionBy("variant")
+    left = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("lo", F.min("root").over(each)).withColumn("hi", F.max("root").over(each))
+    more = reps.select("node", "prints").join(sets.select("node", "bits"), "node")
+    left = left.where("lo <> hi").join(more, "node").select("variant", "node", "root", "shared", "size", "prints", "bits")
+    left = staged(left, "several-classes")
+    m, n = left.alias("m"), left.alias("n")
+    apart = F.zip_with("m.prints", "n.prints", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    band = F.array_position(F.transform(apart, lambda d: d <= 2), F.lit(True)).cast("int")
+    p, q = F.element_at("m.prints", band), F.element_at("n.prints", band)
+    differ = p.bitwiseXOR(q)
+    lowest = differ.bitwiseAND(-differ)
+    canonical = F.when(F.bit_count(differ) == 1, F.least(p, q)).otherwise(p.bitwiseXOR(lowest))
+    on = (F.col("m.variant") == F.col("n.variant")) & (F.col("m.node") < F.col("n.node")) & (F.col("m.root") != F.col("n.root"))
+
+
+    def common(x: str, y: str) -> dict:
+        """What text x can share with y at most."""
+        lacks = F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+        return {"shared": F.col(f"{x}.size") - F.aggregate(lacks, F.lit(0), lambda a, b: a + b), "size": F.col(f"{x}.size")}
+
+    few, most = ({"shared": F.col(f"{x}.shared"), "size": F.col(f"{x}.size")} for x in "mn"), (common("m", "n"), common("n", "m"))
+    pairs = m.join(n, on & possible(*few) & (canonical == F.col("m.variant")) & possible(*most))
+    pairs = staged(pairs.select(F.col("m.node").alias("a"), F.col("n.node").alias("b")), "colliding")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)))
+    named = reps.join(roots, "node", "left").select("sha", "id", F.coalesce("root", "node").alias("root"))
+    # written before the join, so that a very large component can be split there
+    smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "sha")).alias("least")), "components")
+    classes = named.join(smallest, "root").select("sha", "component_id", (F.col("sha") == F.col("least.sha")).alias("first"))
+    rows = one.select("id", "sha").join(classes, "sha")
     if not choose:
         return rows.select(F.col("id").alias(id_col), "component_id")
     stays = F.col("first") & F.col("id").eqNullSafe(F.col("component_id"))
-    return rows.select(F.col("id").alias(id_col), "component_id", F.xxhash64("id", "same").alias("rid"), stays.alias("stays"))
+    return rows.select(F.col("id").alias(id_col), "component_id", row_key(F.col("id"), F.col("sha")).alias("rid"), stays.alias("stays"))

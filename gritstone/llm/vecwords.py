@@ -71,7 +71,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-#: Bytes of text that are worked on at once; the arrays take some fifty times as much.
+#: Bytes of text that are worked on at once; the arrays over bytes take some fifty times as much.
 PIECE = 2 << 20
 
 
@@ -129,15 +129,40 @@ def bounds(data: np.ndarray, at: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return start, end, np.searchsorted(start, at)
 
 
-def words(column: pa.Array, sep: np.ndarray = SPACE, lower: bool = False) -> Words:
+def _cut(data: np.ndarray, a: int, sep: np.ndarray, limit: int) -> int:
+    """The end of a stretch of about `limit` bytes from `a` on: at a separator or the end of the data."""
+    b = a + limit
+    while b < len(data):
+        found = np.flatnonzero(sep[data[b : b + 65536]])
+        if len(found):
+            return b + int(found[0])
+        b += 65536
+    return len(data)
+
+
+def words(column: pa.Array, sep: np.ndarray = SPACE, lower: bool = False, limit: int = PIECE) -> Words:
+    """The words of all rows. A long text is hashed in stretches of about `limit` bytes that end between words, so its
+    arrays over bytes stay small; what is kept of it is 32 bytes a word."""
     data, at = flat(column)
     if lower:
         data = LOWER[data]
-    start, end, first = bounds(data, at, sep)
-    up, down = powers(P_BYTES, len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = scramble((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(P_WORDS))
+    starts, ends, hashes = [], [], []
+    a = 0
+    while a < len(data) or not starts:
+        b = _cut(data, a, sep, limit)
+        part = data[a:b]
+        start, end, _ = bounds(part, at[(at >= a) & (at <= b)] - a, sep)
+        up, down = powers(P_BYTES, len(part) + 1)
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        hashes.append(scramble((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(P_WORDS)))
+        starts.append(start + a)
+        ends.append(end + a)
+        a = b
+        if not len(data):
+            break
+    start, end, h = (np.concatenate(x) if len(x) > 1 else x[0] for x in (starts, ends, hashes))
+    first = np.searchsorted(start, at)
     return Words(data, start, end, np.repeat(np.arange(len(at) - 1), np.diff(first)), first, h)
 
 
