@@ -13,8 +13,8 @@ from .session import staged
 
 #: Low, as navigation need not stand on every page; copied pages are protected by `once`, not by the ratio.
 RATIO = 0.02
-#: A line must stand on so many pages of a host at least; small hosts have no meaningful ratios.
-LEAST_PAGES = 5
+#: A line on one page only is not repeated, whatever the host's size.
+LEAST_PAGES = 2
 
 
 def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -33,7 +33,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "sourc
     counts once for a line that it repeats; all copies of the line go. Pages with a null host form one host; a null
     text has no lines and stays null. Repeated rows and copies count as pages of their own; with
     `once` pages of a host that have the same lines count as one, in the lines' pages and in the host's, so that copies
-    cannot turn their own lines into boilerplate. An empty table gives an empty one.
+    cannot turn their own lines into boilerplate. An empty table gives an empty one. Long texts are taken whole. Other
+    columns pass through, but for n_lines and n_dropped, which `mark` replaces; names that begin with __ are reserved.
     Only hashes of lines are shuffled for the counts, and texts move once, to meet the places of their dropped lines.
     """
     clean = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
@@ -46,10 +47,12 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "sourc
     hits = narrow.select("rid", "host", F.posexplode("lines").alias("p", "line")).where("line is not null")
     hits = hits.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")), "left_semi")
     places = hits.groupBy("rid").agg(F.collect_set("p").alias("__gone")).withColumnRenamed("rid", "__rid")
-    both = docs.withColumn("__rid", rid).join(places.hint("shuffle_hash"), "__rid", "left")
+    both = docs.withColumn("__rid", rid).join(places, "__rid", "left")
     all_lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(F.transform(all_lines, lambda x, i: F.when(F.array_contains(F.col("__gone"), i), None).otherwise(x)), lambda x: x.isNotNull())
-    out = both.withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    # the lines are split once for the row and picked by their places, so the work is linear in them
+    rest = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.transform(F.array(all_lines), lambda lines: F.array_join(F.transform(rest(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    out = both.withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
     extra = [F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped")] if mark else []
     skip = {"n_lines", "n_dropped"} if mark else set()
     return out.select(*[F.col("__new").alias(text) if c == text else F.col(c) for c in docs.columns if c not in skip], *extra)

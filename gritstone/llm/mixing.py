@@ -73,7 +73,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.
     served = served.withColumn("time", (F.col("upto") + F.col("round") * F.col("source_size")) / F.col("target")).withColumn("range", F.least(F.floor(F.col("time") * (RANGES // 4)), F.lit(RANGES)).cast("int"))
     at = 0
     edge, base = -1, 0
-    for r in served.groupBy("range").agg(F.sum("size").alias("n")).orderBy("range").toLocalIterator():  # RANGES + 1 rows at most
+    for r in served.groupBy("range").agg(F.sum("size").alias("n")).orderBy("range").collect():  # RANGES + 1 rows at most
         if at + r.n > budget:
             edge, base = r.range, at
             break
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.
     last = served.where(F.col("range") == edge).withColumn("part", F.floor(F.col("time") * (RANGES // 4) * 512 - F.lit(edge * 512.0)).cast("int"))
     # within the cut's range the same once more, then row by row in the part where the budget is reached
     cut_part, at = -1, base
-    for r in last.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").toLocalIterator():  # some 512 rows, RANGES being the last range
+    for r in last.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():  # some 512 rows, RANGES being the last range
         if at + r.n > budget:
             cut_part = r.part
             break

@@ -209,16 +209,22 @@ def featurise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     return docs.select(*keep, make(F.col(text).cast("binary")).alias("x"))
 
 
-def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """The model of the labelled rows of `rows` (id_col, x) outside the held-out fold, from `sample` of them at most:
-    those whose hashed id is least, so that reruns agree. Rows without a label are left out; a label given twice counts
-    by its least value."""
-    rows = rows.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != 0)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
+    """The model of the labelled rows of `docs` outside the held-out fold, from `sample` of them at most: those whose
+    hashed id is least, so that reruns agree. The sample is taken from the ids; features are made of its texts only.
+    Rows without a label are left out; a label given twice counts by its least value, an id given twice by the text of
+    least hash."""
+    rows = docs.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != 0)
     known = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"))
-    usable = rows.join(known, id_col).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), "x", "y")
+    usable = rows.select(id_col).distinct().join(known, id_col).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("h"), F.col(id_col).alias("id"), "y")
+    usable = staged(usable, "labelled")
     # all but a little more than the sample goes before the sort
-    part = min(1.0, 1.5 * sample / max(1, rows.select(id_col).join(known, id_col).count()))
-    got = usable.where(F.pmod("h", F.lit(1 << 20)) <= int(part * (1 << 20))).withColumn("h", F.pmod("h", F.lit(1 << 20))).orderBy("h", "id").limit(sample).toPandas()
+    part = min(1.0, 1.5 * sample / max(1, usable.count()))
+    chosen = usable.where(F.col("h") <= int(part * (1 << 20))).orderBy("h", "id").limit(sample)
+    body = F.col(text).cast("binary")
+    texts = rows.select(F.col(id_col).alias("id"), body.alias("t"), F.xxhash64(body).alias("k")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.first("h").alias("h"), F.first("y").alias("y"), F.min_by("t", "k").alias("t"))
+    got = featurise(texts, "t", ("id", "h", "y")).orderBy("h", "id").toPandas()
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(float) if len(got) else np.zeros(0))
 
@@ -228,14 +234,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Labels are learnt from rows whose crc32(id as text) mod `folds` is not 0; a null id is never held out. Null, empty
     and blank texts have features of zero and are scored like others. Repeated rows are scored each. Only features of
-    the text enter a score.
+    the whole text enter a score, however long it is. Other columns of `docs` are not looked at; those named in `keep`
+    pass through. An empty table gives an empty one.
     """
-    rows = staged(featurise(docs, text, (id_col,)), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, id_col, label, folds))
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(np.stack(x.to_list())) if len(x) else [], dtype="float64")
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(id_col, text), labels, id_col, text, label, folds))
 
     @F.pandas_udf("double")
     def score_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -243,9 +245,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pd.Series([z for part in in_pieces(t, lambda c: model.value.score(features(c))) for z in part], dtype="float64")
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    if keep:
-        # wider rows are read again rather than written: features are cheaper than a copy of the texts
-        scored = docs.select(*keep, held.alias("held_out"), score_text(F.col(text).cast("binary")).alias("score"))
-    else:
-        scored = rows.select(id_col, held.alias("held_out"), score("x").alias("score"))
+    scored = docs.select(*(keep or (id_col,)), held.alias("held_out"), score_text(F.col(text).cast("binary")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
