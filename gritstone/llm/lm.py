@@ -1,38 +1,55 @@
-"""Language-model scores from a log-frequency Bloom filter.
-
-Word counts are exact: the most frequent words, at most HEAD of them because each has at least N / HEAD of the N tokens,
-are broadcast; tokens of rarer words meet their counts in a join. Every pair of words that occurs LEAST times is kept,
-so the model grows with the corpus. The broadcast filter holds the frequent pairs only, those whose count is at least
-FLOOR = N / PAIRS; a frequent pair's count is quantised to FLOOR * 2**j, and the pair is entered once for each level up
-to j; a count is read back by probing level after level until one is missing. All other pairs stand in a table, with
-counts quantised to 2**j, that the pairs of the texts meet in a join; none of them is frequent, so no key is large. A
-pair's probability is its quantised count over the context's count, plus what the context leaves over, spread by the
-words' own probabilities; contexts without pairs leave all.
+"""Language-model scores from a log-frequency Bloom filter in shards.
+
+All pairs of neighbouring words of the training texts are counted, exactly and without a floor. A pair's count is
+quantised to a power of two and the pair is entered once for each level up to its own; a count is read back by probing
+level after level until one is missing. The filter has a fixed number of bits an entry, so it grows with the corpus: it
+is cut by hash into shards of a bounded number of training tokens. A worker loads one shard at a time and the probes of
+the texts are sent to it, packed, in place of sending all shards to every worker; one shuffle takes the probes there and
+a second one takes the sums back to where their texts' rows wait. Nothing is joined and no row needs an id.
+
+Words' counts are exact. The most frequent words, at most HEAD of them because each has at least N / HEAD of the N
+tokens, are broadcast; the others stand in the shards. A frequent word's pairs are dealt by the pair, so that no word is
+hot; a rare word's pairs by the word, so that its count is found beside them.
+
+The model is p(b|a) = (c(ab) + k p(b)) / (c(a) + k) with p(b) = (c(b) + 0.1) / (N + 0.1 (V + 1)): pairs smoothed by a
+Dirichlet prior of weight k over the words. Each token of a text is the context of one token (the end also comes before
+the first word), so the denominators are summed where each word's own count is known.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import prepare, staged
-from .vecwords import P_WORDS2, SPACE, U, in_pieces, scramble, small, words
-
-HEAD = 1 << 20
-PAIRS = 1 << 18
-#: A pair that occurs less often is taken as unseen.
-LEAST = 2
-BITS_A_ENTRY, PROBES = 14, 7
+from .vecwords import P_WORDS2, SPACE, U, scramble, small, words
+
+#: Words in the broadcast at most; a place among them has PLACE bits.
+PLACE = 20
+HEAD = 1 << PLACE
+#: Training tokens a shard, and shards at most (20 bits of a hash pick one).
+SHARD_TOKENS, MOST_SHARDS = 1 << 21, 1 << 20
+#: Spark's partitions at most; beyond, a partition has several shards, taken one after the other.
+PARTITIONS = 20_000
+#: Weight of the words' own probabilities, in tokens.
+PRIOR = 100.0
+BITS_A_ENTRY, PROBES = 16, 8
 END = np.array([0xE0D0F7E87], U)
 CHUNK = 2_000_000
+#: Numbers in one packed row at most.
+ROW = 8192
 FOLDS = 10
+LOW = 44
+BLOBS = "shard int, kind byte, chunk long, a binary, b binary, c binary"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,8 +67,8 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, row, first
 
 
-def _counted(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """Distinct values of make(column) with their counts, in chunks."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct tokens with their counts, in chunks."""
     held, n = [], 0
 
     def flush():
@@ -59,7 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
 
     for batch in small(batches, 0):
-        x = make(batch.column(0))
+        x = tokens(batch.column(0))[0]
         held.append(x)
         n += len(x)
         if n >= CHUNK:
@@ -72,13 +89,26 @@ def _counted(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch
 @dataclass
 class Filter:
     bits: np.ndarray  # packed
-    size: int  # of bits, a power of two
+    size: int  # of bits, a power of two; 0 where nothing is entered
+
+    @staticmethod
+    def of(pair: np.ndarray, count: np.ndarray, block: int = 1 << 18) -> Filter:
+        level = levels_of(count)
+        size = 1 << max(10, int(BITS_A_ENTRY * (level + 1).sum()).bit_length())
+        flat = np.zeros(size, bool)
+        for j in range(int(level.max(initial=-1)) + 1):
+            some = pair[level >= j]
+            for a in range(0, len(some), block):
+                for at in Filter.places(some[a : a + block], j, size):
+                    flat[at] = True
+        return Filter(np.packbits(flat, bitorder="little"), size)
 
     @staticmethod
-    def places(pair: np.ndarray, level: int, size: int) -> np.ndarray:
+    def places(pair: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         x = scramble(pair + np.full(1, level, U) * U(P_WORDS2))
         a, b = x & U(0xFFFFFFFF), (x >> U(32)) | U(1)
-        return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=U)) & U(size - 1)).astype(np.int64)
+        for k in range(PROBES):
+            yield ((a + b * U(k)) & U(size - 1)).astype(np.int64)
 
     def has(self, pair: np.ndarray, level: int) -> np.ndarray:
         x = scramble(pair + np.full(1, level, U) * U(P_WORDS2))
@@ -91,36 +121,41 @@ class Filter:
         out[left] = True
         return out
 
-    def levels(self, pair: np.ndarray) -> np.ndarray:
-        """For each pair the number of levels that it is found in: 0 where the filter lacks it."""
-        out = np.zeros(len(pair), np.int64)
-        open_ = np.arange(len(pair))
+    def counts(self, pair: np.ndarray) -> np.ndarray:
+        """Each pair's quantised count: 0 where the filter lacks it."""
+        found = np.zeros(len(pair), np.int64)
+        open_ = np.arange(len(pair)) if self.size else np.zeros(0, np.int64)
         level = 0
         while len(open_):
             open_ = open_[self.has(pair[open_], level)]
             level += 1
-            out[open_] = level
-        return out
+            found[open_] = level
+        return np.where(found > 0, 2.0 ** (found - 1), 0.0)
+
+
+def levels_of(count: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(count, 1)) + 1e-9).astype(np.int64)
 
 
 @dataclass
-class Model:
+class Head:
+    """What every worker has: the frequent words' counts and the totals."""
+
     n: int
     v: int
-    word: np.ndarray  # hashes of the head, sorted
+    word: np.ndarray  # hashes, sorted
     count: np.ndarray
-    rest: np.ndarray  # what each context leaves to the words' own probabilities
-    floor: int
-    filter: Filter | None  # None while the pairs are counted
-    pairs: DataFrame | None = None  # (h, b, c): the pairs that the filter lacks; not broadcast
+    shards: int
+    prior: float
+    chunk: int = CHUNK
+    row: int = ROW
 
-    @property
-    def total(self) -> float:
-        return self.n + 0.1 * (self.v + 1)
+    def own(self, count: np.ndarray) -> np.ndarray:
+        """A word's own probability."""
+        return (count + 0.1) / (self.n + 0.1 * (self.v + 1))
 
     @property
     def shift(self) -> int:
-        """Bits of a place in the head: a pair of its words is both places in one number."""
         return max(1, len(self.word).bit_length())
 
     @cached_property
@@ -140,207 +175,282 @@ class Model:
         p = np.minimum(p, last)
         return np.where(self.word[p] == h, p, -1)
 
+    def by_word(self, h: np.ndarray) -> np.ndarray:
+        return ((scramble(h + U(P_WORDS2)) >> U(LOW)) * U(self.shards)) >> U(20)
 
-@dataclass
-class Look:
-    """The tokens of some texts, where the head has them and their contexts, and their pairs' levels in the filter."""
+    def pairs(self, before: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each pair, and its name there."""
+        x = scramble(before * U(P_WORDS2) + scramble(h))
+        return np.where(place >= 0, ((x >> U(LOW)) * U(self.shards)) >> U(20), self.by_word(h)), x & U((1 << LOW) - 1)
 
-    h: np.ndarray
-    row: np.ndarray
-    first: np.ndarray
-    before: np.ndarray
-    place: np.ndarray
-    context: np.ndarray
-    level: np.ndarray
 
-    @staticmethod
-    def at(m: Model, column: pa.Array) -> Look:
-        h, row, first = tokens(column)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[first[:-1]] = END[0]
-        place = m.place(h)
-        context = np.empty_like(place)
-        context[1:] = place[:-1]
-        context[first[:-1]] = m.place(END)[0]
-        level = np.zeros(len(h), np.int64)
-        if m.filter is not None:
-            ask = np.flatnonzero((place >= 0) & (context >= 0))
-            ask = ask[(m.count[place[ask]] >= m.floor) & (m.count[context[ask]] >= m.floor)]
-            level[ask] = m.filter.levels((context[ask].astype(U) << U(m.shift)) | place[ask].astype(U))
-        return Look(h, row, first, before, place, context, level)
-
-    def others(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose pair the filter lacks, and the pair as (h, b): of words of the head both places and 0; else the
-        hashes of both words."""
-        i = np.flatnonzero(self.level == 0)
-        place, context = self.place[i], self.context[i]
-        both = (place >= 0) & (context >= 0)
-        joint = (np.maximum(context, 0) << m.shift) | np.maximum(place, 0)
-        return i, np.where(both, joint, self.before[i].view(np.int64)), np.where(both, 0, self.h[i].view(np.int64))
-
-
-def _all_pairs(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-    """(h, b, n): distinct pairs with their counts, in chunks."""
-    held, size = [], 0
+def _before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[first[:-1]] = END[0]
+    return out
+
+
+class Rows:
+    """Packed rows on their way to a batch."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, shard: int, kind: int, chunk: int, a=b"", b=b"", c=b"") -> None:
+        self.rows.append((shard, kind, chunk, *(x if isinstance(x, bytes) else x.tobytes() for x in (a, b, c))))
+
+    def batch(self) -> pa.RecordBatch:
+        cols, self.rows = list(zip(*self.rows)) or [[]] * 6, []
+        kinds = (pa.int32(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["shard", "kind", "chunk", "a", "b", "c"])
+
+
+def _cuts(shard: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted shards, `most` at a time."""
+    edge = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        for i in range(a, b, most):
+            yield int(shard[a]), i, min(b, i + most)
+
+
+_MOST = (1 << 20) - 1
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBatch]:
+    """Kind 1: a is the distinct pairs of some shard with their counts in a chunk, name << 20 | count."""
+    held, n = [], 0
 
     def flush():
-        h, b = (np.concatenate(x) for x in zip(*held))
-        joint = b == 0
-        k, n = np.unique(h[joint], return_counts=True)
-        h, b = h[~joint], b[~joint]
-        _, i, more = np.unique(scramble(h.view(U) + b.view(U) * U(P_WORDS2)), return_index=True, return_counts=True)
-        cols = np.concatenate((k, h[i])), np.concatenate((np.zeros_like(k), b[i])), np.concatenate((n, more))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["h", "b", "n"])
+        out = Rows()
+        key, c = np.unique(np.concatenate(held), return_counts=True)
+        more = -(-c // _MOST)
+        if (more > 1).any():
+            key, c = np.repeat(key, more), np.repeat(-(-c // more), more)  # a little too many of some millions
+        shard, packed = (key >> U(LOW)).astype(np.int64), (key << U(20)) | c.astype(U)
+        for s, i, j in _cuts(shard, m.row):
+            out.add(s, 1, 0, packed[i:j])
+        return out.batch()
 
     for batch in small(batches, 0):
-        i, h, b = Look.at(m, batch.column(0)).others(m)
-        held.append((h, b))
-        size += len(i)
-        if size >= CHUNK // 2:
-            yield flush()
-            held, size = [], 0
-    if size:
+        h, _, first = tokens(batch.column(0))
+        before = _before(h, first)
+        for a in range(0, len(h), m.chunk):
+            x = h[a : a + m.chunk]
+            shard, name = m.pairs(before[a : a + m.chunk], x, m.place(x))
+            held.append((shard << U(LOW)) | name)
+            n += len(x)
+            if n >= m.chunk:
+                yield flush()
+                held, n = [], 0
+    if n:
         yield flush()
 
 
-def quantised(floor: int) -> Column:
-    """A pair's count c as the model takes it."""
-    unit = F.when(frequent(floor), F.lit(floor)).otherwise(F.lit(1))
-    return unit * F.pow(F.lit(2.0), F.floor(F.log2(F.col("c") / unit) + F.lit(1e-9)))
+def _rare_words(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBatch]:
+    """Kind 0: a and b are words and counts."""
+    for batch in batches:
+        h, c = batch.column(0).to_numpy(zero_copy_only=False).view(U), batch.column(1).to_numpy(zero_copy_only=False)
+        shard = m.by_word(h).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        out = Rows()
+        for s, i, j in _cuts(shard[order], m.row):
+            out.add(s, 0, 0, h[order[i:j]], c[order[i:j]].astype(np.int64))
+        if out.rows:
+            yield out.batch()
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a shard, kind 0: the filter's bits, the rare words sorted, their counts. Rows come sorted by shard."""
+    now, pairs, rare, size = None, [], [], 0
+
+    def merged() -> list:
+        name, c = (np.concatenate(x) for x in zip(*pairs))
+        order = np.argsort(name)
+        name, c = name[order], c[order]
+        at = np.flatnonzero(np.diff(name, prepend=U(0)) | (np.arange(len(name)) == 0).astype(U))
+        return [(name[at], np.add.reduceat(c, at))]
+
+    def done():
+        f = Filter.of(*merged()[0]) if pairs else Filter(np.zeros(0, np.uint8), 0)
+        h, c = (np.concatenate(x) for x in zip(*rare)) if rare else (np.zeros(0, U), np.zeros(0, np.int64))
+        order = np.argsort(h)
+        out = Rows()
+        out.add(now, 0, 0, f.bits, h[order], c[order])
+        return out.batch()
+
+    for batch in batches:
+        for shard, kind, _, a, b, _ in zip(*(x.to_pylist() for x in batch.columns)):
+            if now is not None and shard != now:
+                yield done()
+                pairs, rare, size = [], [], 0
+            now = shard
+            if kind == 0:
+                rare.append((np.frombuffer(a, U), np.frombuffer(b, np.int64)))
+            else:
+                x = np.frombuffer(a, U)
+                pairs.append((x >> U(20), (x & U(_MOST)).astype(np.int64)))
+                size += len(x)
+                if size > 4 * CHUNK:
+                    pairs, size = merged(), 0
+    if now is not None:
+        yield done()
+
+
+@dataclass
+class Model:
+    head: Head
+    shards: DataFrame  # a row a shard
+
+    @property
+    def n(self) -> int:
+        return self.head.n
 
 
-def frequent(floor: int) -> Column:
-    """Pairs that the filter has."""
-    return (F.col("b") == 0) & (F.col("c") >= floor)
+def _dealt(rows: DataFrame, shards: int, by: str = "shard") -> DataFrame:
+    return rows.repartition(max(1, min(shards, PARTITIONS)), by).sortWithinPartitions(by, "kind")
 
 
-def train(docs: DataFrame, text: str = "text", head: int = HEAD, pairs: int = PAIRS) -> tuple[Model, DataFrame]:
-    """The model of all rows of `docs`, and of all words the exact counts and what they leave as contexts (h, c, rest).
-    An empty table knows nothing."""
-    prepare(docs.sparkSession)
+def train(docs: DataFrame, text: str = "text", head: int = HEAD, prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS, chunk: int = CHUNK, row: int = ROW) -> Model:
+    """The model of all rows of `docs`, whole texts; null texts are empty, repeated rows count each. An empty table knows
+    nothing. Other columns are not looked at."""
+    spark = docs.sparkSession
+    prepare(spark)
     body = docs.select(F.col(text).cast("binary").alias("t"))
-    counts = staged(body.mapInArrow(lambda b: _counted(b, lambda c: tokens(c)[0]), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
+    counts = staged(body.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # at most `head` words can have n / head of the n tokens
-    top = counts.where(F.col("c") >= -(-n // head)).toArrow()
+    least = -(-n // min(head, HEAD - 1)) if n else 1
+    top = counts.where(F.col("c") >= least).toArrow()
     word, count = top.column(0).to_numpy().view(U), top.column(1).to_numpy()
     order = np.argsort(word)
-    word, count = word[order], count[order]
-    floor = max(2, -(-n // pairs))
-    model = Model(n, v, word, count, np.ones(len(word)), floor, None)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = body.mapInArrow(lambda b: _all_pairs(b, shared.value), "h long, b long, n long").groupBy("h", "b").agg(F.sum("n").alias("c"))
-    found = staged(found.where(F.col("c") >= LEAST), "pairs")
-    # at most `pairs` of them can have n / pairs of the n tokens
-    kept = found.where(frequent(floor)).select("h", "c").toArrow()
-    pair, c = kept.column(0).to_numpy().view(U), kept.column(1).to_numpy()
-    level = np.floor(np.log2(np.maximum(c, floor) / floor) + 1e-9).astype(np.int64)
-    size = 1 << max(10, int(BITS_A_ENTRY * (level + 1).sum()).bit_length())
-    flat = np.zeros(size, bool)
-    for j in range(int(level.max()) + 1 if len(level) else 0):
-        flat[Filter.places(pair[level >= j], j, size).ravel()] = True
-    # what the pairs use of their contexts: of words of the head by place, of others by hash
-    used = np.zeros(len(word))
-    by_place = found.where("b = 0").groupBy(F.shiftright("h", model.shift).alias("p")).agg(F.sum(quantised(floor)).alias("m")).toArrow()
-    used[by_place.column(0).to_numpy()] += by_place.column(1).to_numpy()
-    by_word = staged(found.where("b <> 0").groupBy("h").agg(F.sum(quantised(floor)).alias("m")).join(counts, "h"), "masses")
-    of_head = by_word.where(F.col("c") >= -(-n // head)).select("h", "m").toArrow()
-    used[model.place(of_head.column(0).to_numpy().view(U))] += of_head.column(1).to_numpy()
-    rest = np.maximum(1 - used / np.maximum(count, 1), 1e-6)
-    left = counts.join(by_word.select("h", "m"), "h", "left").select("h", "c", F.greatest(1 - F.coalesce("m", F.lit(0.0)) / F.col("c"), F.lit(1e-6)).alias("rest"))
-    model = Model(n, v, word, count, rest, floor, Filter(np.packbits(flat, bitorder="little"), size), found.where(~frequent(floor)))
-    return model, staged(left, "words-left")
-
-
-def _gains(model: Model, counts: DataFrame, shared) -> DataFrame:
-    """(h, b, gain): what each pair outside the filter adds to the logarithm of its word's probability without it."""
-
-    @F.pandas_udf("double")
-    def of_head(h: pd.Series, c: pd.Series) -> pd.Series:
-        m, h = shared.value, h.to_numpy()
-        a, b = h >> m.shift, h & ((1 << m.shift) - 1)
-        own = m.rest[a] * (m.count[b] + 0.1) / m.total
-        p = np.minimum(1.0, 2.0 ** np.floor(np.log2(c.to_numpy()) + 1e-9) / m.count[a] + own)
-        return pd.Series(np.log10(p) - np.log10(own), dtype="float64")
-
-    @F.pandas_udf("ca long, rest double, cb long")
-    def known(h: pd.Series, b: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        a, b_ = m.place(h.to_numpy().view(U)), m.place(b.to_numpy().view(U))
-        if not len(m.word):
-            return pd.DataFrame({"ca": a * 0, "rest": a * 1.0, "cb": b_ * 0})
-        return pd.DataFrame({"ca": np.where(a >= 0, m.count[a], 0), "rest": np.where(a >= 0, m.rest[a], 1.0), "cb": np.where(b_ >= 0, m.count[b_], 0)})
-
-    cols = ["h", "b", "c", "ca", "rest", "cb"]
-    rows = model.pairs.where("b <> 0").withColumn("x", known("h", "b")).select("h", "b", "c", "x.*")
-    # rare words only are joined, so no key is large
-    rare = rows.where("ca = 0").drop("ca", "rest").join(counts.select("h", F.col("c").alias("ca"), "rest"), "h").select(*cols)
-    rows = rows.where("ca > 0").select(*cols).unionByName(rare)
-    rare = rows.where("cb = 0").drop("cb").join(counts.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b").select(*cols)
-    rows = staged(rows.where("cb > 0").unionByName(rare), "rare-pairs")
-    own = F.col("rest") * (F.col("cb") + 0.1) / F.lit(model.total)
-    p = F.least(F.lit(1.0), quantised(model.floor) / F.col("ca") + own)
-    return model.pairs.where("b = 0").select("h", "b", of_head("h", "c").alias("gain")).unionByName(rows.select("h", "b", (F.log10(p) - F.log10(own)).alias("gain")))
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens, n_known, base_score and score (log10 probabilities of the whole text). Null texts are empty."""
+    shards = max(1, min(MOST_SHARDS, -(-n // shard_tokens)))
+    model = Head(n, v, word[order], count[order], shards, prior, chunk, row)
+    shared = spark.sparkContext.broadcast(model)
+    pairs = body.mapInArrow(lambda b: _pair_counts(b, shared.value), BLOBS)
+    rare = counts.where(F.col("c") < least).mapInArrow(lambda b: _rare_words(b, shared.value), BLOBS)
+    return Model(model, staged(_dealt(pairs.unionByName(rare), shards).mapInArrow(_build, BLOBS), "shards"))
+
+
+def _probes(batches: Iterator[pa.RecordBatch], m: Head, batch_text: int) -> Iterator[pa.RecordBatch]:
+    """For each piece of a batch: kind 1, probes of frequent words; kind 2, of rare words (a: rows, b: how many of each, c:
+    the probes); kind 3, the kept columns, what the head knows of each row, the number of other rows sent."""
+    part = TaskContext.get().partitionId()
+    for number, batch in enumerate(small(batches, batch_text)):
+        column = batch.column(batch_text)
+        h, row, first = tokens(column)
+        seal = xxhash.xxh64(h.tobytes(), seed=number).intdigest() >> 20
+        chunk = (part << 44 ^ seal) & ((1 << 63) - 1)
+        before = _before(h, first)
+        rows = len(column)
+        known, base, score = np.zeros(rows), np.zeros(rows), np.zeros(rows)
+        out, sent = Rows(), 0
+        for i in range(0, len(h), m.chunk):
+            x, r = h[i : i + m.chunk], row[i : i + m.chunk]
+            place = m.place(x)
+            got = place >= 0
+            c = m.count[place[got]] if len(m.count) else np.zeros(0)
+            log = np.log10(m.own(c))
+            known += np.bincount(r[got], minlength=rows)
+            base += np.bincount(r[got], log, rows)
+            score += np.bincount(r[got], log + np.log10(m.prior) - np.log10(c + m.prior), rows)
+            shard, name = m.pairs(before[i : i + m.chunk], x, place)
+            order = np.argsort(shard, kind="stable")
+            for kind, some in ((1, order[got[order]]), (2, order[~got[order]])):
+                packed = (name[some] << U(PLACE)) | place[some].astype(U) if kind == 1 else np.stack((name[some], x[some]), 1)
+                for s, a, b in _cuts(shard[some].astype(np.int64), m.row):
+                    at = r[some[a:b]]
+                    edge = np.flatnonzero(np.diff(at, prepend=-1))
+                    out.add(s, kind, chunk, at[edge].astype(np.int32), np.diff(edge, append=b - a).astype(np.int32), packed[a:b])
+                    sent += 1
+        sink = pa.BufferOutputStream()
+        kept = pa.RecordBatch.from_arrays(batch.columns[:batch_text], batch.schema.names[:batch_text]) if batch_text else None
+        if kept is not None:
+            with pa.ipc.new_stream(sink, kept.schema) as w:
+                w.write_batch(kept)
+        about = np.stack((np.diff(first).astype(float), known, base, score))
+        out.add(chunk % m.shards, 3, chunk, sink.getvalue().to_pybytes(), about, np.array([sent], np.int64))
+        yield out.batch()
+
+
+def _answers(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBatch]:
+    """Of the probes of each packed row, summed by text: kind 1 with a: rows, b: sums of known, base and score. Rows come
+    sorted by shard, its filter first. Kind 3 passes."""
+    now = None
+    for batch in batches:
+        out = Rows()
+        for shard, kind, chunk, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+            if shard != now:
+                now, f, word, count = shard, Filter(np.zeros(0, np.uint8), 0), np.zeros(0, U), np.zeros(0, np.int64)
+            if kind == 0:
+                f, word, count = Filter(np.frombuffer(a, np.uint8), 8 * len(a)), np.frombuffer(b, U), np.frombuffer(c, np.int64)
+                continue
+            if kind == 3:
+                out.add(shard, 0, chunk, a, b, c)
+                continue
+            n = np.frombuffer(b, np.int32)
+            at = np.cumsum(n) - n
+            ask = np.frombuffer(c, U)
+            if kind == 1:
+                had = f.counts(ask >> U(PLACE))
+                own = m.prior * m.own(m.count[(ask & U(HEAD - 1)).astype(np.int64)])
+                known = base = np.zeros(len(ask))
+                score = np.where(had > 0, np.log10(had + own) - np.log10(own), 0.0)
+            else:
+                name, h = ask.reshape(-1, 2).T
+                p = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
+                seen = np.where(word[p] == h, count[p], 0) if len(word) else np.zeros(len(h), np.int64)
+                had = np.zeros(len(h))
+                had[seen > 0] = f.counts(name[seen > 0])
+                known, base = (seen > 0).astype(float), np.log10(m.own(seen))
+                score = np.log10(had + m.prior * m.own(seen)) - np.log10(seen + m.prior)
+            out.add(shard, 1, chunk, a, np.stack([np.add.reduceat(x, at) for x in (known, base, score)]))
+        if out.rows:
+            yield out.batch()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The texts' rows with their sums. Rows come sorted by chunk, what was kept of it first."""
+    now, kept, about, left = None, None, None, 0
+
+    def done():
+        if left:
+            raise RuntimeError("a chunk of texts lacks some of its sums: the input's rows came in another order when a task was repeated")
+        cols = [pa.array(about[0].astype(np.int64)), pa.array(np.rint(about[1]).astype(np.int64)), pa.array(about[2]), pa.array(about[3])]
+        return pa.RecordBatch.from_arrays([*(kept.columns if kept is not None else []), *cols], names)
+
+    for batch in batches:
+        for _, kind, chunk, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+            if kind == 0:
+                if now is not None:
+                    yield done()
+                now, left = chunk, int(np.frombuffer(c, np.int64)[0])
+                kept = pa.ipc.open_stream(a).read_next_batch() if a else None
+                about = np.frombuffer(b, float).reshape(4, -1).copy()
+                continue
+            if chunk != now:
+                raise RuntimeError("sums of a chunk of texts whose rows are not there")
+            about[1:, np.frombuffer(a, np.int32)] += np.frombuffer(b, float).reshape(3, -1)
+            left -= 1
+    if now is not None:
+        yield done()
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities of the whole text). Null
+    texts are empty, repeated rows are scored each, ties are nothing special, an empty table gives an empty one. Columns
+    with the names of new ones are replaced; others pass through, whatever their names and types."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(replace(model, pairs=None))
-    total = model.total
-
-    def measure(column: pa.Array) -> pd.DataFrame:
-        m = shared.value
-        look = Look.at(m, column)
-        h, row, first, place, context = look.h, look.row, look.first, look.place, look.context
-        rows = len(column)
-        got = place >= 0
-        own = np.zeros(len(h))
-        own[got] = (m.count[place[got]] + 0.1) / total
-        left = np.where(context >= 0, m.rest[context], 1.0) if len(m.rest) else np.ones(len(h))
-        p = left * own
-        i = np.flatnonzero(look.level)
-        p[i] += m.floor * 2.0 ** (look.level[i] - 1) / m.count[context[i]]
-        base = np.bincount(row, np.log10(own, where=got, out=np.zeros(len(h))), rows)
-        # a rare word's own probability is added after the join; here it leaves its context's share
-        mine = np.bincount(row, np.where(got, np.log10(np.where(got, np.minimum(p, 1.0), 1.0)), np.log10(left)), rows)
-        rare = h[~got].view(np.int64)
-        cut = np.concatenate(([0], np.cumsum(np.bincount(row[~got], minlength=rows))))
-        return pd.DataFrame({"n_tokens": np.diff(first), "n_known": np.bincount(row[got], minlength=rows), "base": base, "model": mine, "rare": [rare[cut[i] : cut[i + 1]] for i in range(rows)]})
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in small(batches):
-            look = Look.at(m, batch.column(1))
-            i, h, b = look.others(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(look.row[i])), pa.array(h), pa.array(b)], ["rid", "h", "b"])
-
-    @F.pandas_udf("n_tokens long, n_known long, base double, model double, rare array<long>")
-    def head(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            yield pd.concat([*in_pieces(t, measure)], ignore_index=True) if len(t) else measure(pa.array([], pa.binary()))
-
+    m, shards = spark.sparkContext.broadcast(model.head), model.head.shards
     new = ["n_tokens", "n_known", "base_score", "score"]
     cols = [c for c in docs.columns if c not in new and c != text]
-    first = staged(docs.select(*cols, F.col(text).cast("binary").alias("__t")).withColumn("__x", head("__t")).withColumn("__rid", F.xxhash64(*cols, "__t")).select(*cols, "__rid", "__x.*"), "head-scores")
-    rare = first.where(F.size("rare") > 0).select("__rid", F.explode("rare").alias("h")).groupBy("__rid", "h").agg(F.count("*").alias("k"))
-    # each word is the context of one token, so what a rare word leaves is added where its own probability is
-    seen = rare.join(counts, "h", "left").select("__rid", "k", F.coalesce("c", F.lit(0)).alias("c"), F.log10(F.coalesce("rest", F.lit(1.0))).alias("left"))
-    logp = F.log10((F.col("c") + 0.1) / F.lit(total))
-    sums = seen.groupBy("__rid").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * logp).alias("more"), F.sum(F.col("k") * F.col("left")).alias("left"))
-    met = docs.select(F.xxhash64(*cols, F.col(text).cast("binary")).alias("rid"), F.col(text).cast("binary").alias("t")).mapInArrow(others, "rid long, h long, b long")
-    met = met.join(_gains(model, counts, shared).hint("shuffle_hash"), ["h", "b"]).groupBy("rid").agg(F.sum("gain").alias("gain"))
-    copies = first.groupBy(F.col("__rid").alias("rid")).agg(F.count("*").alias("copies"))
-    gains = met.join(copies, "rid").select(F.col("rid").alias("__rid"), (F.col("gain") / F.col("copies")).alias("gain"))
-    out = first.drop("rare").join(sums, "__rid", "left").join(gains, "__rid", "left")
-    # repeated rows share an id, so their rare words were counted together
-    share = F.when(F.col("k").isNull(), F.lit(0.0)).otherwise(F.col("more") / F.col("k") * F.col("n_rare"))
-    out = out.withColumn("n_rare", F.col("n_tokens") - F.col("n_known"))
-    pairs = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("k").isNull(), F.lit(0.0)).otherwise(F.col("left") / F.col("k") * F.col("n_rare"))
-    known = F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.round(F.col("known") / F.col("k") * F.col("n_rare"))).cast("long")
-    return out.select(*cols, "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + share).alias("base_score"), (F.col("model") + share + pairs).alias("score"))
+    at = len(cols)
+    rows = docs.select(*cols, F.col(text).cast("binary").alias("__text"))
+    probes = rows.mapInArrow(lambda b: _probes(b, m.value, at), BLOBS)
+    answers = _dealt(model.shards.unionByName(probes), shards).mapInArrow(lambda b: _answers(b, m.value), BLOBS)
+    made = [T.StructField(c, k) for c, k in zip(new, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))]
+    return _dealt(answers, shards, "chunk").mapInArrow(lambda b: _gathered(b, cols + new), T.StructType([*docs.select(*cols).schema.fields, *made]))
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -349,5 +459,5 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
     Repeated rows are learnt from and scored each."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text).alias("text"))
-    model, counts = train(rows.where(~F.col("held_out")), "text")
-    return score(rows, model, counts, "text").withColumn("train_tokens", F.lit(model.n).cast("long")).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = train(rows.where(~F.col("held_out")), "text")
+    return score(rows, model, "text").withColumn("train_tokens", F.lit(model.n).cast("long")).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -211,62 +211,68 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
 def test_lm(docs, none):
     got = by(lm.score_corpus(docs).collect())
     assert sum(map(len, got.values())) == len(ROWS) and got[1][0].n_tokens == 1 and got[1][0].base_score == got[2][0].base_score
-    assert all(np.isfinite(r.score) for v in got.values() for r in v)
+    assert all(np.isfinite(r.score) for v in got.values() for r in v) and got[4][0].score == got[4][1].score
     assert lm.score_corpus(none).count() == 0
+    # columns of any name and type pass through
+    model = lm.train(docs)
+    clash = {"base": F.lit(1), "model": F.lit("m"), "rare": F.array(F.lit(1)), "kind": F.create_map(F.lit("a"), F.lit(1)), "chunk": F.lit(None).cast("string"), "n_known": F.lit("old"), "shard": F.struct(F.lit(1).alias("a"))}
+    got = lm.score(docs.withColumns(clash), model)
+    assert got.columns[-4:] == ["n_tokens", "n_known", "base_score", "score"] and got.count() == len(ROWS)
+    assert {(r.kind["a"], r.shard.a, r.model, r.chunk) for r in got.collect()} == {(1, 1, "m", None)}
+    only = lm.score(docs.select("text"), model)
+    assert only.columns == ["n_tokens", "n_known", "base_score", "score"] and only.count() == len(ROWS)
+    assert lm.score(docs, lm.train(none)).where("score <> 0 or base_score <> 0 or n_known <> 0").count() == 0
 
 
 def test_lm_filter_reads_back_levels():
     rnd = np.random.default_rng(2)
-    keys = rnd.integers(0, 2**63, 4000).astype(np.uint64)
-    level = rnd.integers(0, 6, 2000)
-    size = 1 << 17
-    bits = np.zeros(size, bool)
-    for j in range(6):
-        bits[lm.Filter.places(keys[:2000][level >= j], j, size).ravel()] = True
-    f = lm.Filter(np.packbits(bits, bitorder="little"), size)
-    assert (f.levels(keys[:2000]) >= level + 1).all() and (f.levels(keys[:2000]) == level + 1).mean() > 0.98 and (f.levels(keys[2000:]) == 0).mean() > 0.98
+    keys = rnd.integers(0, 2**44, 4000).astype(np.uint64)
+    count = rnd.integers(1, 60, 2000)
+    f = lm.Filter.of(keys[:2000], count)
+    want = 2.0 ** np.floor(np.log2(count))
+    assert (f.counts(keys[:2000]) >= want).all() and (f.counts(keys[:2000]) == want).mean() > 0.99 and (f.counts(keys[2000:]) == 0).mean() > 0.99
+    empty = lm.Filter.of(keys[:0], count[:0])
+    assert not empty.counts(keys[:5]).any()
 
 
 def test_lm_prefers_seen_pairs(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(x for _ in range(200) for x in rnd.choice((["the", "cat"], ["a", "dog"])))) for i in range(60)]
-    model, counts = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), pairs=1 << 8)
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
     test = spark.createDataFrame([(1, "the cat a dog"), (2, "the dog a cat")], "doc_id long, text string")
-    got = {r.doc_id: (r.base_score, r.score) for r in lm.score(test, model, counts).collect()}
+    got = {r.doc_id: (r.base_score, r.score) for r in lm.score(test, model).collect()}
     assert got[1][0] == pytest.approx(got[2][0]) and got[1][1] > got[1][0] and got[1][1] > got[2][1] + 2
 
 
-@pytest.mark.parametrize("head", [1 << 20, 1 << 6])
-def test_lm_knows_every_repeated_pair(spark, head):
-    # the filter's floor is far above most pairs' counts; words are in the head or not
+@pytest.mark.parametrize("head,shard_tokens", [(1 << 19, 1 << 21), (1 << 6, 500), (1, 100)])
+def test_lm_is_the_plain_model(spark, head, shard_tokens):
+    # every pair counts, those that occur once too; words are in the head or not; texts longer than a chunk and a row
     rnd = random.Random(4)
     vocab = [f"v{i}" for i in range(300)]
     texts = [" ".join(vocab[min(int(rnd.expovariate(0.02)), 299)] for _ in range(rnd.randint(0, 60))) for _ in range(200)]
-    texts.append(texts[0])
-    rows = spark.createDataFrame([(i % 200, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model, counts = lm.train(rows, head=head, pairs=1 << 7)
+    texts += [texts[0], " ".join(texts[:40])]
+    rows = spark.createDataFrame([(i % 200, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    model = lm.train(rows, head=head, shard_tokens=shard_tokens, chunk=700, row=50)
+    assert (model.head.shards > 10) == (shard_tokens < 1000) and len(model.head.word) <= head
     c, pair = Counter(), Counter()
     for t in texts:
         w = [None, *t.split(), None]
         c.update(w[1:])
         pair.update(zip(w, w[1:]))
-    n, total = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    floor = max(2, -(-n // (1 << 7)))
-    q = {x: (floor if k >= floor else 1) * 2 ** int(math.log2(k / (floor if k >= floor else 1))) for x, k in pair.items() if k >= 2}
-    assert sum(k < floor for k in q.values()) > 100
-    used = Counter()
-    for (a, _), k in q.items():
-        used[a] += k
+    total = sum(c.values()) + 0.1 * (len(c) + 1)
     new = [(-1, "v1 v2 never v3"), (-2, None)]
-    got = lm.score(rows.unionByName(spark.createDataFrame(new, "doc_id long, text string")), model, counts).collect()
-    want = dict(new) | dict(enumerate(texts[:200]))
-    assert len(got) == 203
-    off = 0
-    for r in got:
-        w = [None, *(want[r.doc_id] or "").split(), None]
-        s = sum(math.log10(min(1, q.get((a, b), 0) / max(c[a], 1) + (max(1 - used[a] / c[a], 1e-6) if c[a] else 1) * (c[b] + 0.1) / total)) for a, b in zip(w, w[1:]))
-        off += abs(r.score - s) > 1e-6
-    assert off <= 4  # a filter of 14 bits an entry may take a pair for another
+    got = lm.score(rows.unionByName(spark.createDataFrame(new, "doc_id long, text string")), model).collect()
+    assert len(got) == 204
+    want = Counter()
+    for i, t in [*enumerate(texts), *new]:
+        w = [None, *(t or "").split(), None]
+        own = {b: (c[b] + 0.1) / total for b in w}
+        q = {x: 2 ** int(math.log2(pair[x])) if pair[x] else 0 for x in zip(w, w[1:])}
+        s = sum(math.log10((q[a, b] + lm.PRIOR * own[b]) / (c[a] + lm.PRIOR)) for a, b in zip(w, w[1:]))
+        want[i % 200 if i >= 0 else i, len(w) - 1, sum(c[b] > 0 for b in w[1:]), round(sum(math.log10(own[b]) for b in w[1:]), 6), round(s, 5)] += 1
+    have = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 5)) for r in got)
+    assert sum((want - have).values()) <= 4  # a filter of 16 bits an entry may take a pair for another
+    assert Counter(k[:4] for k in want.elements()) == Counter(k[:4] for k in have.elements())
 
 
 def test_media(docs, none):
