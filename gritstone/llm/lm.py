@@ -48,7 +48,9 @@ CHUNK = 2_000_000
 #: Numbers in one packed row at most.
 ROW = 8192
 FOLDS = 10
-LOW = 44
+#: Bits of a pair's name within its shard: of some million names one in 50,000 is taken for another, far less than by the
+#: filter.
+LOW = 36
 BLOBS = "shard int, kind byte, chunk long, a binary, b binary, c binary"
 
 
@@ -176,12 +178,12 @@ class Head:
         return np.where(self.word[p] == h, p, -1)
 
     def by_word(self, h: np.ndarray) -> np.ndarray:
-        return ((scramble(h + U(P_WORDS2)) >> U(LOW)) * U(self.shards)) >> U(20)
+        return ((scramble(h + U(P_WORDS2)) >> U(44)) * U(self.shards)) >> U(20)
 
     def pairs(self, before: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The shard of each pair, and its name there."""
         x = scramble(before * U(P_WORDS2) + scramble(h))
-        return np.where(place >= 0, ((x >> U(LOW)) * U(self.shards)) >> U(20), self.by_word(h)), x & U((1 << LOW) - 1)
+        return np.where(place >= 0, ((x >> U(44)) * U(self.shards)) >> U(20), self.by_word(h)), x & U((1 << LOW) - 1)
 
 
 def _before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -191,6 +193,19 @@ def _before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def narrow(x: np.ndarray, width: int, planes: bool = False) -> bytes:
+    """The lowest `width` bytes of each number; with `planes` all first bytes before all second ones, which compresses."""
+    b = x.astype(U).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(b.T if planes else b).tobytes()
+
+
+def wide(data: bytes, width: int, planes: bool = False) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = b.reshape(width, -1).T if planes else b.reshape(-1, width)
+    return out.view(U)[:, 0]
+
+
 class Rows:
     """Packed rows on their way to a batch."""
 
@@ -218,7 +233,7 @@ _MOST = (1 << 20) - 1
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBatch]:
-    """Kind 1: a is the distinct pairs of some shard with their counts in a chunk, name << 20 | count."""
+    """Kind 1: a is the distinct pairs of some shard in a chunk, as differences of their sorted names, b their counts."""
     held, n = [], 0
 
     def flush():
@@ -227,9 +242,9 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.Reco
         more = -(-c // _MOST)
         if (more > 1).any():
             key, c = np.repeat(key, more), np.repeat(-(-c // more), more)  # a little too many of some millions
-        shard, packed = (key >> U(LOW)).astype(np.int64), (key << U(20)) | c.astype(U)
+        shard, name = (key >> U(LOW)).astype(np.int64), key & U((1 << LOW) - 1)
         for s, i, j in _cuts(shard, m.row):
-            out.add(s, 1, 0, packed[i:j])
+            out.add(s, 1, 0, narrow(np.diff(name[i:j], prepend=U(0)), 5, True), narrow(c[i:j], 3, True))
         return out.batch()
 
     for batch in small(batches, 0):
@@ -288,9 +303,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 rare.append((np.frombuffer(a, U), np.frombuffer(b, np.int64)))
             else:
-                x = np.frombuffer(a, U)
-                pairs.append((x >> U(20), (x & U(_MOST)).astype(np.int64)))
-                size += len(x)
+                pairs.append((np.cumsum(wide(a, 5, True)), wide(b, 3, True).astype(np.int64)))
+                size += len(b) // 3
                 if size > 4 * CHUNK:
                     pairs, size = merged(), 0
     if now is not None:
@@ -357,11 +371,11 @@ def _probes(batches: Iterator[pa.RecordBatch], m: Head, batch_text: int) -> Iter
             shard, name = m.pairs(before[i : i + m.chunk], x, place)
             order = np.argsort(shard, kind="stable")
             for kind, some in ((1, order[got[order]]), (2, order[~got[order]])):
-                packed = (name[some] << U(PLACE)) | place[some].astype(U) if kind == 1 else np.stack((name[some], x[some]), 1)
+                name_, other = name[some], place[some].astype(U) if kind == 1 else x[some]
                 for s, a, b in _cuts(shard[some].astype(np.int64), m.row):
                     at = r[some[a:b]]
                     edge = np.flatnonzero(np.diff(at, prepend=-1))
-                    out.add(s, kind, chunk, at[edge].astype(np.int32), np.diff(edge, append=b - a).astype(np.int32), packed[a:b])
+                    out.add(s, kind, chunk, at[edge].astype(np.int32), np.diff(edge, append=b - a).astype(np.int32), narrow((name_[a:b] << U(PLACE)) | other[a:b], 7) if kind == 1 else narrow(name_[a:b], 5) + other[a:b].tobytes())
                     sent += 1
         sink = pa.BufferOutputStream()
         kept = pa.RecordBatch.from_arrays(batch.columns[:batch_text], batch.schema.names[:batch_text]) if batch_text else None
@@ -390,14 +404,14 @@ def _answers(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBa
                 continue
             n = np.frombuffer(b, np.int32)
             at = np.cumsum(n) - n
-            ask = np.frombuffer(c, U)
             if kind == 1:
+                ask = wide(c, 7)
                 had = f.counts(ask >> U(PLACE))
                 own = m.prior * m.own(m.count[(ask & U(HEAD - 1)).astype(np.int64)])
                 known = base = np.zeros(len(ask))
                 score = np.where(had > 0, np.log10(had + own) - np.log10(own), 0.0)
             else:
-                name, h = ask.reshape(-1, 2).T
+                name, h = wide(c[: 5 * n.sum()], 5), np.frombuffer(c[5 * n.sum() :], U)
                 p = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
                 seen = np.where(word[p] == h, count[p], 0) if len(word) else np.zeros(len(h), np.int64)
                 had = np.zeros(len(h))
