@@ -53,24 +53,15 @@ def line_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
 
 
-def _breaks(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-
-
 def match_lines(text: Column, pattern: str) -> Column:
     """The 1-based line of every match of an RE2 pattern, in order, matches leftmost and not overlapping.
 
-    A sentinel is put before every match; the line ends up to each are summed in one fold over the pieces.
+    A sentinel is put before every match, and each line gives its number as often as it holds the sentinel.
     """
     clean = F.replace(text, F.lit(SENTINEL), F.lit(" "))
-    pieces = F.split(F.regexp_replace(clean, F.lit(to_java(pattern)), F.lit(SENTINEL + "$0")), SENTINEL, -1)
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("found"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        line = acc["line"] + _breaks(piece)
-        return F.struct(line.alias("line"), F.array_append(acc["found"], line).alias("found"))
-
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+    marked = F.regexp_replace(clean, F.lit(to_java(pattern)), F.lit(SENTINEL + "$0"))
+    held = lambda x: F.length(x) - F.length(F.replace(x, F.lit(SENTINEL), F.lit("")))
+    return F.flatten(F.transform(F.split(marked, "\n", -1), lambda x, i: F.array_repeat(i + 1, held(x))))
 
 
 def snippet(all_lines: Column, line: Column, before: int, after: int) -> Column:

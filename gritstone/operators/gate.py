@@ -67,12 +67,11 @@ def evaluate(rules: DataFrame, tech: DataFrame, files: DataFrame | None = None)
     wanted = rules.where(F.size("sentinel_files") > 0).select("slug", F.posexplode("sentinel_files").alias("i", "glob"), "sentinel_contains")
     hits = None
     if pairs:
-        spark = rules.sparkSession
-        shapes = spark.createDataFrame(pairs, "glob string, pattern string")
-        found = files.join(F.broadcast(shapes), F.regexp_like("path", F.col("pattern"))).select("glob", "path", "content")
-        # of a glob's files only the first in path order counts
-        first = Window.partitionBy("glob").orderBy("path")
-        found = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+        # of a glob's files only the first in path order counts: one aggregate over the paths, then those files alone
+        firsts = files.agg(*[F.min(F.when(F.col("path").rlike(p), F.col("path"))).alias(f"g{i}") for i, (_, p) in enumerate(pairs)]).first()
+        first_of = [(g, firsts[i]) for i, (g, _) in enumerate(pairs) if firsts[i] is not None]
+        shapes = rules.sparkSession.createDataFrame(first_of, "glob string, path string")
+        found = files.where(F.col("path").isin(sorted({p for _, p in first_of}))).join(F.broadcast(shapes), "path").select("glob", "content")
         contents = sorted({p for r in rules.select("sentinel_contains").collect() for p in r[0]})
         held = [F.when(F.col("content").rlike(to_java(p)), F.lit(p)) for p in contents]
         none = F.array().cast("array<string>")

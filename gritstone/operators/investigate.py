@@ -231,8 +231,17 @@ def callers(files: DataFrame, symbol: str, most: int = 100) -> DataFrame:
 def neighbours(files: DataFrame, places: DataFrame, radius: int = 10) -> DataFrame:
     """(path, line, at, text): the lines around places (path, line), at most 80 to each side."""
     radius = min(radius, 80)
-    rows = files.join(places, "path").select("path", "line", F.posexplode(text.lines(F.col("content"))).alias("i", "text"))
-    return rows.where(F.abs(F.col("i") + 1 - F.col("line")) <= radius).select("path", "line", (F.col("i") + 1).alias("at"), "text")
+    # a file's places meet it once, and only the lines around them leave it
+    at = places.select("path", "line").distinct().groupBy("path").agg(F.collect_list("line").alias("__at"))
+    rows = files.join(at, "path").select("path", "__at", text.lines(F.col("content")).alias("__l"))
+
+    def around(line: Column, every: Column) -> Column:
+        first, last = F.greatest(line - radius, F.lit(1)).cast("int"), F.least(line + radius, F.size(every)).cast("int")
+        shown = F.slice(every, first, F.greatest(last - first + 1, F.lit(0)))
+        return F.transform(shown, lambda x, i: F.struct(line.alias("line"), (first + i).alias("at"), x.alias("text")))
+
+    each = F.flatten(F.transform("__at", lambda n: around(n, F.col("__l"))))
+    return rows.select("path", F.explode(each).alias("x")).select("path", "x.line", "x.at", "x.text")
 
 
 def turn_caps(turns: DataFrame, most: int = 8) -> DataFrame:

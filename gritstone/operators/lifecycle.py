@@ -28,7 +28,8 @@ def close_run(runs: DataFrame, outcomes: DataFrame, completed: str) -> DataFrame
     failed and nothing was analysed."""
     o = outcomes.select("runId", F.when((F.col("error_batches") > 0) & (F.col("analyses") == 0), "error").otherwise("done").alias("__phase"))
     out = runs.join(o, "runId", "left")
-    return out.withColumn("completedAt", F.when(F.col("__phase").isNotNull(), F.lit(completed))).withColumn("phase", F.coalesce("__phase", "phase")).drop("__phase")
+    before = F.col("completedAt") if "completedAt" in runs.columns else F.lit(None).cast("string")
+    return out.withColumn("completedAt", F.when(F.col("__phase").isNotNull(), F.lit(completed)).otherwise(before)).withColumn("phase", F.coalesce("__phase", "phase")).drop("__phase")
 
 
 def lock(records: DataFrame, queue: DataFrame, run: str, at: str) -> DataFrame:

@@ -35,7 +35,8 @@ def _made(rule: Rule, label: str):
 
 
 def _found(rule: Rule) -> Column:
-    """The candidates of one rule in one file: an array without repetitions of (slug, label, line)."""
+    """The candidates of one rule in one file: an array without repetitions of (slug, label, line). Files in a language
+    for which the rule has tree patterns are judged by these alone."""
     parts = []
     for pattern in rule.patterns:
         label = rule.label or pattern
@@ -49,7 +50,9 @@ def _found(rule: Rule) -> Column:
         parts.append(F.when(F.col("content").rlike(to_java(pattern)), made))
     none = F.array().cast(f"array<{CANDIDATE}>")
     all_parts = F.flatten(F.array(*[F.coalesce(p, none) for p in parts]))
-    return F.when(_applies(rule), F.array_distinct(all_parts) if len(parts) > 1 else all_parts).otherwise(none)
+    trees = sorted({t.language for t in rule.tree_patterns})
+    applies = _applies(rule) & ~F.coalesce(paths.tree_language(F.col("path")).isin(trees), F.lit(False)) if trees else _applies(rule)
+    return F.when(applies, F.array_distinct(all_parts) if len(parts) > 1 else all_parts).otherwise(none)
 
 
 def candidates(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -127,6 +130,22 @@ def language_stats(files: DataFrame, found: DataFrame) -> DataFrame:
     return files.join(hit, "path", "left").groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"), F.count("hit").alias("with_candidates"))
 
 
+def counted(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(path, loc, candidates) of each file, counted where its row is: no shuffle."""
+    rules = [r for r in rules if r.patterns]
+    rows = files.select("path", text.normalised(F.col("content")).alias("content"))
+    rows = rows.withColumn("__lines", text.lines(F.col("content")))
+    if any(r.require_taint_within for r in rules):
+        rows = rows.withColumn("__taint", text.tainted_lines(F.col("__lines"), paths.taint_language(F.col("path"))))
+    n = reduce(lambda a, b: a + b, [F.coalesce(F.size(_found(r)), F.lit(0)) for r in rules], F.lit(0))
+    return rows.select("path", text.line_count(F.col("content")).cast("long").alias("loc"), n.cast("long").alias("candidates"))
+
+
+def density_of(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """density() of what the rules find."""
+    return counted(files, rules).withColumn("per_kloc", F.when(F.col("loc") > 0, F.col("candidates") / (F.col("loc") / 1000)).otherwise(F.lit(0.0)))
+
+
 def density(files: DataFrame, found: DataFrame) -> DataFrame:
     """(path, loc, candidates, per_kloc); 0 where a file has no lines."""
     n = found.groupBy("path").agg(F.count("*").alias("candidates"))

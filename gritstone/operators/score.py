@@ -46,10 +46,18 @@ def false_negatives(candidates: DataFrame, issues: DataFrame) -> DataFrame:
     missed = issues.where("must_emit").join(found, ["task_id", "issue_id"], "left_anti")
     slack = F.coalesce("tolerance", F.lit(TOLERANCE))
     m = missed.select("task_id", "issue_id", "file", "severity", "slugs", (F.col("start_line") - slack).alias("low"), (F.col("end_line") + slack).alias("high"))
-    c = candidates.select("task_id", "file", F.col("cand_id").alias("near_id"), F.col("slug").alias("near_slug"), F.col("line").alias("near_line"))
-    dist = F.greatest(F.col("low") - F.col("near_line"), F.col("near_line") - F.col("high"), F.lit(0))
-    near = m.join(c, ["task_id", "file"]).groupBy("task_id", "issue_id").agg(F.min_by(F.struct("near_slug", "near_line"), F.struct(dist, "near_line", "near_id")).alias("n"))
+    # of each line the candidate of least id; an issue's nearest is the last before its interval or the first from there
+    c = candidates.groupBy("task_id", "file", "line").agg(F.min_by("slug", "cand_id").alias("near_slug"))
+    near = F.struct("near_slug", F.col("line").alias("near_line"))
+    c = c.select("task_id", "file", F.lit(None).cast(m.schema["issue_id"].dataType).alias("issue_id"), F.col("line").alias("at"), F.lit(1).alias("kind"), near.alias("c"), F.lit(None).cast(m.schema["high"].dataType).alias("high"))
+    i = m.select("task_id", "file", "issue_id", F.col("low").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(c.schema["c"].dataType).alias("c"), "high")
+    group = Window.partitionBy("task_id", "file")
+    rows = c.unionByName(i).withColumn("prev", F.last("c", True).over(group.orderBy("at", "kind"))).withColumn("next", F.last("c", True).over(group.orderBy(F.desc("at"), F.desc("kind"))))
+    before, after = F.col("at") - F.col("prev.near_line"), F.greatest(F.col("next.near_line") - F.col("high"), F.lit(0))
+    best = F.when(F.col("prev").isNull() | (F.coalesce(after, before + 1) < before), F.col("next")).otherwise(F.col("prev"))
+    near = rows.where("kind = 0").select("task_id", "issue_id", best.alias("n"))
     out = m.join(near, ["task_id", "issue_id"], "left")
+    # fixed texts of the reasons
     reason = F.when(F.col("n").isNull(), "no candidate with acceptable slug near issue").when(F.array_contains("slugs", F.col("n.near_slug")), "closest acceptable-slug candidate is outside tolerance").otherwise("closest candidate has a non-acceptable slug")
     return out.select("task_id", "issue_id", "file", "severity", F.col("slugs")[0].alias("slug"), F.col("n.near_slug").alias("near_slug"), F.col("n.near_line").cast("long").alias("near_line"), reason.alias("reason"))
 

@@ -136,26 +136,26 @@ def repeat_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "median")])
 
 
-BOOT = """s AS (SELECT event_type AS metric, user_id, round(avg(value), 4) AS value FROM events WHERE user_id < 12 GROUP BY 1, 2), v AS (SELECT metric, list(value ORDER BY user_id) AS v FROM s GROUP BY metric),
-d AS (SELECT metric, v, b, unnest(range(0, len(v))) AS i FROM v, range(0, 200) r(b)), m AS (SELECT metric, b, sum(v[1 + (('0x' || substr(md5('7|' || b || '|' || i), 1, 8))::BIGINT % len(v))]) / any_value(len(v)) AS mean FROM d GROUP BY 1, 2), o AS (SELECT metric, list_sort(list(mean)) AS l FROM m GROUP BY 1)"""
+BOOT = """s AS (SELECT event_type AS metric, user_id, round(avg(value), 4) AS value FROM events GROUP BY 1, 2), v AS (SELECT metric, list(value ORDER BY user_id) AS v FROM s GROUP BY metric),
+d AS (SELECT metric, v, b, unnest(range(0, len(v))) AS i FROM v, range(0, 1000) r(b)), m AS (SELECT metric, b, sum(v[1 + (('0x' || substr(md5('7|' || b || '|' || i), 1, 8))::BIGINT % len(v))]) / any_value(len(v)) AS mean FROM d GROUP BY 1, 2), o AS (SELECT metric, list_sort(list(mean)) AS l FROM m GROUP BY 1)"""
 
 
 @query(f"WITH {BOOT} SELECT metric, round(l[1 + floor(0.025 * (len(l) - 1) + 0.5)::INT], 5) AS low, round(l[1 + floor(0.975 * (len(l) - 1) + 0.5)::INT], 5) AS high FROM o")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "events").where("user_id < 12").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.round(F.avg("value"), 4).alias("value"))
-    return stats.bootstrap_ci(s, "metric", "value", "user_id", 200).select("metric", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+    s = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.round(F.avg("value"), 4).alias("value"))
+    return stats.bootstrap_ci(s, "metric", "value", "user_id").select("metric", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 @query(f"WITH {BOOT}, c AS (SELECT metric, l[1 + floor(0.025 * (len(l) - 1) + 0.5)::INT] - 100 AS low, l[1 + floor(0.975 * (len(l) - 1) + 0.5)::INT] - 100 AS high FROM o) SELECT metric, CASE WHEN low > 5 THEN 'improved' WHEN high < -5 THEN 'regressed' ELSE 'inconclusive' END AS verdict FROM c")
 def compare_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "events").where("user_id < 12").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.round(F.avg("value"), 4).alias("value"))
-    ci = stats.bootstrap_ci(s, "metric", "value", "user_id", 200)
+    s = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.round(F.avg("value"), 4).alias("value"))
+    ci = stats.bootstrap_ci(s, "metric", "value", "user_id")
     return ci.select("metric", stats.verdict(F.col("low") - 100, F.col("high") - 100, 5.0, stats.direction(F.col("metric"))).alias("verdict"))
 
 
-@query("WITH a AS (SELECT user_id % 100 AS path, list(DISTINCT event_type) AS c FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id % 120 + 20 AS path, list(DISTINCT event_type) AS c FROM events WHERE event_id % 50 = 1 GROUP BY 1) SELECT count(*) FILTER (WHERE a.c IS NOT NULL AND b.c IS NOT NULL) AS shared, count(*) FILTER (WHERE b.c IS NULL) AS only_theirs, count(*) FILTER (WHERE a.c IS NULL) AS only_ours, count(*) FILTER (WHERE list_has_any(a.c, b.c)) AS aligned FROM a FULL JOIN b ON a.path = b.path")
+@query("WITH a AS (SELECT user_id % 100 AS path, list(DISTINCT event_type) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id % 120 + 20 AS path, list(DISTINCT event_type) AS c FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT count(*) FILTER (WHERE a.c IS NOT NULL AND b.c IS NOT NULL) AS shared, count(*) FILTER (WHERE b.c IS NULL) AS only_theirs, count(*) FILTER (WHERE a.c IS NULL) AS only_ours, count(*) FILTER (WHERE list_has_any(a.c, b.c)) AS aligned FROM a FULL JOIN b ON a.path = b.path")
 def external_comparison(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    a = e.where("event_id % 3 = 0").select((F.col("user_id") % 100).alias("path"), F.col("event_type").alias("class"))
-    b = e.where("event_id % 50 = 1").select((F.col("user_id") % 120 + 20).alias("path"), F.col("event_type").alias("class"))
+    a = e.where("event_id % 2 = 0").select((F.col("user_id") % 100).alias("path"), F.col("event_type").alias("class"))
+    b = e.where("event_id % 2 = 1").select((F.col("user_id") % 120 + 20).alias("path"), F.col("event_type").alias("class"))
     return score.external_comparison(a, b)

@@ -85,12 +85,24 @@ def _word_precedes(pattern: str, i: int, folded: bool) -> bool:
     return k < i and not (k and pattern[k - 1] == "\\") and _letter(pattern[i - 1], folded)
 
 
+def _class(body: str, negative: bool, nonspace: bool) -> str:
+    """A character class, which may also hold what is no space."""
+    if not nonspace:
+        return f"[{'^' * negative}{body}]"
+    if negative:
+        return f"[{SPACE}&&[^{body}]]" if body else f"[{SPACE}]"
+    return f"[{body}[^{SPACE}]]"
+
+
 def to_java(pattern: str) -> str:
     """The Java pattern that matches what RE2 matches with `pattern`."""
     _check(pattern)
     out, i, n = ["(?d)"], 0, len(pattern)
     multiline, depth = False, []
     in_class = False
+    body: list[str] = []
+    negative = nonspace = False
+    whole = out
     folded = re.search(r"\(\?[a-zA-Z]*i", pattern) is not None
     while i < n:
         c = pattern[i]
@@ -106,7 +118,10 @@ def to_java(pattern: str) -> str:
             elif e == "s":
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif e == "S":
-                out.append(f"[^{SPACE}]" if not in_class else f"&&[^{SPACE}]")
+                if in_class:
+                    nonspace = True
+                else:
+                    out.append(f"[^{SPACE}]")
             elif e == "b" and not in_class:
                 # one look is enough where a side is known
                 out.append("(?<![0-9A-Za-z_])" if _word_follows(pattern, i, folded) else "(?![0-9A-Za-z_])" if _word_precedes(pattern, i - 2, folded) else WORD_EDGE)
@@ -120,27 +135,26 @@ def to_java(pattern: str) -> str:
                 out.append("\\" + e)
         elif in_class:
             if c == "[" and (m := re.match(r"\[:(\^?)(\w+):\]", pattern[i:])):
-                body = POSIX.get(m[2])
-                if body is None:
+                named = POSIX.get(m[2])
+                if named is None:
                     raise UnsupportedPattern(f"unknown class {m[2]}")
-                out.append(f"[^{body}]" if m[1] else body)
+                out.append(f"[^{named}]" if m[1] else named)
                 i += m.end()
                 continue
             if c == "]":
-                in_class = False
-                out.append("]")
+                in_class, out = False, whole
+                out.append(_class("".join(body), negative, nonspace))
             elif c == "[" or (c == "&" and pattern[i : i + 2] == "&&"):
                 out.append("\\" + c)
             else:
                 out.append(c)
             i += 1
         elif c == "[":
-            in_class = True
-            out.append("[")
+            in_class, nonspace, body = True, False, []
+            out = body
             i += 1
-            if pattern[i : i + 1] == "^":
-                out.append("^")
-                i += 1
+            negative = pattern[i : i + 1] == "^"
+            i += negative
             if pattern[i : i + 1] == "]":
                 out.append(r"\]")
                 i += 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gritstone.rules.load import Gate, Rule, frame, lint, override, pack_hash, read_packs, rule_of, select
 from gritstone.rules.regex import UnsupportedPattern, glob_to_java, to_java
 
-PATTERNS = [r"\ba", r"(?i)é\w", r"a$", r"(?m)^\w+$", r"\s+\S", r"[\s,]+x?", r"[[:upper:]]{2,}", r"(?P<w>th)\w*", r"(?i:THE)\B", r"[^a-z\n]+", r".{3}$", r"a|e\.", r"[]x]", r"\Qa.b\E|on", r"(?s)a.{0,3}b", r"\bth\b", r"(?i)\bKe\b|\bß", r"\b(?:the|of|and)\b", r"\b(?:t|[aé])\w", r"ea?\b", r"\ba?n", r"\b\w+n\b", r"\x65\b", r"(?i)\bs\w*", r"\d\b", r"\b(?:on)?e"]
+PATTERNS = [r"\ba", r"(?i)é\w", r"a$", r"(?m)^\w+$", r"\s+\S", r"[\s,]+x?", r"[[:upper:]]{2,}", r"(?P<w>th)\w*", r"(?i:THE)\B", r"[^a-z\n]+", r".{3}$", r"a|e\.", r"[]x]", r"\Qa.b\E|on", r"(?s)a.{0,3}b", r"a[\s\S]{2}e", r"[x\S]+y", r"[^\S\n]+", r"[^\Sa]t", r"[\S]+", r"[\S\n]{3}", r"<[\s\S]*?>", r"[^\S]", r"\bth\b", r"(?i)\bKe\b|\bß", r"\b(?:the|of|and)\b", r"\b(?:t|[aé])\w", r"ea?\b", r"\ba?n", r"\b\w+n\b", r"\x65\b", r"(?i)\bs\w*", r"\d\b", r"\b(?:on)?e"]
 
 
 @pytest.mark.parametrize("pattern", PATTERNS)
