@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schemas import FINDING, severity_rank
+from .ordered import ranges
 
 REPLY = f"batch_id long, path string, findings array<{FINDING}>, cost double, tokens long, duration_ms long, refused boolean, reason string"
 CONFIDENCE = ("high", "medium", "low")
@@ -45,19 +47,11 @@ def chunks(files: DataFrame, most: int, path: str = "path") -> DataFrame:
     return files.withColumn("dir", paths.directory(F.col(path))).withColumn("chunk", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
 
 
-def _fold(start: Column, items: Column, most: int, keep: bool) -> Column:
-    """Pack chunk sizes into batches from a state (id, held): the state at the end, and with `keep` each chunk's batch."""
-    out = F.array().cast("array<struct<dir:string,chunk:int,batch_id:bigint>>")
-
-    def step(acc: Column, c: Column) -> Column:
-        fits = acc["held"] + c["n"] <= most
-        mine = F.when(fits | (acc["held"] == 0), acc["id"]).otherwise(acc["id"] + 1)
-        held = F.when(fits, acc["held"] + c["n"]).otherwise(F.lit(0))
-        following = F.when(fits, acc["id"]).otherwise(mine + 1)
-        put = F.array_append(acc["out"], F.struct(c["dir"].alias("dir"), c["chunk"].alias("chunk"), mine.alias("batch_id"))) if keep else acc["out"]
-        return F.struct(following.alias("id"), held.alias("held"), put.alias("out"))
-
-    return F.aggregate(items, F.struct(start["id"].alias("id"), start["held"].alias("held"), out.alias("out")), step)
+def _pack(id_: np.ndarray, held: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pack a chunk of `n` files into batches from states (id, held): its batch, and the states after it."""
+    fits = held + n <= most
+    mine = np.where(fits | (held == 0), id_, id_ + 1)
+    return mine, np.where(fits, id_, mine + 1), np.where(fits, held + n, 0)
 
 
 def batches(files: DataFrame, most: int, path: str = "path") -> DataFrame:
@@ -65,26 +59,42 @@ def batches(files: DataFrame, most: int, path: str = "path") -> DataFrame:
 
     A chunk that does not fit into the open batch closes it and is a batch of its own. What a batch is depends on all
     before it, but only through the number of files that it holds, and that is at most `most`. So the sorted chunks are
-    cut into ranges; each range is folded for every such number at once, the ranges' tables are chained on the driver
-    (a few numbers for each range), and each range is then folded from its true start. Files stay where they are.
+    cut into ranges; each range is read once for every such number at once, the ranges' tables are chained on the driver
+    (a few numbers for each range), and each range is then read from its true start. Files stay where they are, and a
+    range is read row by row, never held.
     """
     most = max(1, most)
-    spark = files.sparkSession
     rows = chunks(files, most, path)
     sizes = rows.groupBy("dir", "chunk").agg(F.count("*").cast("int").alias("n"))
-    ranged = sizes.repartitionByRange("dir", "chunk").withColumn("part", F.spark_partition_id())
-    # the ranges must be the same both times
-    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
-    packed = ranged.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("dir", "chunk", "n"))).alias("all"))
-    zero = F.lit(0).cast("long")
-    ends = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda h: _fold(F.struct(zero.alias("id"), h.alias("held")), F.col("all"), most, False))
-    table = packed.select("part", F.transform(ends, lambda e: F.struct(e["id"].alias("id"), e["held"].alias("held"))).alias("ends")).orderBy("part").collect()
-    starts, at, held = [], 0, 0
-    for r in table:
-        starts.append((r.part, at, held))
-        at, held = at + r.ends[held].id, r.ends[held].held
-    begun = packed.join(F.broadcast(spark.createDataFrame(starts, "part int, id long, held int")), "part")
-    ids = begun.select(F.explode(_fold(F.struct("id", "held"), F.col("all"), most, True)["out"]).alias("x")).select("x.*")
+    dealt = ranges(sizes, "dir", "chunk").sortWithinPartitions("part", "dir", "chunk")
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for rows in parts:
+            for part, n in zip(rows["part"].tolist(), rows["n"].tolist()):
+                id_, held = state.get(part, (np.zeros(most + 1, np.int64), np.arange(most + 1)))
+                state[part] = _pack(id_, held, n, most)[1:]
+        for part, (id_, held) in state.items():
+            yield pd.DataFrame({"part": part, "start": np.arange(most + 1), "id": id_, "held": held})
+
+    found = {(r.part, r.start): (r.id, r.held) for r in dealt.select("part", "n").mapInPandas(ends, "part int, start int, id long, held int").collect()}
+    starts, at, held = {}, 0, 0
+    for part in sorted({p for p, _ in found}):
+        starts[part] = at, held
+        more, held = found[part, held]
+        at += more
+
+    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for rows in parts:
+            out = []
+            for part, n in zip(rows["part"].tolist(), rows["n"].tolist()):
+                id_, held = state.get(part) or tuple(np.array([x]) for x in starts[part])
+                mine, *state[part] = _pack(id_, held, n, most)
+                out.append(int(mine[0]))
+            yield pd.DataFrame({"dir": rows["dir"], "chunk": rows["chunk"], "batch_id": out})
+
+    ids = dealt.select("part", "dir", "chunk", "n").mapInPandas(assign, "dir string, chunk int, batch_id long")
     return rows.join(ids, ["dir", "chunk"])
 
 

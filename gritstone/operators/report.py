@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked, running
 from ..schemas import SEVERITY, severity_rank
 
 CLEARED = ("false-positive", "fixed")
@@ -116,10 +117,10 @@ def since(history: DataFrame, span: str, at: str = "investigatedAt", now: Column
 
 def spend_rows(costs: DataFrame, key: Column) -> DataFrame:
     """(key, usd, pct, rank) of entries (cost): each key's share of all, the dearest first."""
-    total = Window.partitionBy()
     rows = costs.where("cost is not null").groupBy(key.alias("key")).agg(F.sum("cost").alias("usd"))
-    rows = rows.withColumn("pct", F.when(F.sum("usd").over(total) > 0, F.col("usd") / F.sum("usd").over(total) * 100).otherwise(F.lit(0.0)))
-    return rows.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("usd"), "key")) - 1).cast("long"))
+    all_usd = costs.agg(F.sum("cost")).first()[0] or 0.0
+    rows = rows.withColumn("pct", F.col("usd") / all_usd * 100 if all_usd > 0 else F.lit(0.0))
+    return ranked(rows, F.desc("usd"), "key")
 
 
 def spend_by(history: DataFrame, dimension: str) -> DataFrame:
@@ -171,6 +172,8 @@ def top_committers(commits: DataFrame, n: int = 5) -> DataFrame:
 
 def running_budget(batches: DataFrame, budget: float, order: list[str], cost: str = "cost", keys: list[str] = ()) -> DataFrame:
     """The batches that start before their predecessors' costs reach the budget."""
+    if not keys:
+        return running(batches, cost, *order, name="spent_before").where(F.col("spent_before") < budget)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return batches.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent_before") < budget)
 

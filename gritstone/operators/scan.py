@@ -146,6 +146,11 @@ def density_of(files: DataFrame, rules: list[Rule]) -> DataFrame:
     return counted(files, rules).withColumn("per_kloc", F.when(F.col("loc") > 0, F.col("candidates") / (F.col("loc") / 1000)).otherwise(F.lit(0.0)))
 
 
+def language_stats_of(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """language_stats() of what the rules find: only the languages' counts are shuffled."""
+    return counted(files, rules).groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"), F.count_if(F.col("candidates") > 0).alias("with_candidates"))
+
+
 def density(files: DataFrame, found: DataFrame) -> DataFrame:
     """(path, loc, candidates, per_kloc); 0 where a file has no lines."""
     n = found.groupBy("path").agg(F.count("*").alias("candidates"))

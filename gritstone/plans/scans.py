@@ -97,7 +97,7 @@ SELECT CASE regexp_extract(f.path, '\\.(\\w+)$', 1) WHEN 'ts' THEN 'typescript'
 )
 def language_stats(spark: SparkSession, sf: str) -> DataFrame:
     every = files(spark, sf)
-    return scan.language_stats(every, scan.candidates(every, corpus_rules()))
+    return scan.language_stats_of(every, corpus_rules())
 
 
 GLOBS = ["*.example.com/**/8*", "**/{en,de}/*[0-4]?page=*", "shop.*/fr/**", "*/de/???*"]
@@ -137,7 +137,7 @@ SELECT k.path, loc, coalesce(c, 0)::BIGINT AS candidates, round(CASE WHEN loc >
 )
 def loc_density(spark: SparkSession, sf: str) -> DataFrame:
     every = files(spark, sf)
-    return scan.density(every, scan.candidates(every, corpus_rules())).withColumn("per_kloc", F.round("per_kloc", 6))
+    return scan.density_of(every, corpus_rules()).withColumn("per_kloc", F.round("per_kloc", 6))
 
 
 @query(
@@ -147,7 +147,7 @@ SELECT k.path, c AS candidates FROM k JOIN n ON k.path = n.path WHERE loc > 0 AN
 )
 def candidate_explosion(spark: SparkSession, sf: str) -> DataFrame:
     every = files(spark, sf)
-    return scan.density(every, scan.candidates(every, corpus_rules())).where("per_kloc > 400").select("path", "candidates")
+    return scan.density_of(every, corpus_rules()).where("per_kloc > 400").select("path", "candidates")
 
 
 @query(
