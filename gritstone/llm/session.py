@@ -20,9 +20,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset a local master gets a temporary
+    one; on a cluster executors would not see it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gritstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -95,7 +95,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component_id is the least id that can be reached.
 
     Texts without words (null, empty, blank) have fingerprint zero and are linked like others. Repeated rows give
-    repeated rows. Null ids keep their row; a component with null ids only has a null component_id.
+    repeated rows. Null ids keep their row; a component with null ids only has a null component_id. Long texts are read
+    whole, in stretches; a bit that exactly half of the shingles set is 0. Other columns are not looked at, whatever
+    their names; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     prints = staged(docs.select(id_col, fingerprint(width, seed)(F.col(text).cast("binary")).alias("fp")), "fingerprints")

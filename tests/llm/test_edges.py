@@ -327,3 +327,77 @@ def test_words():
     assert r.of(np.array([3]), np.array([4]))[0] == r.of(np.array([4]), np.array([5]))[0] != r.of(np.array([0]), np.array([2]))[0]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([b"x" * 10, b"y" * 30, b"z"])], ["a", "b"])
     assert [b.num_rows for b in small([batch], 1, 12)] == [1, 1, 1]
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, docs, none):
+    import corpus_pipeline as P
+
+    assert docs.columns != list(P.COLUMNS)
+    for name, stage in P.STAGES:
+        for rows in (docs, none):
+            got = stage(spark, rows, sf)
+            cols = [*P.COLUMNS, "size", "source_size", "target", "taken"] if name == "mixing" else list(P.COLUMNS)
+            assert got.columns == cols, name
+            got = got.collect()
+            assert len(got) <= rows.count()
+            if name in ("line_dedup", "decontamination") and rows is docs:
+                # no line is on two pages but by copies, and no text holds a benchmark's window
+                assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in ROWS)
+    kept = P.near_duplicate_stage(spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([1, 4, 5, None, 6, 7, 9])
+
+
+def test_near_copies_with_added_and_missing_passages(spark):
+    # passages at the end, the front and the middle change as many shingles as edits all over the text do
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows, pairs = [], []
+    for k in range(120):
+        base = [word() for _ in range(200)]
+        n = rnd.randrange(2, 60)
+        at = rnd.choice([0, 100, 200])
+        more = base[:at] + [word() for _ in range(n)] + base[at:]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, more))
+        pairs.append((2 * k, 2 * k + 1, len(a & b) / len(a | b)))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(more))]
+    got = {r.doc_id: r.component_id for r in simhash.edited_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [p for p in pairs if p[2] >= 0.8]
+    assert 60 < len(near) < 115 and sum(got[a] == got[b] for a, b, _ in near) >= len(near) - 1
+    assert all(got[a] != got[b] for a, b, j in pairs if j < 0.8)
+
+
+def test_a_star_of_edited_copies_costs_one_comparison_each(spark, monkeypatch):
+    # copies of one original are not near each other, all collide, and only the original links them
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        t = list(base)
+        for at in rnd.sample(range(300), 6):
+            t[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(t)))
+    written, staged = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: written.setdefault(name, staged(df, name)))
+    got = {r.component_id for r in simhash.edited_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0} and written["heads"].count() <= 150 and written["colliding"].count() == 0
+
+
+def test_texts_of_many_megabytes(spark):
+    unit = " ".join(f"w{i % 9973}x{i % 17}" for i in range(100_000)) + "\n"
+    big = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.repeat(F.lit(unit), 25)).otherwise(F.lit("a few words")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(0).alias("n_chars"))
+    n = 2_500_000
+    assert big.agg(F.max(F.length("text"))).first()[0] > 20_000_000
+    assert {r.doc_id: r.component_id for r in simhash.edited_copies(big).collect()} == {0: 0, 1: 1}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(big).collect()} == {0: 0, 1: 1}
+    assert {r.doc_id: r.n_tokens for r in lm.score(big.select("doc_id", "text"), lm.train(big)).collect()} == {0: n + 1, 1: 4}
+    bench = spark.createDataFrame([(1, "few words"), (2, unit[:200])], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.mark_contamination(big.select("doc_id", "text"), bench).select("doc_id", "n_words", "n_hit", "items").collect()}
+    assert (got[0].n_words, got[0]["items"], got[1].n_hit) == (n, ["2"], 2)
+    assert {r.doc_id: r["size"] for r in mixing.mix(big).collect()} == {0: n, 1: 3}
+    assert {r.doc_id: r.n_lines for r in line_dedup.drop_boilerplate(big, mark=True).collect()} == {0: 26, 1: 1}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(big.select("doc_id", "text")).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {0: (n, n), 1: (3, 0)}
+    assert secrets.scan_versions(big)[0].select("doc_id", "spans").count() == 2
+    assert quality.score_quality(big, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 2
+    rows, index = media.store(big)
+    assert {r.doc_id: r.payload_bytes for r in rows.join(media.read_back(media.with_metadata(index)), "digest").collect()}[0] > 20_000_000
