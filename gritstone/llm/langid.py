@@ -111,13 +111,14 @@ def identify(pages: DataFrame, model: Model) -> DataFrame:
         return F.zip_with(counts, above, lambda c, p: (c + weight * p) / (size + weight))
 
     domains = by_domain.select("domain", smoothed(array(), prior, DOMAIN_WEIGHT).alias("above"))
-    hosts = by_host.join(domains, "domain").select("host", smoothed(array(), F.col("above"), HOST_WEIGHT).alias("prior"))
+    # written, so that the join's sides are dealt for it alone and a large host can be split
+    hosts = staged(by_host.join(domains, "domain").select("host", smoothed(array(), F.col("above"), HOST_WEIGHT).alias("prior")), "hosts")
 
     def evidence(col):
         """log P(value | language) up to a constant of the value."""
-        g = rows.groupBy(col).agg(*soft())
-        kinds = F.lit(float(SMOOTH))
-        return g.select(F.col(col).alias(f"__{col}"), F.array(*[F.log((F.col(f"n{i}") + kinds) / F.lit(everything[i] + 1.0)) for i in range(n)]).alias(f"{col}_ll"))
+        g = staged(rows.groupBy(col).agg(*soft()), col)
+        values = g.count()
+        return g.select(F.col(col).alias(f"__{col}"), F.array(*[F.log((F.col(f"n{i}") + SMOOTH) / F.lit(everything[i] + SMOOTH * values)) for i in range(n)]).alias(f"{col}_ll"))
 
     marks, ends = evidence("markup"), evidence("suffix")
     both = rows.join(hosts, "host").join(marks, F.col("markup") == F.col("__markup")).join(ends, F.col("suffix") == F.col("__suffix"))

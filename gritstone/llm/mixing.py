@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import staged
+from ..operators.ordered import ranked
+from .session import shared_dir, staged
 
 #: Rows of a source that one bucket holds, about.
 BUCKET_ROWS = 2000
@@ -26,40 +27,38 @@ def word_count(text: str = "text"):
     return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(body, " +"))).cast("long")
 
 
-def shares(sizes: list[tuple], weights: list[float], budget: int, most: float = 3.0) -> dict:
-    """Targets by source: the budget by weight, none above `most` times its source's size, the rest reshared by weight."""
-    target, open_, left = {}, {s: (n, w) for (s, n), w in zip(sizes, weights)}, float(budget)
-    while open_:
-        total = sum(w for _, w in open_.values())
-        full = {s: most * n for s, (n, w) in open_.items() if left * w / total > most * n}
-        if not full:
-            target |= {s: left * w / total for s, (n, w) in open_.items()}
+def shares(sources: DataFrame, budget: int, most: float = 3.0) -> DataFrame:
+    """`sources` (n, w) with target: the budget by weight, none above `most` times its n, the rest reshared by weight.
+
+    A source is full where most * n < level * w; the level is what is left for the others over their weights. It only
+    rises as sources fill, so it settles in a few rounds, each one sum over the table.
+    """
+    full = lambda level: F.col("n") * most < F.col("w") * level
+    level, filled = -1.0, -1
+    while True:
+        r = sources.agg(F.count_if(full(level)).alias("k"), F.sum(F.when(full(level), F.col("n") * most)).alias("used"), F.sum(F.when(~full(level), F.col("w"))).alias("open")).first()
+        if r.k == filled or not r.open:
             break
-        target |= full
-        left -= sum(full.values())
-        open_ = {s: x for s, x in open_.items() if s not in full}
-    return target
+        filled, level = r.k, (budget - (r.used or 0.0)) / r.open
+    return sources.withColumn("target", F.when(full(level), F.col("n") * most).otherwise(F.col("w") * level).cast("double"))
 
 
 def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
     """(id_col, source, size, source_size, target, taken) for each row of `docs`.
 
     `size` is the number of words; `taken` the words that the mix takes, `size` times the number of rounds. Sources in
-    code-point order, null last, weigh `cycle` again and again; the budget is `share` of all words. The table of
-    sources is small by nature and comes to the driver. Null and blank texts have size 0 and take nothing; repeated rows
+    code-point order, null last, weigh `cycle` again and again; the budget is `share` of all words. Sources may
+    be many: only sums over them come to the driver. Null and blank texts have size 0 and take nothing; repeated rows
     are distinct documents, told apart by nothing but their place among equals. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    shared_dir(docs.sparkSession)
     rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")), "sizes")
-    found = rows.groupBy("src").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    order = sorted(found, key=lambda r: (r.src is None, (r.src or "").encode("utf-32-be")))
-    weights = [cycle[i % len(cycle)] for i in range(len(order))]
-    budget = int(sum(r.n for r in order) * share)
-    target = shares([(r.src, r.n) for r in order], weights, budget, most)
-    table = spark.createDataFrame([(r.src, r.n, float(target[r.src]), max(1, r.rows // BUCKET_ROWS)) for r in order], "s0 string, source_size long, target double, buckets int")
-    bound = 64 << 20
-    small = F.broadcast(table) if sum(len(r.src or "") + 60 for r in order) < bound else table
-    rows = rows.join(small, F.col("src").eqNullSafe(F.col("s0"))).drop("s0")
+    found = rows.groupBy("src").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    found = ranked(found, F.col("src").isNull(), "src", name="place")
+    found = staged(found.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("place") % len(cycle)).cast("int"))), "sources")
+    budget = int((found.agg(F.sum("n")).first()[0] or 0) * share)
+    table = shares(found, budget, most).select(F.col("src").alias("s0"), F.col("n").alias("source_size"), "target", F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS)).cast("int").alias("buckets"))
+    rows = rows.join(table, F.col("src").eqNullSafe(F.col("s0"))).drop("s0")
     rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * F.col("buckets")).cast("int"))
     totals = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))

@@ -58,8 +58,12 @@ def spell(body: bytes, found: list[tuple[int, int, int]]) -> str:
         return ""
     if body.isascii():
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
-    at = lambda i: len(body[:i].decode("utf-8", "replace"))
-    return ",".join(f"{KINDS[k]}:{at(a)}:{at(b)}" for a, k, b in found)
+    # from place to place, each byte is decoded once
+    at, last, n = {}, 0, 0
+    for i in sorted({i for a, _, b in found for i in (a, b)}):
+        n += len(body[last:i].decode("utf-8", "replace"))
+        at[i], last = n, i
+    return ",".join(f"{KINDS[k]}:{at[a]}:{at[b]}" for a, k, b in found)
 
 
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -90,7 +94,7 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     unseen = paths.groupBy("blob").agg(F.min(id_col).alias("one"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    pick = unseen.select(F.xxhash64("one", "blob").alias("rid"), F.col("blob").alias("want")).hint("shuffle_hash")
+    pick = unseen.select(F.xxhash64("one", "blob").alias("rid"), F.col("blob").alias("want"))
     texts = docs.select(body.cast("binary").alias("body"), blob.alias("blob"), F.xxhash64(F.col(id_col), blob).alias("rid"))
     chosen = texts.join(pick, "rid").where(F.col("blob") == F.col("want"))
     new = staged(chosen.select("blob", F.pandas_udf(_scan, FINDINGS)("body").alias("x")).select("blob", F.lit(rules).alias("rules"), "x.*").dropDuplicates(["blob"]), "ledger")

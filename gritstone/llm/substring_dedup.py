@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(p)], ["rid", "h1", "h2", "p"])
 
     ask = found.where("compare").groupBy("rid").agg(F.collect_set("span").alias("spans"))
-    spelt = staged(docs.select("rid", packed(F.col(text).cast("binary")).alias("packed")).join(ask.hint("shuffle_hash"), "rid").select("rid", "packed", "spans").mapInArrow(spell, "rid long, h1 long, h2 long, p long"), "compared-windows")
+    spelt = staged(docs.select("rid", packed(F.col(text).cast("binary")).alias("packed")).join(ask, "rid").select("rid", "packed", "spans").mapInArrow(spell, "rid long, h1 long, h2 long, p long"), "compared-windows")
     twice = spelt.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     # the copies of a compared segment share its windows, so a repeated window is marked in the segment that was compared
     more = spelt.join(twice, ["h1", "h2"]).select("rid", F.expr("shiftleft(p, 32) | p").alias("span"))
@@ -230,5 +230,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     moved = named.select(*rest, "__rid", packed(F.col(text).cast("binary")).alias("__packed"))
-    both = moved.join(spans.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")).hint("shuffle_hash"), "__rid", "left")
+    both = moved.join(spans.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")), "__rid", "left")
     return both.withColumn("__cut", cut("__packed", "__spans")).select(*rest, "__cut.*")

@@ -45,7 +45,13 @@ def test_mixing(docs, none):
     assert [got[i][0].size for i in (1, 2, 3, 5, 6)] == [0, 0, 0, 1, 5] and len(got[4]) == 2 and got[None][0].size == 2
     assert all(r.taken <= 3 * r["size"] for v in got.values() for r in v)
     assert mixing.mix(none).count() == 0
-    assert mixing.shares([("a", 10), ("b", 1000)], [5, 1], 1010) == {"a": 30.0, "b": 980.0}
+    rows = none.sparkSession.createDataFrame([("a", 10, 5.0), ("b", 1000, 1.0), ("c", 0, 2.0)], "src string, n long, w double")
+    assert {r.src: r.target for r in mixing.shares(rows, 1010).collect()} == {"a": 30.0, "b": 980.0, "c": 0.0}
+    assert {r.src: r.target for r in mixing.shares(rows.where("src = 'a'"), 10).collect()} == {"a": 10.0}
+    # more sources than weights, a null one last
+    many = none.sparkSession.createDataFrame([(i, "w " * 9, f"s{i:02d}" if i < 40 else None) for i in range(41)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.target for r in mixing.mix(many).collect()}
+    assert got[0] == got[3] == pytest.approx(2.5 * got[1]) == pytest.approx(5 * got[2]) and got[40] == got[1] and sum(got.values()) == pytest.approx(369)
 
 
 def test_mixing_matches_a_plain_queue(spark):
