@@ -55,7 +55,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.
     rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")), "sizes")
     found = rows.groupBy("src").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
     found = ranked(found, F.col("src").isNull(), "src", name="place")
-    found = staged(found.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("place") % len(cycle)).cast("int"))), "sources")
+    found = found.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("place") % len(cycle)).cast("int")))
     budget = int((found.agg(F.sum("n")).first()[0] or 0) * share)
     table = shares(found, budget, most).select(F.col("src").alias("s0"), F.col("n").alias("source_size"), "target", F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS)).cast("int").alias("buckets"))
     rows = rows.join(table, F.col("src").eqNullSafe(F.col("s0"))).drop("s0")
