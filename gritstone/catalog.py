@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import common, processing, reports, scans, scores
+from .plans import common, processing, reports, reviews, scans, scores
 
-MODULES = (scans, reports, scores, processing)
+MODULES = (scans, reports, scores, processing, reviews)
 
 
 def queries() -> dict:

@@ -1,6 +1,7 @@
 """The commands of the engine as jobs over tables: each reads tables, runs operators and writes tables.
 
-    python -m gritstone scan ROOT DATA [--only SLUGS] [--exclude SLUGS] [--force]
+    python -m gritstone scan ROOT DATA [--only SLUGS] [--exclude SLUGS] [--force] [--files A,B | --files-from FILE | --diff FILE]
+    python -m gritstone pr-comment DATA RUN OUT
     python -m gritstone report DATA --format markdown|csv|json|sarif|html OUT
     python -m gritstone status|metrics|spend|doctor DATA
     python -m gritstone rules|lint
@@ -75,7 +76,7 @@ def ensemble(spark: SparkSession, records: DataFrame, files: DataFrame, backends
 def flat_findings(records: DataFrame) -> DataFrame:
     """Findings of records in the shape that reports take."""
     f = schemas.findings_of(records)
-    return f.select("path", "idx", "severity", F.col("vulnSlug").alias("slug"), F.col("lineNumbers").alias("lines"), "title", "description", "confidence", F.col("revalidation.verdict").alias("verdict"), F.col("producedByRunId").alias("run"))
+    return f.select("path", "idx", "severity", F.col("vulnSlug").alias("slug"), F.col("lineNumbers").alias("lines"), "title", "description", "confidence", "recommendation", F.col("revalidation.verdict").alias("verdict"), F.col("producedByRunId").alias("run"))
 
 
 def flat_history(records: DataFrame) -> DataFrame:
@@ -98,6 +99,13 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--exclude", default="")
     s.add_argument("--rules", action="append", default=[])
     s.add_argument("--force", action="store_true")
+    s.add_argument("--files", default="")
+    s.add_argument("--files-from")
+    s.add_argument("--diff")
+    s = sub.add_parser("pr-comment")
+    s.add_argument("data")
+    s.add_argument("run")
+    s.add_argument("out")
     s = sub.add_parser("report")
     s.add_argument("data")
     s.add_argument("out")
@@ -135,6 +143,8 @@ def main(args: list[str] | None = None) -> int:
         rules = select(rules, [x for x in a.only.split(",") if x], [x for x in a.exclude.split(",") if x])
         ignore = Path(a.root, ".gitignore")
         files = tables.walk(spark, a.root, ignore.read_text().splitlines() if ignore.exists() and Path(a.root, ".git").exists() else None)
+        wanted = tables.named_paths(spark, a.files, a.files_from, a.diff)
+        files = files if wanted is None else tables.restrict(files, wanted)
         target = f"{a.data}/scan"
         known = spark.read.parquet(target) if Path(target).exists() else None
         out = scan_project(spark, files, rules, known, force=a.force)
@@ -155,6 +165,8 @@ def main(args: list[str] | None = None) -> int:
         h = report.since(flat_history(records), a.since)
         rows = report.spend_by_slug(h, found) if a.by == "slug" else report.spend_by(h, a.by)
         rows.orderBy("rank").select("key", sinks.money(F.col("usd")).alias("usd"), sinks.percent(F.col("pct")).alias("pct")).show(100, truncate=False)
+    elif a.command == "pr-comment":
+        sinks.write_private(sinks.comment_body(found.where(F.col("run") == a.run), a.run), a.out)
     elif a.command == "fail-on":
         n = report.fail_on(found, a.run, a.severity)
         print(n)

@@ -226,6 +226,35 @@ def prompt(files: DataFrame, candidates: DataFrame, tags: list[str], hints: dict
     return got.select("batch_id", F.concat(F.lit(head), F.lit("\n"), used).alias("system"), "user")
 
 
+# fixed values: what a second look may answer
+VERDICTS = ("true-positive", "false-positive", "fixed", "uncertain")
+RECHECK = "Check each finding against the file as it is now and answer with one of: " + ", ".join(VERDICTS) + ". Give a reason; give adjustedSeverity only where the severity should change."
+DOUBT = "Try to refute each finding: look for the check, the escaping or the unreachable path that makes it harmless, and name it. Answer with one of: " + ", ".join(VERDICTS) + ". A finding that you cannot refute is a true-positive."
+TRIAGE = "Triage one finding. Answer with priority (P0, P1, P2, skip), exploitability (trivial, moderate, difficult), impact (critical, high, medium, low) and a short reasoning."
+
+
+def _described(f: Column) -> Column:
+    shown = F.concat(F.lit("["), F.array_join(f["lines"].cast("array<string>"), " "), F.lit("]"))
+    return F.concat(F.lit("severity="), f["severity"], F.lit(" slug="), f["slug"], F.lit(" lines="), shown, F.lit(" title="), text.redact(f["title"]))
+
+
+def recheck_prompt(files: DataFrame, findings: DataFrame, doubt: bool = False) -> DataFrame:
+    """(path, system, user): for each file with findings (path, idx, severity, slug, lines, title, description) its
+    numbered, redacted source and its findings in order."""
+    f = F.struct("idx", "severity", "slug", "lines", "title", "description")
+    own = findings.groupBy("path").agg(F.array_sort(F.collect_list(f)).alias("f"))
+    each = F.transform("f", lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("] "), _described(x), F.lit("\n    description: "), text.redact(F.coalesce(x["description"], F.lit(""))), F.lit("\n")))
+    user = F.concat(F.lit("File: "), F.col("path"), F.lit("\nCode:\n"), text.numbered_source(F.col("content")), F.lit("\n\nFindings to revalidate:\n"), F.array_join(each, ""))
+    return files.join(own, "path").select("path", F.lit(DOUBT if doubt else RECHECK).alias("system"), user.alias("user"))
+
+
+def triage_prompt(findings: DataFrame) -> DataFrame:
+    """(path, idx, system, user) for each finding."""
+    f = F.struct("severity", "slug", "lines", "title")
+    user = F.concat(F.lit("File: "), F.col("path"), F.lit("\n"), _described(f), F.lit("\ndescription: "), text.redact(F.coalesce("description", F.lit(""))), F.lit("\n"))
+    return findings.select("path", "idx", F.lit(TRIAGE).alias("system"), user.alias("user"))
+
+
 def grep(files: DataFrame, pattern: str, most: int = 100) -> DataFrame:
     """(path, line, text) of the lines that an RE2 pattern hits, the first `most` in order."""
     from ..rules.regex import to_java

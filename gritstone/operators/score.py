@@ -54,7 +54,7 @@ def false_negatives(candidates: DataFrame, issues: DataFrame) -> DataFrame:
     group = Window.partitionBy("task_id", "file")
     rows = c.unionByName(i).withColumn("prev", F.last("c", True).over(group.orderBy("at", "kind"))).withColumn("next", F.last("c", True).over(group.orderBy(F.desc("at"), F.desc("kind"))))
     before, after = F.col("at") - F.col("prev.near_line"), F.greatest(F.col("next.near_line") - F.col("high"), F.lit(0))
-    best = F.when(F.col("prev").isNull() | (F.coalesce(after, before + 1) < before), F.col("next")).otherwise(F.col("prev"))
+    best = F.when(F.col("prev").isNull() | (F.col("next").isNotNull() & (after < before)), F.col("next")).otherwise(F.col("prev"))
     near = rows.where("kind = 0").select("task_id", "issue_id", best.alias("n"))
     out = m.join(near, ["task_id", "issue_id"], "left")
     # fixed texts of the reasons

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REDACTIONS
 from ..rules.load import PACKS, Rule, read_packs
+from ..rules.regex import glob_to_java
 from ..sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +70,8 @@ def hits_sql(pattern: str, where: str = "true") -> str:
 def candidates_sql(rules: list[Rule]) -> str:
     parts = []
     for r in rules:
-        where = " AND ".join([*[f"regexp_matches(content, {q(p)})" for p in r.require_content], *[f"NOT regexp_matches(path, {q(p)})" for p in r.exclude_path_patterns]]) or "true"
+        globs = [" OR ".join(f"regexp_matches(path, {q(glob_to_java(g))})" for g in r.file_patterns)] if r.file_patterns else []
+        where = " AND ".join([*[f"({g})" for g in globs], *[f"regexp_matches(content, {q(p)})" for p in r.require_content], *[f"NOT regexp_matches(path, {q(p)})" for p in r.exclude_path_patterns]]) or "true"
         for p in r.patterns:
             keep = " AND ".join(f"NOT regexp_matches(snippet, {q(s)})" for s in r.suppress_patterns) or "true"
             parts.append(

@@ -6,11 +6,13 @@ import hashlib
 import hmac
 import html
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import redact
 from ..operators.report import compliance_id, evidence_hash, sarif_level
 from ..schemas import SEVERITY, severity_rank
 
@@ -64,6 +66,73 @@ def comment_summary(findings: DataFrame) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), ", ").alias("line"))
 
 
+# fixed values: the badge of each severity, LOW for others
+BADGES = {"CRITICAL": "CRIT", "HIGH": "HIGH", "HIGH_BUG": "HIGH", "MEDIUM": "MED ", "BUG": "BUG "}
+
+
+def comment_parts(findings: DataFrame) -> DataFrame:
+    """(path, idx, part): a part of a review comment for each finding (…, recommendation)."""
+    s = F.col("severity")
+    badge = F.lit("LOW ")
+    for name, b in BADGES.items():
+        badge = F.when(s == name, b).otherwise(badge)
+    shown = F.concat(F.lit("["), F.array_join(F.col("lines").cast("array<string>"), " "), F.lit("]"))
+    verdict = F.when(F.col("verdict").isNotNull(), F.concat(F.lit("- revalidation: `"), F.col("verdict"), F.lit("`\n"))).otherwise(F.lit(""))
+    part = F.concat(
+        F.lit("### `"), badge, F.lit("` — "), s, F.lit(" **"), F.col("title"), F.lit("**\n- file: `"), F.col("path"), F.lit("` (lines "), shown, F.lit(")\n- slug: `"), F.col("slug"), F.lit("`\n- confidence: `"), F.coalesce("confidence", F.lit("")), F.lit("`\n"),
+        verdict, F.lit("\n"), F.coalesce("description", F.lit("")), F.lit("\n\n**Fix:** "), F.coalesce("recommendation", F.lit("")), F.lit("\n\n"),
+    )
+    return findings.select("path", "idx", part.alias("part"))
+
+
+def comment_body(findings: DataFrame, run: str) -> str:
+    """The comment of a run's new findings: a head, the numbers by severity, a part for each finding in order."""
+    by = {r.severity: r.n for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    n = sum(by.values())
+    if not n:
+        return f"## gritstone — no net-new findings for run `{run}` :white_check_mark:\n"
+    head = f"## gritstone — {n} net-new finding{'s' * (n != 1)} for run `{run}`\n" + " · ".join(f"{by[s]} × {s}" for s in sorted(SEVERITY, key=lambda s: -SEVERITY[s]) if s in by) + "\n\n"
+    rows = comment_parts(findings).join(findings.select("path", "idx", severity_rank(F.col("severity")).alias("r")), ["path", "idx"]).orderBy(F.desc("r"), "path", "idx")
+    return head + "".join(r.part for r in rows.toLocalIterator())
+
+
+def write_private(text: str, target: str) -> None:
+    """A file that its owner alone can read, in a folder that its owner alone can enter; links are not followed."""
+    path = Path(target)
+    path.parent.mkdir(mode=0o700, parents=True, exist_ok=True)
+    if path.is_symlink() or path.parent.is_symlink():
+        raise ValueError(f"{target} is a link")
+    with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | os.O_NOFOLLOW, 0o600), "w", encoding="utf-8") as out:
+        os.fchmod(out.fileno(), 0o600)
+        out.write(text)
+
+
+def score_reports(classified: DataFrame, missed: DataFrame, per_task: DataFrame, slugs: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of a score, by name: tasks, slugs, severities, false alarms, misses and decoys hit."""
+    order = ["task_id", "file", "line", "slug"]
+    return {
+        "tasks": per_task.orderBy("task_id"),
+        "slugs": slugs.orderBy("task_id", "slug"),
+        "severities": missed.groupBy("severity").agg(F.count("*").alias("missed")).orderBy(severity_rank(F.col("severity")).desc()),
+        "false_alarms": classified.where(~F.col("tp")).select(*order).orderBy(*order),
+        "misses": missed.select("task_id", "issue_id", "file", "severity", "slug", "near_slug", "near_line", "reason").orderBy("task_id", "file", "issue_id"),
+        "decoys": classified.where(F.col("decoy_id").isNotNull()).select(*order, "decoy_id").orderBy(*order) if "decoy_id" in classified.columns else classified.limit(0).select(*order),
+    }
+
+
+def write_score_reports(reports: dict[str, DataFrame], folder: str) -> None:
+    for name, rows in reports.items():
+        write_tsv(rows, f"{folder}/{name}")
+
+
+def recorded(replies: DataFrame) -> DataFrame:
+    """(value): recorded replies (batch_paths, output, ok), one JSON line each and without secrets; failed ones are left
+    out, as a replay takes every line for a reply."""
+    rows = replies.where("ok").select(F.col("batch_paths").alias("batchPaths"), redact(F.col("output")).alias("output"))
+    # the output is JSON already
+    return rows.select(F.concat(F.lit('{"batchPaths":'), F.to_json("batchPaths"), F.lit(',"output":'), F.col("output"), F.lit("}")).alias("value"))
+
+
 def money(c: Column) -> Column:
     return F.format_string("%.4f", c)
 

@@ -78,9 +78,69 @@ def restrict(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All file records below a folder, one JSON document each; malformed ones are skipped."""
+    """All file records below a folder, one JSON document each; malformed ones are skipped, and secrets in the snippets of
+    older scans are redacted as they are read."""
     rows = spark.read.schema(f"{schemas.RECORD}, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    return rows.where("filePath is not null").drop("_corrupt")
+    return redacted(rows.where("filePath is not null").drop("_corrupt"))
+
+
+def redacted(records: DataFrame) -> DataFrame:
+    """Records without secrets in snippets, titles, descriptions and recommendations."""
+    clean = lambda x, *names: x.withField(names[0], text.redact(x[names[0]])) if len(names) == 1 else clean(clean(x, names[0]), *names[1:])
+    return records.withColumns({"candidates": F.transform("candidates", lambda c: clean(c, "snippet")), "findings": F.transform("findings", lambda f: clean(f, "title", "description", "recommendation"))})
+
+
+def point(records: DataFrame, project: str, path: str) -> DataFrame:
+    """The record of one file, or no row."""
+    return records.where((F.col("projectId") == project) & (F.col("filePath") == path))
+
+
+def put(records: DataFrame, new: DataFrame) -> DataFrame:
+    """`records` with those of `new` in place of the ones of the same project and path."""
+    return records.join(new, ["projectId", "filePath"], "left_anti").select(records.columns).unionByName(new)
+
+
+# fixed values: names of the settings file, in order
+CONFIG_NAMES = ("gritstone.config.toml", ".gritstone/config.toml", "gritstone.toml")
+
+
+def find_config(start: str) -> str | None:
+    """The settings file of a folder or of the nearest folder above it."""
+    at = Path(start).resolve()
+    for folder in (at, *at.parents):
+        for name in CONFIG_NAMES:
+            if (folder / name).is_file():
+                return str(folder / name)
+    return None
+
+
+def read_config(path: str) -> dict:
+    """The settings; each project needs an id and a root, relative to the file's folder."""
+    doc = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    if not doc.get("projects"):
+        raise ValueError(f"{path}: no projects")
+    for p in doc["projects"]:
+        if not str(p.get("id", "")).strip() or not str(p.get("root", "")).strip():
+            raise ValueError(f"{path}: a project needs id and root")
+    return doc
+
+
+def named_paths(spark: SparkSession, names: str = "", names_from: str | None = None, diff: str | None = None) -> DataFrame | None:
+    """The files that a call names: a comma-joined list, a file with one a line, or those that a unified diff touches;
+    None where it names none and all files are meant. Unsafe paths are an error."""
+    if sum(map(bool, (names, names_from, diff))) > 1:
+        raise ValueError("name files in one way only")
+    if diff:
+        got = [r[0] for r in spark.createDataFrame([(Path(diff).read_text(encoding="utf-8"),)], "d string").select(F.explode(text.diff_files(F.col("d")))).collect()]
+    elif names or names_from:
+        got = names.split(",") if names else Path(names_from).read_text(encoding="utf-8").splitlines()
+    else:
+        return None
+    rows = explicit(spark, got) if got else spark.createDataFrame([], "path string")
+    bad = rows.where(~text.safe_path(F.col("path"))).first()
+    if bad:
+        raise ValueError(f"unsafe path {bad[0]!r}")
+    return rows
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -303,3 +303,105 @@ def test_batches_over_many_ranges(spark):
             want |= dict.fromkeys(c, k)
             k += held == 0
     assert got == want
+
+
+def test_trees_alone_judge_their_language(spark):
+    from gritstone.jobs import scan_project
+    from gritstone.rules.load import Rule, TreePattern
+
+    rule = Rule("made-eval", patterns=[r"eval"], label="text", tree_patterns=[TreePattern("python", '(Call func: (Name id: _ @f)) @call (#eq? @f "eval")', label="call", primary_capture="call")])
+    files = spark.createDataFrame([("a.py", "y = 'eval'\nx = eval(y)\n"), ("a.js", "y = 'eval'\n"), ("b.py", "def broken(:\n eval")], "path string, content string")
+    got = {r.path: [(c.matchedPattern, c.lineNumbers) for c in r.candidates or []] for r in scan_project(spark, files, [rule]).collect()}
+    assert got == {"a.py": [("call", [2])], "a.js": [("text", [1])], "b.py": []}
+
+
+def test_closing_a_run_keeps_finished_ones(spark):
+    from gritstone.operators import lifecycle
+
+    runs = spark.createDataFrame([("a", "done", "t0"), ("b", "running", None), ("c", "running", None)], "runId string, phase string, completedAt string")
+    out = lifecycle.close_run(runs, spark.createDataFrame([("b", 0, 1)], "runId string, analyses int, error_batches int"), "t1")
+    assert {r.runId: (r.phase, r.completedAt) for r in out.collect()} == {"a": ("done", "t0"), "b": ("error", "t1"), "c": ("running", None)}
+
+
+def test_nearest_candidates_like_all_pairs(spark):
+    import random
+
+    from gritstone.operators import score
+
+    rnd = random.Random(2)
+    cands = [("t", i, rnd.choice("ab"), rnd.choice("xy"), rnd.randrange(60)) for i in range(80)]
+    issues = [("t", f"i{k}", rnd.choice("abc"), "HIGH", ["none"], (s := rnd.randrange(60)), s + rnd.randrange(5), rnd.choice([None, 0, 2]), True) for k in range(60)]
+    c = spark.createDataFrame(cands, "task_id string, cand_id long, file string, slug string, line int")
+    i = spark.createDataFrame(issues, "task_id string, issue_id string, file string, severity string, slugs array<string>, start_line int, end_line int, tolerance int, must_emit boolean")
+    got = {r.issue_id: (r.near_slug, r.near_line) for r in score.false_negatives(c, i).collect()}
+    for _, k, file, _, _, s, e, tol, _ in issues:
+        low, high = s - (3 if tol is None else tol), e + (3 if tol is None else tol)
+        best = min(((max(low - x[4], x[4] - high, 0), x[4], x[1], x[3]) for x in cands if x[2] == file), default=None)
+        assert got[k] == ((best[3], best[1]) if best else (None, None)), k
+
+
+def test_ranks_and_running_sums_over_ranges(spark):
+    from gritstone.operators.ordered import ranked, running
+
+    rows = spark.range(1000).selectExpr("id", "(id * 37) % 1000 as v", "1 + id % 3 as w").repartition(7)
+    got = sorted((r.v, r["rank"]) for r in ranked(rows, "v").collect())
+    assert got == [(i, i) for i in range(1000)]
+    want, at = {}, 0
+    for r in sorted(rows.collect(), key=lambda r: -r.v):
+        want[r.v] = at
+        at += r.w
+    assert {r.v: r.before for r in running(rows, "w", F.desc("v")).collect()} == want
+
+
+def test_named_files_and_private_output(spark, tmp_path):
+    import stat
+
+    from gritstone.sources import sinks, tables
+
+    diff = tmp_path / "d.diff"
+    diff.write_text("diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\n")
+    assert [r.path for r in tables.named_paths(spark, diff=str(diff)).collect()] == ["x.py"]
+    assert [r.path for r in tables.named_paths(spark, "b.py, a\\c.py,b.py").collect()] == ["a/c.py", "b.py"]
+    assert tables.named_paths(spark) is None
+    for bad in ({"names": "../x"}, {"names": "a", "diff": str(diff)}):
+        with pytest.raises(ValueError):
+            tables.named_paths(spark, **bad)
+    target = tmp_path / "out" / "c.md"
+    sinks.write_private("x", str(target))
+    assert target.read_text() == "x" and stat.S_IMODE(target.stat().st_mode) == 0o600 and stat.S_IMODE(target.parent.stat().st_mode) == 0o700
+    link = tmp_path / "out" / "l.md"
+    link.symlink_to(target)
+    with pytest.raises(ValueError):
+        sinks.write_private("y", str(link))
+    f = spark.createDataFrame([("p", 0, "HIGH", "s", [1, 2], "T", "D", "high", "fix", None), ("a", 0, "CRITICAL", "s", [1], "U", "D", "low", "fix", "fixed")], "path string, idx int, severity string, slug string, lines array<int>, title string, description string, confidence string, recommendation string, verdict string")
+    body = sinks.comment_body(f, "r1")
+    assert body.startswith("## gritstone — 2 net-new findings for run `r1`\n1 × CRITICAL · 1 × HIGH\n\n### `CRIT` — CRITICAL **U**\n") and "- revalidation: `fixed`" in body and "(lines [1 2])" in body
+    assert "no net-new findings" in sinks.comment_body(f.limit(0), "r1")
+
+
+def test_records_are_redacted_and_replaced(spark, tmp_path):
+    import json
+
+    from gritstone.sources import tables
+
+    (tmp_path / "a.json").write_text(json.dumps({"filePath": "a", "projectId": "p", "candidates": [{"vulnSlug": "s", "lineNumbers": [1], "snippet": "password = hunter2222222222", "matchedPattern": "x"}], "findings": [{"title": "api_key = 'abcdefghijklmnopqrstuv'"}]}))
+    records = tables.read_records(spark, str(tmp_path))
+    r = records.first()
+    assert "hunter2222222222" not in r.candidates[0].snippet and r.candidates[0].vulnSlug == "s" and "abcdefghijklmnopqrstuv" not in r.findings[0].title
+    assert tables.point(records, "p", "a").count() == 1 and tables.point(records, "p", "b").count() == 0
+    new = tables.put(records, records.withColumn("status", F.lit("analyzed")))
+    assert [x.status for x in new.collect()] == ["analyzed"]
+    (tmp_path / "gritstone.toml").write_text('[[projects]]\nid = "p"\nroot = "."\n')
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    assert tables.find_config(str(tmp_path / "x" / "y")).endswith("gritstone.toml") and tables.read_config(tables.find_config(str(tmp_path)))["projects"][0]["id"] == "p"
+    (tmp_path / "gritstone.toml").write_text("[[projects]]\nid = 'p'\n")
+    with pytest.raises(ValueError):
+        tables.read_config(str(tmp_path / "gritstone.toml"))
+
+
+def test_second_looks(spark):
+    files = spark.createDataFrame([("a.py", "x = 1\ny = 2"), ("b.py", "z")], "path string, content string")
+    f = spark.createDataFrame([("a.py", 1, "LOW", "s", [2], "B", "later"), ("a.py", 0, "HIGH", "s", [1], "A", "d")], "path string, idx int, severity string, slug string, lines array<int>, title string, description string")
+    got = investigate.recheck_prompt(files, f).collect()
+    assert len(got) == 1 and got[0].user == "File: a.py\nCode:\n    1 x = 1\n    2 y = 2\n\nFindings to revalidate:\n[0] severity=HIGH slug=s lines=[1] title=A\n    description: d\n[1] severity=LOW slug=s lines=[2] title=B\n    description: later\n"
+    assert investigate.recheck_prompt(files, f, doubt=True).first().system != got[0].system
