@@ -55,7 +55,7 @@ def features(column: pa.Array) -> np.ndarray:
     ups = np.concatenate(([0], np.cumsum(_UP[data])))
     length = end - start
     newline = data == 10
-    lines = per_byte(newline) * size + 1
+    lines = np.rint(per_byte(newline) * size) + 1
     same = np.zeros(len(data), np.int64)
     same[1:] = (data[1:] == data[:-1]) & (_MARK[data[1:]] > 0)
     # distinct words by a cheap code, enough for a feature

@@ -284,3 +284,85 @@ def test_pipeline_runs(spark, sf):
     got = P.run(spark, sf)
     assert got.columns[:5] == list(P.COLUMNS) and 0 < got.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
     assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "mixing"] and P.ORACLE_SQL is None
+
+
+def test_op7_is_the_plain_additive_model(spark, sf, docs):
+    """Features, lookups and sums by hand, from the model's tables."""
+    from gritstone.llm import quality
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    got = rows(spark, sf, "op7_quality")
+    marks = {i for i in range(33, 127) if not chr(i).isalnum()}
+    odd = marks - set(b".,;:'\"-()?!/")
+
+    def features(text):
+        b = (text or "").encode()
+        w = b.split()
+        n, size = len(w), max(1, len(b))
+        if not n:
+            return [0.0] * 16
+        lines = b.count(b"\n") + 1
+        share = lambda ok: sum(map(ok, b)) / size
+        up = lambda x: 65 <= x <= 90
+        return [
+            math.log1p(n), sum(map(len, w)) / n, share(up), share(lambda x: 48 <= x <= 57), share(lambda x: x in marks), share(lambda x: x in odd), share(lambda x: x == 124), share(lambda x: x == 44),
+            sum(x[-1] in b".!?" for x in w) / n, share(lambda x: x >= 128), len({(x[:4], x[-1], len(x)) for x in w}) / n, math.log1p(size / lines), sum(p == q and p in marks for p, q in zip(b, b[1:])) / size,
+            sum(any(c in odd for c in x) for x in w) / n, sum(up(x[0]) and sum(map(up, x)) >= 2 for x in w) / n, math.log1p(lines),
+        ]
+
+    for i in sorted(docs)[::3]:
+        bins = [sum(c <= x for c in cuts.tolist()) for x, cuts in zip(features(docs[i].text), m.cuts)]
+        z = m.bias + sum(t[b] for t, b in zip(m.main, bins)) + sum(t[bins[a] // 4, bins[b] // 4] for a, b, t in m.pairs)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), i
+
+
+def test_op2_is_the_plain_posterior(spark, sf, docs):
+    """Trigram counts, grouped soft counts and the product of all evidence by hand, over every document and page."""
+    from gritstone.llm import langid as L
+
+    def bins(text):
+        b = [c if c >= 65 else 32 for c in (text or "").encode().lower()]
+        codes = (p << 16 | q << 8 | r for p, q, r in zip(b, b[1:], b[2:]))
+        return [(c * 2654435761 & 0xFFFFFFFF) >> 18 for c in codes if c != 0x202020]
+
+    grams = {i: Counter(bins(d.text)) for i, d in docs.items()}
+    langs = sorted({d.lang for d in docs.values() if d.lang})
+    count = {x: Counter() for x in langs}
+    for i, d in docs.items():
+        if d.lang:
+            count[d.lang].update(grams[i])
+    total = {x: sum(c.values()) + 0.5 * L.BINS for x, c in count.items()}
+    pages = L.page_rows(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    every = [(("d", i), f"documents/{d.source or ''}", "", "", grams[i]) for i, d in docs.items()]
+    every += [(("p", r.id), r.host or "", (r.markup or "")[:2].lower(), r.suffix or "", Counter(bins(r.text))) for r in pages]
+    ll = {k: [sum(n * math.log((count[x][g] + 0.5) / total[x]) for g, n in c.items()) / L.TEMPER for x in langs] for k, *_, c in every}
+    post = {}
+    for k, v in ll.items():
+        e = [math.exp(x - max(v)) for x in v]
+        post[k] = [x / sum(e) for x in e]
+
+    def soft(keys):
+        out = defaultdict(lambda: [0.0] * len(langs))
+        for (k, *_), key in zip(every, keys):
+            out[key] = [a + b for a, b in zip(out[key], post[k])]
+        return out
+
+    def domain(host):
+        m = re.search(r"([^.]+\.[^.]+)$", host)
+        return m[1] if m else host
+
+    smooth = lambda c, above, w: [(x + w * p) / (sum(c) + w) for x, p in zip(c, above)]
+    hosts, domains, marks, ends = soft([e[1] for e in every]), soft([domain(e[1]) for e in every]), soft([e[2] for e in every]), soft([e[3] for e in every])
+    everything = [sum(p[j] for p in post.values()) for j in range(len(langs))]
+    prior = [(x + L.SMOOTH) / (sum(everything) + L.SMOOTH * len(langs)) for x in everything]
+    seen = lambda table, v, j: math.log((table[v][j] + L.SMOOTH) / (everything[j] + L.SMOOTH * len(table)))
+    got = {("d", r.doc_id) if r.page_id is None else ("p", r.page_id): r for r in Q.queries()["op2_language_id"](spark, sf).collect()}
+    assert len(got) == len(every)
+    for k, host, mark, end, _ in every:
+        p = smooth(hosts[host], smooth(domains[domain(host)], prior, L.DOMAIN_WEIGHT), L.HOST_WEIGHT)
+        fused = [ll[k][j] + math.log(p[j]) + seen(marks, mark, j) + seen(ends, end, j) for j in range(len(langs))]
+        best = max(fused)
+        assert got[k].confidence == pytest.approx(1 / sum(math.exp(x - best) for x in fused), abs=1e-4), k
+        if sorted(fused)[-1] - sorted(fused)[-2] > 1e-6:
+            assert got[k].lang == langs[fused.index(best)], k
