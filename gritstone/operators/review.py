@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .score import rate
 
+#: Lines of a file in a stretch of the range join.
+STRETCH = 64
+
 
 def closest_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:
     """`findings` (task_id, file, finding_id, line) with `closest`: the answer (task_id, file, ord, answer_id, low, high) of
@@ -18,8 +21,11 @@ def closest_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:
     key = ["task_id", "file"]
     f = findings.select(*key, F.col("finding_id"), F.col("line").cast("long").alias("line"))
     a = answers.select(*key, F.col("ord").cast("long").alias("ord"), "answer_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
-    on = [F.col(f"f.{k}") == F.col(f"a.{k}") for k in key]
-    around = f.alias("f").join(a.alias("a"), on[0] & on[1] & F.col("f.line").between(F.col("a.low"), F.col("a.high")))
+    # ranges meet the lines of the stretches that they cover
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    cover = a.withColumn("part", F.explode(F.sequence(stretch("low"), F.greatest(stretch("low"), stretch("high")))))
+    on = [F.col(f"f.{k}") == F.col(f"a.{k}") for k in (*key, "part")]
+    around = f.withColumn("part", stretch("line")).alias("f").join(cover.alias("a"), on[0] & on[1] & on[2] & F.col("f.line").between(F.col("a.low"), F.col("a.high")))
     inside = around.groupBy("f.task_id", "f.file", "f.finding_id").agg(F.min(F.struct("a.ord", "a.answer_id")).alias("c"))
     inside = inside.select("task_id", "file", "finding_id", F.struct(F.lit(0).cast("long").alias("dist"), "c.ord", "c.answer_id").alias("in_"))
 
