@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 
@@ -296,6 +297,8 @@ def test_op7_is_the_plain_additive_model(spark, sf, docs):
     marks = {i for i in range(33, 127) if not chr(i).isalnum()}
     odd = marks - set(b".,;:'\"-()?!/")
 
+    log1p = lambda x: float(np.log1p(np.array([float(x)]))[0])  # noqa: E731  the last bit of math's differs
+
     def features(text):
         b = (text or "").encode()
         w = b.split()
@@ -306,9 +309,9 @@ def test_op7_is_the_plain_additive_model(spark, sf, docs):
         share = lambda ok: sum(map(ok, b)) / size
         up = lambda x: 65 <= x <= 90
         return [
-            math.log1p(n), sum(map(len, w)) / n, share(up), share(lambda x: 48 <= x <= 57), share(lambda x: x in marks), share(lambda x: x in odd), share(lambda x: x == 124), share(lambda x: x == 44),
-            sum(x[-1] in b".!?" for x in w) / n, share(lambda x: x >= 128), len({(x[:4], x[-1], len(x)) for x in w}) / n, math.log1p(size / lines), sum(p == q and p in marks for p, q in zip(b, b[1:])) / size,
-            sum(any(c in odd for c in x) for x in w) / n, sum(up(x[0]) and sum(map(up, x)) >= 2 for x in w) / n, math.log1p(lines),
+            log1p(n), sum(map(len, w)) / n, share(up), share(lambda x: 48 <= x <= 57), share(lambda x: x in marks), share(lambda x: x in odd), share(lambda x: x == 124), share(lambda x: x == 44),
+            sum(x[-1] in b".!?" for x in w) / n, share(lambda x: x >= 128), len({(x[:4], x[-1], len(x)) for x in w}) / n, log1p(size / lines), sum(p == q and p in marks for p, q in zip(b, b[1:])) / size,
+            sum(any(c in odd for c in x) for x in w) / n, sum(up(x[0]) and sum(map(up, x)) >= 2 for x in w) / n, log1p(lines),
         ]
 
     for i in sorted(docs)[::3]:
