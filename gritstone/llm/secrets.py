@@ -67,6 +67,7 @@ def spell(body: bytes, found: list[tuple[int, int, int]]) -> str:
 
 
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+FIELDS = [f.split()[0] for f in FINDINGS.split(", ")]
 
 
 def _scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -85,7 +86,8 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     (blob, rules and FINDINGS). `ledger`: what earlier scans returned; pairs in it are not scanned.
 
     Null texts count as the empty blob. Rows with one id may hold different versions. Null ids are kept. Extra columns
-    are ignored. Texts are shuffled once, by id and blob, and those that stand for no unseen blob end there.
+    are ignored. Texts are shuffled once, by id and blob, and those that stand for no unseen blob end there; where no blob
+    is unseen no text is read but for its name.
     """
     prepare(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -94,10 +96,12 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     unseen = paths.groupBy("blob").agg(F.min(id_col).alias("one"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    pick = unseen.select(F.xxhash64("one", "blob").alias("rid"), F.col("blob").alias("want"))
+    pick = staged(unseen.select(F.xxhash64("one", "blob").alias("rid"), F.col("blob").alias("want")), "unseen")
+    if ledger is not None and pick.isEmpty():
+        return paths.join(ledger.where(F.col("rules") == rules).select("blob", *FIELDS), "blob").drop("blob"), ledger
     texts = docs.select(body.cast("binary").alias("body"), blob.alias("blob"), F.xxhash64(F.col(id_col), blob).alias("rid"))
     chosen = texts.join(pick, "rid").where(F.col("blob") == F.col("want"))
     new = staged(chosen.select("blob", F.pandas_udf(_scan, FINDINGS)("body").alias("x")).select("blob", F.lit(rules).alias("rules"), "x.*").dropDuplicates(["blob"]), "ledger")
     after = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    findings = paths.join(after.where(F.col("rules") == rules).drop("rules"), "blob").drop("blob")
+    findings = paths.join(after.where(F.col("rules") == rules).select("blob", *FIELDS), "blob").drop("blob")
     return findings, after

@@ -7,7 +7,7 @@ hold equal symbols wherever that span lies inside the window, so each window can
 first, then greatest name, then leftmost) as its mark, and equal windows choose equal marks. Consecutive windows with
 one mark are a segment. Marks that occur once in the corpus settle their windows as unique. Segments with equal marks
 and equal words are repeats at once; the windows of the others that share a mark are compared one by one, by their
-128-bit hashes. Nothing pairs up the members of a group, and no window is left out: a word itself is a symbol whose
+128-bit hashes. Both comparisons take two hashes that come from the words' bytes independently. Nothing pairs up the members of a group, and no window is left out: a word itself is a symbol whose
 span is inside every window that holds it.
 """
 
@@ -80,8 +80,8 @@ def _cover(a, b, rank, n, width):
     return at[0]
 
 
-def segments(h: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int, rounds: int):
-    """(mark, content hash, row, first window, last window) of each segment; window starts count from the row's first word."""
+def segments(h: np.ndarray, other: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int, rounds: int):
+    """h, other: two independent hashes of each word. Returns (mark, content hash, row, first window, last window) of each segment; window starts count from the row's first word."""
     n = len(h)
     n_row = np.diff(first)[doc]
     place = np.arange(n) - first[doc]
@@ -128,16 +128,16 @@ def segments(h: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int, rou
     new[1:] = (which[p[1:]] != which[p[:-1]]) | (p[1:] != p[:-1] + 1) | (doc[p[1:]] != doc[p[:-1]])
     s = p[new]
     e = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
-    return mark[s], runs.of(s, e + window), doc[s], place[s], place[e]
+    return mark[s], Runs(other, P_WORDS2).of(s, e + window), doc[s], place[s], place[e]
 
 
 def _long_rows(column, window):
     """The words of rows that have a whole window, and those rows' places in the batch."""
-    w = words(column, SPACE)
+    w, other = words(column, SPACE), words(column, SPACE, other=True).hash
     size = np.diff(w.first)
     rows = np.flatnonzero(size >= window)
     keep = (size >= window)[w.doc]
-    return w.hash[keep], np.repeat(np.arange(len(rows)), size[rows]), np.concatenate(([0], np.cumsum(size[rows]))), rows
+    return w.hash[keep], other[keep], np.repeat(np.arange(len(rows)), size[rows]), np.concatenate(([0], np.cumsum(size[rows]))), rows
 
 
 def packed(c: Column) -> Column:
@@ -159,9 +159,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            h, doc, first, rows = _long_rows(batch.column(1), window)
+            h, other, doc, first, rows = _long_rows(batch.column(1), window)
             if len(rows):
-                key, content, d, a, b = segments(h, doc, first, window, rounds)
+                key, content, d, a, b = segments(h, other, doc, first, window, rounds)
                 rid = batch.column(0).take(pa.array(rows[d]))
                 yield pa.RecordBatch.from_arrays([rid, pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array((a << 32) | b)], ["rid", "mark", "content", "span"])
 
@@ -176,7 +176,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, doc, first, rows = _long_rows(pa.array(map(zstandard.decompress, batch.column(1).to_pylist()), pa.binary()), window)
+            h, other, doc, first, rows = _long_rows(pa.array(map(zstandard.decompress, batch.column(1).to_pylist()), pa.binary()), window)
             spans = batch.column(2).take(pa.array(rows))
             flat_spans, size = spans.flatten().to_numpy(zero_copy_only=False), np.diff(spans.offsets.to_numpy())
             if not len(flat_spans):
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
             row = np.repeat(np.repeat(np.arange(len(rows)), size), n)
             p = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = first[row] + p
-            one, two = Runs(h).of(at, at + window), Runs(h, P_WORDS2).of(at, at + window)
+            one, two = Runs(h).of(at, at + window), Runs(other, P_WORDS2).of(at, at + window)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(p)], ["rid", "h1", "h2", "p"])
 
     ask = found.where("compare").groupBy("rid").agg(F.collect_set("span").alias("spans"))

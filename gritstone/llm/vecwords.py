@@ -15,9 +15,11 @@ import pyarrow as pa
 U = np.uint64
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 
 #: Odd multipliers; each is 3 modulo 4, so that exchanged neighbours differ in all but one bit.
 P_BYTES, P_WORDS, P_WORDS2 = 0x9E3779B97F4A7C17 | 3, 0xC2B2AE3D27D4EB4F | 3, 0xD6E8FEB86659FD93 | 3
+P_BYTES2 = 0xA0761D6478BD642F | 3
 
 #: Separators of `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -140,21 +142,22 @@ def _cut(data: np.ndarray, a: int, sep: np.ndarray, limit: int) -> int:
     return len(data)
 
 
-def words(column: pa.Array, sep: np.ndarray = SPACE, lower: bool = False, limit: int = PIECE) -> Words:
-    """The words of all rows. A long text is hashed in stretches of about `limit` bytes that end between words, so its
+def words(column: pa.Array, sep: np.ndarray = SPACE, lower: bool = False, limit: int = PIECE, other: bool = False) -> Words:
+    """The words of all rows; with `other` under hashes that are independent of the usual ones. A long text is hashed in stretches of about `limit` bytes that end between words, so its
     arrays over bytes stay small; what is kept of it is 32 bytes a word."""
     data, at = flat(column)
     if lower:
         data = LOWER[data]
     starts, ends, hashes = [], [], []
+    table, base = (_BYTE2, P_BYTES2) if other else (_BYTE, P_BYTES)
     a = 0
     while a < len(data) or not starts:
         b = _cut(data, a, sep, limit)
         part = data[a:b]
         start, end, _ = bounds(part, at[(at >= a) & (at <= b)] - a, sep)
-        up, down = powers(P_BYTES, len(part) + 1)
+        up, down = powers(base, len(part) + 1)
         total = np.zeros(len(part) + 1, U)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        np.cumsum(table[part] * up[: len(part)], out=total[1:])
         hashes.append(scramble((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(P_WORDS)))
         starts.append(start + a)
         ends.append(end + a)
