@@ -10,7 +10,7 @@ from ..operators import audit, gate, investigate, scan
 from ..rules.load import Gate, Rule, TreePattern, frame
 from ..rules.regex import glob_to_java
 from ..sources import tables
-from .common import FILES, candidates_sql, corpus_rules, files, hits_sql, query, redact_sql, table
+from .common import FILES, candidates_sql, corpus_rules, files, hits_sql, q, query, redact_sql, table
 
 CANDS = candidates_sql(corpus_rules())
 
@@ -219,34 +219,47 @@ def role_turns(spark: SparkSession, sf: str) -> DataFrame:
 CODE = [Rule("made-eval", file_patterns=["**/*.py"], tree_patterns=[TreePattern("python", '(Call func: (Name id: _ @f)) @call (#match? @f "^(?:eval|exec)$")', label="eval", primary_capture="call", prefilter_patterns=["eval|exec"])])]
 
 
-@query("SELECT 'd' || doc_id % 10 || '/f' || doc_id || '.py' AS path, 'made-eval' AS slug, 2 + (doc_id % 4)::INT AS line FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0")
+@query("SELECT 'd' || doc_id % 10 || '/f' || doc_id || '.py' AS path, 'made-eval' AS slug, (3 + len(regexp_replace(text, '[^\\n]', '', 'g')) + doc_id % 4)::INT AS line FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0")
 def tree_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Source files made from document numbers: calls, the same names as plain words, and files that cannot be parsed."""
+    """Documents as comments of source files with code made from their numbers: calls, the same names as plain words, and files that cannot be parsed."""
     d = F.col("doc_id")
     n = (d % 4).cast("int")
     call = F.when(d % 3 == 0, "y = eval(x)\n").otherwise("y = 'eval(x)'  # exec(x)\n")
-    content = F.concat(F.lit("x = 1\n"), F.repeat(F.lit("z = x\n"), n), call, F.when(d % 5 == 0, "def broken(:\n").otherwise(""))
+    content = F.concat(F.lit("# "), F.regexp_replace(F.regexp_replace("text", r"[^\n -~]", "?"), "\n", "\n# "), F.lit("\nx = 1\n"), F.repeat(F.lit("z = x\n"), n), call, F.when(d % 5 == 0, "def broken(:\n").otherwise(""))
     made = table(spark, sf, "documents").select(F.concat(F.lit("d"), (d % 10).cast("string"), F.lit("/f"), d.cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
     return audit.tree_candidates(made, CODE).select("path", "slug", "line")
 
 
-@query("SELECT 'f' || doc_id || '.rs' AS path, (1 + doc_id % 3)::INT AS line FROM documents WHERE doc_id % 4 IN (0, 3)")
+@query("SELECT 'f' || doc_id || '.rs' AS path, (2 + len(regexp_replace(text, '[^\\n]', '', 'g')) + doc_id % 3)::INT AS line FROM documents WHERE doc_id % 4 IN (0, 3)")
 def route_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes made from document numbers: an open handler, one that takes an identity, one that checks, one elsewhere."""
+    """Documents as comments before routes made from their numbers: an open handler, one that takes an identity, one that checks, one elsewhere."""
     d = F.col("doc_id")
     handler = F.when(d % 4 == 0, 'async fn h(x: T) { let s = "}"; save(x); }').when(d % 4 == 1, "pub async fn h(me: CurrentUser) { save(me); }").when(d % 4 == 2, 'async fn h(x: T) -> R { let s = "{"; require_admin(x); }').otherwise("async fn other(me: Session) { }")
-    content = F.concat(F.repeat(F.lit("\n"), (d % 3).cast("int")), F.lit('.route("/x", post(h))\n.route("/y", get(h))\n'), handler)
+    content = F.concat(F.lit("// "), F.regexp_replace(F.regexp_replace("text", r"[^\n -~]", "?"), "\n", "\n// "), F.lit("\n"), F.repeat(F.lit("\n"), (d % 3).cast("int")), F.lit('.route("/x", post(h))\n.route("/y", get(h))\n'), handler)
     made = table(spark, sf, "documents").select(F.concat(F.lit("f"), d.cast("string"), F.lit(".rs")).alias("path"), content.alias("content"))
     return audit.route_audit(made).select("path", "line")
 
 
-MANIFESTS = [("package.json", '{"dependencies": {"react": "1", "@nestjs/core": "2"}}'), ("go.mod", "require labstack/echo v4"), ("a/b/Chart.yaml", ""), ("a/Gemfile", "gem 'rails'"), ("web/x.svelte", "<p>"), ("requirements.txt", "Flask==1\n"), (".github/workflows/ci.yml", "on: push"), ("pom.xml", "<project/>"), ("a/b/c/d/e/f/g/package.json", "{}")]
+#: documents as manifests of one project, with a word of a framework in some
+NAMES = ["package.json", "go.mod", "Gemfile", "requirements.txt", "Cargo.toml", "notes.txt"]
+HINTS = ['"react"', "labstack/echo", "'rails'", "Flask", "axum", '"koa"', "gin-gonic/gin", ""]
 
 
-@query("SELECT unnest(['echo', 'flask', 'github-actions', 'go', 'helm', 'jvm', 'nestjs', 'node', 'python', 'react', 'svelte', 'typescript']) AS tag")
+def _tech_sql() -> str:
+    made = f"SELECT list_extract({NAMES!r}, 1 + (doc_id % {len(NAMES)})::INT) AS name, text || chr(10) || list_extract([{', '.join(q(h) for h in HINTS)}], 1 + (doc_id // {len(NAMES)} % {len(HINTS)})::INT) AS content FROM documents"
+    parts = [f"SELECT {q(gate.MANIFESTS[n])} AS tag FROM m WHERE name = {q(n)}" for n in NAMES if n in gate.MANIFESTS]
+    for n in NAMES:
+        low = "lower(content)" if n == "requirements.txt" else "content"
+        parts += [f"SELECT {q(tag)} FROM m WHERE name = {q(n)} AND ({' OR '.join(f'contains({low}, {q(p)})' for p in probes)})" for tag, probes in gate.PROBES.get(n, {}).items()]
+    return f"WITH m AS ({made}) " + " UNION ".join(parts)
+
+
+@query(_tech_sql())
 def tech_detect(spark: SparkSession, sf: str) -> DataFrame:
-    tech = gate.detect(spark.createDataFrame(MANIFESTS, "path string, content string"))
-    return tech.select(F.explode("tags").alias("tag"))
+    d, n = F.col("doc_id"), len(NAMES)
+    pick = lambda values, i: F.get(F.array(*[F.lit(x) for x in values]), i.cast("int"))
+    made = table(spark, sf, "documents").select(pick(NAMES, d % n).alias("path"), F.concat("text", F.lit("\n"), pick(HINTS, F.floor(d / n) % len(HINTS))).alias("content"))
+    return gate.detect(made).select(F.explode("tags").alias("tag"))
 
 
 IGNORED = ["*.html", "/en/", "!keep.html", "shop/*", "# note", "de/**/x*"]
