@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 # fixed values: languages of the statistics by extension
 LANGUAGES = {
-    "svelte": "svelte", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py", "ruby": "rb", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt kts", "csharp": "cs",
-    "php": "php", "swift": "swift", "elixir": "ex exs", "erlang": "erl", "clojure": "clj cljs", "crystal": "cr", "scala": "scala", "c": "c h", "cpp": "cpp cc hpp", "dart": "dart",
+    "svelte": ["svelte"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py"], "ruby": ["rb"], "go": ["go"], "rust": ["rs"], "java": ["java"], "kotlin": ["kt", "kts"], "csharp": ["cs"],
+    "php": ["php"], "swift": ["swift"], "elixir": ["ex", "exs"], "erlang": ["erl"], "clojure": ["clj", "cljs"], "crystal": ["cr"], "scala": ["scala"], "c": ["c", "h"], "cpp": ["cpp", "cc", "hpp"], "dart": ["dart"],
 }
 # fixed values: languages whose sources of input are known, by extension
-TAINT_LANGUAGES = {"go": "go", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py", "ruby": "rb", "java": "java", "kotlin": "kt kts", "rust": "rs", "php": "php", "swift": "swift", "csharp": "cs"}
+TAINT_LANGUAGES = {
+    "go": ["go"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py"], "ruby": ["rb"], "java": ["java"], "kotlin": ["kt", "kts"], "rust": ["rs"], "php": ["php"], "swift": ["swift"], "csharp": ["cs"],
+}
 # fixed values: languages of syntax trees, by extension
-TREE_LANGUAGES = {"go": "go", "typescript": "ts", "tsx": "tsx", "javascript": "js mjs cjs", "jsx": "jsx", "python": "py", "java": "java", "kotlin": "kt kts", "rust": "rs", "swift": "swift", "c": "c h", "cpp": "cc cpp cxx hpp"}
+TREE_LANGUAGES = {
+    "go": ["go"], "typescript": ["ts"], "tsx": ["tsx"], "javascript": ["js", "mjs", "cjs"], "jsx": ["jsx"], "python": ["py"], "java": ["java"], "kotlin": ["kt", "kts"], "rust": ["rs"], "swift": ["swift"], "c": ["c", "h"], "cpp": ["cc", "cpp", "cxx", "hpp"],
+}
 
 
 def extension(path: Column) -> Column:
@@ -21,8 +25,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
 
 
-def _lookup(path: Column, table: dict[str, str], default: str | None) -> Column:
-    pairs = [F.lit(x) for name, exts in table.items() for e in exts.split() for x in (e, name)]
+def _lookup(path: Column, table: dict[str, list[str]], default: str | None) -> Column:
+    pairs = [F.lit(x) for name, exts in table.items() for e in exts for x in (e, name)]
     found = F.try_element_at(F.create_map(*pairs), extension(path))
     return found if default is None else F.coalesce(found, F.lit(default))
 

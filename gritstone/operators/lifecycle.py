@@ -8,8 +8,6 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .report import real
-
 
 def new_run_id(now: datetime.datetime | None = None) -> str:
     """YYYYMMDDHHMMSS and eight random hex digits: ids sort by time."""
@@ -69,8 +67,8 @@ def not_judged(findings: DataFrame, column: str, force: bool = False) -> DataFra
 
 
 def patch_queue(findings: DataFrame, run: str | None = None, severities: list[str] = (), slugs: list[str] = (), most: int | None = None) -> DataFrame:
-    """Findings to be patched, in order of path and place."""
-    out = findings.where(real(F.col("verdict")))
+    """Findings to be patched, in order of path and place, whatever their verdicts."""
+    out = findings
     if run:
         out = out.where(F.col("run") == run)
     if severities:

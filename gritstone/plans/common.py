@@ -82,6 +82,14 @@ def candidates_sql(rules: list[Rule]) -> str:
     return "candidates AS (" + "\nUNION\n".join(parts) + ")"
 
 
+def batches_sql(most: int) -> str:
+    """batched (path, batch_id): whole packing of directories into batches, chunk by chunk."""
+    return f"""{FILES}, c AS (SELECT path, dir, (row_number() OVER (PARTITION BY dir ORDER BY path) - 1) // {most} AS chunk FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files)),
+o AS (SELECT dir, chunk, count(*) AS n, row_number() OVER (ORDER BY dir, chunk) AS i FROM c GROUP BY 1, 2),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS id, 0::BIGINT AS held, -1::BIGINT AS mine UNION ALL SELECT o.i, CASE WHEN held + n <= {most} THEN id WHEN held = 0 THEN id + 1 ELSE id + 2 END, CASE WHEN held + n <= {most} THEN held + n ELSE 0 END, CASE WHEN held + n <= {most} OR held = 0 THEN id ELSE id + 1 END FROM f JOIN o ON o.i = f.i + 1),
+batched AS (SELECT c.path, f.mine AS batch_id FROM c JOIN o ON c.dir = o.dir AND c.chunk = o.chunk JOIN f ON f.i = o.i)"""
+
+
 #: events as analyses and findings: users are runs, days stand for files.
 HISTORY = "history AS (SELECT event_id, 'user' || user_id AS run, event_type AS agent, strftime(ts, '%Y-%m-%d') AS path, value AS cost, ts FROM events)"
 

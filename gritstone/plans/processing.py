@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import investigate
 from ..schemas import FINDING
-from .common import query, table
+from .common import batches_sql, files, query, table
 
 
 @query(
@@ -95,11 +95,12 @@ def status_machine(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", investigate.next_status(F.col("event_type") == "error", n % 5 == 0, n % 9 == 0).alias("status"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {batches_sql(5)}, sized AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n FROM batched)
+SELECT batch_id, path, contains(content, '!!')::INT AS findings, round(0.5 / n, 6)::DOUBLE AS cost, 100 // n AS tokens FROM sized JOIN files USING (path)"""
+)
 def replay_investigation(spark: SparkSession, sf: str) -> DataFrame:
     """Batches of documents' files through a backend that finds the first line of each file with a capital word."""
-    from .common import files
-
     batched = investigate.batches(files(spark, sf).select("path"), 5).join(files(spark, sf), "path")
 
     def backend(batch: int, paths: list[str], rows) -> dict:
@@ -110,3 +111,12 @@ def replay_investigation(spark: SparkSession, sf: str) -> DataFrame:
         return {"results": out, "cost": 0.5, "tokens": 100, "duration_ms": 10}
 
     return investigate.investigate(batched, backend).select("batch_id", "path", F.size("findings").alias("findings"), F.round("cost", 6).alias("cost"), "tokens")
+
+
+@query(f"WITH RECURSIVE {batches_sql(5)} SELECT batch_id, string_agg(path, ',' ORDER BY path) AS paths, 'reply ' || batch_id AS output FROM batched GROUP BY 1")
+def replayed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded replies, whose paths may stand in any order, meet the batches of their places."""
+    batched = investigate.batches(files(spark, sf).select("path"), 5).select("batch_id", "path")
+    told = batched.groupBy(F.col("batch_id").alias("position")).agg(F.sort_array(F.collect_list("path"), asc=False).alias("batch_paths"))
+    told = told.withColumn("output", F.concat(F.lit("reply "), F.col("position").cast("string")))
+    return investigate.replay(batched, told).select("batch_id", F.array_join("paths", ",").alias("paths"), "output")

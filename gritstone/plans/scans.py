@@ -10,7 +10,7 @@ from ..operators import audit, gate, investigate, scan
 from ..rules.load import Gate, Rule, TreePattern, frame
 from ..rules.regex import glob_to_java
 from ..sources import tables
-from .common import FILES, candidates_sql, corpus_rules, files, hits_sql, q, query, redact_sql, table
+from .common import FILES, batches_sql, candidates_sql, corpus_rules, files, hits_sql, q, query, redact_sql, table
 
 CANDS = candidates_sql(corpus_rules())
 
@@ -195,12 +195,7 @@ def dir_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("source", "doc_id", F.floor((F.row_number().over(w) - 1) / 7).cast("int").alias("chunk"))
 
 
-@query(
-    f"""WITH RECURSIVE {FILES}, c AS (SELECT path, dir, (row_number() OVER (PARTITION BY dir ORDER BY path) - 1) // 7 AS chunk FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files)),
-o AS (SELECT dir, chunk, count(*) AS n, row_number() OVER (ORDER BY dir, chunk) AS i FROM c GROUP BY 1, 2),
-f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS id, 0::BIGINT AS held, -1::BIGINT AS mine UNION ALL SELECT o.i, CASE WHEN held + n <= 7 THEN id WHEN held = 0 THEN id + 1 ELSE id + 2 END, CASE WHEN held + n <= 7 THEN held + n ELSE 0 END, CASE WHEN held + n <= 7 OR held = 0 THEN id ELSE id + 1 END FROM f JOIN o ON o.i = f.i + 1)
-SELECT c.path, f.mine AS batch_id FROM c JOIN o ON c.dir = o.dir AND c.chunk = o.chunk JOIN f ON f.i = o.i"""
-)
+@query(f"WITH RECURSIVE {batches_sql(7)} SELECT path, batch_id FROM batched")
 def dir_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Whole packing of directories into batches of seven."""
     return investigate.batches(files(spark, sf).select("path"), 7).select("path", "batch_id")

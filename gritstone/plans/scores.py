@@ -79,15 +79,6 @@ def context_caps(spark: SparkSession, sf: str) -> DataFrame:
     return score.first_k(_parts(spark, sf)[1], ["task_id"], ["severity", "issue_id"], 5).select("task_id", "issue_id")
 
 
-@query()
-def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings one to one to answers; each choice depends on the ones before."""
-    c = cands(spark, sf).withColumnRenamed("cand_id", "finding_id")
-    slack = F.coalesce("tolerance", F.lit(3))
-    a = issues(spark, sf).select("task_id", "file", F.col("issue_id").alias("ord"), F.col("issue_id").alias("answer_id"), "slugs", (F.col("start_line") - slack).cast("int").alias("low"), (F.col("end_line") + slack).cast("int").alias("high"))
-    return score.greedy(c, a)
-
-
 SIDES = """SELECT l_returnflag || l_linenumber AS slug, count(*) AS candidates, count(*) FILTER (WHERE l_tax < 0.05) AS tp, count(*) FILTER (WHERE l_tax >= 0.05) AS fp, count(*) FILTER (WHERE l_discount = 0.1) AS fn, count(*) FILTER (WHERE l_discount = 0.1 AND l_tax > 0.06) AS high_fn FROM lineitem WHERE {} GROUP BY 1"""
 BEFORE_AFTER = f"b AS ({SIDES.format('l_orderkey % 2 = 0 AND l_linenumber < 7')}), a AS ({SIDES.format('l_orderkey % 2 = 1 AND l_linenumber > 1')})"
 

@@ -14,8 +14,8 @@ from ..functions import paths, text
 from ..rules.regex import glob_to_java
 
 # fixed values: folders and extensions that a walk leaves out
-SKIP_DIRS = "node_modules .git .hg .svn dist build out .next .nuxt .turbo .cache coverage __pycache__ .pytest_cache .mypy_cache target vendor .terraform .venv venv .tox deps Pods .idea .vscode".split()
-SKIP_EXTENSIONS = "md lock log map ico png jpg jpeg gif webp svg pdf zip tar gz exe dll so dylib woff woff2 ttf".split()
+SKIP_DIRS = ["node_modules", ".git", ".hg", ".svn", "dist", "build", "out", ".next", ".nuxt", ".turbo", ".cache", "coverage", "__pycache__", ".pytest_cache", ".mypy_cache", "target", "vendor", ".terraform", ".venv", "venv", ".tox", "deps", "Pods", ".idea", ".vscode"]
+SKIP_EXTENSIONS = ["md", "lock", "log", "map", "ico", "png", "jpg", "jpeg", "gif", "webp", "svg", "pdf", "zip", "tar", "gz", "exe", "dll", "so", "dylib", "woff", "woff2", "ttf"]
 MOST_BYTES = 1 << 20
 
 
