@@ -129,11 +129,13 @@ def replay(batched: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def weighted_pick(alternatives: DataFrame, seed: int = 7) -> DataFrame:
-    """One alternative (position, ord, weight, output) of each position, with probability by weight, from a hash."""
+    """One alternative (position, ord, weight, output) of each position, with probability by weight. The draw comes from
+    a hash that any engine with MD5 can repeat. Alternatives of one reply are few."""
     total = Window.partitionBy("position")
-    run = total.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "position"), 11) / float(1 << 53)
-    rows = alternatives.withColumn("upto", F.sum("weight").over(run)).withColumn("all", F.sum("weight").over(total)).where(F.col("upto") > u * F.col("all"))
+    upto = total.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("position").cast("string"))), 1, 13)
+    u = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
+    rows = alternatives.withColumn("upto", F.sum("weight").over(upto)).withColumn("all", F.sum("weight").over(total)).where(F.col("upto") > u * F.col("all"))
     return rows.groupBy("position").agg(F.min_by("output", "ord").alias("output"))
 
 

@@ -73,6 +73,10 @@ def run_totals(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), *sums)
 
 
+def newest_runs(runs: DataFrame, n: int = 10) -> DataFrame:
+    return runs.orderBy(F.desc("runId")).limit(n)
+
+
 def latest_run(runs: DataFrame, kind: str = "process") -> DataFrame:
     """(run): ids sort by time, so the latest is the greatest."""
     return runs.where(F.col("type") == kind).agg(F.max("runId").alias("run"))

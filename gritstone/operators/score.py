@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import severity_rank
+
 TOLERANCE = 3
 
 
@@ -115,6 +116,35 @@ def worst_precision(slugs: DataFrame, least_fp: int = 1) -> DataFrame:
     return total.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).orderBy("precision", F.desc("fp"), "slug").limit(1)
 
 
+def decoy_rate(classified: DataFrame, decoys: DataFrame) -> DataFrame:
+    """(task_id, decoys, flagged, rate): the share of a task's decoys that some false alarm hit."""
+    n = decoys.groupBy("task_id").agg(F.count("*").alias("decoys"))
+    hit = classified.where("not tp and decoy_id is not null").groupBy("task_id").agg(F.countDistinct("decoy_id").alias("flagged"))
+    return n.join(hit, "task_id", "left").na.fill(0, ["flagged"]).withColumn("rate", rate(F.col("flagged"), F.col("decoys")))
+
+
+def worst_members(missed: DataFrame) -> DataFrame:
+    """The missed issues of the slug that worst_recall names, the gravest first."""
+    return missed.join(F.broadcast(worst_recall(missed).select("slug")), "slug", "left_semi").orderBy(severity_rank(F.col("severity")).desc(), "task_id", "issue_id")
+
+
+def processor_by_slug(findings: DataFrame, matched: DataFrame, answers: DataFrame) -> DataFrame:
+    """(slug, tp, fp, fn, precision, recall): findings (task_id, finding_id, slug) count by their own slug, answers
+    (task_id, answer_id, slugs) that none of `matched` (task_id, finding_id, answer_id) took by their first."""
+    took = matched.where("answer_id is not null")
+    f = findings.join(took.select("task_id", "finding_id", F.lit(True).alias("__hit")), ["task_id", "finding_id"], "left")
+    f = f.groupBy("slug").agg(F.count_if(F.col("__hit")).alias("tp"), F.count_if(F.col("__hit").isNull()).alias("fp"))
+    m = answers.join(took, ["task_id", "answer_id"], "left_anti").groupBy(F.col("slugs")[0].alias("slug")).agg(F.count("*").alias("fn"))
+    out = f.join(m, "slug", "full_outer").na.fill(0)
+    return out.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
+
+
+def unused_replies(batched: DataFrame, replies: DataFrame) -> DataFrame:
+    """(position, problem): recorded replies that no batch consumed."""
+    left = replies.join(batched.select(F.col("batch_id").alias("position")).distinct(), "position", "left_anti")
+    return left.select("position", F.lit("recorded reply was not consumed").alias("problem"))
+
+
 def worst_recall(missed: DataFrame) -> DataFrame:
     """The slug with most missed issues of HIGH and CRITICAL, then most at all."""
     return missed.groupBy("slug").agg(F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("high"), F.count("*").alias("fn")).orderBy(F.desc("high"), F.desc("fn"), "slug").limit(1)

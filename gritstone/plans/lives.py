@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import gates, investigate, lifecycle, ordered, report, score, stats
+from ..operators import gates, investigate, lifecycle, ordered, report, score, stats, tools
 from ..schemas import FINDING, candidates_of, findings_of, history_of
 from ..sources import sinks
-from .common import FILES, FINDINGS, ISSUES, cands, files, findings, issues, query, redact_sql, table
+from .common import FILES, FINDINGS, ISSUES, batches_sql, cands, files, findings, issues, query, redact_sql, table
+from .scores import MATCH
 
 
 def _text(c: str):
@@ -310,3 +311,102 @@ def recheck_prompts(spark: SparkSession, sf: str) -> DataFrame:
     made = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), k.cast("int").alias("idx"), F.lit("HIGH").alias("severity"), F.lit("rule").alias("slug"), F.array((k % 5).cast("int"), F.lit(9)).alias("lines"), F.concat(F.lit("t"), k.cast("string")).alias("title"), F.lit("d").alias("description"))
     own = made.join(ordered.ranked(f.select("path"), "path", name="k").withColumn("k", F.col("k") + 1), "k").drop("k")
     return investigate.recheck_prompt(f, own).select("path", F.md5("user").alias("said"))
+
+
+ASCII = "regexp_replace(content, '[^\n -~]', '?', 'g')"
+#: read (path, shown): the answers to (path, content, first, last) of `asked`, over texts of single bytes
+READ = f"""l AS (SELECT path, first, size, n, unnest(ls) AS x, unnest(range(1, n + 1)) AS i FROM (SELECT *, len(ls) AS n FROM (SELECT path, first, last, length(content) AS size, string_split(regexp_replace(left(content, 16384), chr(10) || '$', ''), chr(10)) AS ls FROM asked))),
+m AS (SELECT path, greatest(first, 1) AS a, CASE WHEN last < 1 OR last > n THEN n ELSE last END AS b, size, i, lpad(i::VARCHAR, 6, ' ') || '  ' || {redact_sql('x')} || chr(10) AS x FROM l JOIN (SELECT path, last FROM asked) USING (path)),
+h AS (SELECT *, path || ':' || a || '-' || b || chr(10) AS head FROM m WHERE i BETWEEN a AND b),
+s AS (SELECT *, length(head) + sum(length(x)) OVER (PARTITION BY path ORDER BY i) AS upto FROM h),
+read AS (SELECT path, any_value(head) || string_agg(x, '' ORDER BY i) || CASE WHEN max(upto) >= 16384 THEN 'results truncated - refine your query' || chr(10) ELSE '' END || CASE WHEN any_value(size) > 16384 THEN 'source truncated at tool byte limit' || chr(10) ELSE '' END AS shown FROM s WHERE upto - length(x) < 16384 OR i = a GROUP BY path
+UNION ALL SELECT path, path || ': no lines in requested range' || chr(10) FROM m GROUP BY path HAVING any_value(a) > any_value(b))"""
+
+
+def _ascii(spark: SparkSession, sf: str) -> DataFrame:
+    return files(spark, sf).withColumn("content", F.regexp_replace(F.replace("content", F.lit("\r\n"), F.lit("\n")), r"[^\n -~]", "?"))
+
+
+@query(f"WITH {FILES}, asked AS (SELECT path, {ASCII} AS content, length(path) * 7 % 11 AS first, CASE WHEN length(content) % 3 = 0 THEN 0 ELSE length(content) % 50 END AS last FROM files), {READ} SELECT path, md5(shown) AS shown FROM read")
+def tool_read_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of documents as files, some empty, some to the end, long texts cut."""
+    n = F.length(F.replace("content", F.lit("\r\n"), F.lit("\n")))
+    wanted = files(spark, sf).select("path", (F.length("path") * 7 % 11).alias("first"), F.when(n % 3 == 0, 0).otherwise(n % 50).alias("last"))
+    return tools.read_file(_ascii(spark, sf), wanted).select("path", F.md5("shown").alias("shown"))
+
+
+@query(f"WITH {FILES}, asked AS (SELECT path, {ASCII} AS content, length(path) % 9 - 3 AS first, length(path) % 9 + 5 AS last FROM files), {READ} SELECT path, shown FROM read")
+def tool_read_around(spark: SparkSession, sf: str) -> DataFrame:
+    places = files(spark, sf).select("path", (F.length("path") % 9 + 1).alias("line"))
+    return tools.read_around(_ascii(spark, sf), places, 4).select("path", "shown")
+
+
+# the scripted model of a batch: what it does follows from the batch's number
+@query(f"""WITH RECURSIVE {batches_sql(5)}, b AS (SELECT batch_id, count(*) AS n FROM batched GROUP BY 1),
+e AS (SELECT *, CASE batch_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 8 END AS turns FROM b)
+SELECT path, batch_id % 6 > 0 AS refused, CASE batch_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'cost cap reached during agentic investigation' WHEN 2 THEN 'model returned text without report_findings' WHEN 3 THEN 'tool call cap reached during agentic investigation' WHEN 4 THEN 'too large' ELSE 'max tool turns reached' END AS reason,
+round(turns * CASE batch_id % 6 WHEN 1 THEN 0.5 ELSE 0.125 END / n, 6)::DOUBLE AS cost, CASE WHEN batch_id % 6 = 0 THEN 1 ELSE 0 END AS findings FROM batched JOIN e USING (batch_id)""")
+def tool_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of documents' files through a scripted model that reads, searches and then reports, or fails in each way."""
+    f = files(spark, sf)
+    batched = investigate.batches(f.select("path"), 5).join(f, "path")
+
+    def ask(batch: int, paths: list[str], rows, turns: list) -> dict:
+        read = {"name": "read_file", "args": {"path": paths[0]}}
+        end = {0: len(turns) == 2, 2: True, 3: len(turns) == 1, 4: True}.get(batch % 6, False)
+        said: dict = {"cost": 0.5 if batch % 6 == 1 else 0.125, "tokens": 10, "calls": [read, {"name": "grep", "args": {"pattern": "a"}}, {"name": "nothing", "args": {}}]}
+        if not end:
+            return said
+        if batch % 6 == 2:
+            return said | {"calls": [], "text": "done"}
+        if batch % 6 == 3:
+            return said | {"calls": [read] * 9}
+        if batch % 6 == 4:
+            return said | {"report": {"refusal": "too large"}}
+        # a report counts what the tools have answered
+        told = [x["content"] for t in turns for x in t if not x["error"]]
+        found = [{"severity": "LOW", "vulnSlug": "read", "title": f"{len(told)} answers", "description": "d", "lineNumbers": [1], "confidence": "low"}] if len(told) == 4 else []
+        return said | {"calls": [{"name": "report_findings", "args": {"results": [{"filePath": p, "findings": found} for p in paths]}}]}
+
+    out = investigate.investigate(batched, tools.tool_loop(ask, most_usd=2.0))
+    return out.select("path", "refused", "reason", F.round("cost", 6).alias("cost"), F.size("findings").alias("findings"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS position, l_linenumber AS ord, sum(l_quantity) AS weight, 'o' || l_linenumber AS output FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(weight) OVER (PARTITION BY position ORDER BY ord) AS upto, sum(weight) OVER (PARTITION BY position) AS total FROM a)
+SELECT position, arg_min(output, ord) AS output FROM c WHERE upto > ('0x' || substr(md5('7|' || position), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * total GROUP BY 1""")
+def weighted_replies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("position"), F.col("l_linenumber").alias("ord")).agg(F.sum("l_quantity").alias("weight"))
+    return investigate.weighted_pick(rows.withColumn("output", F.concat(F.lit("o"), _text("ord"))))
+
+
+@query("SELECT c_custkey AS position, 'recorded reply was not consumed' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+def unused_replies(spark: SparkSession, sf: str) -> DataFrame:
+    batched = table(spark, sf, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("batch_id"))
+    return score.unused_replies(batched, table(spark, sf, "customer").select(F.col("c_custkey").alias("position")))
+
+
+@query(f"""WITH {ISSUES}, d AS (SELECT 'task' || doc_id % 5 AS task_id, doc_id, 1 + doc_id % 3 AS line FROM labels), i AS (SELECT *, start_line - coalesce(tolerance, 3) AS low, end_line + coalesce(tolerance, 3) AS high FROM issues WHERE must_emit)
+SELECT task_id, count(*) AS decoys, count(*) FILTER (WHERE hit) AS flagged, round(count(*) FILTER (WHERE hit) / count(*), 6)::DOUBLE AS rate FROM (SELECT task_id, EXISTS (SELECT 1 FROM cands c WHERE c.file = d.doc_id AND c.line = d.line AND c.slug IN ('short-line', 'capital-line') AND NOT EXISTS (SELECT 1 FROM i WHERE i.file = c.file AND list_contains(i.slugs, c.slug) AND c.line BETWEEN i.low AND i.high)) AS hit FROM d) GROUP BY 1""")
+def decoy_rates(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    decoys = table(spark, sf, "labels").select(F.concat(F.lit("task"), (d % 5).cast("string")).alias("task_id"), F.concat(F.lit("decoy"), d.cast("string")).alias("decoy_id"), d.alias("ord"), d.alias("file"), (1 + d % 3).cast("int").alias("line"), F.array(F.lit("short-line"), F.lit("capital-line")).alias("slugs"))
+    return score.decoy_rate(score.classify(cands(spark, sf), issues(spark, sf), decoys), decoys).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {MATCH}, w AS (SELECT slug FROM fnn GROUP BY slug ORDER BY count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) DESC, count(*) DESC, slug LIMIT 1) SELECT task_id, issue_id, severity FROM fnn JOIN w USING (slug)")
+def worst_recall_members(spark: SparkSession, sf: str) -> DataFrame:
+    return score.worst_members(score.false_negatives(cands(spark, sf), issues(spark, sf))).select("task_id", "issue_id", "severity")
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, x AS (SELECT slug, count(*) FILTER (WHERE answer_id IS NOT NULL) AS tp, count(*) FILTER (WHERE answer_id IS NULL) AS fp FROM got JOIN (SELECT cand_id, slug FROM cands) USING (cand_id) GROUP BY 1),
+y AS (SELECT slugs[1] AS slug, count(*) AS fn FROM issues i WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.task_id = i.task_id AND g.answer_id = i.issue_id) GROUP BY 1),
+z AS (SELECT coalesce(x.slug, y.slug) AS slug, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM x FULL JOIN y ON x.slug = y.slug)
+SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall FROM z""")
+def processor_by_slug(spark: SparkSession, sf: str) -> DataFrame:
+    f, a = cands(spark, sf).withColumn("finding_id", _text("cand_id")), _answers(spark, sf)
+    return score.processor_by_slug(f, score.greedy(f, a), a).withColumns({k: F.round(k, 6) for k in ("precision", "recall")})
+
+
+@query("SELECT 'r' || lpad(o_orderkey::VARCHAR, 9, '0') AS run FROM orders ORDER BY 1 DESC LIMIT 10")
+def newest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return report.newest_runs(table(spark, sf, "orders").select(F.concat(F.lit("r"), F.lpad(_text("o_orderkey"), 9, "0")).alias("runId"))).select(F.col("runId").alias("run"))
