@@ -83,23 +83,24 @@ def greedy(findings: DataFrame, answers: DataFrame) -> DataFrame:
     """One-to-one matching: findings (task_id, file, finding_id, slug, line) in order of line take the first free answer
     (task_id, file, ord, answer_id, slugs, low, high) of their file. Returns findings with answer_id, null for none.
 
-    A choice depends on all before it in the file, so each file of a task is one group; a file's findings are few.
+    A choice depends on all before it in the file, so a file's findings are folded in order; only those that fit some
+    answer take part, and the fold holds what the answers got, no more than there are answers. The others are never
+    grouped.
     """
-    left = findings.groupBy("task_id", "file").agg(F.array_sort(F.collect_list(F.struct("line", "finding_id", "slug"))).alias("f"))
+    f, a = findings.alias("f"), answers.select("task_id", "file", F.explode("slugs").alias("slug"), "low", "high").alias("a")
+    fits = (F.col("f.task_id") == F.col("a.task_id")) & (F.col("f.file") == F.col("a.file")) & (F.col("f.slug") == F.col("a.slug")) & F.col("f.line").between(F.col("a.low"), F.col("a.high"))
+    left = f.join(a, fits, "left_semi").groupBy("task_id", "file").agg(F.array_sort(F.collect_list(F.struct("line", "finding_id", "slug"))).alias("f"))
     right = answers.groupBy("task_id", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "answer_id", "slugs", "low", "high"))).alias("a"))
-    both = left.join(right, ["task_id", "file"], "left")
+    both = left.join(right, ["task_id", "file"])
 
-    # a fold over the findings: the answers taken so far, and what each finding got
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<finding_id:string,answer_id:string>>").alias("got"))
+    def step(got: Column, f: Column) -> Column:
+        free = lambda x: F.array_contains(x["slugs"], f["slug"]) & f["line"].between(x["low"], x["high"]) & ~F.exists(got, lambda g: g["answer_id"] == x["answer_id"].cast("string"))
+        pick = F.get(F.filter("a", free), F.lit(0))["answer_id"].cast("string")
+        return F.when(pick.isNull(), got).otherwise(F.array_append(got, F.struct(f["finding_id"].cast("string").alias("finding_id"), pick.alias("answer_id"))))
 
-    def step(acc: Column, f: Column) -> Column:
-        ok = F.filter(F.coalesce("a", F.array().cast(both.schema["a"].dataType)), lambda x: F.array_contains(x["slugs"], f["slug"]) & f["line"].between(x["low"], x["high"]) & ~F.array_contains(acc["used"], x["answer_id"].cast("string")))
-        pick = F.get(ok, F.lit(0))["answer_id"].cast("string")
-        used = F.when(pick.isNotNull(), F.array_append(acc["used"], pick)).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.array_append(acc["got"], F.struct(f["finding_id"].cast("string").alias("finding_id"), pick.alias("answer_id"))).alias("got"))
-
-    rows = both.select("task_id", "file", F.explode(F.aggregate("f", start, step, lambda acc: acc["got"])).alias("m"))
-    return rows.select("task_id", "file", "m.finding_id", "m.answer_id")
+    got = both.select("task_id", "file", F.explode(F.aggregate("f", F.array().cast("array<struct<finding_id:string,answer_id:string>>"), step)).alias("m"))
+    rows = findings.select("task_id", "file", F.col("finding_id").cast("string").alias("finding_id"))
+    return rows.join(got.select("task_id", "file", "m.finding_id", "m.answer_id"), ["task_id", "file", "finding_id"], "left")
 
 
 def external_comparison(theirs: DataFrame, ours: DataFrame) -> DataFrame:
