@@ -20,9 +20,12 @@ TREE_LANGUAGES = {
 }
 
 
+EXTENSION = r"\.([^./]*)\z"
+
+
 def extension(path: Column) -> Column:
     """The lower-case extension of the last segment, or the empty string."""
-    return F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
+    return F.lower(F.regexp_extract(path, EXTENSION, 1))
 
 
 def _lookup(path: Column, table: dict[str, list[str]], default: str | None) -> Column:

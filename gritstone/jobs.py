@@ -1,6 +1,9 @@
 """The commands of the engine as jobs over tables: each reads tables, runs operators and writes tables.
 
     python -m gritstone scan ROOT DATA [--only SLUGS] [--exclude SLUGS] [--force] [--files A,B | --files-from FILE | --diff FILE]
+    python -m gritstone process DATA ROOT REPLIES [--only SLUGS] [--skip SLUGS] [--prefix PATH] [--limit N] [--batch N]
+    python -m gritstone enrich DATA ROOT [--force]
+    python -m gritstone export DATA OUT [--format json|sarif] [--min-severity S] [--run R] [--slug A,B] [--prefix PATH] [--verdict V]
     python -m gritstone pr-comment DATA RUN OUT
     python -m gritstone report DATA --format markdown|csv|json|sarif|html OUT
     python -m gritstone status|metrics|spend|doctor DATA
@@ -10,6 +13,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
 import tomllib
 from collections.abc import Callable
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .operators import audit, gate, investigate, lifecycle, report, scan
 from .rules.load import PACKS, Rule, frame, lint, override, pack_hash, read_packs, select
-from .sources import sinks, tables
+from .sources import git, sinks, tables
 
 
 def scan_project(spark: SparkSession, files: DataFrame, rules: list[Rule], known: DataFrame | None = None, run: str | None = None, force: bool = False) -> DataFrame:
@@ -89,6 +93,49 @@ def read(spark: SparkSession, data: str) -> DataFrame:
     return spark.read.schema(schemas.RECORD).parquet(f"{data}/records") if Path(f"{data}/records").exists() else tables.read_records(spark, f"{data}/files")
 
 
+def store(records: DataFrame, data: str) -> None:
+    """Replace the records of a data folder, which may be what `records` is read from."""
+    spark = records.sparkSession
+    records.write.mode("overwrite").parquet(f"{data}/records.new")
+    spark.read.schema(records.schema).parquet(f"{data}/records.new").write.mode("overwrite").parquet(f"{data}/records")
+
+
+def merged(spark: SparkSession, data: str, project: str) -> DataFrame:
+    """The records of a data folder after a scan: candidates, hashes and run are the scan's, all else stays as it was, and
+    files that were scanned first are new records."""
+    known = Path(f"{data}/records").exists() or Path(f"{data}/files").exists()
+    old = (read(spark, data) if known else spark.createDataFrame([], schemas.RECORD)).alias("o")
+    s = spark.read.parquet(f"{data}/scan").select(F.col("path").alias("filePath"), "candidates", F.col("run_id").alias("lastScannedRunId"), F.col("file_hash").alias("fileHash"), F.col("pack_hash").alias("lastMatcherPackHash"), "status").alias("s")
+    both = old.join(s, F.col("o.filePath") == F.col("s.filePath"), "full_outer")
+    names = old.columns
+    first = {c: ("s", "o") for c in ("candidates", "lastScannedRunId", "fileHash", "lastMatcherPackHash")} | {c: ("o", "s") for c in ("filePath", "status")}
+    cols = {c: F.coalesce(*[F.col(f"{side}.{c}") for side in first[c]]) if c in first else F.col(f"o.{c}") for c in names}
+    cols["projectId"] = F.coalesce("o.projectId", F.lit(project))
+    for c, kind in (("findings", schemas.FINDING), ("analysisHistory", schemas.HISTORY)):
+        cols[c] = F.coalesce(f"o.{c}", F.array().cast(f"array<{kind}>"))
+    return both.select(*[cols[c].alias(c) for c in names])
+
+
+def process_replies(spark: SparkSession, records: DataFrame, files: DataFrame, replies: DataFrame, run: str, most: int = 5, **filters) -> DataFrame:
+    """The records after recorded replies (tables.read_replies) to the queue's batches: sound findings are appended, the
+    files of the batches are analysed and have an entry more in their history; other records stay as they are."""
+    from .functions.text import line_count
+
+    queue = investigate.work_queue(records, **filters).select(F.col("filePath").alias("path"))
+    batched = investigate.batches(queue, most).select("batch_id", "path").join(files, "path")
+    told = investigate.replay(batched, replies)
+    found = investigate.validated(investigate.parse_reply(told), batched.select("batch_id", "path", line_count(F.col("content")).alias("loc"))).where("problem is null")
+    new = batched.select("path").join(found.groupBy("path").agg(F.collect_list(F.col("finding").withField("producedByRunId", F.lit(run))).alias("findings")), "path", "left")
+    new = new.withColumn("findings", F.coalesce("findings", F.array().cast(f"array<{schemas.FINDING}>")))
+    grown = investigate.append_findings(records.select(F.col("filePath").alias("path"), "findings").join(new.select("path"), "path", "left_semi"), new)
+    entry = F.from_json(F.to_json(F.struct(F.lit(run).alias("runId"), F.lit("process").alias("phase"), F.lit("replay").alias("agentType"), F.size("findings").alias("findingCount"))), schemas.HISTORY)
+    after = new.select("path", entry.alias("__h")).join(grown.select("path", F.col("findings").alias("__f")), "path").withColumnRenamed("path", "filePath")
+    out = records.join(after, "filePath", "left")
+    mine = F.col("__h").isNotNull()
+    out = out.withColumns({"findings": F.coalesce("__f", "findings"), "analysisHistory": F.when(mine, F.array_append("analysisHistory", F.col("__h"))).otherwise(F.col("analysisHistory")), "status": F.when(mine, "analyzed").otherwise(F.col("status"))})
+    return out.select(records.columns)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gritstone")
     sub = p.add_subparsers(dest="command", required=True)
@@ -102,6 +149,28 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--files", default="")
     s.add_argument("--files-from")
     s.add_argument("--diff")
+    s = sub.add_parser("process")
+    s.add_argument("data")
+    s.add_argument("root")
+    s.add_argument("replies")
+    s.add_argument("--only", default="")
+    s.add_argument("--skip", default="")
+    s.add_argument("--prefix", default="")
+    s.add_argument("--limit", type=int)
+    s.add_argument("--batch", type=int, default=5)
+    s = sub.add_parser("enrich")
+    s.add_argument("data")
+    s.add_argument("root")
+    s.add_argument("--force", action="store_true")
+    s = sub.add_parser("export")
+    s.add_argument("data")
+    s.add_argument("out")
+    s.add_argument("--format", default="json", choices=["json", "sarif"])
+    s.add_argument("--min-severity")
+    s.add_argument("--run")
+    s.add_argument("--slug", default="")
+    s.add_argument("--prefix", default="")
+    s.add_argument("--verdict")
     s = sub.add_parser("pr-comment")
     s.add_argument("data")
     s.add_argument("run")
@@ -147,10 +216,13 @@ def main(args: list[str] | None = None) -> int:
         files = files if wanted is None else tables.restrict(files, wanted)
         target = f"{a.data}/scan"
         known = spark.read.parquet(target) if Path(target).exists() else None
+        hits = 0 if known is None else scan.split_cached(files, known, rules, a.force)[0].count()
         out = scan_project(spark, files, rules, known, force=a.force)
         out.write.mode("overwrite").parquet(f"{target}.new")
         spark.read.parquet(f"{target}.new").write.mode("overwrite").parquet(target)
-        spark.read.parquet(target).select(F.count("*").alias("files"), F.sum(F.size("candidates")).alias("candidates")).show()
+        now = spark.read.parquet(target)
+        now.select(F.count("*").alias("files"), F.sum(F.size("candidates")).alias("candidates"), F.lit(hits).alias("cache_hits")).show()
+        store(merged(spark, a.data, Path(a.root).resolve().name), a.data)
         return 0
     records = read(spark, a.data)
     found = flat_findings(records)
@@ -165,6 +237,17 @@ def main(args: list[str] | None = None) -> int:
         h = report.since(flat_history(records), a.since)
         rows = report.spend_by_slug(h, found) if a.by == "slug" else report.spend_by(h, a.by)
         rows.orderBy("rank").select("key", sinks.money(F.col("usd")).alias("usd"), sinks.percent(F.col("pct")).alias("pct")).show(100, truncate=False)
+    elif a.command == "process":
+        store(process_replies(spark, records, tables.walk(spark, a.root), tables.read_replies(spark, a.replies), lifecycle.new_run_id(), a.batch, prefix=a.prefix, only=[x for x in a.only.split(",") if x], skip=[x for x in a.skip.split(",") if x], limit=a.limit), a.data)
+    elif a.command == "enrich":
+        seen = git.commits(git.logs(records.select(F.col("filePath").alias("path")), str(Path(a.root).resolve())))
+        store(lifecycle.enrich(records, seen, f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}", force=a.force).select(records.columns), a.data)
+    elif a.command == "export":
+        rows = report.select_findings(found, a.min_severity, a.run, [x for x in a.slug.split(",") if x], a.prefix, a.verdict)
+        if a.format == "sarif":
+            sinks.write_sarif(rows, a.out)
+        else:
+            sinks.json_rows(rows).write.mode("overwrite").text(a.out)
     elif a.command == "pr-comment":
         sinks.write_private(sinks.comment_body(found.where(F.col("run") == a.run), a.run), a.out)
     elif a.command == "fail-on":

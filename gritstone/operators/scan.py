@@ -18,41 +18,55 @@ from ..rules.regex import any_of, glob_to_java, to_java
 CANDIDATE = "struct<slug:string,line:int,label:string,snippet:string>"
 
 
-def _applies(rule: Rule) -> Column:
+def _quoted(s: str) -> str:
+    """A string as a SQL literal; a dollar is written as a code, for `${` would be taken for a variable."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+# A rule is written as one SQL expression: hundreds of rules are then parsed in the JVM, where building them column by
+# column would take some ten calls for each operator.
+def _tests(rule: Rule) -> str:
     """Cheap tests first: the path, then what the content must hold."""
     tests = []
     if rule.file_patterns:
-        tests.append(F.col("path").rlike("|".join(f"(?:{glob_to_java(g)})" for g in rule.file_patterns)))
+        tests.append(f"path rlike {_quoted('|'.join(f'(?:{glob_to_java(g)})' for g in rule.file_patterns))}")
     if rule.exclude_path_patterns:
-        tests.append(~F.col("path").rlike(any_of(rule.exclude_path_patterns)))
-    tests += [F.col("content").rlike(to_java(p)) for p in rule.require_content]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+        tests.append(f"NOT path rlike {_quoted(any_of(rule.exclude_path_patterns))}")
+    tests += [f"content rlike {_quoted(to_java(p))}" for p in rule.require_content]
+    return " AND ".join(tests) or "true"
+
+
+def _applies(rule: Rule) -> Column:
+    return F.expr(_tests(rule))
 
 
-def _made(rule: Rule, label: str):
-    """A candidate of a line."""
-    return lambda n: F.struct(F.lit(rule.slug).alias("slug"), n.alias("line"), F.lit(label).alias("label"), text.snippet(F.col("__lines"), n, rule.snippet_before, rule.snippet_after).alias("snippet"))
+def _hits(rule: Rule, pattern: str) -> str:
+    """The candidates of one pattern in one file, as text.match_lines and text.snippet have them."""
+    mark = _quoted(text.SENTINEL)
+    marked = f"regexp_replace(replace(content, {mark}, ' '), {_quoted(to_java(pattern))}, {_quoted(text.SENTINEL + '$0')})"
+    hits = f"array_distinct(flatten(transform(split({marked}, '\\n', -1), (x, i) -> array_repeat(i + 1, length(x) - length(replace(x, {mark}, ''))))))"
+    if rule.require_taint_within:
+        hits = f"filter({hits}, n -> exists(__taint, t -> abs(t - n) <= {int(rule.require_taint_within)}))"
+    first = f"greatest(n - {int(rule.snippet_before)}, 1)"
+    shown = f"array_join(slice(__lines, {first}, least(n + {int(rule.snippet_after)}, size(__lines)) - {first} + 1), '\\n')"
+    made = f"transform({hits}, n -> named_struct('slug', {_quoted(rule.slug)}, 'line', n, 'label', {_quoted(rule.label or pattern)}, 'snippet', {shown}))"
+    if rule.suppress_patterns:
+        made = f"filter({made}, c -> NOT c.snippet rlike {_quoted(any_of(rule.suppress_patterns))})"
+    # most files do not hold most patterns
+    return f"CASE WHEN content rlike {_quoted(to_java(pattern))} THEN {made} ELSE array() END"
 
 
 def _found(rule: Rule) -> Column:
     """The candidates of one rule in one file: an array without repetitions of (slug, label, line). Files in a language
     for which the rule has tree patterns are judged by these alone."""
-    parts = []
-    for pattern in rule.patterns:
-        label = rule.label or pattern
-        hits = F.array_distinct(text.match_lines(F.col("content"), pattern))
-        if rule.require_taint_within:
-            hits = F.filter(hits, lambda n: text.near(F.col("__taint"), n, rule.require_taint_within))
-        made = F.transform(hits, _made(rule, label))
-        if rule.suppress_patterns:
-            made = F.filter(made, lambda c: ~c["snippet"].rlike(any_of(rule.suppress_patterns)))
-        # most files do not hold most patterns
-        parts.append(F.when(F.col("content").rlike(to_java(pattern)), made))
-    none = F.array().cast(f"array<{CANDIDATE}>")
-    all_parts = F.flatten(F.array(*[F.coalesce(p, none) for p in parts]))
-    trees = sorted({t.language for t in rule.tree_patterns})
-    applies = _applies(rule) & ~F.coalesce(paths.tree_language(F.col("path")).isin(trees), F.lit(False)) if trees else _applies(rule)
-    return F.when(applies, F.array_distinct(all_parts) if len(parts) > 1 else all_parts).otherwise(none)
+    found = f"flatten(array({', '.join(_hits(rule, p) for p in rule.patterns)}))"
+    if len(rule.patterns) > 1:
+        found = f"array_distinct({found})"
+    trees = sorted({e for t in rule.tree_patterns for e in paths.TREE_LANGUAGES.get(t.language, [])})
+    tests = _tests(rule)
+    if trees:
+        tests += f" AND NOT lower(regexp_extract(path, {_quoted(paths.EXTENSION)}, 1)) IN ({', '.join(map(_quoted, trees))})"
+    return F.expr(f"CASE WHEN {tests} THEN {found} ELSE cast(array() AS array<{CANDIDATE}>) END")
 
 
 def candidates(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -62,3 +62,38 @@ def test_commands_without_data(capsys):
 def test_classes(spark):
     rows = spark.createDataFrame([("SQL hole", ""), ("x", "an open Redirect"), ("y", None)], "t string, d string")
     assert [r[0] for r in rows.select(lifecycle.finding_class(F.col("t"), F.col("d"))).collect()] == ["injection", "redirect", "other"]
+
+
+def test_scan_process_enrich_export(spark, tmp_path, capsys):
+    import json
+    import re
+    import subprocess
+
+    root, data = tmp_path / "p", tmp_path / "data"
+    root.mkdir()
+    (root / "a.py").write_text("import os\neval(x)\n")
+    (root / "b.py").write_text("x = 1\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=N", "-c", "user.email=n@a.example", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "a.py")
+    git("commit", "-qm", "first")
+    finding = {"severity": "HIGH", "vulnSlug": "py-eval-call", "title": "Eval", "description": "d", "lineNumbers": [2], "confidence": "high"}
+    (tmp_path / "r.jsonl").write_text(json.dumps({"batchPaths": ["a.py"], "output": {"results": [{"filePath": "a.py", "findings": [finding, finding | {"title": "Far", "lineNumbers": [99]}]}]}}) + "\n")
+    assert jobs.main(["scan", str(root), str(data)]) == 0 and jobs.main(["scan", str(root), str(data)]) == 0
+    assert re.findall(r"^\|\s*\d+\|\s*\d+\|\s*(\d+)\|$", capsys.readouterr().out, re.M) == ["0", "2"]
+    assert jobs.main(["process", str(data), str(root), str(tmp_path / "r.jsonl")]) == 0
+    assert jobs.main(["enrich", str(data), str(root)]) == 0
+    got = {r.filePath: r for r in jobs.read(spark, str(data)).collect()}
+    assert got["a.py"].status == "analyzed" and [f.title for f in got["a.py"].findings] == ["Eval"] and got["a.py"].analysisHistory[0].findingCount == 1
+    assert got["a.py"].gitInfo.recentCommitters[0].email == "n@a.example" and got["b.py"].gitInfo is None and got["b.py"].status == "pending" and got["b.py"].projectId == "p"
+    assert jobs.main(["scan", str(root), str(data)]) == 0
+    assert jobs.main(["export", str(data), str(tmp_path / "out"), "--min-severity", "HIGH", "--slug", "py-eval-call"]) == 0
+    assert [json.loads(r.value)["finding"]["title"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["Eval"]
+    assert jobs.main(["export", str(data), str(tmp_path / "none"), "--prefix", "b"]) == 0 and spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_blame_of_a_folder(spark, tmp_path):
+    from gritstone.sources import git
+
+    out = git.blames(spark.createDataFrame([("a.py", 1)], "path string, line int"), str(tmp_path))
+    assert out.select(git.blame_text(F.col("path"), F.col("line"), F.col("output"))).first()[0] == "a.py:1: no blame data"
