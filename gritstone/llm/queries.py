@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, lm, media, mixing, oracles, quality, secrets, simhash, substring_dedup
+from . import decontaminate, langid, line_dedup, lm, media, mixing, oracles, quality, resample, secrets, simhash, spelling, substring_dedup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(media.read_back(media.with_metadata(index)), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     from corpus_pipeline import run
 
-    ops = (op1_mix_sources, op2_language_id, op3_line_dedup, op4_simhash, op5_secret_scan, op6_decontaminate, op7_quality, op8_substring_dedup, op9_lm_score, op10_media_columns)
+    ops = (op1_mix_sources, op2_language_id, op3_line_dedup, op4_simhash, op5_secret_scan, op6_decontaminate, op7_quality, op8_substring_dedup, op9_lm_score, op10_media_columns, op11_spelling_variants, op12_token_counts, op13_importance_resample)
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": oracles.LINE_DEDUP, "op6_decontaminate": oracles.decontaminate(), "op8_substring_dedup": oracles.SUBSTRING_DEDUP}
+    return {"op3_line_dedup": oracles.LINE_DEDUP, "op6_decontaminate": oracles.decontaminate(), "op8_substring_dedup": oracles.SUBSTRING_DEDUP, "op11_spelling_variants": oracles.VARIANTS, "op13_importance_resample": oracles.RESAMPLE}

@@ -7,6 +7,7 @@ with no loop over documents or words.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,3 +180,39 @@ class Runs:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return scramble((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U))
+
+
+def _crc_table() -> np.ndarray:
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = (x >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (x & np.uint32(1)))
+    return x
+
+
+_CRC = _crc_table()
+
+
+def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray | None = None, latin: bool = False, most: int = 64) -> np.ndarray:
+    """The CRC-32 of each stretch of `data`, going on from the checksums in `before`. With `latin` the bytes are Latin-1 of
+    letters below 128 and from 192 on, and the checksum is that of their UTF-8. All stretches move in step, byte by byte;
+    those of more than `most` bytes are taken one by one."""
+    size = end - start
+    out = np.zeros(len(size), np.uint32) if before is None else before.astype(np.uint32)
+    order = np.argsort(np.minimum(size, most + 1).astype(np.uint16), kind="stable")[::-1]
+    order = order[np.searchsorted(-size[order], -most, side="left") :] if len(order) else order
+    at, left, state = start[order], -size[order], ~out[order]
+    step = lambda s, b: _CRC[(s ^ b) & np.uint32(255)] ^ (s >> np.uint32(8))
+    for j in range(-int(left[0]) if len(left) else 0):
+        k = int(np.searchsorted(left, -j, side="left"))  # those of more than j bytes come first
+        s, b = state[:k], data[at[:k] + j].astype(np.uint32)
+        if latin:
+            wide = b >= 192
+            if wide.any():
+                s = np.where(wide, step(s, np.uint32(0xC3)), s)
+                b = np.where(wide, b - np.uint32(64), b)
+        state[:k] = step(s, b)
+    out[order] = ~state
+    for i in np.flatnonzero(size > most).tolist():
+        raw = data[start[i] : end[i]].tobytes()
+        out[i] = zlib.crc32(raw.decode("latin-1").encode() if latin else raw, int(out[i]))
+    return out
