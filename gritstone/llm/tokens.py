@@ -89,17 +89,19 @@ class Lengths(dict):
 def spaced(parts: list[str]) -> Iterator[str]:
     """Parts of which some are empty: spaces go to the word after them, or stand alone before a line's end or the text's."""
     blanks = 0
-    for p in [*parts, "\n"]:
+    for p in parts:
         if not p:
             blanks += 1
-        elif p[0] != "\n":
-            yield " " * blanks + p
-            blanks = 0
-        elif blanks:
-            yield " " * (blanks - 1)
-            blanks = 0
-        if p[:1] == "\n":
+            continue
+        if p[0] == "\n":
+            if blanks:
+                yield " " * (blanks - 1)
             yield p
+        else:
+            yield " " * blanks + p
+        blanks = 0
+    if blanks:
+        yield " " * (blanks - 1)
 
 
 def frequent(docs: DataFrame, text: str, most: int = FREQUENT, tracked: int = TRACKED) -> list[str]:
