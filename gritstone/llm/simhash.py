@@ -169,6 +169,57 @@ def row_key(id_col: Column, sha: Column) -> Column:
     return F.unhex(F.sha2(F.concat(named, F.lit(":"), F.hex(sha)).cast("binary"), 256))
 
 
+#: A group is compared if at most OTHERS of its texts are outside its largest class; a larger one is divided by BRANCHES
+#: of each text's shingles, chosen from the SAMPLE of its shingles with the least hashes.
+OTHERS, BRANCHES, SAMPLE = 16, 4, 64
+
+
+def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, branches: int = BRANCHES) -> DataFrame:
+    """Groups of texts of several classes, none with more than `others` texts outside its largest class, as (key, node,
+    root, top, shared, size); `top` is that class.
+
+    `members`: (key, node, root, shared, size); keys that differ in their last BITS bits only are one group where it has
+    to be divided. Of each text's `samples` (node, sample) those shingles count that two texts of the group have, but not
+    more than half of them, so what all the group's texts share does not keep them together. A text goes into the groups
+    of `branches` such shingles, the least under as many orders; similar texts choose alike, and what they choose in
+    several bands is one group. From then on each division at least halves a group.
+    """
+    done, deep = None, False
+    while True:
+        each = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+        sizes = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"))
+        sizes = staged(sizes.select("key", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.c")).alias("others")).where("others > 0"), "group-sizes")
+        fit = members.join(sizes.where(F.col("others") <= others).select("key", "top"), "key").select("key", "node", "root", "top", "shared", "size")
+        done = fit if done is None else done.unionByName(fit)
+        large = sizes.where(F.col("others") > others).select("key", "n")
+        if large.isEmpty():
+            return staged(done, "small-groups")
+        rows = members.join(large, "key")
+        if not deep:
+            rows = rows.withColumn("key", F.shiftright("key", BITS)).select("key", "node", "root", "shared", "size").distinct()
+            rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+        rows = staged(rows, "large-groups")
+        opened = rows.join(samples, "node").select("key", "node", "n", F.explode("sample").alias("s"))
+        df = opened.groupBy("key", "s").agg(F.count("*").alias("df"), F.first("n").alias("n")).where("df > 1 and 2 * df <= n").select("key", "s")
+        orders = [F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("h"), "s")).alias(f"o{i}") for i in range(branches)]
+        picked = opened.join(df, ["key", "s"]).groupBy("key", "node").agg(*orders)
+        picked = picked.select("key", "node", F.explode(F.array_distinct(F.array(*[F.col(f"o{i}.s") for i in range(branches)]))).alias("s"))
+        members = staged(rows.join(picked, ["key", "node"]).select((F.xxhash64("key", "s") if deep else F.col("s")).alias("key"), "node", "root", "shared", "size").distinct(), "divided-groups")
+        deep = True
+
+
+def cross_pairs(groups: DataFrame, possible) -> DataFrame:
+    """(a, b, asize, bsize): pairs of different classes in `groups` that are `possible`; every pair has a text outside the
+    largest class, so a group forms at most `others` pairs for each of its texts."""
+    m, n = groups.where("root <> top").alias("m"), groups.alias("n")
+    once = (F.col("n.root") == F.col("n.top")) | (F.col("m.node") < F.col("n.node"))
+    at = lambda x: {"shared": F.col(f"{x}.shared"), "size": F.col(f"{x}.size")}
+    met = n.join(m, (F.col("m.key") == F.col("n.key")) & once & (F.col("m.root") != F.col("n.root")) & possible(at("m"), at("n")))
+    first = F.col("m.node") < F.col("n.node")
+    pick = lambda x, y, c: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+    return met.select(pick("m", "n", "node").alias("a"), pick("n", "m", "node").alias("b"), pick("m", "n", "size").alias("asize"), pick("n", "m", "size").alias("bsize"))
+
+
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS, choose: bool = False) -> DataFrame:
     """(id_col, component_id), and with `choose` (rid, stays): near duplicates whose sets of `width`-word shingles have a
     Jaccard similarity of `similarity` or more.
@@ -179,9 +230,10 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
     Verification in two rounds, each over pairs of distinct texts that collide. First each text is compared with one
     other, that of its groups which has the smallest part of shingles that no other text has: the original of a set of
-    edited copies stands there. Then all colliding pairs of texts which are not of one class yet are compared, but for
-    pairs that cannot be similar by the numbers of their shared shingles and by a bitmap of each text. So every colliding pair is decided, and the
-    copies of one original cost one comparison each.
+    edited copies stands there. Then colliding pairs of texts which are not of one class yet are compared, but for
+    pairs that cannot be similar by the numbers of their shared shingles and by a bitmap of each text. A group with many
+    texts outside its largest class is divided first (see `small_groups`), so the pairs that are formed are at most OTHERS
+    for each text in a group, and the copies of one original cost one comparison each.
 
     Equal texts (by SHA-256) are folded first; blank and null texts are one class. Long texts are read whole, in
     stretches. Repeated rows and null ids keep their rows, an empty table gives an empty one; other columns are not
@@ -208,8 +260,13 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     reps = one.groupBy("sha").agg(F.min("id").alias("id"), F.first("prints").alias("prints"))
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     masks = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(BITS)])
-    balls = reps.select("node", F.explode("prints").alias("p")).select("node", "p", F.explode(masks).alias("m")).select("node", F.col("p").bitwiseXOR(F.col("m")).alias("variant"))
-    groups = staged(balls.withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", "node"), "groups")
+    # only prints whose key another text has are varied
+    keyed = reps.select("node", F.explode("prints").alias("p")).withColumn("k", F.shiftright("p", BITS))
+    met = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    balls = keyed.join(met, "k").select("node", "p", F.explode(masks).alias("m")).select("node", F.col("p").bitwiseXOR(F.col("m")).alias("key"))
+    balls = staged(balls, "balls")
+    shared_by = balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    groups = staged(balls.join(shared_by, "key"), "groups")
     # one row of each text that collides with another
     need = groups.select("node").distinct().join(reps, "node").select("node", row_key(F.col("id"), F.col("sha")).alias("rid"))
     chosen = docs.select(body, row_key(F.col(id_col), sha).alias("rid")).join(need, "rid").dropDuplicates(["rid"])
@@ -218,7 +275,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     stats = sets.select("node", F.size("s").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("shared"))
     # a text of which too little stands anywhere else has no partner
     able = staged(stats.where(F.col("shared") + 1e-6 >= similarity * F.col("size")).withColumn("own", 1 - F.col("shared") / F.greatest("size", F.lit(1))), "able")
-    members = groups.join(able, "node")
+    members = staged(groups.join(able, "node"), "members")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -236,34 +293,22 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         """What two texts can share at most suffices."""
         return (1 + similarity) * F.least(m["shared"], n["shared"]) + 1e-6 >= similarity * (m["size"] + n["size"])
 
-    best = F.first(F.struct("own", "node", "shared", "size")).over(Window.partitionBy("variant").orderBy("own", "node"))
-    heads = members.withColumn("head", best).groupBy("node", "shared", "size").agg(F.min("head").alias("head"))
+    best = members.groupBy("key").agg(F.min(F.struct("own", "node", "shared", "size")).alias("head"))
+    heads = members.join(best, "key").groupBy("node", "shared", "size").agg(F.min("head").alias("head"))
     heads = heads.where((F.col("head.node") != F.col("node")) & possible({"shared": F.col("shared"), "size": F.col("size")}, F.col("head")))
     roots = components(verified(staged(heads.select(F.col("node").alias("a"), F.col("head.node").alias("b")), "heads")))
-    # groups of several classes: each colliding pair once, under its first band and least variant
-    each = Window.partitionBy("variant")
-    left = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("lo", F.min("root").over(each)).withColumn("hi", F.max("root").over(each))
-    more = reps.select("node", "prints").join(sets.select("node", "bits"), "node")
-    left = left.where("lo <> hi").join(more, "node").select("variant", "node", "root", "shared", "size", "prints", "bits")
-    left = staged(left, "several-classes")
-    m, n = left.alias("m"), left.alias("n")
-    apart = F.zip_with("m.prints", "n.prints", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    band = F.array_position(F.transform(apart, lambda d: d <= 2), F.lit(True)).cast("int")
-    p, q = F.element_at("m.prints", band), F.element_at("n.prints", band)
-    differ = p.bitwiseXOR(q)
-    lowest = differ.bitwiseAND(-differ)
-    canonical = F.when(F.bit_count(differ) == 1, F.least(p, q)).otherwise(p.bitwiseXOR(lowest))
-    on = (F.col("m.variant") == F.col("n.variant")) & (F.col("m.node") < F.col("n.node")) & (F.col("m.root") != F.col("n.root"))
-
-
-    def common(x: str, y: str) -> dict:
-        """What text x can share with y at most."""
-        lacks = F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
-        return {"shared": F.col(f"{x}.size") - F.aggregate(lacks, F.lit(0), lambda a, b: a + b), "size": F.col(f"{x}.size")}
-
-    few, most = ({"shared": F.col(f"{x}.shared"), "size": F.col(f"{x}.size")} for x in "mn"), (common("m", "n"), common("n", "m"))
-    pairs = m.join(n, on & possible(*few) & (canonical == F.col("m.variant")) & possible(*most))
-    pairs = staged(pairs.select(F.col("m.node").alias("a"), F.col("n.node").alias("b")), "colliding")
+    classed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "shared", "size")
+    narrow = small_groups(classed, sets.select("node", F.slice("s", 1, SAMPLE).alias("sample")))
+    pairs = staged(cross_pairs(narrow, possible).distinct(), "colliding")
+    bits = sets.select("node", "bits")
+    pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("abits")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bbits")), "b")
+
+    def most(x: str, y: str) -> dict:
+        """What text x can share with y at most, by the bitmaps."""
+        lacks = F.zip_with(f"{x}bits", f"{y}bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return {"shared": F.col(f"{x}size") - F.aggregate(lacks, F.lit(0), lambda p, q: p + q), "size": F.col(f"{x}size")}
+
+    pairs = staged(pairs.where(possible(most("a", "b"), most("b", "a"))).select("a", "b"), "likely")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)))
     named = reps.join(roots, "node", "left").select("sha", "id", F.coalesce("root", "node").alias("root"))
     # written before the join, so that a very large component can be split there
