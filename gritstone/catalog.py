@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import common, lives, processing, reports, reviews, scans, scores
+from .plans import common, lives, processing, records, reports, reviews, scans, scores
 
-MODULES = (scans, reports, scores, processing, reviews, lives)
+MODULES = (scans, reports, scores, processing, reviews, lives, records)
 
 
 def queries() -> dict:

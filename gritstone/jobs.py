@@ -2,6 +2,7 @@
 
     python -m gritstone scan ROOT DATA [--only SLUGS] [--exclude SLUGS] [--force] [--files A,B | --files-from FILE | --diff FILE]
     python -m gritstone process DATA ROOT REPLIES [--only SLUGS] [--skip SLUGS] [--prefix PATH] [--limit N] [--batch N]
+    python -m gritstone revalidate|triage DATA ANSWERS [--prefix PATH] [--force]
     python -m gritstone enrich DATA ROOT [--force]
     python -m gritstone export DATA OUT [--format json|sarif] [--min-severity S] [--run R] [--slug A,B] [--prefix PATH] [--verdict V]
     python -m gritstone pr-comment DATA RUN OUT
@@ -19,35 +20,38 @@ import tomllib
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .operators import audit, gate, investigate, lifecycle, report, scan
+from .operators import audit, gate, investigate, lifecycle, records as changes, report, scan
+from .operators.ordered import checkpoints
+from .operators.records import redacted
 from .rules.load import PACKS, Rule, frame, lint, override, pack_hash, read_packs, select
 from .sources import git, sinks, tables
 
 
-def scan_project(spark: SparkSession, files: DataFrame, rules: list[Rule], known: DataFrame | None = None, run: str | None = None, force: bool = False) -> DataFrame:
+def scan_project(spark: SparkSession, files: DataFrame, rules: list[Rule], known: DataFrame | None = None, run: str | None = None, force: bool = False, watch: Observation | None = None) -> DataFrame:
     """Records (path, candidates, file_hash, pack_hash, run_id, status) after a scan of files (path, content).
 
     Gates are evaluated once; files whose content and rules have not changed are not scanned, their records only get
-    the new run. Regular expressions, tree queries and the route audit run on the others.
+    the new run. Regular expressions, tree queries and the route audit run on the others. `watch` gets the numbers of
+    files and of cache_hits while the scan runs.
     """
     run = run or lifecycle.new_run_id()
     tech = gate.detect(files)
     on = {r.slug for r in gate.evaluate(frame(spark, rules), tech, files).where("active").select("slug").collect()}
     active = [r for r in rules if r.slug in on]
-    if known is None:
-        todo = files.withColumn("file_hash", scan.content_hash(F.col("content"))).withColumn("pack_hash", F.lit(pack_hash(rules)))
-    else:
-        _, todo = scan.split_cached(files, known, rules, force)
+    every = scan.marked_cached(files, known, rules, force)
+    todo = every.where("not cached").drop("cached")
     # a rule with tree patterns is judged by them alone where its language has a parser
     plain = [r for r in active if r.slug != "route-without-auth"]
     found = scan.candidates(todo, plain).unionByName(audit.tree_candidates(todo, active))
     if "route-without-auth" in on:
         found = found.unionByName(audit.route_audit(todo))
-    hashes = files.select("path", scan.content_hash(F.col("content")).alias("file_hash"))
+    if watch is not None:
+        every = every.observe(watch, F.count("*").alias("files"), F.count_if("cached").alias("cache_hits"))
+    hashes = every.select("path", "file_hash")
     new = hashes.join(scan.records(found), "path", "left").withColumns({"pack_hash": F.lit(pack_hash(rules)), "run_id": F.lit(run), "status": F.lit("pending")})
     if known is None:
         none = F.array().cast(schemas.CANDIDATES)
@@ -88,24 +92,54 @@ def flat_history(records: DataFrame) -> DataFrame:
     return h.select("path", "pos", F.col("runId").alias("run"), F.col("agentType").alias("agent"), "phase", F.col("costUsd").alias("cost"), "investigatedAt")
 
 
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads, sorted; none where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def versions(spark: SparkSession, table: str) -> list[str]:
+    """The complete versions of a table, the newest last. A version that was broken off lacks its mark and does not count."""
+    return [f"{table}/{v}" for v in listing(spark, table) if v.startswith("v-") and "_SUCCESS" in listing(spark, f"{table}/{v}")]
+
+
+def newest(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame | None:
+    """The newest version of a table, or None."""
+    have = versions(spark, table)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(have[-1]) if have else None
+
+
+def replace(rows: DataFrame, table: str, kept: int = 2) -> None:
+    """A new version of a table, which may be what `rows` is read from. Readers see the old one until it is complete, then
+    the new one; the `kept` newest stay, others go."""
+    spark = rows.sparkSession
+    last = max((int(v[2:]) for v in listing(spark, table) if v.startswith("v-")), default=0)
+    rows.write.parquet(f"{table}/v-{last + 1:012d}")
+    for old in versions(spark, table)[:-kept]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read(spark: SparkSession, data: str) -> DataFrame:
-    """The records of a data folder: a Parquet table, or JSON documents as other tools write them."""
-    return spark.read.schema(schemas.RECORD).parquet(f"{data}/records") if Path(f"{data}/records").exists() else tables.read_records(spark, f"{data}/files")
+    """The records of a data folder, without secrets: the newest version of its table, or JSON documents as other tools
+    write them."""
+    have = newest(spark, f"{data}/records", schemas.RECORD)
+    return tables.read_records(spark, f"{data}/files") if have is None else redacted(have)
 
 
 def store(records: DataFrame, data: str) -> None:
-    """Replace the records of a data folder, which may be what `records` is read from."""
-    spark = records.sparkSession
-    records.write.mode("overwrite").parquet(f"{data}/records.new")
-    spark.read.schema(records.schema).parquet(f"{data}/records.new").write.mode("overwrite").parquet(f"{data}/records")
+    """Replace the records of a data folder; secrets do not get into it."""
+    replace(redacted(records), f"{data}/records")
 
 
 def merged(spark: SparkSession, data: str, project: str) -> DataFrame:
     """The records of a data folder after a scan: candidates, hashes and run are the scan's, all else stays as it was, and
     files that were scanned first are new records."""
-    known = Path(f"{data}/records").exists() or Path(f"{data}/files").exists()
+    known = listing(spark, f"{data}/records") or listing(spark, f"{data}/files")
     old = (read(spark, data) if known else spark.createDataFrame([], schemas.RECORD)).alias("o")
-    s = spark.read.parquet(f"{data}/scan").select(F.col("path").alias("filePath"), "candidates", F.col("run_id").alias("lastScannedRunId"), F.col("file_hash").alias("fileHash"), F.col("pack_hash").alias("lastMatcherPackHash"), "status").alias("s")
+    s = newest(spark, f"{data}/scan").select(F.col("path").alias("filePath"), "candidates", F.col("run_id").alias("lastScannedRunId"), F.col("file_hash").alias("fileHash"), F.col("pack_hash").alias("lastMatcherPackHash"), "status").alias("s")
     both = old.join(s, F.col("o.filePath") == F.col("s.filePath"), "full_outer")
     names = old.columns
     first = {c: ("s", "o") for c in ("candidates", "lastScannedRunId", "fileHash", "lastMatcherPackHash")} | {c: ("o", "s") for c in ("filePath", "status")}
@@ -125,7 +159,7 @@ def process_replies(spark: SparkSession, records: DataFrame, files: DataFrame, r
     batched = investigate.batches(queue, most).select("batch_id", "path").join(files, "path")
     told = investigate.replay(batched, replies)
     found = investigate.validated(investigate.parse_reply(told), batched.select("batch_id", "path", line_count(F.col("content")).alias("loc"))).where("problem is null")
-    new = batched.select("path").join(found.groupBy("path").agg(F.collect_list(F.col("finding").withField("producedByRunId", F.lit(run))).alias("findings")), "path", "left")
+    new = batched.select("path").join(found.groupBy("path").agg(F.collect_list(changes.clean_finding(F.col("finding")).withField("producedByRunId", F.lit(run))).alias("findings")), "path", "left")
     new = new.withColumn("findings", F.coalesce("findings", F.array().cast(f"array<{schemas.FINDING}>")))
     grown = investigate.append_findings(records.select(F.col("filePath").alias("path"), "findings").join(new.select("path"), "path", "left_semi"), new)
     entry = F.from_json(F.to_json(F.struct(F.lit(run).alias("runId"), F.lit("process").alias("phase"), F.lit("replay").alias("agentType"), F.size("findings").alias("findingCount"))), schemas.HISTORY)
@@ -136,6 +170,14 @@ def process_replies(spark: SparkSession, records: DataFrame, files: DataFrame, r
     return out.select(records.columns)
 
 
+def looked_at(records: DataFrame, answers: str, kind: str, run: str, at: str, prefix: str = "", force: bool = False) -> DataFrame:
+    """The records after recorded answers of a second look or of triage, one JSON object a line: filePath, index and what
+    was answered (see operators.records). Of answers to one place the last line counts; only files below `prefix` change."""
+    schema = changes.VERDICT_ANSWERS if kind == "revalidate" else changes.TRIAGE_ANSWERS
+    rows = records.sparkSession.read.schema(schema).json(answers).where(F.col("filePath").startswith(prefix)).withColumn("ord", F.monotonically_increasing_id())
+    return changes.revalidated(records, rows, run, at, force=force) if kind == "revalidate" else changes.triaged(records, rows, at, force=force)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gritstone")
     sub = p.add_subparsers(dest="command", required=True)
@@ -158,6 +200,12 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--prefix", default="")
     s.add_argument("--limit", type=int)
     s.add_argument("--batch", type=int, default=5)
+    for name in ("revalidate", "triage"):
+        s = sub.add_parser(name)
+        s.add_argument("data")
+        s.add_argument("answers")
+        s.add_argument("--prefix", default="")
+        s.add_argument("--force", action="store_true")
     s = sub.add_parser("enrich")
     s.add_argument("data")
     s.add_argument("root")
@@ -215,13 +263,13 @@ def main(args: list[str] | None = None) -> int:
         wanted = tables.named_paths(spark, a.files, a.files_from, a.diff)
         files = files if wanted is None else tables.restrict(files, wanted)
         target = f"{a.data}/scan"
-        known = spark.read.parquet(target) if Path(target).exists() else None
-        hits = 0 if known is None else scan.split_cached(files, known, rules, a.force)[0].count()
-        out = scan_project(spark, files, rules, known, force=a.force)
-        out.write.mode("overwrite").parquet(f"{target}.new")
-        spark.read.parquet(f"{target}.new").write.mode("overwrite").parquet(target)
-        now = spark.read.parquet(target)
-        now.select(F.count("*").alias("files"), F.sum(F.size("candidates")).alias("candidates"), F.lit(hits).alias("cache_hits")).show()
+        known = newest(spark, target)
+        checkpoints(spark)
+        files = files.checkpoint()  # read once, as gates, hashes and rules each want them
+        seen, made = Observation("files"), Observation("candidates")
+        out = scan_project(spark, files, rules, known, force=a.force, watch=seen).observe(made, F.coalesce(F.sum(F.size("candidates")), F.lit(0)).alias("candidates"))
+        replace(out, target)
+        spark.createDataFrame([(seen.get["files"], made.get["candidates"], seen.get["cache_hits"])], "files long, candidates long, cache_hits long").show()
         store(merged(spark, a.data, Path(a.root).resolve().name), a.data)
         return 0
     records = read(spark, a.data)
@@ -239,6 +287,8 @@ def main(args: list[str] | None = None) -> int:
         rows.orderBy("rank").select("key", sinks.money(F.col("usd")).alias("usd"), sinks.percent(F.col("pct")).alias("pct")).show(100, truncate=False)
     elif a.command == "process":
         store(process_replies(spark, records, tables.walk(spark, a.root), tables.read_replies(spark, a.replies), lifecycle.new_run_id(), a.batch, prefix=a.prefix, only=[x for x in a.only.split(",") if x], skip=[x for x in a.skip.split(",") if x], limit=a.limit), a.data)
+    elif a.command in ("revalidate", "triage"):
+        store(looked_at(records, a.answers, a.command, lifecycle.new_run_id(), f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}", a.prefix, a.force), a.data)
     elif a.command == "enrich":
         seen = git.commits(git.logs(records.select(F.col("filePath").alias("path")), str(Path(a.root).resolve())))
         store(lifecycle.enrich(records, seen, f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}", force=a.force).select(records.columns), a.data)

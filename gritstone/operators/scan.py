@@ -110,18 +110,21 @@ def content_hash(content: Column) -> Column:
     return F.sha2(text.normalised(content), 256)
 
 
-def split_cached(files: DataFrame, known: DataFrame, rules: list[Rule], force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): files whose content and rule pack are those of the last scan, and the others.
+def marked_cached(files: DataFrame, known: DataFrame | None, rules: list[Rule], force: bool = False) -> DataFrame:
+    """`files` with file_hash, pack_hash and cached: whether content and rule pack are those of the last scan, `known`:
+    (path, file_hash, pack_hash). Only hashes meet in the join; with `force` or nothing known no file is cached."""
+    hashed = files.withColumn("file_hash", content_hash(F.col("content"))).withColumn("pack_hash", F.lit(pack_hash(rules)))
+    if force or known is None:
+        return hashed.withColumn("cached", F.lit(False))
+    same = known.select("path", "file_hash", "pack_hash").distinct().withColumn("cached", F.lit(True))
+    both = hashed.join(same, ["path", "file_hash", "pack_hash"], "left")
+    return both.select(*hashed.columns, F.coalesce("cached", F.lit(False)).alias("cached"))
 
-    `known`: (path, file_hash, pack_hash). Only hashes meet in the join; with `force` everything is a miss.
-    """
-    pack = pack_hash(rules)
-    hashed = files.withColumn("file_hash", content_hash(F.col("content"))).withColumn("pack_hash", F.lit(pack))
-    if force:
-        return hashed.limit(0), hashed
-    same = known.select("path", "file_hash", "pack_hash").distinct()
-    on = ["path", "file_hash", "pack_hash"]
-    return hashed.join(same, on, "left_semi").select(hashed.columns), hashed.join(same, on, "left_anti").select(hashed.columns)
+
+def split_cached(files: DataFrame, known: DataFrame, rules: list[Rule], force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): files whose content and rule pack are those of the last scan, and the others."""
+    both = marked_cached(files, known, rules, force)
+    return both.where("cached").drop("cached"), both.where("not cached").drop("cached")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

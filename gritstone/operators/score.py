@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import severity_rank
+from .intervals import stab
+from .ordered import checkpoints
 
 TOLERANCE = 3
 
@@ -22,17 +24,16 @@ def issue_slugs(issues: DataFrame) -> DataFrame:
 
 
 def matches(candidates: DataFrame, issues: DataFrame) -> DataFrame:
-    """(task_id, issue_id, cand_id): candidates (task_id, cand_id, file, slug, line) inside an issue's interval. An
-    equi-join on task, file and slug carries the range condition."""
-    i = issue_slugs(issues).alias("i")
-    c = candidates.alias("c")
-    on = (F.col("c.task_id") == F.col("i.task_id")) & (F.col("c.file") == F.col("i.file")) & (F.col("c.slug") == F.col("i.slug")) & F.col("c.line").between(F.col("i.low"), F.col("i.high"))
-    return c.join(i, on).select("c.task_id", "i.issue_id", "c.cand_id", "i.must_emit").distinct()
+    """(task_id, issue_id, cand_id, must_emit): candidates (task_id, cand_id, file, slug, line) inside an issue's interval."""
+    c = candidates.select("task_id", "cand_id", "file", "slug", "line")
+    found = stab(c, issue_slugs(issues).drop("severity"), ["task_id", "file", "slug"])
+    return found.select("task_id", "issue_id", "cand_id", "must_emit").distinct()
 
 
-def classify(candidates: DataFrame, issues: DataFrame, decoys: DataFrame | None = None) -> DataFrame:
-    """`candidates` with `tp` and, where decoys (task_id, decoy_id, ord, file, line, slugs) are given, the first decoy."""
-    hit = matches(candidates, issues).where("must_emit").select("task_id", "cand_id").distinct().withColumn("__tp", F.lit(True))
+def classify(candidates: DataFrame, issues: DataFrame, decoys: DataFrame | None = None, matched: DataFrame | None = None) -> DataFrame:
+    """`candidates` with `tp` and, where decoys (task_id, decoy_id, ord, file, line, slugs) are given, the first decoy.
+    `matched`: their matches(), where the caller has them."""
+    hit = (matches(candidates, issues) if matched is None else matched).where("must_emit").select("task_id", "cand_id").distinct().withColumn("__tp", F.lit(True))
     out = candidates.join(hit, ["task_id", "cand_id"], "left").withColumn("tp", F.coalesce("__tp", F.lit(False))).drop("__tp")
     if decoys is None:
         return out
@@ -41,9 +42,9 @@ def classify(candidates: DataFrame, issues: DataFrame, decoys: DataFrame | None
     return out.join(first, ["task_id", "cand_id"], "left")
 
 
-def false_negatives(candidates: DataFrame, issues: DataFrame) -> DataFrame:
+def false_negatives(candidates: DataFrame, issues: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """Missed issues that must be found, with the nearest candidate of the file, earliest on ties, and a reason."""
-    found = matches(candidates, issues).select("task_id", "issue_id").distinct()
+    found = (matches(candidates, issues) if matched is None else matched).select("task_id", "issue_id").distinct()
     missed = issues.where("must_emit").join(found, ["task_id", "issue_id"], "left_anti")
     slack = F.coalesce("tolerance", F.lit(TOLERANCE))
     m = missed.select("task_id", "issue_id", "file", "severity", "slugs", (F.col("start_line") - slack).alias("low"), (F.col("end_line") + slack).alias("high"))
@@ -80,27 +81,40 @@ def by_slug(classified: DataFrame, missed: DataFrame) -> DataFrame:
 
 
 def greedy(findings: DataFrame, answers: DataFrame) -> DataFrame:
-    """One-to-one matching: findings (task_id, file, finding_id, slug, line) in order of line take the first free answer
-    (task_id, file, ord, answer_id, slugs, low, high) of their file. Returns findings with answer_id, null for none.
-
-    A choice depends on all before it in the file, so a file's findings are folded in order; only those that fit some
-    answer take part, and the fold holds what the answers got, no more than there are answers. The others are never
-    grouped.
+    """One-to-one matching: findings (task_id, file, finding_id, slug, line) in order of line, id and slug take the first
+    free answer (task_id, file, ord, answer_id, slugs, low, high) of their file that fits. Returns (task_id, file,
+    finding_id, answer_id) as strings, null for none.
+
+    Deferred acceptance in rounds: each finding asks its first answer that may be free, an answer keeps the earliest that
+    asks, and the others ask on. All answers rank findings alike, so the outcome is that of taking turns. Findings of one
+    line and slug fit the same answers, so only as many of them as there are such answers take part, the earliest, and
+    each of them asks behind the one before it. No file is gathered; a round is a join and a grouped minimum.
     """
-    f, a = findings.alias("f"), answers.select("task_id", "file", F.explode("slugs").alias("slug"), "low", "high").alias("a")
-    fits = (F.col("f.task_id") == F.col("a.task_id")) & (F.col("f.file") == F.col("a.file")) & (F.col("f.slug") == F.col("a.slug")) & F.col("f.line").between(F.col("a.low"), F.col("a.high"))
-    left = f.join(a, fits, "left_semi").groupBy("task_id", "file").agg(F.array_sort(F.collect_list(F.struct("line", "finding_id", "slug"))).alias("f"))
-    right = answers.groupBy("task_id", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "answer_id", "slugs", "low", "high"))).alias("a"))
-    both = left.join(right, ["task_id", "file"])
-
-    def step(got: Column, f: Column) -> Column:
-        free = lambda x: F.array_contains(x["slugs"], f["slug"]) & f["line"].between(x["low"], x["high"]) & ~F.exists(got, lambda g: g["answer_id"] == x["answer_id"].cast("string"))
-        pick = F.get(F.filter("a", free), F.lit(0))["answer_id"].cast("string")
-        return F.when(pick.isNull(), got).otherwise(F.array_append(got, F.struct(f["finding_id"].cast("string").alias("finding_id"), pick.alias("answer_id"))))
-
-    got = both.select("task_id", "file", F.explode(F.aggregate("f", F.array().cast("array<struct<finding_id:string,answer_id:string>>"), step)).alias("m"))
-    rows = findings.select("task_id", "file", F.col("finding_id").cast("string").alias("finding_id"))
-    return rows.join(got.select("task_id", "file", "m.finding_id", "m.answer_id"), ["task_id", "file", "finding_id"], "left")
+    spark = findings.sparkSession
+    checkpoints(spark)
+    place = ["task_id", "file", "slug", "line"]
+    a = answers.select("task_id", "file", "ord", "answer_id", F.explode(F.array_distinct("slugs")).alias("slug"), "low", "high")
+    fits = stab(findings.select(*place).distinct(), a, ["task_id", "file", "slug"])
+    fits = fits.withColumn("pos", F.row_number().over(Window.partitionBy(*place).orderBy("ord", "answer_id"))).select(*place, "pos", "ord", "answer_id").checkpoint()
+    room = fits.groupBy(*place).agg(F.max("pos").alias("k"))
+    most = room.agg(F.max("k")).first()[0] or 0
+    f = findings.select(*place, "finding_id").distinct()
+    turn = F.row_number().over(Window.partitionBy(*place).orderBy("finding_id"))
+    # a bound that all places share lets every task drop the rest before rows are moved
+    asking = f.withColumn("j", turn).where(F.col("j") <= most).join(room, place).where("j <= k").withColumn("pos", F.col("j")).checkpoint()
+    order = F.struct("line", "finding_id", "slug")
+    behind = Window.partitionBy(*place).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        asked = asking.where("pos <= k").join(fits, [*place, "pos"]).select(*place, "finding_id", "answer_id")
+        kept = asked.groupBy("task_id", "file", "answer_id").agg(F.min(order).alias("by")).select("task_id", "file", "answer_id", "by.*").withColumn("held", F.lit(True))
+        said = asking.join(kept, [*place, "finding_id"], "left").checkpoint()
+        if said.where("held is null and pos <= k").isEmpty():
+            break
+        on = said.withColumn("pos", F.col("pos") + F.when(F.col("held").isNull(), 1).otherwise(0)).drop("held", "answer_id")
+        asking = on.withColumn("pos", F.max(F.col("pos") - F.col("j")).over(behind) + F.col("j"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    got = said.where("held").select("task_id", "file", text("finding_id"), text("answer_id"))
+    return findings.select("task_id", "file", text("finding_id")).join(got, ["task_id", "file", "finding_id"], "left")
 
 
 def external_comparison(theirs: DataFrame, ours: DataFrame) -> DataFrame:
@@ -170,7 +184,6 @@ def regression_check(cases: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 
-
 def processor_scorecard(findings: DataFrame, matched: DataFrame, answers: DataFrame, candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row a task: precision, recall, recall among answers that a candidate backs, accuracy of severities and the
     share of refusals among batches.
@@ -181,7 +194,8 @@ def processor_scorecard(findings: DataFrame, matched: DataFrame, answers: DataFr
     hit = matched.where("answer_id is not null").select("task_id", "finding_id", "answer_id")
     sev = hit.join(findings.select("task_id", "finding_id", F.col("severity").alias("got")), ["task_id", "finding_id"]).join(answers.select("task_id", "answer_id", "severity"), ["task_id", "answer_id"])
     a = answers.select("task_id", "answer_id", "file", "low", "high", F.explode("slugs").alias("slug"))
-    backed = a.join(candidates, ["task_id", "file", "slug"]).where(F.col("line").between(F.col("low"), F.col("high"))).select("task_id", "answer_id").distinct()
+    places = candidates.select("task_id", "file", "slug", "line").distinct()
+    backed = stab(places, a, ["task_id", "file", "slug"]).select("task_id", "answer_id").distinct()
     counts = [
         findings.groupBy("task_id").agg(F.count("*").alias("produced")), answers.groupBy("task_id").agg(F.count("*").alias("expected")), sev.groupBy("task_id").agg(F.count("*").alias("matches"), F.count_if(F.col("got") == F.col("severity")).alias("same_severity")),
         backed.groupBy("task_id").agg(F.count("*").alias("backed")), backed.join(hit.select("task_id", "answer_id"), ["task_id", "answer_id"], "left_semi").groupBy("task_id").agg(F.count("*").alias("backed_matches")), outcomes.select("task_id", "refusals", "batches"),

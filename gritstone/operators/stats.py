@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 LOWER_IS_BETTER = ("false_positive_count", "false_negative_count", "refusal_rate")
 
 
@@ -23,33 +25,38 @@ def draw(sample: Column, i: Column, seed: str, n: Column) -> Column:
 def bootstrap_means(samples: DataFrame, key: str, value: str, order: str, times: int, seed: str) -> DataFrame:
     """(key, b, mean): `times` resamples of each key's values, drawn with replacement.
 
-    A key's values travel once, as an array; the draws are generated where it is. Values a key are repeats of one
-    measurement, so they are few.
+    Values are numbered within their key over sorted ranges. Each makes one draw for every resample, so the draws are
+    spread over all tasks; a draw meets its value by key and number, which the planner broadcasts where the values are
+    few, and the sums of (key, resample) are taken before anything is moved.
     """
-    rows = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
-    rows = rows.select(key, "v", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    n = F.size("v")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + F.get("v", draw(F.col("b"), i, seed, n).cast("int")))
-    return rows.select(key, "b", (total / n).alias("mean"))
+    rows = ranked(samples.select(key, value, order), key, order, name="__at")
+    first = rows.groupBy(key).agg(F.min("__at").alias("__first"), F.count("*").alias("n"))
+    rows = rows.join(first, key).select(key, F.col(value).alias("__v"), (F.col("__at") - F.col("__first")).alias("i"), "n")
+    tasks = max(2 * samples.sparkSession.sparkContext.defaultParallelism, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = rows.select(key, "i", "n").repartition(tasks, key, "i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    drawn = each.select(key, "b", "n", draw(F.col("b"), F.col("i"), seed, F.col("n")).alias("i"))
+    met = drawn.join(rows.select(key, "i", "__v"), [key, "i"])
+    return met.groupBy(key, "b").agg((F.sum("__v") / F.first("n")).alias("mean"))
 
 
-def percentile_of(sorted_values: Column, p: float) -> Column:
-    """The value at round(p (n - 1)), halves up."""
-    return F.get(sorted_values, F.floor(F.lit(p) * (F.size(sorted_values) - 1) + 0.5).cast("int"))
+def interval(means: DataFrame, key: str, value: Column, low: str, high: str) -> DataFrame:
+    """(key, low, high): the values of `means` at round(p (n - 1)), halves up, for p of 2.5 and 97.5 per cent."""
+    w = Window.partitionBy(key)
+    rows = means.select(key, value.alias("__v")).withColumn("__i", F.row_number().over(w.orderBy("__v")) - 1).withColumn("__n", F.count("*").over(w))
+    at = lambda p: F.max(F.when(F.col("__i") == F.floor(F.lit(p) * (F.col("__n") - 1) + 0.5), F.col("__v")))
+    return rows.groupBy(key).agg(at(0.025).alias(low), at(0.975).alias(high))
 
 
 def bootstrap_ci(samples: DataFrame, key: str, value: str, order: str, times: int = 1000, seed: str = "7") -> DataFrame:
     """(key, low, high): the 2.5 and 97.5 percentiles of the resampled means."""
-    s = bootstrap_means(samples, key, value, order, times, seed).groupBy(key).agg(F.sort_array(F.collect_list("mean")).alias("m"))
-    return s.select(key, percentile_of(F.col("m"), 0.025).alias("low"), percentile_of(F.col("m"), 0.975).alias("high"))
+    return interval(bootstrap_means(samples, key, value, order, times, seed), key, F.col("mean"), "low", "high")
 
 
 def bootstrap_diff(a: DataFrame, b: DataFrame, key: str, value: str, order: str, times: int = 1000, seed: str = "7") -> DataFrame:
-    """(key, diff_low, diff_high) of mean(b) - mean(a) over the keys of both."""
+    """(key, low, high) of mean(b) - mean(a) over the keys of both."""
     x = bootstrap_means(a, key, value, order, times, seed + "a").withColumnRenamed("mean", "ma")
     y = bootstrap_means(b, key, value, order, times, seed + "b").withColumnRenamed("mean", "mb")
-    d = x.join(y, [key, "b"]).groupBy(key).agg(F.sort_array(F.collect_list(F.col("mb") - F.col("ma"))).alias("m"))
-    return d.select(key, percentile_of(F.col("m"), 0.025).alias("low"), percentile_of(F.col("m"), 0.975).alias("high"))
+    return interval(x.join(y, [key, "b"]), key, F.col("mb") - F.col("ma"), "low", "high")
 
 
 def direction(metric: Column) -> Column:
@@ -62,7 +69,3 @@ def verdict(low: Column, high: Column, threshold: float, way: Column) -> Column:
     better = F.when(way == "lower", down).otherwise(up)
     worse = F.when(way == "lower", up).otherwise(down)
     return F.when(better, "improved").when(worse, "regressed").otherwise("inconclusive")
-
-
-def share(rows: DataFrame, value: str) -> DataFrame:
-    return rows.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy()))

@@ -121,7 +121,7 @@ ISSUES = """issues AS (SELECT 'task' || doc_id % 5 AS task_id, 'issue' || doc_id
   CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 1 END AS tolerance, CASE WHEN doc_id % 3 = 0 THEN ['long-line', 'short-line'] ELSE ['capital-line'] END AS slugs, doc_id % 7 <> 0 AS must_emit FROM labels WHERE quality = 0 OR toxic = 1),
 cands AS (SELECT 'task' || doc_id % 5 AS task_id, doc_id * 100000 + p * 10 + k AS cand_id, doc_id AS file, slug, p::INT AS line FROM (
   SELECT doc_id, p, unnest([CASE WHEN len(l) > 120 THEN 'long-line' END, CASE WHEN len(l) < 30 THEN 'short-line' END, CASE WHEN regexp_matches(l, '[A-Z]{3}') THEN 'capital-line' END]) AS slug, unnest([0, 1, 2]) AS k FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))) WHERE slug IS NOT NULL)"""
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)) WHERE slug IS NOT NULL)"""
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +133,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
     kinds = F.array(F.when(F.length("l") > 120, "long-line"), F.when(F.length("l") < 30, "short-line"), F.when(F.col("l").rlike("[A-Z]{3}"), "capital-line"))
     rows = rows.select("doc_id", (F.col("i") + 1).alias("p"), F.posexplode(kinds).alias("k", "slug")).where("slug is not null")
     return rows.select(F.concat(F.lit("task"), (F.col("doc_id") % 5).cast("string")).alias("task_id"), (F.col("doc_id") * 100000 + F.col("p") * 10 + F.col("k")).alias("cand_id"), F.col("doc_id").alias("file"), "slug", F.col("p").cast("int").alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates, score, stats
+from ..operators.ordered import checkpoints
 from .common import ISSUES, cands, issues, query, table
 
 MATCH = f"""{ISSUES}, i AS (SELECT *, start_line - coalesce(tolerance, 3) AS low, end_line + coalesce(tolerance, 3) AS high FROM issues),
@@ -17,8 +18,11 @@ fnn AS (SELECT fn.task_id, fn.issue_id, fn.severity, fn.slugs[1] AS slug, near_s
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classified candidates, missed issues, issues; the matches are found once and written."""
     c, i = cands(spark, sf), issues(spark, sf)
-    return score.classify(c, i), score.false_negatives(c, i), i
+    checkpoints(spark)
+    met = score.matches(c, i).checkpoint()
+    return score.classify(c, i, matched=met), score.false_negatives(c, i, met), i
 
 
 @query(f"WITH {MATCH} SELECT task_id, issue_id, cand_id FROM m")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import paths, text
+from ..operators.records import redacted
 from ..rules.regex import glob_to_java
 
 # fixed values: folders and extensions that a walk leaves out
@@ -78,18 +79,12 @@ def restrict(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All file records below a folder, one JSON document each; malformed ones are skipped, and secrets in the snippets of
-    older scans are redacted as they are read."""
+    """All file records below a folder, one JSON document each; malformed ones are skipped, and secrets in older records are
+    redacted as they are read."""
     rows = spark.read.schema(f"{schemas.RECORD}, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     return redacted(rows.where("filePath is not null").drop("_corrupt"))
 
 
-def redacted(records: DataFrame) -> DataFrame:
-    """Records without secrets in snippets, titles, descriptions and recommendations."""
-    clean = lambda x, *names: x.withField(names[0], text.redact(x[names[0]])) if len(names) == 1 else clean(clean(x, names[0]), *names[1:])
-    return records.withColumns({"candidates": F.transform("candidates", lambda c: clean(c, "snippet")), "findings": F.transform("findings", lambda f: clean(f, "title", "description", "recommendation"))})
-
-
 def point(records: DataFrame, project: str, path: str) -> DataFrame:
     """The record of one file, or no row."""
     return records.where((F.col("projectId") == project) & (F.col("filePath") == path))

@@ -97,3 +97,56 @@ def test_blame_of_a_folder(spark, tmp_path):
 
     out = git.blames(spark.createDataFrame([("a.py", 1)], "path string, line int"), str(tmp_path))
     assert out.select(git.blame_text(F.col("path"), F.col("line"), F.col("output"))).first()[0] == "a.py:1: no blame data"
+
+
+SECRET = "hunter2hunter2"
+
+
+def test_no_command_writes_a_secret(spark, tmp_path, capsys):
+    """What agents and scans wrote, in every text of a record, through process, second look, triage, report and export."""
+    import json
+
+    root, data, said = tmp_path / "p", tmp_path / "data", f"password = {SECRET}"
+    root.mkdir()
+    (root / "a.py").write_text(f'{said}\neval("{said}")\n')
+    finding = {"severity": "HIGH", "vulnSlug": "py-eval-call", "title": f"Eval {said}", "description": said, "recommendation": said, "lineNumbers": [2], "confidence": "high"}
+    (tmp_path / "r.jsonl").write_text(json.dumps({"batchPaths": ["a.py"], "output": {"results": [{"filePath": "a.py", "findings": [finding]}]}}) + "\n")
+    answers = [{"filePath": "a.py", "index": 0, "verdict": "uncertain", "reasoning": "first"}, {"filePath": "a.py", "index": 0, "verdict": "true-positive", "reasoning": said, "adjustedSeverity": "CRITICAL"}, {"filePath": "a.py", "index": 7, "verdict": "fixed"}]
+    (tmp_path / "v.jsonl").write_text("".join(json.dumps(x) + "\n" for x in answers))
+    (tmp_path / "t.jsonl").write_text(json.dumps({"filePath": "a.py", "index": 0, "priority": "P1", "reasoning": said}) + "\n")
+    assert jobs.main(["scan", str(root), str(data)]) == 0
+    assert jobs.main(["process", str(data), str(root), str(tmp_path / "r.jsonl")]) == 0
+    assert jobs.main(["revalidate", str(data), str(tmp_path / "v.jsonl")]) == 0 and jobs.main(["triage", str(data), str(tmp_path / "t.jsonl")]) == 0
+    f = jobs.read(spark, str(data)).first().findings[0]
+    assert f.revalidation.verdict == "true-positive" and f.revalidation.adjustedSeverity == "CRITICAL" and f.triage.priority == "P1" and "[REDACTED]" in f.triage.reasoning
+    # a later second look changes nothing unless forced
+    (tmp_path / "w.jsonl").write_text(json.dumps(answers[0]) + "\n")
+    for force, verdict in (([], "true-positive"), (["--force"], "uncertain")):
+        assert jobs.main(["revalidate", str(data), str(tmp_path / "w.jsonl"), *force]) == 0
+        assert jobs.read(spark, str(data)).first().findings[0].revalidation.verdict == verdict
+    for kind in ("markdown", "csv", "json", "sarif", "html"):
+        assert jobs.main(["report", str(data), str(tmp_path / f"out-{kind}"), "--format", kind]) == 0
+    assert jobs.main(["export", str(data), str(tmp_path / "out-export")]) == 0
+    spark.read.parquet(jobs.versions(spark, f"{data}/records")[-1]).write.json(str(tmp_path / "out-records"))
+    spark.read.parquet(jobs.versions(spark, f"{data}/scan")[-1]).write.json(str(tmp_path / "out-scan"))
+    written = [p for p in tmp_path.rglob("*") if p.is_file() and p.relative_to(tmp_path).parts[0].startswith("out-")]
+    assert len(written) > 5 and not [p for p in written if SECRET in p.read_text(errors="replace")] and SECRET not in capsys.readouterr().out
+    # records of older versions hold secrets everywhere; they are clean as they are read
+    (data / "files").mkdir()
+    old = {"filePath": "o.py", "projectId": "p", "candidates": [{"vulnSlug": "s", "snippet": said, "matchedPattern": said}], "findings": [finding | {"triage": {"reasoning": said}, "revalidation": {"reasoning": said}}], "analysisHistory": [{"codexStderr": said, "refusal": {"reason": said, "raw": said, "skipped": [{"reason": said}]}}]}
+    (data / "files" / "o.json").write_text(json.dumps(old))
+    from gritstone.sources import tables
+
+    assert SECRET not in tables.read_records(spark, str(data / "files")).toJSON().first()
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    at = str(tmp_path / "t")
+    assert jobs.newest(spark, at) is None
+    for n in range(3):
+        have = jobs.newest(spark, at)
+        jobs.replace(spark.range(n) if have is None else have.union(spark.range(n)), at)
+    (tmp_path / "t" / "v-000000000099").mkdir()  # a version without its mark
+    assert len(jobs.versions(spark, at)) == 2 and sorted(r.id for r in jobs.newest(spark, at).collect()) == [0, 0, 1]
+    jobs.replace(spark.range(1), at)
+    assert jobs.versions(spark, at)[-1].endswith("v-000000000100") and jobs.newest(spark, at).count() == 1

@@ -126,6 +126,59 @@ def test_greedy_is_one_to_one(spark):
     f = spark.createDataFrame([("t", "f", "f1", "s", 1), ("t", "f", "f2", "s", 2), ("t", "f", "f3", "s", 9)], "task_id string, file string, finding_id string, slug string, line int")
     a = spark.createDataFrame([("t", "f", 1, "a1", ["s"], 1, 3), ("t", "f", 2, "a2", ["q", "s"], 2, 10)], "task_id string, file string, ord int, answer_id string, slugs array<string>, low int, high int")
     assert {r.finding_id: r.answer_id for r in score.greedy(f, a).collect()} == {"f1": "a1", "f2": "a2", "f3": None}
+    plan = score.greedy(f, a)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "SinglePartition" not in plan
+
+
+FINDING_COLS = "task_id string, file string, finding_id long, slug string, line int"
+ANSWER_COLS = "task_id string, file string, ord int, answer_id string, slugs array<string>, low int, high int"
+
+
+def test_deferred_acceptance_is_taking_turns(spark):
+    """Overlapping answers with several slugs, so that findings displace each other over many rounds."""
+    import random
+
+    rnd = random.Random(3)
+    f = [("t", f"f{i % 3}", i, rnd.choice("xyz"), rnd.randint(1, 40)) for i in range(300)]
+    a = [("t", f"f{i % 3}", 1000 - i, f"a{i}", rnd.sample("xyz", rnd.randint(1, 3)) * 2, low := rnd.randint(-3, 35), low + rnd.choice([0, 2, 5, 12, 60, -4])) for i in range(120)]
+    want, used = {}, set()
+    for _, file, i, slug, line in sorted(f, key=lambda r: (r[1], r[4], r[2], r[3])):
+        got = next((x for x in sorted(a, key=lambda x: x[2]) if x[1] == file and slug in x[4] and x[5] <= line <= x[6] and x[3] not in used), None)
+        want[str(i)] = got and got[3]
+        used |= {got[3]} if got else set()
+    got = score.greedy(spark.createDataFrame(f, FINDING_COLS), spark.createDataFrame(a, ANSWER_COLS)).collect()
+    assert {r.finding_id: r.answer_id for r in got} == want and len(got) == len(f)
+    assert score.greedy(spark.createDataFrame(f, FINDING_COLS).limit(0), spark.createDataFrame(a, ANSWER_COLS)).count() == 0
+    assert score.greedy(spark.createDataFrame(f, FINDING_COLS), spark.createDataFrame([], ANSWER_COLS)).where("answer_id is not null").count() == 0
+
+
+def test_a_hot_file_of_a_million_findings(spark):
+    f = spark.range(1_000_000).select(F.lit("t").alias("task_id"), F.lit("f").alias("file"), F.col("id").alias("finding_id"), F.lit("s").alias("slug"), (F.col("id") % 50).cast("int").alias("line"))
+    a = spark.createDataFrame([("t", "f", i, f"a{i}", ["s"], i % 50, i % 50 + 3) for i in range(200)], ANSWER_COLS)
+    got = score.greedy(f, a)
+    assert got.where("answer_id is not null").count() == got.select("answer_id").where("answer_id is not null").distinct().count() == 200
+    assert got.where("finding_id = '0'").first().answer_id == "a0"
+
+
+def test_points_in_intervals_form_few_pairs(spark):
+    from gritstone.operators.intervals import same_bins, stab
+
+    points = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("line"))
+    rows = [("k", i, low := i * 20 - 7, low + [0, 1, 6, 30][i % 4]) for i in range(1000)] + [("k", 5000, -10, 30_000), ("k", 5001, 9, 8), ("k", 5002, None, 4), (None, 5003, 1, 2), ("other", 5004, 1, 2)]
+    ranges = spark.createDataFrame(rows, "k string, id int, low int, high int")
+    got = stab(points, ranges, ["k"])
+    want = {(p, i) for k, i, a, b in rows if k == "k" and a is not None for p in range(max(a, 0), min(b, 19_999) + 1)}
+    have = got.select("line", "id").collect()
+    assert len(have) == len(want) and {tuple(r) for r in have} == want
+    formed = same_bins(points, ranges, ["k"], "line", "low", "high").count()
+    assert formed < 4 * len(want) < 20_000 * 1000 / 20
+
+
+def test_bootstrap_gathers_no_values(spark):
+    s = spark.range(400).select((F.col("id") % 3).cast("string").alias("m"), F.col("id").alias("o"), (F.col("id") % 17).cast("double").alias("v"))
+    out = stats.bootstrap_ci(s, "m", "v", "o", times=50)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert all(r.low < r.high for r in out.collect())
 
 
 def test_precision_gate_reasons(spark):
