@@ -171,7 +171,7 @@ def row_key(id_col: Column, sha: Column) -> Column:
 
 #: A group is compared if at most OTHERS of its texts are outside its largest class; a larger one is divided by BRANCHES
 #: of each text's shingles, chosen from the SAMPLE of its shingles with the least hashes.
-OTHERS, BRANCHES, SAMPLE = 16, 4, 64
+OTHERS, BRANCHES, SAMPLE = 8, 4, 64
 
 
 def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, branches: int = BRANCHES) -> DataFrame:
