@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import staged
+from .session import sha_key, staged
 
 #: Low, as navigation need not stand on every page; copied pages are protected by `once`, not by the ratio.
 RATIO = 0.02
@@ -35,11 +35,12 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host: str = "sourc
     `once` pages of a host that have the same lines count as one, in the lines' pages and in the host's, so that copies
     cannot turn their own lines into boilerplate. An empty table gives an empty one. Long texts are taken whole. Other
     columns pass through, but for n_lines and n_dropped, which `mark` replaces; names that begin with __ are reserved.
-    Only hashes of lines are shuffled for the counts, and texts move once, to meet the places of their dropped lines.
+    Lines and rows are told apart by 128 bits of SHA-256; only these of lines are shuffled for the counts, and texts move
+    once, to meet the places of their dropped lines.
     """
     clean = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))
-    hashed = F.transform(clean, lambda x: F.when(x == "", None).otherwise(F.xxhash64(x)))
-    rid = F.xxhash64(F.col(id_col), F.col(text), F.col(host))
+    hashed = F.transform(clean, lambda x: F.when(x == "", None).otherwise(F.substring(F.unhex(F.sha2(x.cast("binary"), 256)), 1, 16)))
+    rid = sha_key(id_col, text, host)
     narrow = docs.select(rid.alias("rid"), F.col(host).alias("host"), hashed.alias("lines"))
     counted = narrow.select("host", "lines").distinct() if once else narrow
     bad = boilerplate(counted, "host", "lines", ratio, least_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))

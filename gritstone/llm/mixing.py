@@ -3,21 +3,20 @@
 Each source is a queue of its documents in a hashed order, gone round up to three times. A document's virtual finish
 time is the number of its source's words up to and with it, divided by the source's target. Served in the order of
 these times, every source has its target's share at any moment; the queue is cut where the words served reach the
-budget. The sums along a queue come from two levels: totals of buckets, then positions within a bucket, so no task
-holds a whole source. The same holds for the cut: the times are dealt into ranges, and only the range in which the
-budget is reached is summed row by row.
+budget. The sums along the queues come from sorted ranges of all rows, so no task holds a whole source. The times are
+dealt into ranges as well, and only the range in which the budget is reached is sorted and summed, in ranges again: rows
+of one time can be many, as sources can, and are told apart by all that orders them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import ranked
+from ..operators.ordered import ranked, running
 from .session import shared_dir, staged
 
-#: Rows of a source that one bucket holds, about.
-BUCKET_ROWS = 2000
+#: Ranges of virtual time; a driver sees one sum for each.
 RANGES = 4096
 
 
@@ -48,51 +47,37 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.
 
     `size` is the number of words; `taken` the words that the mix takes, `size` times the number of rounds. Sources in
     code-point order, null last, weigh `cycle` again and again; the budget is `share` of all words. Sources may
-    be many: only sums over them come to the driver. Null and blank texts have size 0 and take nothing; repeated rows
-    are distinct documents, told apart by nothing but their place among equals. An empty table gives an empty one.
+    be many: only sums over them come to the driver. Null and blank texts have size 0 and take nothing; repeated rows, and
+    rows of one id or of none, are distinct documents, told apart by nothing but their place among equals. Very long texts
+    are counted whole. An empty table gives an empty one. Other columns are not in the result, whatever their names.
     """
     shared_dir(docs.sparkSession)
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")), "sizes")
-    found = rows.groupBy("src").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    found = rows.groupBy("src").agg(F.sum("size").alias("n"))
     found = ranked(found, F.col("src").isNull(), "src", name="place")
     found = found.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("place") % len(cycle)).cast("int")))
     budget = int((found.agg(F.sum("n")).first()[0] or 0) * share)
-    table = shares(found, budget, most).select(F.col("src").alias("s0"), F.col("n").alias("source_size"), "target", F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS)).cast("int").alias("buckets"))
-    rows = rows.join(table, F.col("src").eqNullSafe(F.col("s0"))).drop("s0")
-    rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * F.col("buckets")).cast("int"))
-    totals = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("src").alias("s2"), F.col("bucket").alias("b2"), F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("src", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.withColumn("upto", F.sum("size").over(inside)).join(before, F.col("src").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    queued = staged(queued.select("id", "src", "size", "source_size", "target", "h", (F.col("upto") + F.col("before")).alias("upto")), "queue")
+    table = shares(found, budget, most).select(F.col("src").alias("s0"), F.col("n").alias("source_size"), "target")
+    # all queues one behind the other; a queue's own sums begin where its first row stands
+    after = running(rows, "size", F.col("src").isNull(), "src", "h", "id", "size", "row")
+    starts = after.groupBy(F.col("src").alias("s2")).agg(F.min("before").alias("start"))
+    table = table.join(starts, F.col("s0").eqNullSafe(F.col("s2"))).drop("s2")
+    queued = after.join(table, F.col("src").eqNullSafe(F.col("s0"))).withColumn("upto", F.col("before") - F.col("start") + F.col("size"))
+    queued = staged(queued.select("id", "src", "size", "source_size", "target", "h", "row", "upto"), "queue")
     # rounds that can be reached; one row for each document and round
     rounds = F.least(F.lit(most), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int"))
-    served = queued.where("size > 0").select("id", "src", "size", "h", "upto", F.explode(F.sequence(F.lit(0), rounds - 1)).alias("round"), "source_size", "target")
+    served = queued.where("size > 0").select("id", "src", "size", "h", "row", "upto", F.explode(F.sequence(F.lit(0), rounds - 1)).alias("round"), "source_size", "target")
     served = served.withColumn("time", (F.col("upto") + F.col("round") * F.col("source_size")) / F.col("target")).withColumn("range", F.least(F.floor(F.col("time") * (RANGES // 4)), F.lit(RANGES)).cast("int"))
-    at = 0
-    edge, base = -1, 0
+    at, edge = 0, RANGES + 1
     for r in served.groupBy("range").agg(F.sum("size").alias("n")).orderBy("range").collect():  # RANGES + 1 rows at most
         if at + r.n > budget:
-            edge, base = r.range, at
+            edge = r.range
             break
         at += r.n
-    else:
-        edge = RANGES + 1
-    last = served.where(F.col("range") == edge).withColumn("part", F.floor(F.col("time") * (RANGES // 4) * 512 - F.lit(edge * 512.0)).cast("int"))
-    # within the cut's range the same once more, then row by row in the part where the budget is reached
-    cut_part, at = -1, base
-    for r in last.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():  # some 512 rows, RANGES being the last range
-        if at + r.n > budget:
-            cut_part = r.part
-            break
-        at += r.n
-    order_in = Window.orderBy("time", "src", "h", "id", "round").rowsBetween(Window.unboundedPreceding, 0)
-    tail = last.where(F.col("part") == cut_part).withColumn("sum", F.sum("size").over(order_in)).where(F.col("sum") + at <= budget)
-    cols = ["id", "src", "size", "upto"]
-    kept = served.where(F.col("range") < edge).select(*cols).unionByName(last.where(F.col("part") < cut_part).select(*cols)).unionByName(tail.select(*cols))
-    taken = kept.groupBy(*cols).agg(F.sum("size").alias("taken"))
-    t = taken.select(*[F.col(c).alias(f"t_{c}") for c in cols], "taken")
-    on = F.col("id").eqNullSafe(F.col("t_id")) & F.col("src").eqNullSafe(F.col("t_src")) & (F.col("size") == F.col("t_size")) & (F.col("upto") == F.col("t_upto"))
-    joined = queued.join(t, on, "left")
+    last = served.where(F.col("range") == edge).select("time", "src", "h", "id", "row", "round", "size")
+    tail = running(last, "size", "time", "src", "h", "id", "row", "round").where(F.col("before") + F.col("size") + at <= budget)
+    kept = served.where(F.col("range") < edge).select("row", "size").unionByName(tail.select("row", "size"))
+    taken = kept.groupBy("row").agg(F.sum("size").alias("taken"))
+    joined = queued.join(taken, "row", "left")
     return joined.select(F.col("id").alias(id_col), F.col("src").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python. Documents may be long, so batches are kept well under Spark's default.
 ARROW_ROWS = 500
@@ -52,3 +53,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sha_key(*columns: Column | str) -> Column:
+    """128 bits of the SHA-256 of the columns as text, 16 bytes; nulls differ from every text, and neighbours don't run together."""
+    def part(c: Column) -> Column:
+        t = c.cast("string")
+        return F.when(t.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t))
+
+    each = [part(F.col(c) if isinstance(c, str) else c) for c in columns]
+    return F.substring(F.unhex(F.sha2(F.concat(*each).cast("binary"), 256)), 1, 16)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import prepare, staged
+from .session import prepare, sha_key, staged
 from .vecwords import P_WORDS2, SPACE, Runs, U, scramble, small, words
 
 FAR = 1 << 40
@@ -81,7 +81,8 @@ def _cover(a, b, rank, n, width):
 
 
 def segments(h: np.ndarray, other: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int, rounds: int):
-    """h, other: two independent hashes of each word. Returns (mark, content hash, row, first window, last window) of each segment; window starts count from the row's first word."""
+    """h, other: two independent hashes of each word. Returns (mark, two content hashes, row, first window, last window) of
+    each segment; window starts count from the row's first word."""
     n = len(h)
     n_row = np.diff(first)[doc]
     place = np.arange(n) - first[doc]
@@ -123,12 +124,12 @@ def segments(h: np.ndarray, other: np.ndarray, doc: np.ndarray, first: np.ndarra
     p = np.flatnonzero(start_ok)
     if not len(p):
         z = np.zeros(0, np.int64)
-        return mark[p], mark[p], z, z, z
+        return mark[p], mark[p], mark[p], z, z, z
     new = np.ones(len(p), bool)
     new[1:] = (which[p[1:]] != which[p[:-1]]) | (p[1:] != p[:-1] + 1) | (doc[p[1:]] != doc[p[:-1]])
     s = p[new]
     e = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
-    return mark[s], Runs(other, P_WORDS2).of(s, e + window), doc[s], place[s], place[e]
+    return mark[s], runs.of(s, e + window), Runs(other, P_WORDS2).of(s, e + window), doc[s], place[s], place[e]
 
 
 def _long_rows(column, window):
@@ -153,25 +154,26 @@ def packed(c: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str = "text") -> DataFrame:
-    """(rid, spans): for each row of `docs` (rid: long, text) with repeated windows, their ranges of window starts,
-    each as first * 2**32 + last. Rows that share a rid must share their text; they count as two documents."""
+    """(rid, spans): for each row of `docs` (rid: binary, text) with repeated windows, their ranges of window starts, each
+    as first * 2**32 + last. Rows that share a rid must share their text, as those of a hash of it do; they count as two
+    documents. Segments and windows are equal by two independent 64-bit hashes of their words' bytes."""
     prepare(docs.sparkSession)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             h, other, doc, first, rows = _long_rows(batch.column(1), window)
             if len(rows):
-                key, content, d, a, b = segments(h, other, doc, first, window, rounds)
+                key, one, two, d, a, b = segments(h, other, doc, first, window, rounds)
                 rid = batch.column(0).take(pa.array(rows[d]))
-                yield pa.RecordBatch.from_arrays([rid, pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array((a << 32) | b)], ["rid", "mark", "content", "span"])
+                yield pa.RecordBatch.from_arrays([rid, *[pa.array(x.view(np.int64)) for x in (key, one, two)], pa.array((a << 32) | b)], ["rid", "mark", "c1", "c2", "span"])
 
-    seg = staged(docs.select("rid", F.col(text).cast("binary").alias("text")).mapInArrow(mark, "rid long, mark long, content long, span long"), "segments")
-    same = seg.groupBy("mark", "content").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "span")).alias("one"))
+    seg = staged(docs.select("rid", F.col(text).cast("binary").alias("text")).mapInArrow(mark, "rid binary, mark long, c1 long, c2 long, span long"), "segments")
+    same = seg.groupBy("mark", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "span")).alias("one"))
     # marks with one segment are settled; of the others, each distinct content is kept once with its count
     shared = same.groupBy("mark").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    state = staged(same.join(shared, "mark").select("mark", "content", "n", "one", (F.col("kinds") > 1).alias("mixed")), "shared-marks")
+    state = staged(same.join(shared, "mark").select("mark", "c1", "c2", "n", "one", (F.col("kinds") > 1).alias("mixed")), "shared-marks")
     found = staged(
-        seg.join(state, ["mark", "content"]).select("rid", "span", (F.col("n") > 1).alias("whole"), (F.col("mixed") & (F.xxhash64("rid", "span") == F.col("one"))).alias("compare")).where("whole or compare"), "shared-segments"
+        seg.join(state, ["mark", "c1", "c2"]).select("rid", "span", (F.col("n") > 1).alias("whole"), (F.col("mixed") & (F.xxhash64("rid", "span") == F.col("one"))).alias("compare")).where("whole or compare"), "shared-segments"
     )
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(p)], ["rid", "h1", "h2", "p"])
 
     ask = found.where("compare").groupBy("rid").agg(F.collect_set("span").alias("spans"))
-    spelt = staged(docs.select("rid", packed(F.col(text).cast("binary")).alias("packed")).join(ask, "rid").select("rid", "packed", "spans").mapInArrow(spell, "rid long, h1 long, h2 long, p long"), "compared-windows")
+    spelt = staged(docs.select("rid", packed(F.col(text).cast("binary")).alias("packed")).join(ask, "rid").select("rid", "packed", "spans").mapInArrow(spell, "rid binary, h1 long, h2 long, p long"), "compared-windows")
     twice = spelt.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     # the copies of a compared segment share its windows, so a repeated window is marked in the segment that was compared
     more = spelt.join(twice, ["h1", "h2"]).select("rid", F.expr("shiftleft(p, 32) | p").alias("span"))
@@ -203,11 +205,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = 2, text: str
     A word goes if a window of `window` words over it also starts anywhere else in the input, in the same row too.
     Null texts have no words and the empty string is kept; rows shorter than a window keep all. Repeated rows are two
     documents, so both lose what they share; so do rows that share an id. Null ids are allowed. Other columns pass
-    through; columns of the input that are called like a new one are replaced.
+    through; columns of the input that are called like a new one are replaced. Very long texts are taken whole, and an empty
+    table gives an empty one. Rows are told apart by 128 bits of the SHA-256 of id and text.
     """
-    key = [F.col(id_col)] if id_col else []
+    key = [id_col] if id_col else []
     new = ("n_words", "n_removed", "kept")
-    named = docs.drop(*new).withColumn("__rid", F.xxhash64(*key, F.col(text)))
+    named = docs.drop(*new).withColumn("__rid", sha_key(*key, text))
     rest = [c for c in docs.columns if c not in (*new, text)]
     spans = repeated_spans(named.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), window, rounds)
 

@@ -161,3 +161,29 @@ def test_resample_is_the_plain_draw(spark, most):
     assert sorted(map(tuple, got.collect()), key=str) == plain_resample(docs, target, most)
     assert resample.resample(frame.limit(0), bench).count() == 0
     assert sorted(map(tuple, resample.resample(frame, bench.limit(0), most_words=most).collect()), key=str) == plain_resample(docs, [], most)
+
+
+def test_rows_are_told_apart_when_short_hashes_collide(spark, monkeypatch):
+    """Line and substring dedup give the same with a 64-bit hash that always collides."""
+    from gritstone.llm import line_dedup, mixing, substring_dedup
+
+    run = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"menu\nown line {i}\n{run if i % 3 == 0 else ''} tail {i}", "a") for i in range(30)] + [(None, "menu", None), (None, None, "a"), (3, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+    def results():
+        lines = line_dedup.drop_boilerplate(docs, mark=True).select("doc_id", "source", "text", "n_lines", "n_dropped")
+        spans = substring_dedup.remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept")
+        return [sorted(map(str, x.collect())) for x in (lines, spans)]
+
+    want = results()
+    assert any("n_dropped=1" in r for r in want[0]) and any("n_removed=41" in r for r in want[1])
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    assert results() == want
+    # rows of one id, and many sources of one size: no task gets all of them
+    many = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    got = mixing.mix(many)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString() and got.agg(F.sum("taken")).first()[0] <= 8000
+    monkeypatch.undo()
+    got = mixing.mix(many.withColumn("source", F.lit("x")))
+    assert got.count() == 4000 and got.where("taken <> 2").count() == 0
