@@ -192,15 +192,17 @@ def tree_candidates(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Candidates of the rules' tree patterns. Python files have a parser here; files of other languages have none and
     give nothing, as files do that cannot be parsed. Paths and cheap patterns are tested before anything is parsed."""
     plans = [(r.slug, t.label or r.label or r.slug, parse_query(t.query), t.primary_capture or parse_query(t.query).captures[0], t.snippet_capture, r, t) for r in rules for t in r.tree_patterns if t.language == "python"]
-    from .scan import _applies
+    from .scan import path_sets, prepared, rule_tests
 
-    rows = files.select("path", text.normalised(F.col("content")).alias("content")).where(paths.tree_language(F.col("path")) == "python")
+    own = [p[5] for p in plans]
+    sets = path_sets(own)
+    rows = prepared(files.where(paths.tree_language(F.col("path")) == "python"), own)
     if not plans:
         return rows.limit(0).select("path", F.lit("").alias("slug"), F.lit(0).alias("line"), F.lit("").alias("label"), F.lit("").alias("snippet"))
     from ..rules.regex import any_of
 
     def wanted(r: Rule, t):
-        ok = _applies(r)
+        ok = F.expr(rule_tests(r, sets))
         return ok & F.col("content").rlike(any_of(t.prefilter_patterns)) if t.prefilter_patterns else ok
 
     mask = F.array(*[wanted(p[5], p[6]) for p in plans])

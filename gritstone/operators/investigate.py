@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schemas import FINDING, severity_rank
-from .ordered import ranges
+from .ordered import ranked
 
 REPLY = f"batch_id long, path string, findings array<{FINDING}>, cost double, tokens long, duration_ms long, refused boolean, reason string"
 CONFIDENCE = ("high", "medium", "low")
@@ -42,59 +41,57 @@ def work_queue(records: DataFrame, prefix: str = "", only: list[str] = (), skip:
 
 
 def chunks(files: DataFrame, most: int, path: str = "path") -> DataFrame:
-    """`files` with dir and chunk: each directory's files in path order, `most` to a chunk."""
-    w = Window.partitionBy("dir").orderBy(path)
-    return files.withColumn("dir", paths.directory(F.col(path))).withColumn("chunk", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
+    """`files` with dir and chunk: each directory's files in path order, `most` to a chunk. Places come from sorted ranges of
+    all files, so a directory with very many is in many tasks."""
+    rows = ranked(files.withColumn("dir", paths.directory(F.col(path))), "dir", path, name="__at")
+    first = rows.groupBy("dir").agg(F.min("__at").alias("__first"))
+    return rows.join(first, "dir").withColumn("chunk", F.floor((F.col("__at") - F.col("__first")) / most).cast("int")).drop("__at", "__first")
 
 
-def _pack(id_: np.ndarray, held: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pack a chunk of `n` files into batches from states (id, held): its batch, and the states after it."""
-    fits = held + n <= most
-    mine = np.where(fits | (held == 0), id_, id_ + 1)
-    return mine, np.where(fits, id_, mine + 1), np.where(fits, held + n, 0)
+#: Chunks in a block, which is packed in one row.
+BLOCK = 256
+
+
+def _pack(state: Column, n: Column, most: int) -> tuple[Column, Column, Column]:
+    """Pack a chunk of `n` files in a state (id, held): its batch, and the state after it."""
+    fits = state["held"] + n <= most
+    mine = state["id"] + F.when(fits | (state["held"] == 0), 0).otherwise(1)
+    return mine, F.when(fits, state["id"]).otherwise(mine + 1), F.when(fits, state["held"] + n).otherwise(0)
 
 
 def batches(files: DataFrame, most: int, path: str = "path") -> DataFrame:
     """`files` with batch_id: chunks of directories in order, small neighbours packed together.
 
     A chunk that does not fit into the open batch closes it and is a batch of its own. What a batch is depends on all
-    before it, but only through the number of files that it holds, and that is at most `most`. So the sorted chunks are
-    cut into ranges; each range is read once for every such number at once, the ranges' tables are chained on the driver
-    (a few numbers for each range), and each range is then read from its true start. Files stay where they are, and a
-    range is read row by row, never held.
+    before it, but only through the number of files that it holds, and that is at most `most`. So a block of chunks is a
+    table from that number to the batches it adds and the number after it; such tables can be put behind each other in
+    any grouping. The blocks' tables are joined with those one, two, four, … blocks before them, until each covers all
+    before it, and each block is then packed from its true start. No file is moved for that but by the last join.
     """
     most = max(1, most)
     rows = chunks(files, most, path)
     sizes = rows.groupBy("dir", "chunk").agg(F.count("*").cast("int").alias("n"))
-    dealt = ranges(sizes, "dir", "chunk").sortWithinPartitions("part", "dir", "chunk")
-
-    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for rows in parts:
-            for part, n in zip(rows["part"].tolist(), rows["n"].tolist()):
-                id_, held = state.get(part, (np.zeros(most + 1, np.int64), np.arange(most + 1)))
-                state[part] = _pack(id_, held, n, most)[1:]
-        for part, (id_, held) in state.items():
-            yield pd.DataFrame({"part": part, "start": np.arange(most + 1), "id": id_, "held": held})
-
-    found = {(r.part, r.start): (r.id, r.held) for r in dealt.select("part", "n").mapInPandas(ends, "part int, start int, id long, held int").collect()}
-    starts, at, held = {}, 0, 0
-    for part in sorted({p for p, _ in found}):
-        starts[part] = at, held
-        more, held = found[part, held]
-        at += more
-
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for rows in parts:
-            out = []
-            for part, n in zip(rows["part"].tolist(), rows["n"].tolist()):
-                id_, held = state.get(part) or tuple(np.array([x]) for x in starts[part])
-                mine, *state[part] = _pack(id_, held, n, most)
-                out.append(int(mine[0]))
-            yield pd.DataFrame({"dir": rows["dir"], "chunk": rows["chunk"], "batch_id": out})
-
-    ids = dealt.select("part", "dir", "chunk", "n").mapInPandas(assign, "dir string, chunk int, batch_id long")
+    placed = ranked(sizes, "dir", "chunk").withColumn("block", F.floor(F.col("rank") / BLOCK))
+    blocks = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("rank", "dir", "chunk", "n"))).alias("c")).checkpoint()
+    after = lambda s, c: F.struct(*[x.alias(k) for k, x in zip(("id", "held"), _pack(s, c["n"], most)[1:])])
+    state = lambda id_, held: F.struct(id_.cast("long").alias("id"), held.cast("int").alias("held"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda h: F.aggregate("c", state(F.lit(0), h), after))
+    upto = blocks.select("block", F.posexplode(ends).alias("start", "end")).select("block", "start", "end.id", "end.held").checkpoint()
+    far, last = 1, blocks.agg(F.max("block")).first()[0] or 0
+    while far <= last:
+        before = upto.select((F.col("block") + far).alias("block"), F.col("start").alias("from"), F.col("id").alias("more"), F.col("held").alias("start"))
+        both = upto.join(before, ["block", "start"]).select("block", F.col("from").alias("start"), (F.col("id") + F.col("more")).alias("id"), "held")
+        upto = upto.where(F.col("block") < far).unionByName(both).checkpoint()
+        far *= 2
+    starts = upto.where("start = 0").select((F.col("block") + 1).alias("block"), "id", "held")
+    begin = F.struct(F.array().cast("array<bigint>").alias("ids"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), F.coalesce("held", F.lit(0)).cast("int").alias("held"))
+
+    def place(s: Column, c: Column) -> Column:
+        mine, id_, held = _pack(s, c["n"], most)
+        return F.struct(F.array_append(s["ids"], mine).alias("ids"), id_.alias("id"), held.alias("held"))
+
+    ids = blocks.join(starts, "block", "left").select("c", F.aggregate("c", begin, place, lambda s: s["ids"]).alias("ids"))
+    ids = ids.select(F.explode(F.arrays_zip("c", "ids")).alias("x")).select("x.c.dir", "x.c.chunk", F.col("x.ids").alias("batch_id"))
     return rows.join(ids, ["dir", "chunk"])
 
 

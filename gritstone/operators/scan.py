@@ -2,6 +2,9 @@
 
 Rules are data for the driver only: each becomes a column with literal patterns, and all of them are evaluated on a
 file's row while it is in memory. The plan is a scan, a projection and one explode, whatever the number of rules.
+
+A pattern is only searched in a text that holds one of the literals that it cannot match without (rules.literals), which
+is a search for bytes; and each set of path patterns is tested once a file, for all rules that have it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..rules.literals import needed
 from ..rules.load import Rule, pack_hash
 from ..rules.regex import any_of, glob_to_java, to_java
 
@@ -25,19 +29,47 @@ def _quoted(s: str) -> str:
 
 # A rule is written as one SQL expression: hundreds of rules are then parsed in the JVM, where building them column by
 # column would take some ten calls for each operator.
-def _tests(rule: Rule) -> str:
+def _holds(pattern: str) -> str:
+    """Whether the content holds a match, by its literals first."""
+    words = sorted(needed(pattern) or ())
+    search = f"content rlike {_quoted(to_java(pattern))}"
+    if not words:
+        return search
+    return f"({' OR '.join(f'contains({"__low" if folded else "content"}, {_quoted(w)})' for w, folded in words)}) AND {search}"
+
+
+def _path_test(patterns: tuple[str, ...]) -> str:
+    return f"path rlike {_quoted('|'.join(f'(?:{glob_to_java(g)})' for g in patterns))}"
+
+
+def path_sets(rules: list[Rule]) -> list[tuple[str, ...]]:
+    """The distinct sets of path patterns, in order."""
+    return list(dict.fromkeys(tuple(r.file_patterns) for r in rules if r.file_patterns))
+
+
+def rule_tests(rule: Rule, sets: list[tuple[str, ...]]) -> str:
     """Cheap tests first: the path, then what the content must hold."""
     tests = []
     if rule.file_patterns:
-        tests.append(f"path rlike {_quoted('|'.join(f'(?:{glob_to_java(g)})' for g in rule.file_patterns))}")
+        tests.append(f"__paths[{sets.index(tuple(rule.file_patterns))}]")
     if rule.exclude_path_patterns:
         tests.append(f"NOT path rlike {_quoted(any_of(rule.exclude_path_patterns))}")
-    tests += [f"content rlike {_quoted(to_java(p))}" for p in rule.require_content]
+    tests += [_holds(p) for p in rule.require_content]
     return " AND ".join(tests) or "true"
 
 
-def _applies(rule: Rule) -> Column:
-    return F.expr(_tests(rule))
+def prepared(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Files (path, content) with what the rules' expressions share: lines, lines with input, the content in lower case
+    and the outcome of each set of path patterns."""
+    rows = files.select("path", text.normalised(F.col("content")).alias("content"))
+    rows = rows.withColumn("__lines", text.lines(F.col("content")))
+    if any(r.require_taint_within for r in rules):
+        rows = rows.withColumn("__taint", text.tainted_lines(F.col("__lines"), paths.taint_language(F.col("path"))))
+    if any(folded for r in rules for p in (*r.patterns, *r.require_content) for _, folded in needed(p) or ()):
+        # the long s and the Kelvin sign match s and k where case does not matter
+        rows = rows.withColumn("__low", F.translate(F.lower("content"), "\u017f\u212a", "sk"))
+    sets = path_sets(rules)
+    return rows.withColumn("__paths", F.expr(f"array({', '.join(map(_path_test, sets))})")) if sets else rows
 
 
 def _hits(rule: Rule, pattern: str) -> str:
@@ -53,17 +85,17 @@ def _hits(rule: Rule, pattern: str) -> str:
     if rule.suppress_patterns:
         made = f"filter({made}, c -> NOT c.snippet rlike {_quoted(any_of(rule.suppress_patterns))})"
     # most files do not hold most patterns
-    return f"CASE WHEN content rlike {_quoted(to_java(pattern))} THEN {made} ELSE array() END"
+    return f"CASE WHEN {_holds(pattern)} THEN {made} ELSE array() END"
 
 
-def _found(rule: Rule) -> Column:
+def _found(rule: Rule, sets: list[tuple[str, ...]]) -> Column:
     """The candidates of one rule in one file: an array without repetitions of (slug, label, line). Files in a language
     for which the rule has tree patterns are judged by these alone."""
     found = f"flatten(array({', '.join(_hits(rule, p) for p in rule.patterns)}))"
     if len(rule.patterns) > 1:
         found = f"array_distinct({found})"
     trees = sorted({e for t in rule.tree_patterns for e in paths.TREE_LANGUAGES.get(t.language, [])})
-    tests = _tests(rule)
+    tests = rule_tests(rule, sets)
     if trees:
         tests += f" AND NOT lower(regexp_extract(path, {_quoted(paths.EXTENSION)}, 1)) IN ({', '.join(map(_quoted, trees))})"
     return F.expr(f"CASE WHEN {tests} THEN {found} ELSE cast(array() AS array<{CANDIDATE}>) END")
@@ -75,13 +107,10 @@ def candidates(files: DataFrame, rules: list[Rule]) -> DataFrame:
     A match inside a label's line counts once for a rule; snippets are redacted. Null contents have no candidates.
     """
     rules = [r for r in rules if r.patterns]
-    rows = files.select("path", text.normalised(F.col("content")).alias("content"))
     if not rules:
-        return rows.limit(0).select("path", F.lit("").alias("slug"), F.lit(0).alias("line"), F.lit("").alias("label"), F.lit("").alias("snippet"))
-    rows = rows.withColumn("__lines", text.lines(F.col("content")))
-    if any(r.require_taint_within for r in rules):
-        rows = rows.withColumn("__taint", text.tainted_lines(F.col("__lines"), paths.taint_language(F.col("path"))))
-    found = rows.select("path", F.explode(F.flatten(F.array(*[_found(r) for r in rules]))).alias("c"))
+        return files.limit(0).select("path", F.lit("").alias("slug"), F.lit(0).alias("line"), F.lit("").alias("label"), F.lit("").alias("snippet"))
+    sets = path_sets(rules)
+    found = prepared(files, rules).select("path", F.explode(F.flatten(F.array(*[_found(r, sets) for r in rules]))).alias("c"))
     return found.select("path", "c.slug", "c.line", "c.label", text.redact(F.col("c.snippet")).alias("snippet"))
 
 
@@ -150,11 +179,8 @@ def language_stats(files: DataFrame, found: DataFrame) -> DataFrame:
 def counted(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """(path, loc, candidates) of each file, counted where its row is: no shuffle."""
     rules = [r for r in rules if r.patterns]
-    rows = files.select("path", text.normalised(F.col("content")).alias("content"))
-    rows = rows.withColumn("__lines", text.lines(F.col("content")))
-    if any(r.require_taint_within for r in rules):
-        rows = rows.withColumn("__taint", text.tainted_lines(F.col("__lines"), paths.taint_language(F.col("path"))))
-    n = reduce(lambda a, b: a + b, [F.coalesce(F.size(_found(r)), F.lit(0)) for r in rules], F.lit(0))
+    rows, sets = prepared(files, rules), path_sets(rules)
+    n = reduce(lambda a, b: a + b, [F.coalesce(F.size(_found(r, sets)), F.lit(0)) for r in rules], F.lit(0))
     return rows.select("path", text.line_count(F.col("content")).cast("long").alias("loc"), n.cast("long").alias("candidates"))
 
 

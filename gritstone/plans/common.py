@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REDACTIONS
+from ..functions.paths import TAINT_LANGUAGES
+from ..functions.text import REDACTIONS, TAINT, TAINT_ANY
 from ..rules.load import PACKS, Rule, read_packs
 from ..rules.regex import glob_to_java
 from ..sources.tables import spread
@@ -74,14 +75,25 @@ def candidates_sql(rules: list[Rule]) -> str:
         where = " AND ".join([*[f"({g})" for g in globs], *[f"regexp_matches(content, {q(p)})" for p in r.require_content], *[f"NOT regexp_matches(path, {q(p)})" for p in r.exclude_path_patterns]]) or "true"
         for p in r.patterns:
             keep = " AND ".join(f"NOT regexp_matches(snippet, {q(s)})" for s in r.suppress_patterns) or "true"
+            if r.require_taint_within:
+                keep += f" AND EXISTS (SELECT 1 FROM tainted t WHERE t.path = hit.path AND abs(t.n - hit.line) <= {r.require_taint_within})"
             parts.append(
                 f"""SELECT DISTINCT path, {q(r.slug)} AS slug, line, {q(r.label or p)} AS label, {redact_sql('snippet')} AS snippet FROM (
   SELECT path, line, array_to_string(string_split(content, chr(10))[greatest(line - {r.snippet_before}, 1):line + {r.snippet_after}], chr(10)) AS snippet
-  FROM ({hits_sql(p, where)})) WHERE {keep}"""
+  FROM ({hits_sql(p, where)})) hit WHERE {keep}"""
             )
     return "candidates AS (" + "\nUNION\n".join(parts) + ")"
 
 
+def tainted_sql() -> str:
+    """tainted (path, n): the lines of files that bring input in, by the patterns of the file's language."""
+    ext = {e: name for name, exts in TAINT_LANGUAGES.items() for e in exts}
+    one = lambda patterns: f"regexp_matches(t, {q('|'.join(f'(?:{p})' for p in patterns))})"
+    by = " ".join(f"WHEN {q(e)} THEN {one(TAINT[name])}" for e, name in ext.items())
+    return f"""tainted AS (SELECT path, n FROM (SELECT path, lower(regexp_extract(path, '[.]([^./]*)$', 1)) AS x, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files)
+WHERE CASE x {by} ELSE {one(TAINT_ANY)} END)"""
+
+
 def batches_sql(most: int) -> str:
     """batched (path, batch_id): whole packing of directories into batches, chunk by chunk."""
     return f"""{FILES}, c AS (SELECT path, dir, (row_number() OVER (PARTITION BY dir ORDER BY path) - 1) // {most} AS chunk FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files)),

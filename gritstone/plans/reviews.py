@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, investigate, report, review, scan
 from ..rules.load import Rule, TreePattern, read_packs
 from ..sources import git, sinks
-from .common import FILES, FINDINGS, HISTORY, candidates_sql, files, findings, history, query, table
+from .common import FILES, FINDINGS, HISTORY, candidates_sql, files, findings, history, q, query, table, tainted_sql
 
 CLOSEST = """f AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_quantity::INT) AS finding_id, l_linenumber % 3 AS task_id, l_partkey % 50 AS file, l_quantity::INT * 6 + l_orderkey % 5 AS line FROM lineitem),
 a AS (SELECT o_orderkey % 3 AS task_id, o_custkey % 49 AS file, o_orderkey AS ord, 'a' || o_orderkey AS answer_id, o_orderkey % 300 AS low, o_orderkey % 300 + o_custkey % 9 AS high FROM orders)"""
@@ -124,15 +124,35 @@ def both_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return scan.candidates(made, BOTH).unionByName(audit.tree_candidates(made, BOTH)).select("path", "label", "line")
 
 
-PLAIN_RULES = [r for r in read_packs() if r.patterns and not r.require_taint_within and not r.tree_patterns]
+PLAIN_RULES = [r for r in read_packs() if r.patterns and not r.tree_patterns]
+TAINT_RULES = [r for r in PLAIN_RULES if r.require_taint_within]
 
 
-@query(f"WITH {FILES}, {candidates_sql(PLAIN_RULES)} SELECT path, slug, line, label, snippet FROM candidates")
+@query(f"WITH {FILES}, {tainted_sql()}, {candidates_sql(PLAIN_RULES)} SELECT path, slug, line, label, snippet FROM candidates")
 def scan_all_packs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every rule of the packs that needs no taint, over all documents as files."""
+    """Every rule of the packs but tree rules, over all documents as files."""
     return scan.candidates(files(spark, sf), PLAIN_RULES)
 
 
+#: By extension: lines that bring input in, and lines that use something.
+SOURCES = {"py": "q = input()", "go": "q := r.URL.Query()", "ts": "const q = req.query.x", "rs": "let q = env::var(k);", "js": "q = process.argv"}
+SINKS = {"py": ["os.system(q)", "requests.get(q)", "open(q)"], "go": ["os.ReadFile(q)", "http.ServeFile(w, q)", "x()"], "ts": ["res.redirect(q)", "fetch(q)", "new RegExp(q)"], "rs": ["x()"] * 3, "js": ["readFile(q)", "location.href", "x()"]}
+#: documents as source files of five languages: a text's lines stand between an input and a use, so they are near or not.
+CODE = f"""files AS (SELECT 'f' || doc_id || '.' || x AS path, source || chr(10) || replace(text, chr(13) || chr(10), chr(10)) || chr(10) || sink[1 + doc_id % 3] || chr(10) AS content FROM (SELECT *, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(SOURCES))} END AS x,
+  CASE doc_id % 5 {' '.join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(SOURCES.values()))} END AS source, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN [{', '.join(map(q, x))}]" for i, x in enumerate(SINKS.values()))} END AS sink FROM (SELECT doc_id, text FROM documents)))"""
+
+
+@query(f"WITH {CODE}, {tainted_sql()}, {candidates_sql(TAINT_RULES)} SELECT path, slug, line, label, md5(snippet) AS snippet FROM candidates")
+def taint_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The packs' rules that need input nearby, by the patterns of each language."""
+    k = (F.col("doc_id") % 5).cast("int")
+    pick = lambda values: F.get(F.array(*values), k)
+    sink = F.get(pick([F.array(*map(F.lit, x)) for x in SINKS.values()]), (F.col("doc_id") % 3).cast("int"))
+    content = F.concat(pick(map(F.lit, SOURCES.values())), F.lit("\n"), F.col("text"), F.lit("\n"), sink, F.lit("\n"))
+    made = table(spark, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), pick(map(F.lit, SOURCES))).alias("path"), content.alias("content"))
+    return scan.candidates(made, TAINT_RULES).withColumn("snippet", F.md5("snippet"))
+
+
 @query(f"WITH {HISTORY} SELECT event_id FROM (SELECT event_id, coalesce(sum(cost::DECIMAL(18, 4)) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM history) WHERE spent < 5000")
 def budget_global_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     h = history(spark, sf).withColumn("cost", F.col("cost").cast("decimal(18,4)"))

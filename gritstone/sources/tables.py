@@ -6,7 +6,7 @@ import re
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -146,15 +146,24 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """Recorded replies, one a line, in order: (position, batch_paths, output as JSON). Key case does not matter; a
     malformed line is an error, a blank one is skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
+    where = ["_metadata.file_path", "_metadata.file_block_start"]
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col(where[0]).alias("file"), F.col(where[1]).alias("at"), F.monotonically_increasing_id().alias("m"))
+    # lines are counted within the blocks in which the file is read, and the blocks before them once for each block
+    inside = Window.partitionBy("file", "at").orderBy("m")
+    told = F.when(F.trim("value") != "", 1).otherwise(0)
+    lines = raw.withColumn("n", F.row_number().over(inside)).withColumn("k", F.sum(told).over(inside))
+    blocks = raw.groupBy("file", "at").agg(F.count("*").alias("n"), F.sum(told).alias("k"))
+    earlier = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a block
+    blocks = blocks.select("file", "at", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c, w in (("n", earlier.partitionBy("file")), ("k", earlier))])
+    rows = lines.where(F.trim("value") != "").join(blocks, ["file", "at"])
+    rows = rows.select((F.col("n") + F.col("before_n")).alias("n"), (F.col("k") + F.col("before_k") - 1).cast("long").alias("position"), F.col("value").alias("line"))
     keys = F.json_object_keys("line")
     find = lambda name: F.filter(keys, lambda k: F.lower(k) == name)[0]
-    rows = raw.select("n", F.when(keys.isNull(), F.raise_error(F.concat(F.lit(f"{path}:"), (F.col("n") + 1).cast("string")))).otherwise(F.col("line")).alias("line"))
+    line = F.when(keys.isNull(), F.raise_error(F.concat(F.lit(f"{path}:"), F.col("n").cast("string")))).otherwise(F.col("line"))
+    rows = rows.select("position", line.alias("line"))
     m = F.from_json("line", "map<string,string>")
-    rows = rows.select("n", F.try_element_at(m, find("batchpaths")).alias("p"), F.try_element_at(m, find("output")).alias("output"))
-    from pyspark.sql import Window
-
-    return rows.select((F.row_number().over(Window.orderBy("n")) - 1).alias("position"), F.from_json("p", "array<string>").alias("batch_paths"), "output")
+    return rows.select("position", F.from_json(F.try_element_at(m, find("batchpaths")), "array<string>").alias("batch_paths"), F.try_element_at(m, find("output")).alias("output"))
 
 
 def read_findings_csv(spark: SparkSession, path: str) -> DataFrame:

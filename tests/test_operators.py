@@ -100,6 +100,25 @@ def test_replies(spark, tmp_path):
         investigate.replay(batched.where("path <> 'a'"), rows).collect()
 
 
+def test_replies_over_many_splits(spark, tmp_path):
+    """A long file is read in parts; positions and the lines of errors are those of the whole file."""
+    rows = [json.dumps({"batchPaths": [f"f{i}"], "output": "x" * (i % 90)}) for i in range(500)]
+    lines = [x for i, r in enumerate(rows) for x in ([r] if i % 7 else ["", r, "  "])]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = tables.read_replies(spark, str(tmp_path / "r.jsonl"))
+        assert spark.read.text(str(tmp_path / "r.jsonl")).rdd.getNumPartitions() > 5
+        assert [(r.position, r.batch_paths) for r in got.orderBy("position").collect()] == [(i, [f"f{i}"]) for i in range(500)]
+        at = lines.index(rows[400])
+        (tmp_path / "bad.jsonl").write_text("\n".join([*lines[:at], "{broken", *lines[at:]]))
+        with pytest.raises(Exception, match=rf"bad.jsonl:{at + 1}\b"):
+            tables.read_replies(spark, str(tmp_path / "bad.jsonl")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @pytest.mark.parametrize("sizes, want", [([2, 2, 7, 1], [0, 0, 1, 1, 2, 2, 2, 3, 3, 3, 4, 5]), ([1, 1, 1], [0, 0, 0])])
 def test_batches(spark, sizes, want):
     rows = [(f"d{d}/{i}",) for d, n in enumerate(sizes) for i in range(n)]
@@ -332,9 +351,12 @@ def test_patch_scope_and_cases(spark):
     assert all(r.ok for r in checked.collect())
 
 
-def test_batches_over_many_ranges(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_batches_over_many_ranges(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(investigate, "BLOCK", block)
+
     rnd = random.Random(4)
     rows = [(f"d{d:04d}/{i}",) for d in range(400) for i in range(rnd.choice([1, 1, 2, 3, 7, 12]))]
     most = 5

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gritstone.rules import literals
 from gritstone.rules.load import Gate, Rule, frame, lint, override, pack_hash, read_packs, rule_of, select
 from gritstone.rules.regex import UnsupportedPattern, glob_to_java, to_java
 
@@ -51,3 +52,37 @@ def test_defaults_overrides_and_hash():
     assert [r.patterns for r in override([a, b], [newer])] == [["z"], ["y"]]
     assert [r.slug for r in select([a, b], only=["b", "a"], exclude=["a"])] == ["b"]
     assert pack_hash([a, b]) == pack_hash([b, a]) != pack_hash([newer, b])
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [
+        (r"\beval\s*\(", {("eval", False)}), (r"(?i)\bPassword\b", {("password", False), ("password", True)}), (r"(?:alpha|beta)x", {("alpha", False), ("beta", False)}), (r"(?:alpha|b)", None), (r"a{1,3}bcd?", None), (r"(?:exec){2}", {("exec", False)}),
+        (r"(?:exec)?(", None), (r"[Tt]oken", {("oken", False)}), (r"(?i:KEY)=value", {("=value", False)}), (r"str(?:cpy|cat)\(", {("strc", False)}), (r"\d+", None), (r"(?P<n>named)", {("named", False)}), (r"ab", None), (r"(?i)stra\x{DF}e", None),
+    ],
+)
+def test_literals_that_a_pattern_needs(pattern, want):
+    found = literals.needed(pattern)
+    if want is None:
+        assert found is None
+    else:
+        assert found and found <= want
+
+
+def test_literals_lose_no_match(spark):
+    """Texts in which letters stand in other cases, as long s or Kelvin sign, or beside each other, with and without the index."""
+    from gritstone.operators import scan
+
+    rules = [Rule(f"r{i}", patterns=[p], snippet_before=0, snippet_after=0) for i, p in enumerate([r"(?i)\bsecret_key\b", r"pass(?:word|wd)", r"(?i)token|(?:api){2}", r"x(?i:mask)y", r"(?i)stra(?:ss|ß)e"])]
+    texts = ["ſecret_Key SECRET_KEY", "passwd password PASSWORD", "TOKEN apiapi APIapi toKen", "xMaſKy XMASKY xmasky", "STRASSE straße ſtrasse", "", None, "nothing"]
+    files = spark.createDataFrame([(f"f{i}", t and t.replace(" ", "\n")) for i, t in enumerate(texts)], "path string, content string")
+
+    def hits():
+        return sorted((r.path, r.slug, r.line) for r in scan.candidates(files, rules).collect())
+
+    with_index = hits()
+    real, scan.needed = scan.needed, lambda p: None
+    try:
+        assert hits() == with_index and len(with_index) >= 9
+    finally:
+        scan.needed = real
