@@ -145,14 +145,24 @@ def test_secrets(docs, none):
 
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, "here AGAIN"), (2, None), (3, "..."), (4, LONG), (5, "same text here again"), (None, "one")], "item_id long, text string")
-    for block in (200_000, 3):
-        got = by(decontaminate.mark_contamination(docs, bench, block_words=block).collect())
+    tagged = docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))  # a column that cannot be compared
+    for most in (200_000, 3):
+        got = by(decontaminate.mark_contamination(tagged, bench, broadcast_words=most).collect())
         assert sum(map(len, got.values())) == len(ROWS)
         assert got[7][0]["items"] == ["1", "5"] and got[7][0].n_hit == 4 and got[4][0].n_hit == 60_000 and got[5][0]["items"] == [""] and got[1][0].n_words == 0
-    assert decontaminate.mark_contamination(none, bench).count() == 0
+        assert decontaminate.mark_contamination(none, bench, broadcast_words=most).count() == 0
     assert {r.n_hit for r in decontaminate.mark_contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_a_large_benchmark_is_searched_by_probes(spark, sf):
+    """Both plans over the whole table agree, with items of many lengths."""
+    rows, bench = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    short = bench.select((F.col("item_id") + 100_000).alias("item_id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 12 + 1).cast("int")), " ").alias("text"))
+    both = bench.select("item_id", "text").unionByName(short.select(F.col("item_id"), "text"))
+    a, b = (sorted(map(str, decontaminate.mark_contamination(rows, both, broadcast_words=most).select("doc_id", "n_words", "n_hit", "items", "hits").collect())) for most in (1 << 40, 0))
+    assert a == b and len([x for x in a if "n_hit=0" not in x]) > 10
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)] + [(4, 0), (None, 1)], "doc_id long, quality int")
     got = by(quality.score_quality(docs, labels).collect())
