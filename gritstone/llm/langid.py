@@ -81,6 +81,8 @@ def identify(pages: DataFrame, model: Model) -> DataFrame:
     Any column may be null: a null text has no likelihood, null markup or suffix is a value of its own, rows with a null
     host share one host. The host's domain is its last two labels. `markup` is compared by its first two letters,
     lower-cased. Ties go to the language that sorts first. Repeated rows are judged each and count each for their host.
+    Empty and blank texts have no trigrams and are judged by the other evidence. Very long texts are read whole, in pieces.
+    An empty table gives an empty one. Further columns are not looked at, whatever their names.
     """
     prepare(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -134,8 +134,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard_byt
     """Write every row's payload to shards: the rows (id_col, n_bytes, digest), and the index (digest, shard, offset,
     length) with one place for each digest.
 
-    Null texts are empty and stored as one row of blanks. Equal texts are led to one place. Null and repeated ids are
-    kept. Extra columns are ignored. An empty table makes no shards.
+    Null texts are empty and stored as one row of blanks, as blank texts are. Equal texts are led to one place, so ties and
+    repeated rows share it. Null and repeated ids are kept. Very long texts are stored whole, as higher images; a shard ends
+    behind the medium that fills it. Extra columns are ignored, whatever their names. An empty table makes no shards.
     """
     spark = docs.sparkSession
     prepare(spark)

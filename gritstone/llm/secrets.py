@@ -85,8 +85,10 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     """The findings of every row of `docs` (id_col and the columns of FINDINGS), and the ledger after the scan
     (blob, rules and FINDINGS). `ledger`: what earlier scans returned; pairs in it are not scanned.
 
-    Null texts count as the empty blob. Rows with one id may hold different versions. Null ids are kept. Extra columns
-    are ignored. Texts are shuffled once, by id and blob, and those that stand for no unseen blob end there; where no blob
+    Null texts count as the empty blob, which has no findings, nor have blank ones. Rows with one id may hold different
+    versions; repeated rows have the same findings each. Null ids are kept. Very long texts are scanned whole. Of spans that
+    begin at one place all are listed, those of the kind that is listed first being the first. An empty table gives an
+    empty one and adds nothing to the ledger. Extra columns are ignored. Texts are shuffled once, by id and blob, and those that stand for no unseen blob end there; where no blob
     is unseen no text is read but for its name.
     """
     prepare(docs.sparkSession)

@@ -370,3 +370,80 @@ def test_op2_is_the_plain_posterior(spark, sf, docs):
         assert got[k].confidence == pytest.approx(1 / sum(math.exp(x - best) for x in fused), abs=1e-4), k
         if sorted(fused)[-1] - sorted(fused)[-2] > 1e-6:
             assert got[k].lang == langs[fused.index(best)], k
+
+
+def test_op10_media_are_plain_images(spark, sf, docs):
+    """Every stored medium by a tar reader and a PNG reader of this test, and the features by plain sums."""
+    import io
+    import struct
+    import tarfile
+
+    from gritstone.llm import media
+
+    found, index = media.store(spark.read.parquet(f"{sf}/documents.parquet"))
+    digest = {r.digest: r.doc_id for r in found.collect()}
+    got = {r.digest: r for r in media.read_back(index).collect()}
+    assert set(got) == set(digest)
+    members = {}
+    for shard in {r["shard"] for r in index.collect()}:
+        raw = open(shard.removeprefix("file://"), "rb").read()
+        with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
+            for m in tar:
+                members[m.name.rpartition("/")[2].removesuffix(".png")] = tar.extractfile(m).read()
+    assert set(members) == set(got)
+    for k, i in digest.items():
+        png, r = members[k], got[k]
+        assert (r.media_bytes, r.media_sha256) == (len(png), sha(png)) and png[:8] == b"\x89PNG\r\n\x1a\n"
+        at, data, size = 8, b"", None
+        while at < len(png):
+            n, kind = struct.unpack(">I4s", png[at : at + 8])
+            body = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + body) == struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]
+            size = struct.unpack(">II", body[:8]) if kind == b"IHDR" else size
+            data += body if kind == b"IDAT" else b""
+            at += 12 + n
+        rows_ = zlib.decompress(data)
+        lines = [rows_[j : j + 193] for j in range(0, len(rows_), 193)]
+        assert size == (192, len(lines)) and all(x[0] == 0 for x in lines) and sha(b"".join(x[1:] for x in lines)) == r.payload_sha256 == k
+        if i % 5 == 0:
+            x = [list(v[1:]) for v in lines]
+            n = sum(map(len, x))
+            mean = sum(map(sum, x)) / n
+            spread = max(0.0, sum(v * v for a in x for v in a) / n - mean * mean) ** 0.5
+            step = sum(abs(a - b) for v in x for a, b in zip(v, v[1:])) / n
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(v for a in x for v in a).values())
+            head, *stated = r.feature.split(";")
+            assert head == f"192x{len(x)}"
+            for text, want in zip(stated, (mean, spread, step, entropy)):
+                assert float(text.partition("=")[2]) == pytest.approx(want, abs=1.1e-3)
+
+
+def test_op5_added_kinds_are_plain_searches(spark, sf, docs):
+    got = rows(spark, sf, "op5_secret_scan")
+    plain = {
+        "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "forge_token": r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}", "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    }
+    extra = {i: {f"{k}:{m.start()}:{m.end()}" for k, p in plain.items() for m in re.finditer(p, d.text or "")} for i, d in docs.items()}
+    for i, want in extra.items():
+        have = {x for x in got[i].spans.split(",") if x.split(":")[0] in plain}
+        assert have == want, i
+    # and on texts that hold all of them
+    from gritstone.llm import secrets
+
+    text = "é -----BEGIN RSA PRIVATE KEY-----\n ghp_" + "a" * 36 + " glpat-" + "b" * 20 + " xoxb-" + "1" * 10 + " eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8
+    spans = secrets.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first().spans.split(",")
+    want = {f"{k}:{m.start()}:{m.end()}" for k, p in plain.items() for m in re.finditer(p, text)}
+    assert want <= set(spans) and len(want) == 5
+
+
+def test_op2_on_long_texts_and_clashing_names(spark):
+    from gritstone.llm import langid
+
+    train = spark.createDataFrame([(1, "the cat and the dog " * 50, "en"), (2, "der Hund und die Katze " * 50, "de")], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    long = "der Hund und die Katze " * 120_000
+    rows_ = [("a", long, None, None, None), ("b", "the dog", "h.example", "en-GB", "example"), ("c", None, None, "de", None), ("d", "", "h.example", None, None), ("d", " \n", "h.example", None, None)]
+    pages = spark.createDataFrame(rows_, "id string, text string, host string, markup string, suffix string").selectExpr("*", "1 as ll", "'x' as prior", "2 as domain", "3 as n0", "4 as lang", "5 as post")
+    got = langid.identify(pages, model).collect()
+    assert sorted(r.id for r in got) == ["a", "b", "c", "d", "d"] and {r.id: r.lang for r in got if r.id in "ab"} == {"a": "de", "b": "en"}
+    assert langid.identify(pages.limit(0), model).count() == 0
