@@ -170,8 +170,8 @@ def row_key(id_col: Column, sha: Column) -> Column:
 
 
 #: A group is compared if at most OTHERS of its texts are outside its largest class; a larger one is divided by BRANCHES
-#: of each text's shingles, chosen from the SAMPLE of its shingles with the least hashes.
-OTHERS, BRANCHES, SAMPLE = 8, 4, 64
+#: of each text's shingles, chosen from one of the SLICES of the SAMPLE of its shingles with the least hashes.
+OTHERS, BRANCHES, SAMPLE, SLICES = 8, 4, 64, 10
 
 
 def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, branches: int = BRANCHES) -> DataFrame:
@@ -179,8 +179,8 @@ def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, b
     root, top, shared, size); `top` is that class.
 
     `members`: (key, node, root, shared, size); keys that differ in their last BITS bits only are one group where it has
-    to be divided. Of each text's `samples` (node, sample) those shingles count that two texts of the group have, but not
-    more than half of them, so what all the group's texts share does not keep them together. A text goes into the groups
+    to be divided. Of each text's `samples` (node, sample) a slice is looked at, another one for each group, and of that
+    those shingles count that two texts of the group have, but not more than half of them, so what all the group's texts share does not keep them together. A text goes into the groups
     of `branches` such shingles, the least under as many orders; similar texts choose alike, and what they choose in
     several bands is one group. From then on each division at least halves a group.
     """
@@ -199,7 +199,8 @@ def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, b
             rows = rows.withColumn("key", F.shiftright("key", BITS)).select("key", "node", "root", "shared", "size").distinct()
             rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
         rows = staged(rows, "large-groups")
-        opened = rows.join(samples, "node").select("key", "node", "n", F.explode("sample").alias("s"))
+        mine = F.pmod(F.xxhash64("key"), F.lit(SLICES))
+        opened = rows.join(samples, "node").select("key", "node", "n", F.explode(F.filter("sample", lambda s: F.pmod(s, F.lit(SLICES)) == mine)).alias("s"))
         df = opened.groupBy("key", "s").agg(F.count("*").alias("df"), F.first("n").alias("n")).where("df > 1 and 2 * df <= n").select("key", "s")
         orders = [F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("h"), "s")).alias(f"o{i}") for i in range(branches)]
         picked = opened.join(df, ["key", "s"]).groupBy("key", "node").agg(*orders)
