@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked, running
+from .ordered import checkpoints, ranked, running
 from ..schemas import SEVERITY, severity_rank
 
 CLEARED = ("false-positive", "fixed")
@@ -121,8 +121,9 @@ def since(history: DataFrame, span: str, at: str = "investigatedAt", now: Column
 
 def spend_rows(costs: DataFrame, key: Column) -> DataFrame:
     """(key, usd, pct, rank) of entries (cost): each key's share of all, the dearest first."""
-    rows = costs.where("cost is not null").groupBy(key.alias("key")).agg(F.sum("cost").alias("usd"))
-    all_usd = costs.agg(F.sum("cost")).first()[0] or 0.0
+    checkpoints(costs.sparkSession)
+    rows = costs.where("cost is not null").groupBy(key.alias("key")).agg(F.sum("cost").alias("usd")).checkpoint()
+    all_usd = rows.agg(F.sum("usd")).first()[0] or 0.0
     rows = rows.withColumn("pct", F.col("usd") / all_usd * 100 if all_usd > 0 else F.lit(0.0))
     return ranked(rows, F.desc("usd"), "key")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, investigate, report, review, scan
-from ..rules.load import Rule, TreePattern, read_packs
+from ..operators import audit, gates, investigate, report, review, scan
+from ..rules.load import Rule, TreePattern, frame, patched, read_packs, rules_of
 from ..sources import git, sinks
-from .common import FILES, FINDINGS, HISTORY, candidates_sql, files, findings, history, q, query, table, tainted_sql
+from .common import FILES, FINDINGS, HISTORY, candidates_sql, corpus_rules, files, findings, history, q, query, table, tainted_sql
+from .scores import BEFORE_AFTER, GATE
 
 CLOSEST = """f AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_quantity::INT) AS finding_id, l_linenumber % 3 AS task_id, l_partkey % 50 AS file, l_quantity::INT * 6 + l_orderkey % 5 AS line FROM lineitem),
 a AS (SELECT o_orderkey % 3 AS task_id, o_custkey % 49 AS file, o_orderkey AS ord, 'a' || o_orderkey AS answer_id, o_orderkey % 300 AS low, o_orderkey % 300 + o_custkey % 9 AS high FROM orders)"""
@@ -157,3 +160,46 @@ def taint_rules(spark: SparkSession, sf: str) -> DataFrame:
 def budget_global_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     h = history(spark, sf).withColumn("cost", F.col("cost").cast("decimal(18,4)"))
     return report.running_budget(h, 5000, ["ts", "event_id"]).select("event_id")
+
+
+#: Patches of the rules for texts: (slug, decision, values); the last takes most of another rule's candidates away.
+PATCHES = [("symbol-noise", "suppress_pattern", [r"\*\*\*"]), ("shouting-run", "file_patterns", ["**/*.ts", "**/*.py"]), ("symbol-noise", "suppress_pattern", ["(?i)license"]), ("shouting-run", "file_patterns", ["**/*.go", "**/*.ts"]), ("pipe-table", "require_content", ["qq"])]
+_AFTER = {"symbol-noise": {"suppress_patterns": ["(?i)license", r"\*\*\*"]}, "shouting-run": {"file_patterns": ["**/*.go", "**/*.ts"]}, "pipe-table": {"require_content": ["qq"]}}
+PATCHED = [replace(r, **_AFTER.get(r.slug, {})) for r in corpus_rules()]
+
+
+def _patch_side(name: str, rules: list[Rule]) -> str:
+    """A side of the gate: candidates in documents of low quality are right, all others are false alarms."""
+    found = candidates_sql(rules).replace("candidates AS", f"c{name} AS", 1)
+    return f"""{found}, s{name} AS (SELECT slug, doc_id, quality, toxic FROM c{name} LEFT JOIN labels ON doc_id = regexp_extract(path, '/([0-9]+)[.]', 1)::BIGINT),
+{name} AS (SELECT slug, count(*) AS candidates, count(*) FILTER (WHERE quality = 0) AS tp, count(*) FILTER (WHERE quality IS DISTINCT FROM 0) AS fp, (SELECT count(*) FROM labels WHERE quality = 0) - count(DISTINCT doc_id) FILTER (WHERE quality = 0) AS fn, (SELECT count(*) FROM labels WHERE quality = 0 AND toxic = 1) - count(DISTINCT doc_id) FILTER (WHERE quality = 0 AND toxic = 1) AS high_fn FROM s{name} GROUP BY slug)"""
+
+
+PATCH_SIDES = f"{FILES}, {_patch_side('b', corpus_rules())}, {_patch_side('a', PATCHED)}"
+
+
+def _patch_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Scores before and after; the rules are patched as a table."""
+    labels, rules = table(spark, sf, "labels"), corpus_rules()
+    patches = spark.createDataFrame([(i, *p) for i, p in enumerate(PATCHES)], "ord int, slug string, decision string, values array<string>")
+    low = F.col("quality") == 0
+    high = low & (F.col("toxic") == 1)
+    bad = labels.agg(F.count_if(low).alias("n"), F.count_if(high).alias("high")).first()
+
+    def side(own: list[Rule]) -> DataFrame:
+        found = scan.candidates(files(spark, sf), own).select("slug", F.regexp_extract("path", "/([0-9]+)[.]", 1).cast("long").alias("doc_id")).join(labels, "doc_id", "left")
+        missed = [(F.lit(n) - F.count_distinct(F.when(which, F.col("doc_id")))).alias(name) for name, n, which in (("fn", bad.n, low), ("high_fn", bad.high, high))]
+        return found.groupBy("slug").agg(F.count("*").alias("candidates"), F.count_if(low).alias("tp"), F.count_if(~F.coalesce(low, F.lit(False))).alias("fp"), *missed)
+
+    return side(rules), side(rules_of(patched(frame(spark, rules), patches), rules))
+
+
+@query(GATE.replace(f"WITH {BEFORE_AFTER}", f"WITH {PATCH_SIDES}").replace("'R1'", "'symbol-noise'"))
+def patched_rule_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules are patched, scanned before and after, scored against the labels, and judged by the gate."""
+    return gates.precision_gate(*_patch_sides(spark, sf), "symbol-noise")
+
+
+@query(f"WITH {PATCH_SIDES} SELECT coalesce(a.slug, b.slug) AS slug, {', '.join(f'coalesce({x}.{c}, 0)::BIGINT AS {c}_{x}' for x in 'ba' for c in ('candidates', 'tp', 'fp', 'fn'))} FROM a FULL JOIN b ON a.slug = b.slug")
+def patched_rule_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.deltas(*_patch_sides(spark, sf)).select("slug", *[f"{c}_{x}" for x in "ba" for c in ("candidates", "tp", "fp", "fn")])

@@ -6,10 +6,11 @@ import hashlib
 import json
 import tomllib
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .regex import UnsupportedPattern, glob_to_java, to_java
 
@@ -119,6 +120,35 @@ def frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     )
 
 
+#: What a decision about a rule changes: the field of its row, and whether values are added or replace what is there.
+DECISIONS = {"suppress_pattern": ("suppress_patterns", "add"), "require_content": ("require_content", "add"), "file_patterns": ("file_patterns", "replace"), "requires_tech": ("tech", "add")}
+
+
+def patched(rules: DataFrame, patches: DataFrame) -> DataFrame:
+    """`rules` (of frame()) after patches (ord, slug, decision, values) of DECISIONS, in order. Values that a rule has are
+    not added again; of several that replace the last counts; null and empty values change nothing. A patch of an unknown
+    decision, or of a rule that is not there, is an error."""
+    unknown = F.raise_error(F.concat(F.lit("cannot apply a patch to "), F.coalesce("slug", F.lit("?")), F.lit(": "), F.coalesce("decision", F.lit("?")))).cast("string")
+    known = patches.join(rules.select("slug", F.lit(True).alias("__rule")), "slug", "left")
+    known = known.withColumn("decision", F.when(F.col("__rule") & F.col("decision").isin(*DECISIONS), F.col("decision")).otherwise(unknown)).where(F.size("values") > 0)
+    per = lambda d: F.array_sort(F.collect_list(F.when(F.col("decision") == d, F.struct("ord", "values"))))
+    by = known.groupBy("slug").agg(*[F.transform(per(d), lambda x: x["values"]).alias(f"__{d}") for d in DECISIONS])
+    out = rules.join(by, "slug", "left")
+    for decision, (field, how) in DECISIONS.items():
+        told = F.coalesce(f"__{decision}", F.array().cast("array<array<string>>"))
+        more = F.array_except(F.flatten(told), F.col(field))
+        out = out.withColumn(field, F.concat(field, more) if how == "add" else F.coalesce(F.try_element_at(told, F.lit(-1)), F.col(field)))
+    return out.select(rules.columns)
+
+
+def rules_of(table: DataFrame, originals: list[Rule]) -> list[Rule]:
+    """The rules of a table like frame()'s, checked again; what a row does not have is the original's."""
+    have = {r.slug: r for r in originals}
+    rows = [r.asDict() for r in table.orderBy("ord").collect()]  # a row a rule
+    gate = ("tech", "sentinel_files", "sentinel_contains")
+    return [replace(have[r["slug"]], **{k: v for k, v in r.items() if k in Rule.__dataclass_fields__}, requires=Gate(*[r[k] for k in gate])).check() for r in rows]
+
+
 def lint(rows: list[dict]) -> list[tuple[str, str]]:
     """(slug, problem) of raw rule tables: what would not load, repeated slugs, noisy rules without a gate, globs that
     take every file, patterns that can match nothing."""

@@ -86,3 +86,19 @@ def test_literals_lose_no_match(spark):
         assert hits() == with_index and len(with_index) >= 9
     finally:
         scan.needed = real
+
+
+def test_patches_of_the_rule_table(spark):
+    from gritstone.rules.load import patched, rules_of
+
+    rules = [Rule("a", patterns=["x"], suppress_patterns=["s"], file_patterns=["*.py"]), Rule("b", patterns=["y"], requires=Gate(tech=["go"]))]
+    schema = "ord int, slug string, decision string, values array<string>"
+    rows = [(0, "a", "suppress_pattern", ["t"]), (1, "a", "suppress_pattern", ["s", "u"]), (2, "a", "file_patterns", ["*.go"]), (3, "a", "file_patterns", ["*.rs"]), (4, "b", "requires_tech", ["go", "gin"]), (5, "b", "require_content", ["need"]), (6, "b", "file_patterns", [])]
+    got = {r.slug: r for r in rules_of(patched(frame(spark, rules), spark.createDataFrame(rows, schema)), rules)}
+    assert got["a"].suppress_patterns == ["s", "t", "u"] and got["a"].file_patterns == ["*.rs"] and got["a"].patterns == ["x"]
+    assert got["b"].requires.tech == ["go", "gin"] and got["b"].require_content == ["need"] and got["b"].file_patterns == []
+    for bad in ((0, "none", "file_patterns", ["*"]), (0, "a", "delete", ["x"])):
+        with pytest.raises(Exception, match="cannot apply a patch"):
+            patched(frame(spark, rules), spark.createDataFrame([bad], schema)).collect()
+    with pytest.raises(ValueError):
+        rules_of(patched(frame(spark, rules), spark.createDataFrame([(0, "a", "suppress_pattern", [r"\C"])], schema)), rules)
