@@ -203,3 +203,20 @@ def patched_rule_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PATCH_SIDES} SELECT coalesce(a.slug, b.slug) AS slug, {', '.join(f'coalesce({x}.{c}, 0)::BIGINT AS {c}_{x}' for x in 'ba' for c in ('candidates', 'tp', 'fp', 'fn'))} FROM a FULL JOIN b ON a.slug = b.slug")
 def patched_rule_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return gates.deltas(*_patch_sides(spark, sf)).select("slug", *[f"{c}_{x}" for x in "ba" for c in ("candidates", "tp", "fp", "fn")])
+
+
+#: What a prompt says of technologies and of rules, by their names.
+HINTS = {"go": "Handlers take a request and a writer.", "react": "Text is escaped unless it is told not to be.", "rails": "Parameters are filtered by permit."}
+NOTES = {"credential-assignment": "Test values are no findings.", "contact-address": "Addresses of roles are harmless.", "pipe-table": "Tables are data.", "unused-rule": "Nothing."}
+_HEAD = "\n".join(f"- {HINTS[t]}" for t in ("rails", "go"))
+
+
+@query(f"""WITH {FILES}, {candidates_sql(corpus_rules())}, b AS (SELECT path, regexp_extract(path, '/([0-9]+)[.]', 1)::BIGINT % 40 AS batch_id FROM files), n(slug, note) AS (VALUES {', '.join(f"({q(k)}, {q(v)})" for k, v in NOTES.items())}),
+s AS (SELECT DISTINCT batch_id, slug FROM b JOIN candidates USING (path)) SELECT b.batch_id, {q(_HEAD)} || chr(10) || coalesce(string_agg('- ' || s.slug || ': ' || note, chr(10) ORDER BY s.slug) FILTER (WHERE note IS NOT NULL), '') AS system FROM (SELECT DISTINCT batch_id FROM b) b LEFT JOIN s USING (batch_id) LEFT JOIN n USING (slug) GROUP BY b.batch_id""")
+def prompt_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """The heads of prompts: hints of the project's technologies, and the notes of the rules that have found something in a
+    batch. Batches are documents whose ids leave the same rest, as no packing is asked for here."""
+    own = files(spark, sf)
+    batched = own.withColumn("batch_id", F.regexp_extract("path", "/([0-9]+)[.]", 1).cast("long") % 40)
+    found = scan.candidates(own, corpus_rules()).select("path", "line", "slug", "label")
+    return investigate.prompt(batched, found, ["rails", "perl", "go"], HINTS, NOTES).select("batch_id", "system")
