@@ -17,6 +17,13 @@ def checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gritstone-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch where the session still has Spark's default, as rows with texts or blocks are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "500")
+
+
 def ranges(rows: DataFrame, *order: Column | str) -> DataFrame:
     """`rows` with `part`, the number of the sorted range that a row is in; written, so that the ranges stay."""
     checkpoints(rows.sparkSession)

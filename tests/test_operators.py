@@ -200,6 +200,23 @@ def test_bootstrap_gathers_no_values(spark):
     assert all(r.low < r.high for r in out.collect())
 
 
+def test_bootstrap_means_are_the_plain_ones(spark):
+    """Blocks and steps smaller than a key, null values and a null key; draws are not met one by one, so no join has them."""
+    import hashlib
+
+    values = {"a": [float(x * x % 23) for x in range(100)], "b": [1.0, None, 4.0], None: [2.0, 8.0], "c": [None]}
+    s = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "m string, o int, v double").repartition(3)
+    made = stats.bootstrap_means(s, "m", "v", "o", 20, "7", block=16, step=32)
+    assert "sequence(0, 19" not in made._jdf.queryExecution().toString()
+    got = {(r.m, r.b): r.mean for r in made.collect()}
+    for k, vs in values.items():
+        for b in range(20):
+            drawn = [vs[int(hashlib.md5(f"7|{b}|{i}".encode()).hexdigest()[:8], 16) % len(vs)] for i in range(len(vs))]
+            some = [x for x in drawn if x is not None]
+            assert got.pop((k, b)) == pytest.approx(sum(some) / len(vs) if some else None)
+    assert not got
+
+
 def test_precision_gate_reasons(spark):
     cols = "slug string, candidates long, tp long, fp long, fn long, high_fn long"
     before = spark.createDataFrame([("x", 10, 8, 2, 0, 0), ("y", 4, 4, 0, 0, 0)], cols)
