@@ -7,40 +7,44 @@ from pyspark.sql import functions as F
 
 from .score import rate
 
-#: Lines of a file in a stretch of the range join.
-STRETCH = 64
-
 
 def closest_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:
     """`findings` (task_id, file, finding_id, line) with `closest`: the answer (task_id, file, ord, answer_id, low, high) of
     the file whose range is nearest to the line, the first in order on ties; null where the file has none.
 
-    Ranges that end before the line and those that start after it are met in two sorted windows, so a file with many of
-    both costs a sort and not all pairs; only answers around the line are looked at one by one, by a range join.
+    What is closest depends on file and line only, so each line is looked at once, however many findings it has. Ranges
+    that end before the line and those that start after it are met in two sorted windows over distinct ends. A range
+    around the line is met by halves: it is cut into at most two stretches of each power of two, of each stretch only the
+    first answer is kept, and a line looks up the one stretch of each power that it is in. So many ranges over one line cost
+    a sort and not all pairs.
     """
     key = ["task_id", "file"]
-    f = findings.select(*key, F.col("finding_id"), F.col("line").cast("long").alias("line"))
+    f = findings.select(*key, F.col("line").cast("long").alias("line")).distinct()
     a = answers.select(*key, F.col("ord").cast("long").alias("ord"), "answer_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
-    # ranges meet the lines of the stretches that they cover
-    stretch = lambda c: F.floor(F.col(c) / STRETCH)
-    cover = a.withColumn("part", F.explode(F.sequence(stretch("low"), F.greatest(stretch("low"), stretch("high")))))
-    on = [F.col(f"f.{k}") == F.col(f"a.{k}") for k in (*key, "part")]
-    around = f.withColumn("part", stretch("line")).alias("f").join(cover.alias("a"), on[0] & on[1] & on[2] & F.col("f.line").between(F.col("a.low"), F.col("a.high")))
-    inside = around.groupBy("f.task_id", "f.file", "f.finding_id").agg(F.min(F.struct("a.ord", "a.answer_id")).alias("c"))
-    inside = inside.select("task_id", "file", "finding_id", F.struct(F.lit(0).cast("long").alias("dist"), "c.ord", "c.answer_id").alias("in_"))
-
-    def ends(at: str, kind: int) -> DataFrame:
-        each = a.groupBy(*key, F.col(at).alias("at")).agg(F.min(F.struct("ord", "answer_id")).alias("c"))
-        return each.select(*key, "at", F.lit(kind).alias("kind"), F.struct("at", "c.ord", "c.answer_id").alias("c"), F.lit(None).cast(f.schema["finding_id"].dataType).alias("finding_id"))
-
-    places = f.select(*key, F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends("high", 0).schema["c"].dataType).alias("c"), "finding_id")
+    first = lambda *by: a.groupBy(*key, *by).agg(F.min(F.struct("ord", "answer_id")).alias("c"))
+    # the stretches of 2^power lines that make up a range: at each power one at either end, where that end is odd
+    cut = first("low", "high").withColumn("power", F.explode(F.when(F.col("high") >= F.col("low"), F.sequence(F.lit(0), F.floor(F.log2(F.col("high") - F.col("low") + 1)).cast("int")))))
+    cut = cut.withColumns({"from": F.expr("-shiftright(-low, power)"), "to": F.expr("shiftright(high + 1, power)")}).where("from < to")
+    at = F.array(F.when(F.col("from").bitwiseAND(1) == 1, F.col("from")), F.when(F.col("to").bitwiseAND(1) == 1, F.col("to") - 1))
+    cover = cut.select(*key, "power", "c", F.explode(at).alias("part")).where("part is not null").groupBy(*key, "power", "part").agg(F.min("c").alias("c"))
+    powers = F.broadcast(cover.select("power").distinct())
+    around = f.crossJoin(powers).withColumn("part", F.expr("shiftright(line, power)")).join(cover, [*key, "power", "part"])
+    inside = around.groupBy(*key, "line").agg(F.min("c").alias("c"))
+    inside = inside.select(*key, "line", F.struct(F.lit(0).cast("long").alias("dist"), "c.ord", "c.answer_id").alias("in_"))
+
+    def ends(at: str) -> DataFrame:
+        return first(F.col(at).alias("at")).select(*key, "at", F.lit(0).alias("kind"), F.struct("at", "c.ord", "c.answer_id").alias("c"))
+
+    places = f.select(*key, F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends("high").schema["c"].dataType).alias("c"))
     group = Window.partitionBy(*key)
-    before = ends("high", 0).unionByName(places).withColumn("p", F.last("c", True).over(group.orderBy("at", "kind"))).where("kind = 1").select(*key, "finding_id", F.col("at").alias("line"), "p")
-    after = ends("low", 0).unionByName(places).withColumn("n", F.last("c", True).over(group.orderBy(F.desc("at"), "kind"))).where("kind = 1").select(*key, "finding_id", "n")
+    before = ends("high").unionByName(places).withColumn("p", F.last("c", True).over(group.orderBy("at", "kind"))).where("kind = 1").select(*key, F.col("at").alias("line"), "p")
+    after = ends("low").unionByName(places).withColumn("n", F.last("c", True).over(group.orderBy(F.desc("at"), "kind"))).where("kind = 1").select(*key, F.col("at").alias("line"), "n")
     near = lambda c, dist: F.when(F.col(c).isNotNull(), F.struct(dist.alias("dist"), F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.answer_id").alias("answer_id")))
-    out = before.join(after, [*key, "finding_id"]).join(inside, [*key, "finding_id"], "left")
+    out = before.join(after, [*key, "line"]).join(inside, [*key, "line"], "left")
     best = F.coalesce("in_", F.least(near("p", F.col("line") - F.col("p.at")), near("n", F.col("n.at") - F.col("line"))))
-    return findings.join(out.select(*key, "finding_id", best["answer_id"].alias("closest")), [*key, "finding_id"], "left")
+    found = out.select(*[F.col(k).alias(f"__{k}") for k in (*key, "line")], best["answer_id"].alias("closest"))
+    met = [findings[k] == F.col(f"__{k}") for k in key] + [findings["line"].cast("long") == F.col("__line")]
+    return findings.join(found, met[0] & met[1] & met[2], "left").drop("__task_id", "__file", "__line")
 
 
 def slug_review(by_slug: DataFrame, slug: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gritstone import schemas
 from gritstone.functions import paths, text
-from gritstone.operators import audit, gate, gates, investigate, report, scan, score, stats
+from gritstone.operators import audit, gate, gates, investigate, report, review, scan, score, stats
 from gritstone.rules.load import Gate, Rule, TreePattern, frame, read_packs
 from gritstone.sources import sinks, tables
 from gritstone.streaming import watch
@@ -217,6 +217,31 @@ def test_bootstrap_means_are_the_plain_ones(spark):
     assert not got
 
 
+def test_closest_answers_meet_no_pairs(spark):
+    """Long, empty, negative and equal ranges in one file, many findings on one line: no node has a row for each pair."""
+    import random
+
+    rng = random.Random(3)
+    answers = [(1, 1, i, f"a{i}", low, low + rng.choice([-1, 0, 3, 40, 700])) for i, low in enumerate(rng.choices(range(-300, 300), k=2000))]
+    found = [(1, 1, f"f{i}", rng.randrange(-20, 20)) for i in range(2000)] + [(1, 1, "far", 5000), (1, 2, "none", 3)]
+    a = spark.createDataFrame(answers, "task_id int, file int, ord int, answer_id string, low int, high int")
+    f = spark.createDataFrame(found, "task_id int, file int, finding_id string, line int")
+    out = review.closest_answers(f, a)
+    have = {r.finding_id: r.closest for r in out.collect()}
+    for task, file, name, line in found:
+        near = [(max(low - line, line - high, 0), o, x) for t, p, o, x, low, high in answers if (t, p) == (task, file)]
+        assert have[name] == (min(near)[2] if near else None)
+    joins, todo = [], [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan" or "QueryStage" in p.nodeName():
+            todo.append(p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan())
+        if "Join" in p.nodeName():
+            joins.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert joins and max(joins) < 4000
+
+
 def test_precision_gate_reasons(spark):
     cols = "slug string, candidates long, tp long, fp long, fn long, high_fn long"
     before = spark.createDataFrame([("x", 10, 8, 2, 0, 0), ("y", 4, 4, 0, 0, 0)], cols)
