@@ -48,9 +48,9 @@ CHUNK = 2_000_000
 #: Numbers in one packed row at most.
 ROW = 8192
 FOLDS = 10
-#: Bits of a pair's name within its shard: of some million names one in 50,000 is taken for another, far less than by the
-#: filter.
-LOW = 36
+#: Bits of a pair's name within its shard: of some two million names at most one in 2,000 is taken for another, about as by
+#: the filter.
+LOW = 32
 BLOBS = "shard int, kind byte, chunk long, a binary, b binary, c binary"
 
 
@@ -177,6 +177,17 @@ class Head:
         p = np.minimum(p, last)
         return np.where(self.word[p] == h, p, -1)
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Of each place the word's number by falling count: small for most tokens, so its high bytes compress."""
+        out = np.empty(len(self.word), np.int64)
+        out[np.argsort(-self.count, kind="stable")] = np.arange(len(self.word))
+        return out
+
+    @cached_property
+    def ranked(self) -> np.ndarray:
+        return np.sort(self.count)[::-1]
+
     def by_word(self, h: np.ndarray) -> np.ndarray:
         return ((scramble(h + U(P_WORDS2)) >> U(44)) * U(self.shards)) >> U(20)
 
@@ -244,7 +255,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.Reco
             key, c = np.repeat(key, more), np.repeat(-(-c // more), more)  # a little too many of some millions
         shard, name = (key >> U(LOW)).astype(np.int64), key & U((1 << LOW) - 1)
         for s, i, j in _cuts(shard, m.row):
-            out.add(s, 1, 0, narrow(np.diff(name[i:j], prepend=U(0)), 5, True), narrow(c[i:j], 3, True))
+            out.add(s, 1, 0, narrow(np.diff(name[i:j], prepend=U(0)), 4, True), narrow(c[i:j], 3, True))
         return out.batch()
 
     for batch in small(batches, 0):
@@ -303,7 +314,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 rare.append((np.frombuffer(a, U), np.frombuffer(b, np.int64)))
             else:
-                pairs.append((np.cumsum(wide(a, 5, True)), wide(b, 3, True).astype(np.int64)))
+                pairs.append((np.cumsum(wide(a, 4, True)), wide(b, 3, True).astype(np.int64)))
                 size += len(b) // 3
                 if size > 4 * CHUNK:
                     pairs, size = merged(), 0
@@ -347,8 +358,8 @@ def train(docs: DataFrame, text: str = "text", head: int = HEAD, prior: float =
 
 
 def _probes(batches: Iterator[pa.RecordBatch], m: Head, batch_text: int) -> Iterator[pa.RecordBatch]:
-    """For each piece of a batch: kind 1, probes of frequent words; kind 2, of rare words (a: rows, b: how many of each, c:
-    the probes); kind 3, the kept columns, what the head knows of each row, the number of other rows sent."""
+    """For each piece of a batch: kind 1, probes of frequent words; kind 2, of rare words (a: differences of rows, b: how
+    many of each, c: the probes' names and the words' ranks or hashes; all by byte planes); kind 3, the kept columns, what the head knows of each row, the number of other rows sent."""
     part = TaskContext.get().partitionId()
     for number, batch in enumerate(small(batches, batch_text)):
         column = batch.column(batch_text)
@@ -371,11 +382,11 @@ def _probes(batches: Iterator[pa.RecordBatch], m: Head, batch_text: int) -> Iter
             shard, name = m.pairs(before[i : i + m.chunk], x, place)
             order = np.argsort(shard, kind="stable")
             for kind, some in ((1, order[got[order]]), (2, order[~got[order]])):
-                name_, other = name[some], place[some].astype(U) if kind == 1 else x[some]
+                name_, other = name[some], m.rank[place[some]] if kind == 1 else x[some]
                 for s, a, b in _cuts(shard[some].astype(np.int64), m.row):
                     at = r[some[a:b]]
                     edge = np.flatnonzero(np.diff(at, prepend=-1))
-                    out.add(s, kind, chunk, at[edge].astype(np.int32), np.diff(edge, append=b - a).astype(np.int32), narrow((name_[a:b] << U(PLACE)) | other[a:b], 7) if kind == 1 else narrow(name_[a:b], 5) + other[a:b].tobytes())
+                    out.add(s, kind, chunk, narrow(np.diff(at[edge], prepend=0), 4, True), narrow(np.diff(edge, append=b - a), 4, True), narrow(name_[a:b], 4, True) + (narrow(other[a:b], 3, True) if kind == 1 else other[a:b].tobytes()))
                     sent += 1
         sink = pa.BufferOutputStream()
         kept = pa.RecordBatch.from_arrays(batch.columns[:batch_text], batch.schema.names[:batch_text]) if batch_text else None
@@ -388,7 +399,7 @@ def _probes(batches: Iterator[pa.RecordBatch], m: Head, batch_text: int) -> Iter
 
 
 def _answers(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBatch]:
-    """Of the probes of each packed row, summed by text: kind 1 with a: rows, b: sums of known, base and score. Rows come
+    """Of the probes of each packed row, summed by text: kind 1 with a: differences of rows, b: sums of known, base and score. Rows come
     sorted by shard, its filter first. Kind 3 passes."""
     now = None
     for batch in batches:
@@ -402,16 +413,16 @@ def _answers(batches: Iterator[pa.RecordBatch], m: Head) -> Iterator[pa.RecordBa
             if kind == 3:
                 out.add(shard, 0, chunk, a, b, c)
                 continue
-            n = np.frombuffer(b, np.int32)
-            at = np.cumsum(n) - n
+            n = wide(b, 4, True).astype(np.int64)
+            at, total = np.cumsum(n) - n, int(n.sum())
+            name, other = wide(c[: 4 * total], 4, True), c[4 * total :]
             if kind == 1:
-                ask = wide(c, 7)
-                had = f.counts(ask >> U(PLACE))
-                own = m.prior * m.own(m.count[(ask & U(HEAD - 1)).astype(np.int64)])
-                known = base = np.zeros(len(ask))
+                had = f.counts(name)
+                own = m.prior * m.own(m.ranked[wide(other, 3, True).astype(np.int64)])
+                known = base = np.zeros(total)
                 score = np.where(had > 0, np.log10(had + own) - np.log10(own), 0.0)
             else:
-                name, h = wide(c[: 5 * n.sum()], 5), np.frombuffer(c[5 * n.sum() :], U)
+                h = np.frombuffer(other, U)
                 p = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
                 seen = np.where(word[p] == h, count[p], 0) if len(word) else np.zeros(len(h), np.int64)
                 had = np.zeros(len(h))
@@ -444,7 +455,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
                 continue
             if chunk != now:
                 raise RuntimeError("sums of a chunk of texts whose rows are not there")
-            about[1:, np.frombuffer(a, np.int32)] += np.frombuffer(b, float).reshape(3, -1)
+            about[1:, np.cumsum(wide(a, 4, True).astype(np.int64))] += np.frombuffer(b, float).reshape(3, -1)
             left -= 1
     if now is not None:
         yield done()
