@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REDACTIONS
+from .ordered import small_batches
 
 # fixed values: bytes of a source and of an answer, lines to each side, turns and calls; texts of answers and refusals
 MOST_BYTES = 16 * 1024
@@ -63,6 +64,7 @@ def _shown(path: pd.Series, content: pd.Series, first: pd.Series, last: pd.Serie
 
 def read_file(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (path, first, last) with `shown`, the answer to each; files that do not exist have none."""
+    small_batches(files.sparkSession)
     rows = wanted.join(files.select("path", F.substring("content", 1, MOST_BYTES + 1).alias("__c")), "path")
     return rows.withColumn("shown", F.pandas_udf(_shown, "string")("path", "__c", "first", "last")).drop("__c")
 

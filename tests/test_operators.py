@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gritstone import schemas
 from gritstone.functions import paths, text
-from gritstone.operators import audit, gate, gates, investigate, report, review, scan, score, stats
+from gritstone.operators import audit, gate, gates, investigate, report, review, scan, score, stats, tools
 from gritstone.rules.load import Gate, Rule, TreePattern, frame, read_packs
 from gritstone.sources import sinks, tables
 from gritstone.streaming import watch
@@ -242,6 +242,16 @@ def test_closest_answers_meet_no_pairs(spark):
     assert joins and max(joins) < 4000
 
 
+def test_files_go_to_python_in_small_batches(spark):
+    key, tree = "spark.sql.execution.arrow.maxRecordsPerBatch", TreePattern("python", "(Call) @c", label="c")
+    f = files(spark, a_dot_py="f()\n").repartition(1)
+    places = f.select("path", F.lit(1).alias("line"))
+    for run in (lambda: tools.read_around(f, places, 1), lambda: audit.tree_candidates(f, [Rule("r", file_patterns=["**/*.py"], tree_patterns=[tree])])):
+        spark.conf.set(key, "10000")
+        assert run().count() == 1
+        assert int(spark.conf.get(key)) <= 500
+
+
 def test_precision_gate_reasons(spark):
     cols = "slug string, candidates long, tp long, fp long, fn long, high_fn long"
     before = spark.createDataFrame([("x", 10, 8, 2, 0, 0), ("y", 4, 4, 0, 0, 0)], cols)
