@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import checkpoints
 from .score import rate
 
 EPS = 1e-9
@@ -29,9 +30,15 @@ def _limit(total, budget: float):
     return F.floor(total * (1 + budget) + 0.999999)
 
 
+def _written(d: DataFrame) -> DataFrame:
+    """A row a slug, written, as both the slugs' and the whole's objections look at it and a scan may stand before it."""
+    checkpoints(d.sparkSession)
+    return d.checkpoint()
+
+
 def precision_gate(before: DataFrame, after: DataFrame, slug: str, budget: float = 0.2) -> DataFrame:
     """(reason, slug) of each objection to a change of one rule; none means that it is accepted."""
-    d = deltas(before, after)
+    d = _written(deltas(before, after))
     mine, others = F.col("slug") == slug, F.col("slug") != slug
     moved = [F.col(f"{c}_a") != F.col(f"{c}_b") for c in ("candidates", "tp", "fp", "fn")]
     changed = moved[0] | moved[1] | moved[2] | moved[3] | (F.col("in_a") != F.col("in_b"))
@@ -51,7 +58,7 @@ def precision_gate(before: DataFrame, after: DataFrame, slug: str, budget: float
 def recall_gate(before: DataFrame, after: DataFrame, slugs: list[str], new_slug: str, least_precision: float = 0.25, budget: float = 0.2) -> DataFrame:
     """(reason, slug): the missed issues of `slugs` must get fewer, a new rule that fires must be precise enough, and
     other rules must keep what they have."""
-    d = deltas(before, after)
+    d = _written(deltas(before, after))
     target = d.where(F.col("slug").isin(*slugs)).agg(F.coalesce(F.sum("fn_b"), F.lit(0)).alias("b"), F.coalesce(F.sum("fn_a"), F.lit(0)).alias("a"))
     no_gain = target.where("a >= b").select(F.lit("target misses did not fall").alias("reason"), F.lit(",".join(slugs)).alias("slug"))
     tests = {

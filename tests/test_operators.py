@@ -252,6 +252,12 @@ def test_files_go_to_python_in_small_batches(spark):
         assert int(spark.conf.get(key)) <= 500
 
 
+def test_gates_look_at_their_sides_once(spark):
+    side = spark.createDataFrame([("x", 10, 8, 2, 0, 0)], "slug string, candidates long, tp long, fp long, fn long, high_fn long")
+    for out in (gates.precision_gate(side, side, "x"), gates.recall_gate(side, side, ["x"], "y")):
+        assert "FullOuter" not in out._jdf.queryExecution().toString()
+
+
 def test_precision_gate_reasons(spark):
     cols = "slug string, candidates long, tp long, fp long, fn long, high_fn long"
     before = spark.createDataFrame([("x", 10, 8, 2, 0, 0), ("y", 4, 4, 0, 0, 0)], cols)
