@@ -175,8 +175,14 @@ OTHERS, BRANCHES, SAMPLE, SLICES = 8, 4, 64, 10
 
 
 def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, branches: int = BRANCHES) -> DataFrame:
+    """The groups of divided_groups()."""
+    return divided_groups(members, samples, others, branches)[0]
+
+
+def divided_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, branches: int = BRANCHES) -> tuple[DataFrame, DataFrame | None]:
     """Groups of texts of several classes, none with more than `others` texts outside its largest class, as (key, node,
-    root, top, shared, size); `top` is that class.
+    root, top, shared, size); `top` is that class. And, whole, those that had to be divided, as (key, node, root, shared,
+    size): a division can part two similar texts, so what is left there is for rest_links().
 
     `members`: (key, node, root, shared, size); keys that differ in their last BITS bits only are one group where it has
     to be divided. Of each text's `samples` (node, sample) a slice is looked at, another one for each group, and of that
@@ -184,7 +190,7 @@ def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, b
     of `branches` such shingles, the least under as many orders; similar texts choose alike, and what they choose in
     several bands is one group. From then on each division at least halves a group.
     """
-    done, deep = None, False
+    done, whole, deep = None, None, False
     while True:
         each = members.groupBy("key", "root").agg(F.count("*").alias("c"))
         sizes = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"))
@@ -193,12 +199,13 @@ def small_groups(members: DataFrame, samples: DataFrame, others: int = OTHERS, b
         done = fit if done is None else done.unionByName(fit)
         large = sizes.where(F.col("others") > others).select("key", "n")
         if large.isEmpty():
-            return staged(done, "small-groups")
+            return staged(done, "small-groups"), whole
         rows = members.join(large, "key")
         if not deep:
             rows = rows.withColumn("key", F.shiftright("key", BITS)).select("key", "node", "root", "shared", "size").distinct()
             rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
         rows = staged(rows, "large-groups")
+        whole = whole or rows.select("key", "node", "root", "shared", "size")
         mine = F.pmod(F.xxhash64("key"), F.lit(SLICES))
         opened = rows.join(samples, "node").select("key", "node", "n", F.explode(F.filter("sample", lambda s: F.pmod(s, F.lit(SLICES)) == mine)).alias("s"))
         df = opened.groupBy("key", "s").agg(F.count("*").alias("df"), F.first("n").alias("n")).where("df > 1 and 2 * df <= n").select("key", "s")
@@ -221,6 +228,71 @@ def cross_pairs(groups: DataFrame, possible) -> DataFrame:
     return met.select(pick("m", "n", "node").alias("a"), pick("n", "m", "node").alias("b"), pick("m", "n", "size").alias("asize"), pick("n", "m", "size").alias("bsize"))
 
 
+def joining_links(a: list[np.ndarray], b: list[np.ndarray], roots: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets a[i] and b[j] with a Jaccard similarity of `similarity` or more, of these only what joins sets
+    that `roots` and the pairs before leave apart. b[j] is met by a[i] if after[1][j] > after[0][i]. Bitmaps, as wide as the
+    sets' sizes ask for, are compared first, with all of b at once."""
+    na, nb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    width = 1 << int(np.clip(8 * (na.sum() + nb.sum()) // (len(a) + len(b)), 64, 1 << 16) - 1).bit_length()
+    abits, bbits = (np.array([bitmap(x, width).view(U) for x in y]) for y in (a, b))
+    held = np.bitwise_count(bbits).sum(1, dtype=np.int64)
+    numbers, place = np.unique(np.concatenate(roots), return_inverse=True)
+    parent, out = list(range(len(numbers))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(a)):
+        # what too small or too large sets cannot share, and what is of this class from the start
+        near = np.flatnonzero((after[1] > after[0][i]) & (np.minimum(na[i], nb) >= similarity * np.maximum(na[i], nb)) & (roots[1] != roots[0][i]))
+        both = np.bitwise_count(bbits[near] & abits[i]).sum(1, dtype=np.int64)
+        most = np.minimum(na[i] - np.bitwise_count(abits[i]).sum(dtype=np.int64) + both, nb[near] - held[near] + both)
+        for j in near[(1 + similarity) * most + 1e-6 >= similarity * (na[i] + nb[near])].tolist():
+            x, y = find(place[i]), find(place[len(a) + j])
+            if x == y:
+                continue
+            n = len(np.intersect1d(a[i], b[j], assume_unique=True))
+            if n >= similarity * (na[i] + nb[j] - n):
+                parent[x] = y
+                out.append((i, j))
+    return out
+
+
+def rest_links(whole: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, most: int = 1 << 21) -> DataFrame:
+    """(a, b): links between texts of different classes in groups that were divided, so that no pair is lost there.
+
+    `whole`: (key, node, size); `roots`: (node, root), the classes so far; `sets`: (node, s). Each text outside a group's
+    largest class meets all texts of the group. Both sides are cut by hash into parts of about `most` shingles, and each
+    pair of parts is one task's work, so neither rows nor memory grow with a group's square. A pair of parts gives only
+    links that join what is apart, fewer than it has texts.
+    """
+    rows = whole.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("w"))
+    tops = each.groupBy("key").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "root", "w")).alias("t"))
+    parts = lambda w: F.ceil((w + 1) / most).cast("int")
+    tops = staged(tops.where(F.col("n") > F.col("t.c")).select("key", F.col("t.root").alias("top"), parts(F.col("w") - F.col("t.w")).alias("ni"), parts(F.col("w")).alias("nj")), "rest-groups")
+    rows = rows.join(tops, "key").withColumn("outer", F.col("root") != F.col("top"))
+    mine, every = (lambda n: F.pmod(F.xxhash64("node"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    left = rows.where("outer").select("key", "node", "root", "outer", F.lit(True).alias("asks"), mine(F.col("ni")).alias("i"), every("nj").alias("j"))
+    right = rows.select("key", "node", "root", "outer", F.lit(False).alias("asks"), every("ni").alias("i"), mine(F.col("nj")).alias("j"))
+    dealt = left.unionByName(right).join(sets.select("node", "s"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = group["asks"].to_numpy(zero_copy_only=False)
+        s, node, root, outer = np.array([*(x.values.to_numpy().view(U) for x in group["s"]), None], object)[:-1], group["node"].to_numpy(), group["root"].to_numpy(), group["outer"].to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        # two texts outside the largest class are both asked for: the lesser one asks
+        after = (node[a], np.where(outer[b], node[b], np.iinfo(np.int64).max))
+        found = joining_links(list(s[a]), list(s[b]), (root[a], root[b]), after, similarity) if len(a) and len(b) else []
+        return pa.table({"a": pa.array([node[a[i]] for i, _ in found], pa.int64()), "b": pa.array([node[b[j]] for _, j in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = BANDS, choose: bool = False) -> DataFrame:
     """(id_col, component_id), and with `choose` (rid, stays): near duplicates whose sets of `width`-word shingles have a
     Jaccard similarity of `similarity` or more.
@@ -229,7 +301,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     At similarity 0.8 a pair has one key with probability 0.8 and 16 bits at most 2 apart with 0.55, so one of 12 bands
     holds it with 0.999, whatever the edits' places; unrelated texts have no common key, however many there are.
 
-    Verification in two rounds, each over pairs of distinct texts that collide. First each text is compared with one
+    Verification in three rounds, the first two over pairs of distinct texts that collide. First each text is compared with one
     other, that of its groups which has the smallest part of shingles that no other text has: the original of a set of
     edited copies stands there. Then colliding pairs of texts which are not of one class yet are compared, but for
     pairs that cannot be similar by the numbers of their shared shingles and by a bitmap of each text. A group with many
@@ -299,7 +371,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     heads = heads.where((F.col("head.node") != F.col("node")) & possible({"shared": F.col("shared"), "size": F.col("size")}, F.col("head")))
     roots = components(verified(staged(heads.select(F.col("node").alias("a"), F.col("head.node").alias("b")), "heads")))
     classed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "shared", "size")
-    narrow = small_groups(classed, sets.select("node", F.slice("s", 1, SAMPLE).alias("sample")))
+    narrow, whole = divided_groups(classed, sets.select("node", F.slice("s", 1, SAMPLE).alias("sample")))
     pairs = staged(cross_pairs(narrow, possible).distinct(), "colliding")
     bits = sets.select("node", "bits")
     pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("abits")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bbits")), "b")
@@ -310,7 +382,10 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         return {"shared": F.col(f"{x}size") - F.aggregate(lacks, F.lit(0), lambda p, q: p + q), "size": F.col(f"{x}size")}
 
     pairs = staged(pairs.where(possible(most("a", "b"), most("b", "a"))).select("a", "b"), "likely")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)))
+    edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(edges().unionByName(verified(pairs)))
+    if whole is not None:
+        roots = components(edges().unionByName(rest_links(whole, roots, sets, similarity)))
     named = reps.join(roots, "node", "left").select("sha", "id", F.coalesce("root", "node").alias("root"))
     # written before the join, so that a very large component can be split there
     smallest = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "sha")).alias("least")), "components")

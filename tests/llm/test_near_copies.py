@@ -72,3 +72,44 @@ def test_a_divided_group_keeps_classes_apart_and_similar_texts_together(spark):
     for r in got:
         groups.setdefault(r.key, set()).add(r.node)
     assert {frozenset(g) for g in groups.values()} == {frozenset(range(3 * k, 3 * k + 3)) for k in range(30)}
+
+
+def test_no_pair_of_a_divided_group_is_lost(spark):
+    # all texts share 172 words; the two of a pair share eight of their last 28 besides, so few shingles tell the pairs apart
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(60_000):05d}"
+    template, texts = [word() for _ in range(172)], []
+    for _ in range(200):
+        own = [word() for _ in range(8)]
+        texts += [" ".join(template + own + [word() for _ in range(20)]) for _ in range(2)]
+    s = [shingles(t) for t in texts]
+    alike = [(i, j) for i in range(len(s)) for j in range(i) if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
+    least = list(range(len(s)))
+    for i, j in alike:
+        least[i] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in simhash.edited_copies(docs).collect()}
+    assert len(alike) == 200 and [got[i] for i in range(len(s))] == least
+
+
+def test_joining_links_are_exact_and_make_a_forest():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.permutation(120)[: 120 - k]], rnd.integers(0, 1 << 63, k).astype(np.uint64)])) for k in rnd.integers(0, 40, 150)]
+    sets += [rnd.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 0, 1, 5, 300)]
+    node = np.arange(len(sets))
+    found = simhash.joining_links(sets, sets, (node, node), (node, node), 0.8)
+
+    def classes(pairs):
+        root = node.tolist()
+        for _ in range(len(sets)):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) if len(x) or len(y) else 1
+    want = [(i, j) for i in node for j in node[i + 1 :] if jaccard(sets[i], sets[j]) >= 0.8]
+    assert set(found) <= set(want) and classes(found) == classes(want)
+    assert len(found) == len(sets) - len(set(classes(want))) < len(want)
