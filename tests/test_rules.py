@@ -102,3 +102,21 @@ def test_patches_of_the_rule_table(spark):
             patched(frame(spark, rules), spark.createDataFrame([bad], schema)).collect()
     with pytest.raises(ValueError):
         rules_of(patched(frame(spark, rules), spark.createDataFrame([(0, "a", "suppress_pattern", [r"\C"])], schema)), rules)
+
+
+def test_signs_alone_are_literals():
+    assert literals.needed(r"(?i)\b[a-z0-9._%+-]+@[a-z0-9-]+\.[a-z]{2,}\b") == {("@", False)}
+    assert literals.needed(r"[A-Z]{4,}!!") == {("!!", False)} and literals.needed(r"a b") == {("a b", False)} and literals.needed(r"ab") is None
+
+
+def test_taint_patterns_are_literals_and_find_the_same_lines(spark):
+    from pyspark.sql import functions as F
+
+    from gritstone.functions import text
+
+    rows = [(k, t) for k in ("go", "python", "rust", "none") for t in ("a\nx = os.environ\nq := r.Body\nJson <T>\ninput (", "nothing\nhere", "", None)]
+    out = spark.createDataFrame(rows, "k string, t string").withColumn("n", text.tainted_lines(F.col("t"), text.lines(F.col("t")), F.col("k")))
+    got = [r.n for r in out.collect()]
+    assert got == [[3], [], [], None, [2, 5], [], [], None, [4], [], [], None, [2], [], [], None]
+    # a pattern that a row chooses would be compiled for each line
+    assert "CASE WHEN (k" not in out._jdf.queryExecution().analyzed().toString().split("RLIKE(", 1)[1].split(")", 1)[0] and out._jdf.queryExecution().analyzed().toString().count("RLIKE(") > 5
