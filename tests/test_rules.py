@@ -120,3 +120,14 @@ def test_taint_patterns_are_literals_and_find_the_same_lines(spark):
     assert got == [[3], [], [], None, [2, 5], [], [], None, [4], [], [], None, [2], [], [], None]
     # a pattern that a row chooses would be compiled for each line
     assert "CASE WHEN (k" not in out._jdf.queryExecution().analyzed().toString().split("RLIKE(", 1)[1].split(")", 1)[0] and out._jdf.queryExecution().analyzed().toString().count("RLIKE(") > 5
+
+
+def test_a_filter_on_counts_does_not_evaluate_the_rules_again(spark):
+    from gritstone.operators import scan
+    from gritstone.plans.common import corpus_rules
+
+    files = spark.createDataFrame([("a/b.py", "x\nWORD!! WORD!!\n\n"), ("a/c.py", None), ("a/d.py", "")], "path string, content string")
+    dense = scan.density_of(files, corpus_rules()).where("per_kloc > 400")
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z]{4,}!!(?:") == scan.density_of(files, corpus_rules())._jdf.queryExecution().optimizedPlan().toString().count("[A-Z]{4,}!!(?:")
+    assert [(r.path, r.loc, r.candidates) for r in dense.collect()] == [("a/b.py", 2, 1)]
