@@ -44,3 +44,14 @@ def test_refusals():
     assert run({"calls": [call] * 9})[0]["reason"] == tools.CALL_CAP
     out, seen = run({"calls": [call]})
     assert out["reason"] == tools.TURN_CAP and out["turns"] == 8 and seen[-1][0][0]["content"] == "a.py:2: call(x)\n"
+
+
+def test_batches_go_to_python_together_and_are_seen_alone(spark):
+    from gritstone.operators import investigate
+
+    rows = spark.createDataFrame([(b, f"f{b}-{i}", str(b)) for b in range(70) for i in range(3)], "batch_id long, path string, content string")
+    ask = lambda batch, paths, own: {"results": [{"filePath": paths[0], "findings": [{"title": "|".join(sorted(own["content"]))}]}], "cost": 3.0 * batch, "tokens": len(own)}
+    out = investigate.investigate(rows, ask)
+    got = {r.path: (r.batch_id, r.cost, r.tokens, [f.title for f in r.findings]) for r in out.collect()}
+    assert got == {f"f{b}-{i}": (b, float(b), 1, [f"{b}|{b}|{b}"] if i == 0 else []) for b in range(70) for i in range(3)}
+    assert "FLOOR" in out._jdf.queryExecution().optimizedPlan().toString().upper()
